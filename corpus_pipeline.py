@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import line_dedup, simhash_dedup, source_mixing
+from quarrystone.llm import line_dedup, simhash_dedup, source_mixing, toxicity
 from quarrystone.storage import stored
 
 STAGES = [
+    ("toxicity", toxicity.stage),
     ("line dedup", line_dedup.stage),
     ("near dedup", simhash_dedup.stage),
     ("mixing", source_mixing.stage),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import line_dedup, simhash_dedup, source_mixing
+from quarrystone.llm import line_dedup, simhash_dedup, source_mixing, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op5_simhash_dedup": simhash_dedup.query,
+    "op8_toxicity": toxicity.query,
     "op9_source_mixing": source_mixing.query,
 }
 

@@ -3,7 +3,7 @@ r"""Encoding with a tokenizers file, with a memo of blank-separated pieces in fr
 Both tokenizer files used here split a text before they merge, and always before a blank that another
 character follows; so the ids of a text are the ids of its blank-separated pieces in a row, each with its
 blank in front. Prose repeats its words: a worker keeps the ids that the library gave for a piece and asks it
-only for new ones, in one batch. Texts with runs of blanks or other white space go to the library whole.
+only for new ones, in one call. Texts with runs of blanks or other white space go to the library whole.
 Either way the ids are those of `Tokenizer.encode(text, add_special_tokens=False)`, with special tokens'
 names read as ordinary text.
 """
@@ -15,8 +15,10 @@ import os
 import re
 from functools import lru_cache
 
-#: Characters of memoized pieces after which a worker's memo starts anew, and the longest piece it keeps.
-MEMO, LONGEST = 600_000, 48
+import numpy as np
+
+#: Pieces after which a worker's memo starts anew: bounds its memory.
+MEMO = 600_000
 
 #: White space that pieces must not be cut at: anything but single blanks and line ends.
 ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|  ")
@@ -39,6 +41,9 @@ class Encoder:
         steps = shape["pre_tokenizer"].get("pretokenizers", [shape["pre_tokenizer"]])
         #: whether a blank stays in front of its piece, or is dropped
         self.blank = " " if steps[0]["type"] == "ByteLevel" else ""
+        #: put between pieces that are encoded together; it becomes one token that no piece yields
+        self.mark = "\n" if self.blank else " \x01 "
+        (self.mark_id,) = self.tok.encode(self.mark, add_special_tokens=False).ids
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -58,22 +63,27 @@ class Encoder:
             head = self.whole(first) if first else b""
         else:
             parts, head = text.split(), b""
-        new = list(set(parts).difference(memo))
+        new = set(parts).difference(memo)
         if new:
-            long = {p: self.whole(self.blank + p) for p in new if len(p) > LONGEST}
-            new = [p for p in new if p not in long]
-            for p, e in zip(new, self.tok.encode_batch_fast([self.blank + p for p in new], add_special_tokens=False)):
-                memo[p] = pack(e.ids)
-            if long:
-                return head + b"".join([memo.get(p) if p not in long else long[p] for p in parts])
+            self._learn(new)
         return head + b"".join(map(memo.__getitem__, parts))
 
+    def _learn(self, new: set[str]) -> None:
+        """Ask the library for pieces the memo lacks: all in one text, cut at a separator that is one token of its own."""
+        plain = [p for p in new if "\n" not in p and "\x01" not in p and p]
+        ids = np.array(self.tok.encode(self.mark.join([self.blank + p for p in plain]), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == self.mark_id)
+        if len(cuts) == len(plain) - 1:
+            data = ids.tobytes()
+            starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(data)]
+            self.memo.update(zip(plain, [data[a:b] for a, b in zip(starts, ends)]))
+            new = new.difference(plain)
+        for p in new:
+            self.memo[p] = self.whole(self.blank + p)
 
-def pack(ids: list[int]) -> bytes:
-    import array
 
-    a = array.array("I", ids)
-    return a.tobytes()
+def pack(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
