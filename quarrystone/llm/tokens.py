@@ -18,14 +18,27 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces after which a worker's memo starts anew: bounds its memory.
-MEMO = 600_000
+MEMO = 1_000_000
 
-#: White space that pieces must not be cut at: anything but single blanks and line ends.
-ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|  ")
+#: White space that pieces must not be cut at: any but single blanks and line ends.
+ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: A word with ASCII punctuation behind it: the library always splits between the two.
+TAIL = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 #: Characters whose lower case is one plain character in any Unicode version.
 PLAIN = re.compile(r"[\n\x20-\x7E\xC0-\xFFĀ-įı-ňŊ-ž]*")
 
 
+class Memo(dict):
+    """piece -> ids. A piece that is not there is noted in `new` and read as nothing for the moment."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> bytes:
+        self.new.append(piece)
+        return b""
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -41,45 +54,53 @@ class Encoder:
         steps = shape["pre_tokenizer"].get("pretokenizers", [shape["pre_tokenizer"]])
         #: whether a blank stays in front of its piece, or is dropped
         self.blank = " " if steps[0]["type"] == "ByteLevel" else ""
-        #: put between pieces that are encoded together; it becomes one token that no piece yields
-        self.mark = "\n" if self.blank else " \x01 "
-        (self.mark_id,) = self.tok.encode(self.mark, add_special_tokens=False).ids
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
+        if "  " in text or ODD_SPACE.search(text):
             return self.whole(text)
         if self.lower and PLAIN.fullmatch(text):
             text = text.lower()
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
         if self.blank:
             parts = text.split(" ")
             first, parts = parts[0], parts[1:]
             head = self.whole(first) if first else b""
         else:
             parts, head = text.split(), b""
-        new = set(parts).difference(memo)
-        if new:
-            self._learn(new)
-        return head + b"".join(map(memo.__getitem__, parts))
+        ids = b"".join(map(memo.__getitem__, parts))
+        if memo.new:
+            self._learn(set(memo.new))
+            ids = b"".join(map(memo.__getitem__, parts))
+            memo.new.clear()
+            if len(memo) > MEMO:
+                memo.clear()
+        return head + ids
 
     def _learn(self, new: set[str]) -> None:
-        """Ask the library for pieces the memo lacks: all in one text, cut at a separator that is one token of its own."""
-        plain = [p for p in new if "\n" not in p and "\x01" not in p and p]
-        ids = np.array(self.tok.encode(self.mark.join([self.blank + p for p in plain]), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == self.mark_id)
-        if len(cuts) == len(plain) - 1:
-            data = ids.tobytes()
-            starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(data)]
-            self.memo.update(zip(plain, [data[a:b] for a, b in zip(starts, ends)]))
-            new = new.difference(plain)
+        memo, tails, cut = self.memo, self.tails, []
+        ask = []
         for p in new:
-            self.memo[p] = self.whole(self.blank + p)
+            m = TAIL.fullmatch(p)
+            if m is None:
+                ask.append(p)
+                continue
+            word, tail = m.groups()
+            cut.append((p, word, tail))
+            if word not in memo and word not in new:
+                ask.append(word)
+            if tail not in tails:
+                if len(tails) > 10_000:
+                    tails.clear()
+                tails[tail] = self.whole(tail)
+        for p, e in zip(ask, self.tok.encode_batch_fast([self.blank + p for p in ask], add_special_tokens=False)):
+            memo[p] = pack(e.ids)
+        for p, word, tail in cut:
+            memo[p] = memo[word] + (tails[tail] if tail in tails else self.whole(tail))
 
 
 def pack(ids: list[int]) -> bytes:
