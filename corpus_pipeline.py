@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import line_dedup, simhash_dedup, source_mixing, toxicity
+from quarrystone.llm import best_fit_packing, line_dedup, simhash_dedup, source_mixing, toxicity
 from quarrystone.storage import stored
 
 STAGES = [
@@ -16,6 +16,7 @@ STAGES = [
     ("line dedup", line_dedup.stage),
     ("near dedup", simhash_dedup.stage),
     ("mixing", source_mixing.stage),
+    ("packing", best_fit_packing.stage),
 ]
 
 #: Tokenizing and fingerprints can't be said in SQL; tests hold run() against a plain version.

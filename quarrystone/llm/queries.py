@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import line_dedup, simhash_dedup, source_mixing, toxicity
+from quarrystone.llm import best_fit_packing, line_dedup, simhash_dedup, source_mixing, token_file, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op5_simhash_dedup": simhash_dedup.query,
+    "op6_token_file": token_file.query,
+    "op7_best_fit_packing": best_fit_packing.query,
     "op8_toxicity": toxicity.query,
     "op9_source_mixing": source_mixing.query,
 }
