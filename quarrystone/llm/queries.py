@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import best_fit_packing, line_dedup, simhash_dedup, source_mixing, token_file, toxicity
+from quarrystone.llm import best_fit_packing, language_id, line_dedup, quality_rules, simhash_dedup, source_mixing, token_file, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_quality_rules": quality_rules.query,
+    "op3_language_id": language_id.query,
     "op5_simhash_dedup": simhash_dedup.query,
     "op6_token_file": token_file.query,
     "op7_best_fit_packing": best_fit_packing.query,
