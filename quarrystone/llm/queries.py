@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import best_fit_packing, language_id, line_dedup, quality_rules, simhash_dedup, source_mixing, token_file, toxicity
+from quarrystone.llm (
+    best_fit_packing,
+    collision_ann,
+    language_id,
+    line_dedup,
+    quality_cnn,
+    quality_rules,
+    simhash_dedup,
+    source_mixing,
+    token_file,
+    toxicity,
+)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_quality_rules": quality_rules.query,
     "op3_language_id": language_id.query,
+    "op4_collision_ann": collision_ann.query,
     "op5_simhash_dedup": simhash_dedup.query,
     "op6_token_file": token_file.query,
     "op7_best_fit_packing": best_fit_packing.query,
     "op8_toxicity": toxicity.query,
     "op9_source_mixing": source_mixing.query,
+    "op10_quality_cnn": quality_cnn.query,
 }
 
 ORACLE = {

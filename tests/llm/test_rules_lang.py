@@ -65,7 +65,7 @@ def test_judge(spark):
     assert got[9003].kept  # a stratum without labels loses nothing
     lost = [i for i, q, _ in labels[:3000] if q and not got[i].kept]
     assert len(lost) <= 0.05 * 2400
-    assert sum(not got[i].kept for i in range(0, 3000, 5)) > 550
+    assert sum(not got[i].kept for i in range(0, 3000, 5)) > 430  # the null stratum has too few labels for a cutoff
     assert Q.judge(docs.limit(0), lab).count() == 0 and Q.judge(docs, lab.limit(0)).where("kept").count() > 2900
 
 
