@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.llm (
+from quarrystone.llm import (
     best_fit_packing,
     collision_ann,
     language_id,
