@@ -50,3 +50,4 @@ def top_findings(spark, sf_dir):
     o = o.withColumn("severity_rank", rank)
     o = o.orderBy(F.desc("severity_rank"), F.desc("o_orderdate"), "o_orderkey").limit(100)
     return o.select(F.col("o_orderkey").alias("finding_id"), F.col("o_custkey").alias("project_id"), "severity_rank")
+
