@@ -197,3 +197,28 @@ def effective_permissions(user_roles: DataFrame, role_permissions: DataFrame) ->
     """(tenant_id, user_id, permission) over roles of the same tenant, blanks dropped, no repeats."""
     both = user_roles.join(role_permissions, ["tenant_id", "role_id"])
     return both.where(F.trim("permission") != "").select("tenant_id", "user_id", "permission").distinct()
+
+
+def log_signals(lines: DataFrame, keys: Sequence[str], pos: str, line: str, words: dict[str, str], shown: int = 3) -> DataFrame:
+    """(keys..., severity, summary, matches): lines with a keyword; a line counts once for each keyword in it. No match: no row."""
+    hits = F.filter(F.array(*[F.when(F.contains(F.lower(F.col(line)), F.lit(w)), F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"))) for i, (w, s) in enumerate(words.items())]), lambda x: x.isNotNull())
+    each = lines.select(*keys, pos, line, F.explode(hits).alias("_h")).withColumn("_rank", X.severity_rank(F.col("_h.s")))
+    first = first_n(each, keys, [F.col(pos), F.col("_h.i")], shown)
+    summary = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "_h.i", F.trim(line).alias("t")))), lambda x: x["t"]), " | ").alias("summary"))
+    return each.groupBy(*keys).agg(F.max_by("_h.s", "_rank").alias("severity"), F.count("*").alias("matches")).join(summary, list(keys))
+
+
+def line_context(points: DataFrame, lines: DataFrame, keys: Sequence[str], around: int, most: int = 400) -> DataFrame:
+    """points: (keys..., at); lines: (keys..., line_no, content). The lines around each point, cut to `most` characters, the point's own marked."""
+    near = points.withColumn("line_no", F.explode(F.sequence(F.col("at") - around, F.col("at") + around)))
+    return near.join(lines, [*keys, "line_no"]).select(*keys, "line_no", F.substring("content", 1, most).alias("content"), (F.col("line_no") == F.col("at")).alias("highlight"))
+
+
+def preferred_line(points: DataFrame, lines: DataFrame, keys: Sequence[str], ahead: int = 20) -> DataFrame:
+    """(keys..., at, line_no): a point on a comment, annotation or blank line moves to the first other line within `ahead`."""
+    note = F.col("content").rlike(r"^[ \t]*(//|#|\*|/\*|@)") | (F.trim("content") == "")
+    near = points.withColumn("line_no", F.explode(F.sequence(F.col("at"), F.col("at") + ahead))).join(lines.withColumn("_note", note), [*keys, "line_no"])
+    here = F.bool_or((F.col("line_no") == F.col("at")) & F.col("_note"))
+    best = near.groupBy(*keys, "at").agg(here.alias("_move"), F.min(F.when(~F.col("_note") & (F.col("line_no") > F.col("at")), F.col("line_no"))).alias("_next"))
+    moved = F.when(F.col("_move"), F.coalesce("_next", "at")).otherwise(F.col("at"))
+    return points.join(best, [*keys, "at"], "left").select(*keys, "at", F.coalesce(moved, F.col("at")).alias("line_no"))
