@@ -312,3 +312,31 @@ def best_cvss(scores: Column) -> Column:
     """scores: array of (source, score). The highest score, of ties the first; null scores count as 0."""
     score = lambda s: F.coalesce(s["score"], F.lit(0.0))
     return F.reduce(F.slice(scores, 2, 1 << 20), F.get(scores, F.lit(0)), lambda a, s: F.when(score(s) > score(a), s).otherwise(a))
+
+
+def introduced_by(commit: Column, image: Column, path: Column, upload: Column, url: Column, ref: Column) -> Column:
+    """The first that is there: commit, image, file system path, uploaded or linked SBOM, source reference."""
+    marked = lambda c: F.concat(F.lit("sbom:"), blank_to_null(c))
+    return F.coalesce(blank_to_null(commit), blank_to_null(image), blank_to_null(path), marked(upload), marked(url), blank_to_null(ref))
+
+
+def review_fields(result: Column) -> Column:
+    """(verdict, reason, confidence, status) of a review's JSON text; the summary stands before the reason, a
+    suggested status before the one of the first recommended finding."""
+    v = F.try_parse_json(result)
+    text = lambda path: blank_to_null(F.try_variant_get(v, path, "string"))
+    return F.struct(
+        text("$.verdict").alias("verdict"), F.coalesce(text("$.summary"), text("$.reason")).alias("reason"), F.try_variant_get(v, "$.confidence", "double").alias("confidence"),
+        F.coalesce(text("$.suggestedStatus"), text("$.recommendation.findings[0].status")).alias("status"),
+    )
+
+
+def snippet_lines(lines: Column, start: Column, end: Column, most: int = 200, width: int = 400) -> Column:
+    """Lines start to end (from 1) of an array, at most `most`, cut to `width`; null where the range is not valid."""
+    fine = (start >= 1) & (end >= start) & (F.size(lines) >= start)
+    return F.when(fine, F.transform(F.slice(lines, start, F.least(end - start + 1, F.lit(most))), lambda x: F.substring(x, 1, width)))
+
+
+def ticket_description(en: Column, zh: Column, titles: Column) -> Column:
+    """The given text, else a list of the items."""
+    return pick_i18n(en, zh, F.array_join(F.transform(titles, lambda t: F.concat(F.lit("- "), t)), "\n"))

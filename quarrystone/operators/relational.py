@@ -222,3 +222,38 @@ def preferred_line(points: DataFrame, lines: DataFrame, keys: Sequence[str], ahe
     best = near.groupBy(*keys, "at").agg(here.alias("_move"), F.min(F.when(~F.col("_note") & (F.col("line_no") > F.col("at")), F.col("line_no"))).alias("_next"))
     moved = F.when(F.col("_move"), F.coalesce("_next", "at")).otherwise(F.col("at"))
     return points.join(best, [*keys, "at"], "left").select(*keys, "at", F.coalesce(moved, F.col("at")).alias("line_no"))
+
+
+def maven_coordinates(lines: DataFrame, keys: Sequence[str], order: str, line: str) -> DataFrame:
+    """(keys..., order, coordinate): group:artifact for each artifactId line, the group being the last one above or on it."""
+    tag = lambda name: F.nullif(F.trim(F.regexp_extract(line, f"<{name}>([^<]*)</{name}>", 1)), F.lit(""))
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    seen = lines.withColumn("_group", F.last(tag("groupId"), ignorenulls=True).over(w)).withColumn("_artifact", tag("artifactId"))
+    return seen.where("_artifact is not null and _group is not null").select(*keys, order, F.concat_ws(":", "_group", "_artifact").alias("coordinate"))
+
+
+def manifest_matches(lines: DataFrame, packages: DataFrame, keys: Sequence[str], order: str, line: str, package: str) -> DataFrame:
+    """(keys..., order, package, confidence): declared coordinates that equal a package."""
+    found = maven_coordinates(lines, keys, order, line)
+    return found.join(packages.select(F.col(package).alias("coordinate")).distinct(), "coordinate").select(*keys, order, F.col("coordinate").alias(package), F.lit(0.7).alias("confidence"))
+
+
+def call_targets(calls: DataFrame, sites: DataFrame, most: int = 50) -> DataFrame:
+    """(caller, offset, callee): what a call declares, and the callees recorded at the same offset, at most `most`."""
+    same = calls.select("caller", "offset").distinct().join(sites, ["caller", "offset"]).select("caller", "offset", "callee", F.lit(1).alias("_o"))
+    both = calls.select("caller", "offset", "callee", F.lit(0).alias("_o")).union(same).groupBy("caller", "offset", "callee").agg(F.min("_o").alias("_o"))
+    return first_n(both, ["caller", "offset"], [F.col("_o"), F.col("callee")], most).drop("_o")
+
+
+def bean_candidates(targets: DataFrame, beans: DataFrame, above: DataFrame, most: int = 20) -> DataFrame:
+    """(target, bean, fit): beans of the type (0), of a type below it (1), or of an unknown type (2), at most `most`.
+
+    targets: (target); beans: (bean, type); above: (node, ancestor).
+    """
+    t = targets.select("target").distinct()
+    exact = t.join(beans, F.col("target") == F.col("type")).select("target", "bean", F.lit(0).alias("fit"))
+    sub = t.join(above, F.col("target") == F.col("ancestor")).join(beans, F.col("node") == F.col("type")).select("target", "bean", F.lit(1).alias("fit"))
+    loose = first_n(beans.where("type is null").withColumn("_all", F.lit(1)), ["_all"], [F.col("bean")], most).select("bean")
+    unknown = t.join(F.broadcast(loose), F.lit(True)).select("target", "bean", F.lit(2).alias("fit"))  # at most `most` rows
+    both = exact.union(sub).union(unknown).groupBy("target", "bean").agg(F.min("fit").alias("fit"))
+    return first_n(both, ["target"], [F.col("fit"), F.col("bean")], most)

@@ -45,7 +45,7 @@ def a1(spark, d):
     return S.findings(sarif(spark, d)).select("task_id", "rule_id", "severity", "file", "line", "fingerprint")
 
 
-@query("a2_sarif_dataflow", f"WITH {_L} SELECT CAST(o AS VARCHAR) AS task_id, sum(q % 4 + 1) AS nodes, sum(q % 4) AS edges, count(*) AS sources FROM l WHERE q % 3 = 0 GROUP BY o")
+@query("a2_sarif_dataflow", f"WITH {_L} SELECT CAST(o AS VARCHAR) AS task_id, CAST(sum(q % 4 + 1) AS BIGINT) AS nodes, CAST(sum(q % 4) AS BIGINT) AS edges, count(*) AS sources FROM l WHERE q % 3 = 0 GROUP BY o")
 def a2(spark, d):
     nodes, edges = S.sarif_dataflow(sarif(spark, d))
     n = nodes.groupBy("task_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("role") == "SOURCE").alias("sources"))

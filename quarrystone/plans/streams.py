@@ -72,10 +72,10 @@ def k2(spark, d):
     return finished(jobs.task_states(s), ["task_id"], mode="update")
 
 
-@query("k3_liveness", "SELECT CAST(user_id AS VARCHAR) AS executor_id, CAST(epoch_ms(max(ts)) AS BIGINT) AS last_ms FROM events GROUP BY user_id")
+@query("k3_liveness", "SELECT CAST(user_id AS VARCHAR) AS executor_id, strftime(max(ts), '%Y-%m-%d %H:%M') AS last FROM events GROUP BY user_id")
 def k3(spark, d):
     b = stream(spark, d).select(F.col("user_id").cast("string").alias("executor_id"), F.lit("REGISTERED").alias("status"), F.col("ts").cast("timestamp").alias("at")).withWatermark("at", "60 days")
-    return finished(jobs.liveness(b), ["executor_id"], mode="update").select("executor_id", "last_ms")
+    return finished(jobs.liveness(b), ["executor_id"], mode="update").select("executor_id", F.date_format(F.timestamp_millis("last_ms"), "yyyy-MM-dd HH:mm").alias("last"))
 
 
 @query("k8_log_ends", "SELECT conv_id AS task_id, TRUE AS complete, max(turn) + 1 - count(DISTINCT turn) AS missing FROM conversations GROUP BY conv_id")
