@@ -4,7 +4,7 @@ For each language a raw-content zstandard dictionary is cut from a bounded sampl
 compressed, whole and chunk by chunk, with each dictionary; the language whose dictionary gives the fewest
 bytes wins. Texts and dictionaries are reduced to lower-case words with runs of one word collapsed, so capitals,
 symbols and padding do not count. Where the runner-up comes within `MARGIN` of the winner, a slower level that
-finds shorter matches is asked, and where it is as close the decision is marked as rejected. The dictionaries are the only thing gathered: `PER_LANG` texts a language, `DICT_BYTES` bytes each at most.
+finds shorter matches is asked, and where it is as close the decision is marked as rejected. The dictionaries are the only thing gathered: `PARTS * PER_PART` texts of a language at most, `DICT_BYTES` bytes of them kept.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import id_crc, table
 
-#: Bounds of the training sample: texts of a language, and bytes of its dictionary.
-PER_LANG, DICT_BYTES = 400, 64 * 1024
+#: Bounds of the training sample: parts of a language, texts of a part, and bytes of a dictionary.
+PARTS, PER_PART, DICT_BYTES = 64, 7, 64 * 1024
 #: Bytes of a compressed chunk, and of what one text adds to a dictionary.
 CHUNK, SHARE = 4096, 512
 LEVEL, FINE_LEVEL, MARGIN = 6, 17, 0.01
@@ -37,10 +37,10 @@ def plain(text: str) -> bytes:
 
 
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """language -> dictionary content, the most frequent language first, from the `PER_LANG` training texts with the smallest id hashes.
+    """language -> dictionary content, the most frequent language first, from a sample of training texts.
 
-    Ids are ranked in salted parts of a language first, then over what these leave, so no task sees a whole
-    language. Only SHARE characters of the chosen texts are sent: a dictionary needs no more of each.
+    A language's ids fall into `PARTS` parts by their hash, and of each part the `PER_PART` texts with the smallest
+    hashes are taken, so no task sees a whole language. Only SHARE characters of the chosen texts are sent: a dictionary needs no more of each.
     """
     from pyspark.sql import Window as W
 
@@ -48,12 +48,12 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("lang"), F.col(id_col)).alias("h"))
     # the middle of a text says more of its language than a licence line at its head
     part = F.expr(f"substring(text, greatest(1, cast(char_length(text) / 2 - {SHARE // 2} as int)), {SHARE})")
-    rows = rows.select("lang", "h", part.alias("part"), F.pmod("h", F.lit(64)).alias("salt"))
-    first = rows.withColumn("r", F.row_number().over(W.partitionBy("lang", "salt").orderBy("h", "part"))).where(F.col("r") <= PER_LANG)
-    last = first.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "part"))).where(F.col("r") <= PER_LANG)
+    rows = rows.select("lang", "h", part.alias("part"), F.pmod("h", F.lit(PARTS)).alias("salt"))
+    rank = F.row_number().over(W.partitionBy("lang", "salt").orderBy("h", "part"))
+    picked = rows.withColumn("r", rank).where(F.col("r") <= PER_PART)
     common = docs.where(train & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count()
     out: dict[str, bytes] = {r["lang"]: b"" for r in common.orderBy(F.desc("count"), "lang").collect()}
-    for r in last.select("lang", "part", "r").orderBy("lang", "r").collect():
+    for r in sorted(picked.select("lang", "h", "part").collect()):
         out[r["lang"]] = (out.get(r["lang"], b"") + plain(r["part"]) + b"\n")[:DICT_BYTES]
     return {lang: content for lang, content in out.items() if content}
 
