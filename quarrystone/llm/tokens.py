@@ -13,10 +13,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Pieces after which a worker's memo starts anew: bounds its memory.
 MEMO = 1_000_000
 
@@ -26,6 +26,17 @@ ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\
 TAIL = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 #: Characters whose lower case is one plain character in any Unicode version.
 PLAIN = re.compile(r"[\n\x20-\x7E\xC0-\xFFĀ-įı-ňŊ-ž]*")
+#: Words of letters that are the same in every Unicode version and have no other normal form.
+LETTERS = re.compile("[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFFĀ-įı-ňŊ-ž]+")
+
+
+def spelled() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable Latin-1 as itself, the others in order from U+0100."""
+    odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: chr(256 + i) for i, b in enumerate(odd)}
+
+
+SPELLED = spelled()
 
 
 class Memo(dict):
@@ -97,14 +108,24 @@ class Encoder:
                 if len(tails) > 10_000:
                     tails.clear()
                 tails[tail] = self.whole(tail)
-        for p, e in zip(ask, self.tok.encode_batch_fast([self.blank + p for p in ask], add_special_tokens=False)):
-            memo[p] = pack(e.ids)
+        words = [p for p in ask if LETTERS.fullmatch(p) and not (self.lower and p != p.lower())]
+        if len(words) < len(ask):
+            rest = list(set(ask).difference(words))
+            for p, e in zip(rest, self.tok.encode_batch_fast([self.blank + p for p in rest], add_special_tokens=False)):
+                memo[p] = pack(e.ids)
+        # a word of plain letters is one pre-token that no normalizer changes: the library's model takes it as it is
+        merge, blank = self.tok.model.tokenize, self.blank and SPELLED[32]
+        for p in words:
+            memo[p] = pack([t.id for t in merge(blank + (p if p.isascii() else p.encode().decode("latin-1").translate(SPELLED)))])
         for p, word, tail in cut:
             memo[p] = memo[word] + (tails[tail] if tail in tails else self.whole(tail))
 
 
 def pack(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    data = array("I", ids)
+    if sys.byteorder == "big":
+        data.byteswap()
+    return data.tobytes()
 
 
 @lru_cache(maxsize=2)
