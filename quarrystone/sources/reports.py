@@ -13,11 +13,12 @@ from quarrystone.functions import expr as X
 from quarrystone.operators.relational import consecutive
 
 _PLACE = "STRUCT<artifactLocation: STRUCT<uri: STRING>, region: STRUCT<startLine: INT, startColumn: INT, endLine: INT, endColumn: INT, snippet: STRUCT<text: STRING>>>"
-SARIF = f"""version STRING, runs ARRAY<STRUCT<
-  tool: STRUCT<driver: STRUCT<name: STRING, rules: ARRAY<STRUCT<id: STRING, defaultConfiguration: STRUCT<level: STRING>>>>>,
-  results: ARRAY<STRUCT<ruleId: STRING, level: STRING, message: STRUCT<text: STRING>, locations: ARRAY<STRUCT<physicalLocation: {_PLACE}>>,
-    fingerprints: MAP<STRING, STRING>, properties: STRUCT<severity: STRING>,
-    codeFlows: ARRAY<STRUCT<threadFlows: ARRAY<STRUCT<locations: ARRAY<STRUCT<location: STRUCT<physicalLocation: {_PLACE}, message: STRUCT<text: STRING>>>>>>>>>>>>"""
+_FLOWS = f"codeFlows: ARRAY<STRUCT<threadFlows: ARRAY<STRUCT<locations: ARRAY<STRUCT<location: STRUCT<physicalLocation: {_PLACE}, message: STRUCT<text: STRING>>>>>>>>"
+_RESULT = f"""ruleId: STRING, level: STRING, message: STRUCT<text: STRING>, locations: ARRAY<STRUCT<physicalLocation: {_PLACE}>>,
+    fingerprints: MAP<STRING, STRING>, properties: STRUCT<severity: STRING>"""
+SARIF = f"runs ARRAY<STRUCT<results: ARRAY<STRUCT<{_RESULT}>>>>"
+SARIF_FLOWS = f"runs ARRAY<STRUCT<results: ARRAY<STRUCT<ruleId: STRING, {_FLOWS}>>>>"
+SARIF_RULES = "runs ARRAY<STRUCT<tool: STRUCT<driver: STRUCT<rules: ARRAY<STRUCT<id: STRING, defaultConfiguration: STRUCT<level: STRING>>>>>>>"
 SEMGREP = """results ARRAY<STRUCT<check_id: STRING, path: STRING, start: STRUCT<line: INT, col: INT>, `end`: STRUCT<line: INT, col: INT>,
   extra: STRUCT<message: STRING, severity: STRING, fingerprint: STRING, fix: STRING, lines: STRING>>>"""
 TRIVY = """Results ARRAY<STRUCT<Target: STRING, Class: STRING, Type: STRING, Vulnerabilities: ARRAY<STRUCT<VulnerabilityID: STRING, PkgName: STRING,
@@ -48,14 +49,23 @@ def _rows(reports: DataFrame, schema: str) -> DataFrame:
     return reports.select("task_id", "path", F.from_json("value", schema).alias("j"))
 
 
+def _results(reports: DataFrame, schema: str) -> DataFrame:
+    """(task_id, report, run, pos, r): a row for each result."""
+    runs = _rows(reports, schema).select("task_id", F.col("path").alias("report"), F.posexplode("j.runs").alias("run", "x"))
+    return runs.select("task_id", "report", "run", F.posexplode("x.results").alias("pos", "r"))
+
+
+def sarif_rules(reports: DataFrame) -> DataFrame:
+    """(report, run, rule, rule_level): each rule's default level; of two rules with one id the last counts."""
+    runs = _rows(reports, SARIF_RULES).select(F.col("path").alias("report"), F.posexplode("j.runs").alias("run", "x"))
+    each = runs.select("report", "run", F.posexplode("x.tool.driver.rules").alias("pos", "u"))
+    return each.where("u.id is not null").groupBy("report", "run", F.col("u.id").alias("rule")).agg(F.max_by("u.defaultConfiguration.level", "pos").alias("rule_level"))
+
+
 def sarif_results(reports: DataFrame) -> DataFrame:
-    """(task_id, report, run, pos, r, level): a row for each result, with the level it has or its rule gives it; of two rules with one id the last counts."""
-    runs = _rows(reports, SARIF).select("task_id", F.col("path").alias("report"), F.posexplode("j.runs").alias("run", "x"))
-    rules = F.coalesce(F.col("x.tool.driver.rules"), F.array())
-    known = F.filter(rules, lambda u: u["id"].isNotNull())
-    own = F.map_from_entries(F.transform(F.array_distinct(F.transform(known, lambda u: u["id"])), lambda i: F.struct(i.alias("k"), F.element_at(F.filter(known, lambda u: u["id"] == i), -1)["defaultConfiguration"]["level"].alias("v"))))
-    each = runs.select("task_id", "report", "run", own.alias("levels"), F.posexplode("x.results").alias("pos", "r"))
-    return each.select("task_id", "report", "run", "pos", "r", F.coalesce(X.blank_to_null(F.col("r.level")), F.try_element_at("levels", F.col("r.ruleId"))).alias("level"))
+    """(report, run, rule, task_id, pos, r, rule_level, level): results with the level they have, or else their rule gives them."""
+    rows, rules = _results(reports, SARIF).withColumn("rule", F.col("r.ruleId")), sarif_rules(reports)
+    return rows.join(rules, ["report", "run", "rule"], "left").withColumn("level", F.coalesce(X.blank_to_null(F.col("r.level")), F.col("rule_level")))
 
 
 def sarif_findings(reports: DataFrame) -> DataFrame:
@@ -81,7 +91,7 @@ def sarif_dataflow(reports: DataFrame, most: int = 50) -> tuple[DataFrame, DataF
     """
     flows = F.flatten(F.transform(F.coalesce(F.col("r.codeFlows"), F.array()), lambda c: F.transform(F.coalesce(c["threadFlows"], F.array()), lambda t: F.slice(F.coalesce(t["locations"], F.array()), 1, most))))
     key = ["task_id", "report", "run", "pos"]
-    each = sarif_results(reports).select(*key, flows.alias("flows"))
+    each = _results(reports, SARIF_FLOWS).select(*key, flows.alias("flows"))
     starts = F.transform(F.sequence(F.lit(0), F.size("flows") - 1), lambda k: F.reduce(F.slice("flows", 1, k), F.lit(0), lambda n, f: n + F.size(f)))
     each = each.where(F.size("flows") > 0).select(*key, F.explode(F.arrays_zip(F.col("flows").alias("f"), starts.alias("s"), F.sequence(F.lit(0), F.size("flows") - 1).alias("flow"))).alias("z"))
     loc = each.select(*key, F.col("z.flow").alias("flow"), F.col("z.s").alias("s"), F.posexplode("z.f").alias("i", "l"))
@@ -96,7 +106,7 @@ def sarif_dataflow(reports: DataFrame, most: int = 50) -> tuple[DataFrame, DataF
 
 def code_flows(reports: DataFrame) -> DataFrame:
     """(task_id, report, n): code flows of each report."""
-    return sarif_results(reports).groupBy("task_id", "report").agg(F.sum(F.coalesce(F.size("r.codeFlows"), F.lit(0))).alias("n"))
+    return _results(reports, SARIF_FLOWS).groupBy("task_id", "report").agg(F.sum(F.coalesce(F.size("r.codeFlows"), F.lit(0))).alias("n"))
 
 
 def semgrep_findings(reports: DataFrame) -> DataFrame:
