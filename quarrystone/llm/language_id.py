@@ -81,7 +81,7 @@ class Classifier:
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected). The score is 0.5 for a tie and nears 1 as the margin grows."""
         words = plain(text or "")
-        if not self.langs or not words:
+        if not self.langs or not words or not any(map(str.isalpha, text)):  # digits like ² are no letters
             return "und", 0.0, True
         best, margin = self.nearest(words, self.quick)
         if margin < MARGIN:
