@@ -3,7 +3,7 @@ r"""Encoding with a tokenizers file, with a memo of blank-separated pieces in fr
 Both tokenizer files used here split a text before they merge, and always before a blank that another
 character follows; so the ids of a text are the ids of its blank-separated pieces in a row, each with its
 blank in front. Prose repeats its words: a worker keeps the ids that the library gave for a piece and asks it
-only for new ones, in one call. Texts with runs of blanks or other white space go to the library whole.
+only for new ones. Texts with runs of blanks or other white space go to the library whole.
 Either way the ids are those of `Tokenizer.encode(text, add_special_tokens=False)`, with special tokens'
 names read as ordinary text.
 """
@@ -18,12 +18,12 @@ from array import array
 from functools import lru_cache
 
 #: Pieces after which a worker's memo starts anew: bounds its memory.
-MEMO = 1_000_000
+MEMO, TAILS = 1_000_000, 10_000
 
 #: White space that pieces must not be cut at: any but single blanks and line ends.
 ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-#: A word with ASCII punctuation behind it: the library always splits between the two.
-TAIL = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+#: Punctuation that may stand behind a word.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters whose lower case is one plain character in any Unicode version.
 PLAIN = re.compile(r"[\n\x20-\x7E\xC0-\xFFĀ-įı-ňŊ-ž]*")
 #: Words of letters that are the same in every Unicode version and have no other normal form.
@@ -40,14 +40,34 @@ SPELLED = spelled()
 
 
 class Memo(dict):
-    """piece -> ids. A piece that is not there is noted in `new` and read as nothing for the moment."""
+    """piece -> ids. A piece that is not there is asked for and kept."""
 
-    def __init__(self):
-        self.new: list[str] = []
+    def __init__(self, tok, blank: str, lower: bool):
+        self.tok, self.blank, self.lower = tok, blank, lower
+        self.merge, self.lead = tok.model.tokenize, blank and SPELLED[32]
+        self.tails: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        self.new.append(piece)
-        return b""
+        # a word of plain letters is one pre-token that no normalizer changes: the library's model takes it as it is
+        if piece.isascii() and piece.isalpha() and (not self.lower or piece.islower()):
+            ids = pack([t.id for t in self.merge(self.lead + piece)])
+        elif LETTERS.fullmatch(piece) and (not self.lower or piece == piece.lower()):
+            ids = pack([t.id for t in self.merge(self.lead + piece.encode().decode("latin-1").translate(SPELLED))])
+        else:
+            word = piece.rstrip(PUNCTUATION)
+            if word != piece and LETTERS.fullmatch(word):  # the library always splits between the two
+                ids = self[word] + self.tail(piece[len(word) :])
+            else:
+                ids = pack(self.tok.encode(self.blank + piece, add_special_tokens=False).ids)
+        self[piece] = ids
+        return ids
+
+    def tail(self, text: str) -> bytes:
+        if text not in self.tails:
+            if len(self.tails) > TAILS:
+                self.tails.clear()
+            self.tails[text] = pack(self.tok.encode(text, add_special_tokens=False).ids)
+        return self.tails[text]
 
 
 class Encoder:
@@ -65,8 +85,7 @@ class Encoder:
         steps = shape["pre_tokenizer"].get("pretokenizers", [shape["pre_tokenizer"]])
         #: whether a blank stays in front of its piece, or is dropped
         self.blank = " " if steps[0]["type"] == "ByteLevel" else ""
-        self.memo = Memo()
-        self.tails: dict[str, bytes] = {}
+        self.memo = Memo(self.tok, self.blank, self.lower)
 
     def whole(self, text: str) -> bytes:
         return pack(self.tok.encode(text, add_special_tokens=False).ids)
@@ -76,49 +95,14 @@ class Encoder:
             return self.whole(text)
         if self.lower and PLAIN.fullmatch(text):
             text = text.lower()
-        memo = self.memo
+        if len(self.memo) > MEMO:
+            self.memo.clear()
         if self.blank:
-            parts = text.split(" ")
-            first, parts = parts[0], parts[1:]
+            first, *parts = text.split(" ")
             head = self.whole(first) if first else b""
         else:
             parts, head = text.split(), b""
-        ids = b"".join(map(memo.__getitem__, parts))
-        if memo.new:
-            self._learn(set(memo.new))
-            ids = b"".join(map(memo.__getitem__, parts))
-            memo.new.clear()
-            if len(memo) > MEMO:
-                memo.clear()
-        return head + ids
-
-    def _learn(self, new: set[str]) -> None:
-        memo, tails, cut = self.memo, self.tails, []
-        ask = []
-        for p in new:
-            m = TAIL.fullmatch(p)
-            if m is None:
-                ask.append(p)
-                continue
-            word, tail = m.groups()
-            cut.append((p, word, tail))
-            if word not in memo and word not in new:
-                ask.append(word)
-            if tail not in tails:
-                if len(tails) > 10_000:
-                    tails.clear()
-                tails[tail] = self.whole(tail)
-        words = [p for p in ask if LETTERS.fullmatch(p) and not (self.lower and p != p.lower())]
-        if len(words) < len(ask):
-            rest = list(set(ask).difference(words))
-            for p, e in zip(rest, self.tok.encode_batch_fast([self.blank + p for p in rest], add_special_tokens=False)):
-                memo[p] = pack(e.ids)
-        # a word of plain letters is one pre-token that no normalizer changes: the library's model takes it as it is
-        merge, blank = self.tok.model.tokenize, self.blank and SPELLED[32]
-        for p in words:
-            memo[p] = pack([t.id for t in merge(blank + (p if p.isascii() else p.encode().decode("latin-1").translate(SPELLED)))])
-        for p, word, tail in cut:
-            memo[p] = memo[word] + (tails[tail] if tail in tails else self.whole(tail))
+        return head + b"".join(map(self.memo.__getitem__, parts))
 
 
 def pack(ids: list[int]) -> bytes:
