@@ -22,10 +22,12 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import id_crc, labelled_sample, labelled_texts, table
+from quarrystone.storage import stored
 
 #: Bound of the training sample: labelled documents of each class.
 PER_CLASS = 5000
@@ -135,21 +137,39 @@ def count_beginnings(sample: DataFrame) -> DataFrame:
     return sample.select("y", "text").mapInPandas(run, "item string, toxic long, clean long").groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """The sampled texts without near copies of each other: a large group of copies would make every word of its text
+    look like a sign of its label. Texts that share the least or the largest hash of their word triples count once."""
+
+    def ends(text: str) -> tuple[int, int]:
+        w = text.lower().encode().split()
+        hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3])) >> 1 for i in range(max(1, len(w) - 2))]
+        return min(hashes), max(hashes)
+
+    sketch = F.pandas_udf(lambda s: pd.DataFrame([ends(t) for t in s], columns=["lo", "hi"]), "lo long, hi long")
+    rows = stored(sample.withColumn("s", sketch("text")), "toxic-sample")
+    once = rows.groupBy("s.lo").agg(F.min(F.struct("id", "s.hi")).alias("m")).groupBy("m.hi").agg(F.min("m.id").alias("id")).select("id")
+    return rows.join(F.broadcast(once), "id", "left_semi").select("id", "y", "text")  # ids of a bounded sample
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Lexicon, float, float]:
     """Lexicon and the logistic curve (slope, intercept). Without labels of both classes: no lexicon, scores low."""
-    ids = labelled_sample(labels, "toxic", train, per_class)
-    sample = labelled_texts(docs, ids, id_col, text_col)
+    sample = without_copies(labelled_texts(docs, labelled_sample(labels, "toxic", train, per_class, id_col), id_col, text_col))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(4)) == 0  # a quarter is left to fit the curve on
-    n = {r["y"]: r["n"] for r in ids.where(~fold).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = {r["y"]: r["n"] for r in sample.where(~fold).groupBy("y").agg(F.count("*").alias("n")).collect()}
     clean_n, toxic_n = n.get(0, 0), n.get(1, 0)
     if not clean_n or not toxic_n:
         return Lexicon({}), 1.0, -3.0
+    counts = stored(count_beginnings(sample.where(~fold)), "toxic-words")
     odds = F.log(((F.col("toxic") + 0.5) / (toxic_n + 1)) / ((F.col("clean") + 0.5) / (clean_n + 1)))
+    # how unlikely so many toxic documents are among those with the word, by the Chernoff bound of the binomial tail
+    n, rate = F.col("toxic") + F.col("clean"), toxic_n / (toxic_n + clean_n)
+    share = F.col("toxic") / n
+    unlikely = n * (share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
     found = (
-        count_beginnings(sample.where(~fold)).where(F.col("toxic") >= max(3, toxic_n // 500))
-        .select("item", "toxic", odds.alias("odds"))
-        .where((F.col("odds") >= 3.0) & (F.col("toxic") * F.col("odds") >= 14.0))
-        .orderBy(F.desc(F.col("toxic") * F.col("odds")), "item").limit(LEXICON)
+        counts.where(F.col("toxic") >= 3).select("item", "toxic", odds.alias("odds"), unlikely.alias("unlikely"))
+        .where((F.col("odds") >= 3.0) & (F.col("unlikely") >= math.log(2 * max(1, counts.count()))))  # Bonferroni: half a false entry expected
+        .orderBy(F.desc("unlikely"), "item").limit(LEXICON)
     )
     lexicon = Lexicon({r["item"]: float(r["odds"]) for r in found.collect()})
     evidence = F.pandas_udf(lambda s: s.map(lexicon.evidence), "double")
