@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarrystone.operators import graph as G
 from quarrystone.plans.registry import query, table
 from quarrystone.sources import reports as S
+from quarrystone.storage import stored
 
 
 def _lines(spark, d):
@@ -17,9 +18,9 @@ def _lines(spark, d):
 
 
 def _documents(rows, key, item, build, ending):
-    """One JSON document per key from its items; a key has a handful."""
+    """One JSON document per key from its items, a handful each, written down as a scan would find them."""
     got = rows.groupBy(key).agg(F.collect_list(item).alias("items"))
-    return got.select(F.col(key).cast("string").alias("task_id"), F.concat(F.lit("/reports/"), F.col(key), F.lit(ending)).alias("path"), F.to_json(build(F.col("items"))).alias("value"))
+    return stored(got.select(F.col(key).cast("string").alias("task_id"), F.concat(F.lit("/reports/"), F.col(key), F.lit(ending)).alias("path"), F.to_json(build(F.col("items"))).alias("value")), "reports")
 
 
 def sarif(spark, d):
