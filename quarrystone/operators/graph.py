@@ -95,15 +95,27 @@ def closure(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def entry_points_reaching(calls: DataFrame, targets: DataFrame, entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys..., target, entry): entry points from which a target is reached; all of them where none reaches it."""
+    """(keys..., target, entry, any_entry): entry points from which a target is reached, itself included.
+
+    A target that none reaches comes once, with any_entry and no entry: it stands for all entry points of its
+    keys, however many. `every_entry` gives the pairs.
+    """
     back = calls.select(*keys, F.col("target").alias("source"), F.col("source").alias("target"))
     starts = targets.select(*keys, F.col("node").alias("start"), "node")
     found = reachable(back, starts, keys).join(entries.select(*keys, "node").distinct(), [*keys, "node"], "left_semi")
-    found = found.select(*keys, F.col("start").alias("target"), F.col("node").alias("entry"))
+    found = found.select(*keys, F.col("start").alias("target"), F.col("node").alias("entry"), F.lit(False).alias("any_entry"))
     none = targets.select(*keys, F.col("node").alias("target")).distinct().join(found, [*keys, "target"], "left_anti")
+    some = entries.select(*keys).distinct() if keys else entries.select(F.lit(True).alias("_some")).limit(1)
+    none = none.join(some, list(keys), "left_semi") if keys else none.crossJoin(F.broadcast(some))  # one row
+    return found.union(none.select(*keys, "target", F.lit(None).cast(found.schema["entry"].dataType).alias("entry"), F.lit(True).alias("any_entry")))
+
+
+def every_entry(reaching: DataFrame, entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., target, entry): the pairs of `entry_points_reaching`, those of any_entry written out."""
     every = entries.select(*keys, F.col("node").alias("entry")).distinct()
-    every = none.join(every, list(keys)) if keys else none.crossJoin(F.broadcast(every.limit(20_000)))
-    return found.union(every.select(*keys, "target", "entry"))
+    none = reaching.where("any_entry").drop("entry")
+    none = none.join(every, list(keys)) if keys else none.crossJoin(every)
+    return reaching.where("not any_entry").select(*keys, "target", "entry").union(none.select(*keys, "target", "entry"))
 
 
 def chains(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], most: int = 20, depth: int = 200) -> DataFrame:

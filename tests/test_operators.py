@@ -87,6 +87,18 @@ def test_known_chains(spark, nodes, edges, sinks, want):
     assert sorted(list(r.chain) for r in G.chains(n, e, ["g"]).collect()) == want
 
 
+def test_all_entries_of_unreached_targets(spark):
+    entries = spark.range(1, 25_001).select(F.col("id").alias("node"))
+    calls = spark.createDataFrame([(1, 30_000)], "source long, target long")
+    targets = spark.createDataFrame([(30_000,), (30_001,), (7,)], "node long")
+    out = G.entry_points_reaching(calls, targets, entries)
+    assert sorted(map(tuple, out.fillna(-1, ["entry"]).collect())) == [(7, 7, False), (30_000, 1, False), (30_001, -1, True)]
+    assert {r.target: r["count"] for r in G.every_entry(out, entries).groupBy("target").count().collect()} == {7: 1, 30_000: 1, 30_001: 25_000}
+    keyed = lambda df, *k: df.crossJoin(spark.createDataFrame([(x,) for x in k], "g int")).select("g", *df.columns)
+    out = G.entry_points_reaching(keyed(calls, 1, 2), keyed(targets, 1, 2), keyed(entries, 1), ["g"])
+    assert sorted(map(tuple, out.fillna(-1, ["entry"]).collect())) == [(1, 7, 7, False), (1, 30_000, 1, False), (1, 30_001, -1, True)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1100)] + [(None, 3), (4, 4)]
