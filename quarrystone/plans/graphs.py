@@ -76,8 +76,18 @@ def j5(spark, d):
 @query("j6_entries_reaching", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS target, ancestor AS entry FROM up WHERE node > 1000 AND ancestor % 10 = 1")
 def j6(spark, d):
     nodes, edges = tree(spark, d)
-    out = G.entry_points_reaching(edges, nodes.where("node > 1000"), nodes.where("node % 10 = 1 and node <= 1000"))
-    return out.where("not any_entry").select("target", "entry")  # the SQL leaves out targets that no entry point reaches
+    out = G.entry_points_reaching(edges, nodes.where("node > 1000"), nodes.where("node % 10 = 1"))
+    # the SQL asks for what lies above a target: neither itself nor targets that no entry point reaches
+    return out.where("not any_entry and entry <> target").select("target", "entry")
+
+
+@query("j6_entries_or_any", f"""WITH RECURSIVE {TREE}, {ABOVE}, ep AS (SELECT p_partkey AS entry FROM part WHERE p_partkey > 0 AND p_type LIKE 'STANDARD%'),
+  r AS (SELECT node AS target, ancestor AS entry FROM up WHERE ancestor IN (SELECT entry FROM ep) UNION SELECT entry, entry FROM ep)
+  SELECT target, entry, false AS any_entry FROM r UNION ALL SELECT node, NULL, true FROM n WHERE node NOT IN (SELECT target FROM r) AND EXISTS (SELECT 1 FROM ep)""")
+def j6_or_any(spark, d):
+    nodes, edges = tree(spark, d)
+    marked = table(spark, d, "part").where("p_partkey > 0 and p_type like 'STANDARD%'").select(F.col("p_partkey").alias("node"))
+    return G.entry_points_reaching(edges, nodes, marked)
 
 
 @query("j7_first_edge_paths", f"""WITH RECURSIVE {TALK}, f AS (SELECT conv_id, source, min(target) AS target FROM te GROUP BY conv_id, source),
