@@ -118,55 +118,84 @@ def every_entry(reaching: DataFrame, entries: DataFrame, keys: Sequence[str] = (
     return reaching.where("not any_entry").select(*keys, "target", "entry").union(none.select(*keys, "target", "entry"))
 
 
+def _leading(way: DataFrame, ends: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """(keys..., _to): nodes from which an end is reached, and all of graphs with `size` nodes, where a path may end by its length."""
+    back = way.select(*keys, F.col("_to").alias("source"), F.col("_from").alias("target"))
+    found = reachable(back, ends.select(*keys, F.lit(0).alias("start"), F.col("_from").alias("node")), keys).select(*keys, "node")
+    nodes = way.select(*keys, F.col("_from").alias("node")).union(way.select(*keys, F.col("_to").alias("node"))).distinct()
+    big = nodes.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= size)
+    big = nodes.join(big, list(keys), "left_semi") if keys else nodes.crossJoin(F.broadcast(big)).select("node")  # one row
+    return stored(found.union(big).distinct().withColumnRenamed("node", "_to"), "chain-leading")
+
+
+def _first_paths(starts: DataFrame, edge: DataFrame, ends: DataFrame, keys: Sequence[str], on: Sequence[str], most: int, size: int) -> DataFrame:
+    """(on..., chain): the first `most` simple paths, in the order of node ids, from the starts to one of the ends or of `size` nodes.
+
+    A round goes on with the first `most` paths of `on` only and sets the others aside. What is set aside sorts
+    behind what was gone on with, so it is taken up only where fewer than `most` paths came out, until those
+    are found or none is left; edges that lead to no end are dropped before.
+    """
+    order = [F.col("chain")]
+    way = edge.select(*keys, F.col("source").alias("_from"), F.col("target").alias("_to"))
+    ends = stored(ends.select(*keys, F.col("node").alias("_from")).distinct().withColumn("_end", F.lit(True)), "chain-ends")
+    aside = stored(starts.select(*on, "chain").dropna(subset=list(on)).where(F.element_at("chain", 1).isNotNull()), "chain-aside")
+    done = aside.where("false")
+    pruned = False
+    while True:
+        front = stored(first_n(aside, on, order, most), "chain-front")
+        if front.isEmpty():
+            return done
+        out, steps, fronts = [done], [aside], [front]
+        while not front.isEmpty():
+            last = front.withColumn("_from", F.element_at("chain", -1)).join(ends, [*keys, "_from"], "left")
+            stop = F.coalesce("_end", F.lit(False)) | (F.size("chain") >= size)
+            out.append(stored(last.where(stop).select(*on, "chain"), "chain-done"))
+            go = last.where(~stop).join(way, [*keys, "_from"]).where(~F.array_contains("chain", F.col("_to")))
+            steps.append(stored(go.select(*on, F.array_append("chain", F.col("_to")).alias("chain")), "chain-step"))
+            front = stored(first_n(steps[-1], on, order, most), "chain-front")
+            fronts.append(front)
+        done = stored(first_n(_union(out), on, order, most), "chain-done")
+        full = done.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") >= most)
+        aside = stored(_union(steps).join(_union(fronts), [*on, "chain"], "left_anti").join(full, list(on), "left_anti"), "chain-aside")
+        if not pruned and not aside.isEmpty():
+            leading, pruned = _leading(way, ends, keys, size), True
+            way = stored(way.join(leading, [*keys, "_to"], "left_semi"), "chain-edges")
+            aside = aside.withColumn("_to", F.element_at("chain", -1)).join(leading, [*keys, "_to"], "left_semi").select(*on, "chain")
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def chains(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], most: int = 20, depth: int = 200) -> DataFrame:
     """(keys..., chain array): simple paths from nodes nothing points to (else from every node) to a SINK or a leaf.
 
     nodes: (keys..., node, role). At most `most` chains of a graph, the first by node ids; a path that reaches
-    `depth` ends there; a graph without any chain gives all its nodes as one. Paths under way are cut to the
-    first `most` of a graph too, so a round never holds more.
+    `depth` ends there; a graph without any chain gives all its nodes as one.
     """
     edge = stored(known_edges(edges, nodes, keys), "chain-edges")
     deg = degrees(nodes, edge, keys)
-    ends = deg.join(nodes.select(*keys, "node", "role").distinct(), [*keys, "node"]).where((F.upper("role") == "SINK") | (F.col("n_out") == 0)).select(*keys, "node").distinct()
-    ends = stored(ends.withColumn("_end", F.lit(True)), "chain-ends")
-    path = stored(roots(nodes, edge, keys).select(*keys, F.array("node").alias("chain")), "chain-front")
-    done = []
-    for size in range(1, depth + 1):
-        last = path.withColumn("node", F.element_at("chain", -1)).join(ends, [*keys, "node"], "left")
-        stop = F.coalesce("_end", F.lit(False)) | F.lit(size >= depth)
-        done.append(stored(first_n(last.where(stop).select(*keys, "chain"), keys, [F.col("chain")], most), "chain-done"))
-        go = last.where(~stop).withColumnRenamed("node", "source").join(edge, [*keys, "source"]).where(~F.array_contains("chain", F.col("target")))
-        path = stored(first_n(go.select(*keys, F.array_append("chain", F.col("target")).alias("chain")), keys, [F.col("chain")], most), "chain-front")
-        if path.isEmpty():
-            break
-    out = done[0]
-    for p in done[1:]:
-        out = out.unionByName(p)
-    out = first_n(out, keys, [F.col("chain")], most)
+    ends = deg.join(nodes.select(*keys, "node", "role").distinct(), [*keys, "node"]).where((F.upper("role") == "SINK") | (F.col("n_out") == 0))
+    starts = roots(nodes, edge, keys).select(*keys, F.array("node").alias("chain"))
+    out = _first_paths(starts, edge, ends, keys, keys, most, depth)
     whole = nodes.join(out.select(*keys).distinct(), list(keys), "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_set("node")).alias("chain"))
     return out.unionByName(whole)
 
 
 def caller_chains(calls: DataFrame, targets: DataFrame, keys: Sequence[str] = (), most: int = 20, depth: int = 10) -> DataFrame:
-    """(keys..., target, chain): simple paths of callers that end in the target, outermost first."""
-    on = [*keys, "target"]
-    edge = stored(calls.select(*keys, F.col("source").alias("caller"), F.col("target").alias("node")).distinct(), "callers")
-    path = stored(targets.select(*keys, F.col("node").alias("target"), F.array("node").alias("chain")).distinct(), "callers-front")
-    done = []
-    for _ in range(depth + 1):
-        step = path.withColumn("node", F.element_at("chain", 1)).join(edge, [*keys, "node"], "left")
-        last = len(done) == depth
-        done.append(stored(first_n(step.where(F.lit(last) | F.col("caller").isNull()).select(*on, "chain").distinct(), on, [F.col("chain")], most), "callers-done"))
-        if last:
-            break
-        go = step.where(F.col("caller").isNotNull() & ~F.array_contains("chain", F.col("caller")))
-        path = stored(first_n(go.select(*on, F.array_prepend("chain", F.col("caller")).alias("chain")), on, [F.col("chain")], most), "callers-front")
-        if path.isEmpty():
-            break
-    out = done[0]
-    for p in done[1:]:
-        out = out.unionByName(p)
-    return first_n(out, on, [F.col("chain")], most)
+    """(keys..., target, chain): simple paths of callers that end in the target, outermost first.
+
+    At most `most` chains of a target, the first by node ids as seen from the target; a path of `depth` calls ends there.
+    """
+    edge = stored(calls.select(*keys, F.col("target").alias("source"), F.col("source").alias("target")).distinct(), "callers")
+    starts = targets.select(*keys, F.col("node").alias("target"), F.array("node").alias("chain")).distinct()
+    nodes = targets.select(*keys, "node").union(edge.select(*keys, F.col("target").alias("node"))).distinct()
+    ends = nodes.join(edge.select(*keys, F.col("source").alias("node")), [*keys, "node"], "left_anti")
+    out = _first_paths(starts, edge, ends, keys, [*keys, "target"], most, depth + 1)
+    return out.withColumn("chain", F.reverse("chain"))
 
 
 def first_edge_paths(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], steps: int = 50) -> DataFrame:

@@ -87,6 +87,53 @@ def test_known_chains(spark, nodes, edges, sinks, want):
     assert sorted(list(r.chain) for r in G.chains(n, e, ["g"]).collect()) == want
 
 
+DEAD_ENDS = (list(range(101)), [(r, 21 + 2 * r) for r in range(20)] + [e for r in range(20) for e in ((21 + 2 * r, 22 + 2 * r), (22 + 2 * r, 21 + 2 * r))] + [(20, 99), (20, 100)])
+
+
+@pytest.mark.parametrize("most", [1, 2, 20])
+def test_capped_chains_are_the_first(spark, most):
+    """Paths under way that die in cycles take no room from real chains."""
+    graphs = [*GRAPHS, *(random_graph(s, 7, 14) for s in range(20, 26)), DEAD_ENDS]
+    nodes, edges = frames(spark, graphs)
+    nodes = nodes.where("node not between 61 and 98")  # no node of an edge: DEAD_ENDS has no other roots
+    got = {}
+    for r in G.chains(nodes, edges, ["g"], most=most).collect():
+        got.setdefault(r.g, []).append(list(r.chain))
+    for g, (ns, es) in enumerate(graphs):
+        ns = [n for n in ns if not 61 <= n <= 98]
+        assert sorted(got[g]) == plain_chains(ns, es, {3} if g % 2 else set(), most)
+
+
+def plain_callers(es, target, most, depth):
+    found = []
+
+    def walk(path):
+        callers = sorted({a for a, b in es if b == path[-1]})
+        if len(path) > depth or not callers:
+            found.append(path[::-1])
+        else:
+            for c in callers:
+                if c not in path:
+                    walk([*path, c])
+
+    walk([target])
+    return sorted(found[:most])
+
+
+@pytest.mark.parametrize("most,depth", [(2, 10), (20, 10), (20, 3)])
+def test_capped_caller_chains_are_the_first(spark, most, depth):
+    ring = [(a, b) for a in range(1, 25) for b in (0, a + 100)] + [(a + 100, a) for a in range(1, 25)] + [(30, 0), (31, 30)]
+    graphs = [*(random_graph(s, 7, 14)[1] for s in range(20, 24)), ring]
+    calls = spark.createDataFrame([(g, a, b) for g, es in enumerate(graphs) for a, b in es], "g int, source int, target int")
+    targets = spark.createDataFrame([(g, t) for g in range(len(graphs)) for t in (0, 3)], "g int, node int")
+    got = {}
+    for r in G.caller_chains(calls, targets, ["g"], most=most, depth=depth).collect():
+        got.setdefault((r.g, r.target), []).append(list(r.chain))
+    for g, es in enumerate(graphs):
+        for t in (0, 3):
+            assert sorted(got.get((g, t), [])) == plain_callers(es, t, most, depth)
+
+
 def test_all_entries_of_unreached_targets(spark):
     entries = spark.range(1, 25_001).select(F.col("id").alias("node"))
     calls = spark.createDataFrame([(1, 30_000)], "source long, target long")
