@@ -44,12 +44,14 @@ def by_status_and_type(tasks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return both.groupBy(*keys, "_g.dimension", "_g.value").agg(F.count("*").alias("n"))
 
 
-def daily_trend(opened: DataFrame, closed: DataFrame, opened_at: str, closed_at: str, start: str, end: str) -> DataFrame:
-    """(day, new, closed) of every day from start to end, zero where nothing happened."""
+def daily_trend(opened: DataFrame, closed: DataFrame, opened_at: str, closed_at: str, start: str, end: str, keys: Sequence[str] = (), groups: DataFrame | None = None) -> DataFrame:
+    """(keys..., day, new, closed) of every day from start to end, zero where nothing happened, for each of the groups' keys."""
     spark = opened.sparkSession
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("day"))
-    per = lambda df, at, n: df.groupBy(F.to_date(at).alias("day")).agg(F.count("*").alias(n))
-    out = days.join(per(opened, opened_at, "new"), "day", "left").join(per(closed, closed_at, "closed"), "day", "left")
+    if keys:
+        days = groups.select(*keys).dropna().distinct().crossJoin(F.broadcast(days))  # a row for each day
+    per = lambda df, at, n: df.groupBy(*keys, F.to_date(at).alias("day")).agg(F.count("*").alias(n))
+    out = days.join(per(opened, opened_at, "new"), [*keys, "day"], "left").join(per(closed, closed_at, "closed"), [*keys, "day"], "left")
     return out.na.fill(0, ["new", "closed"])
 
 

@@ -28,7 +28,17 @@ def b15(spark, d):
 @query("c12_manifest_matches", """SELECT l_orderkey, l_linenumber, 'g' || l_suppkey || ':a' || l_partkey AS package FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem WHERE l_linenumber <= 3)
   WHERE l_partkey % 2 = 0""")
 def c12(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").distinct()
+    return _manifests(table(spark, d, "lineitem").where("l_linenumber <= 3"))
+
+
+@query("c12_manifest_matches_whole", """SELECT l_orderkey, l_linenumber, 'g' || l_suppkey || ':a' || l_partkey AS package FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem)
+  WHERE l_partkey % 2 = 0""")
+def c12_whole(spark, d):
+    return _manifests(table(spark, d, "lineitem"))
+
+
+def _manifests(li):
+    li = li.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").distinct()
     xml = F.array(F.concat(F.lit(" <groupId>g"), "l_suppkey", F.lit("</groupId>")), F.concat(F.lit(" <artifactId>a"), "l_partkey", F.lit("</artifactId>")))
     lines = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(xml).alias("pos", "line"))
     packages = li.where("l_partkey % 2 = 0").select(F.concat(F.lit("g"), "l_suppkey", F.lit(":a"), "l_partkey").alias("package"))
@@ -39,7 +49,18 @@ def c12(spark, d):
   s AS (SELECT DISTINCT l_orderkey AS caller, l_linenumber AS "offset", l_suppkey AS callee FROM lineitem WHERE l_suppkey % 2 = 0) SELECT * FROM c UNION SELECT s.* FROM s JOIN c ON s.caller = c.caller AND s."offset" = c."offset" """)
 def c14(spark, d):
     li = table(spark, d, "lineitem")
-    calls = li.where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("offset"), F.col("l_partkey").alias("callee")).distinct()
+    return _targets(li.where("l_orderkey % 10 = 0"), li)
+
+
+@query("c14_call_targets_whole", """SELECT DISTINCT l_orderkey AS caller, l_linenumber AS "offset", l_partkey AS callee FROM lineitem
+  UNION SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey % 2 = 0""")
+def c14_whole(spark, d):
+    li = table(spark, d, "lineitem")
+    return _targets(li, li)
+
+
+def _targets(called, li):
+    calls = called.select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("offset"), F.col("l_partkey").alias("callee")).distinct()
     sites = li.where("l_suppkey % 2 = 0").select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("offset"), F.col("l_suppkey").alias("callee")).distinct()
     return R.call_targets(calls, sites)
 

@@ -155,7 +155,18 @@ def j15(spark, d):
   v AS (SELECT a.p_partkey AS callee, b.p_partkey AS override, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) AS k FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 3 = 0 AND b.p_partkey % 3 <> 0)
   SELECT caller, callee FROM c UNION SELECT caller, override FROM c JOIN v USING (callee) WHERE k <= 40""")
 def j16(spark, d):
-    calls = table(spark, d, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_orderkey").alias("caller"), F.col("l_partkey").alias("callee"), F.lit("CALL").alias("kind")).distinct()
+    return _dispatch(spark, d, table(spark, d, "lineitem").where("l_orderkey % 40 = 0"))
+
+
+@query("j16_dispatch_edges_whole", """WITH c AS (SELECT l_orderkey AS caller, l_partkey AS callee FROM lineitem),
+  v AS (SELECT a.p_partkey AS callee, b.p_partkey AS override, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) AS k FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 3 = 0 AND b.p_partkey % 3 <> 0)
+  SELECT caller, callee FROM c UNION SELECT caller, override FROM c JOIN v USING (callee) WHERE k <= 40""")
+def j16_whole(spark, d):
+    return _dispatch(spark, d, table(spark, d, "lineitem"))
+
+
+def _dispatch(spark, d, lines):
+    calls = lines.select(F.col("l_orderkey").alias("caller"), F.col("l_partkey").alias("callee"), F.lit("CALL").alias("kind")).distinct()
     m = table(spark, d, "part").select(F.col("p_partkey").alias("method"), F.concat(F.when(F.col("p_partkey") % 3 == 0, "I").otherwise("C"), "p_brand").alias("cls"),
                                        F.lit("run").alias("name"), F.col("p_size").alias("arity"), (F.col("p_partkey") % 3 == 0).alias("abstract"), F.lit(True).alias("virtual"))
     above = m.select(F.concat(F.lit("C"), F.substring("cls", 2, 99)).alias("node"), F.concat(F.lit("I"), F.substring("cls", 2, 99)).alias("ancestor")).distinct()

@@ -85,8 +85,26 @@ def d9(spark, d):
   b AS (SELECT CAST(ts AS DATE) AS day, count(*) AS closed FROM events WHERE event_type = 'purchase' AND user_id % 50 = 1 GROUP BY 1)
   SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(new, 0) AS new, coalesce(closed, 0) AS closed FROM s LEFT JOIN a USING (day) LEFT JOIN b USING (day)""")
 def d10(spark, d):
-    e = table(spark, d, "events").where("user_id % 50 = 1")
-    out = K.daily_trend(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), "ts", "ts", "2024-01-01", "2024-02-05")
+    return _trend(table(spark, d, "events").where("user_id % 50 = 1"))
+
+
+@query("d10_daily_trend_whole", """WITH s AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS day),
+  a AS (SELECT CAST(ts AS DATE) AS day, count(*) AS new FROM events WHERE event_type = 'signup' GROUP BY 1),
+  b AS (SELECT CAST(ts AS DATE) AS day, count(*) AS closed FROM events WHERE event_type = 'purchase' GROUP BY 1)
+  SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(new, 0) AS new, coalesce(closed, 0) AS closed FROM s LEFT JOIN a USING (day) LEFT JOIN b USING (day)""")
+def d10_whole(spark, d):
+    return _trend(table(spark, d, "events"))
+
+
+@query("d10_daily_trend_users", """WITH s AS (SELECT user_id, day FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL), (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS day)),
+  e AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'signup') AS new, count(*) FILTER (WHERE event_type = 'purchase') AS closed FROM events GROUP BY 1, 2)
+  SELECT user_id, strftime(day, '%Y-%m-%d') AS day, coalesce(new, 0) AS new, coalesce(closed, 0) AS closed FROM s LEFT JOIN e USING (user_id, day)""")
+def d10_users(spark, d):
+    return _trend(table(spark, d, "events"), ["user_id"])
+
+
+def _trend(e, keys=()):
+    out = K.daily_trend(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), "ts", "ts", "2024-01-01", "2024-02-05", keys, e)
     return out.withColumn("day", day("day"))
 
 

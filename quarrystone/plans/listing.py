@@ -124,7 +124,18 @@ def c3(spark, d):
   coalesce(CASE WHEN l_returnflag = 'R' THEN 'HIGH' END, p_brand) AS severity, coalesce(CASE WHEN l_linestatus = 'F' THEN FALSE END, p_size > 10) AS enabled
   FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 5 = 0""")
 def c4(spark, d):
-    m = table(spark, d, "lineitem").where("l_suppkey % 5 = 0").select(
+    return _overrides(spark, d, table(spark, d, "lineitem").where("l_suppkey % 5 = 0"))
+
+
+@query("c4_ruleset_overrides_whole", """SELECT l_orderkey AS group_id, l_linenumber AS member_id, l_partkey AS rule_id,
+  coalesce(CASE WHEN l_returnflag = 'R' THEN 'HIGH' END, p_brand) AS severity, coalesce(CASE WHEN l_linestatus = 'F' THEN FALSE END, p_size > 10) AS enabled
+  FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def c4_whole(spark, d):
+    return _overrides(spark, d, table(spark, d, "lineitem"))
+
+
+def _overrides(spark, d, lines):
+    m = lines.select(
         F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("member_id"), F.col("l_partkey").alias("rule_id"),
         F.when(F.col("l_returnflag") == "R", "HIGH").alias("own_severity"), F.when(F.col("l_linestatus") == "F", F.lit(False)).alias("own_enabled"))
     rules = table(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_brand").alias("base_severity"), (F.col("p_size") > 10).alias("base_enabled"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
 from quarrystone.operators import graph as G
+from quarrystone.operators import kpi as K
 from quarrystone.operators import relational as R
 from quarrystone.operators import upsert as U
 from quarrystone.operators.components import connected_components
@@ -146,6 +147,12 @@ def test_all_entries_of_unreached_targets(spark):
     assert sorted(map(tuple, out.fillna(-1, ["entry"]).collect())) == [(1, 7, 7, False), (1, 30_000, 1, False), (1, 30_001, -1, True)]
 
 
+def test_daily_trend_of_each_group(spark):
+    e = spark.sql("select * from values (1, 'a', timestamp'2024-01-02 05:00:00'), (1, 'a', timestamp'2024-01-02 23:59:59'), (1, 'b', timestamp'2024-01-03 00:00:00'), (2, 'c', timestamp'2024-01-03 00:00:00') t(user, kind, ts)")
+    out = K.daily_trend(e.where("kind = 'a'"), e.where("kind = 'b'"), "ts", "ts", "2024-01-01", "2024-01-03", ["user"], e)
+    assert sorted((r.user, r.day.day, r.new, r.closed) for r in out.collect()) == [(1, 1, 0, 0), (1, 2, 2, 0), (1, 3, 0, 1), (2, 1, 0, 0), (2, 2, 0, 0), (2, 3, 0, 0)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1100)] + [(None, 3), (4, 4)]
