@@ -226,11 +226,11 @@ def first_edge_paths(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], st
     return out
 
 
-def traces(edges: DataFrame, starts: DataFrame, ends: DataFrame, keys: Sequence[str] = (), depth: int = 10, states: int = 2000, best: int = 3) -> DataFrame:
+def traces(edges: DataFrame, starts: DataFrame, ends: DataFrame, keys: Sequence[str] = (), depth: int = 10, states: int | None = 2000, best: int | None = 3) -> DataFrame:
     """(keys..., start, path, priority, depth): the best ways from a start along the edges to an end.
 
     ends: (keys..., node, priority). Each state is entered once per start, by its smallest path; at most
-    `states` are open per start and round. Of the ends reached the `best` by priority, then depth, are given;
+    `states` are open per start and round. Of the ends reached the `best` by priority, then depth, are given (None: no cap);
     a node without a way on, or at the last depth, ends with the lowest priority. Run it over turned edges to
     trace the other way, or over edges cut down to the steps of a chain to stay inside it.
     """
@@ -246,14 +246,14 @@ def traces(edges: DataFrame, starts: DataFrame, ends: DataFrame, keys: Sequence[
         done.append(stored(ways.where(over).select(*on, "path", F.coalesce("priority", F.lit(1 << 20)).alias("priority"), F.lit(step).alias("depth")), "trace-done"))
         go = ways.where(~over).withColumnRenamed("node", "source").join(edge, [*keys, "source"]).select(*on, F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"))
         go = go.groupBy(*on, "node").agg(F.min("path").alias("path")).join(seen, [*on, "node"], "left_anti")
-        path = stored(first_n(go, on, [F.col("path")], states), "trace-front")
+        path = stored(first_n(go, on, [F.col("path")], states) if states else go, "trace-front")
         if path.isEmpty():
             break
         seen = stored(seen.unionByName(path.select(*on, "node")), "trace-seen")
     out = done[0]
     for p in done[1:]:
         out = out.unionByName(p)
-    return first_n(out, on, [F.col("priority"), F.col("depth"), F.col("path")], best)
+    return first_n(out, on, [F.col("priority"), F.col("depth"), F.col("path")], best) if best else out
 
 
 def points_to(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), most: int = 50) -> tuple[DataFrame, DataFrame]:

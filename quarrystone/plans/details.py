@@ -8,7 +8,7 @@ from quarrystone.functions import expr as X
 from quarrystone.operators import graph as G
 from quarrystone.operators import relational as R
 from quarrystone.operators import upsert as U
-from quarrystone.plans.graphs import ABOVE, TREE, tree
+from quarrystone.plans.graphs import ABOVE, DEEP, TREE, tree
 from quarrystone.plans.registry import query, table
 from quarrystone.plans.streams import finished, stream
 from quarrystone.plans.views import FINDINGS, TASKS, findings, tasks
@@ -70,10 +70,22 @@ def _targets(called, li):
   m AS (SELECT target, bean, 0 AS fit FROM t JOIN b ON target = type UNION ALL SELECT target, bean, 1 FROM t JOIN up ON target = ancestor JOIN b ON up.node = type UNION ALL SELECT target, bean, 2 FROM t, u)
   SELECT target, bean, fit FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY fit, bean) AS k FROM (SELECT target, bean, min(fit) AS fit FROM m GROUP BY 1, 2)) WHERE k <= 20""")
 def c15(spark, d):
+    return _beans(spark, d, "node % 100 = 5")
+
+
+@query("c15_bean_candidates_whole", f"""WITH RECURSIVE {TREE}, {ABOVE}, b AS (SELECT node AS bean, CASE WHEN p_size <> 1 THEN node END AS type FROM n),
+  u AS (SELECT bean FROM b WHERE type IS NULL ORDER BY bean LIMIT 20), t AS (SELECT node AS target FROM n),
+  m AS (SELECT target, bean, 0 AS fit FROM t JOIN b ON target = type UNION ALL SELECT target, bean, 1 FROM t JOIN up ON target = ancestor JOIN b ON up.node = type UNION ALL SELECT target, bean, 2 FROM t, u)
+  SELECT target, bean, fit FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY fit, bean) AS k FROM (SELECT target, bean, min(fit) AS fit FROM m GROUP BY 1, 2)) WHERE k <= 20""")
+def c15_whole(spark, d):
+    return _beans(spark, d, "true")
+
+
+def _beans(spark, d, which):
     nodes, edges = tree(spark, d)
     above = G.closure(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
     beans = nodes.select(F.col("node").alias("bean"), F.when(F.col("p_size") != 1, F.col("node")).alias("type"))
-    return R.bean_candidates(nodes.where("node % 100 = 5").select(F.col("node").alias("target")), beans, above)
+    return R.bean_candidates(nodes.where(which).select(F.col("node").alias("target")), beans, above)
 
 
 @query("c19_heap_matches", """WITH w AS (SELECT * FROM part WHERE p_partkey % 2 = 0), r AS (SELECT * FROM part WHERE p_partkey % 2 = 1),
@@ -104,13 +116,22 @@ def f7(spark, d):
 
 @query("f9_best_traces", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT DISTINCT node AS start, first_value(ancestor) OVER (PARTITION BY node ORDER BY ancestor DESC) AS root FROM up WHERE node % 97 = 3 AND ancestor % 2 = 1")
 def f9(spark, d):
+    return _best(spark, d, "node % 97 = 3")
+
+
+@query("f9_best_traces_whole", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS start, max(ancestor) AS root FROM up WHERE ancestor % 2 = 1 GROUP BY node")
+def f9_whole(spark, d):
+    return _best(spark, d, "true")
+
+
+def _best(spark, d, which):
     nodes, edges = tree(spark, d)
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    starts = nodes.where("node % 97 = 3").select(F.col("node").alias("start"))
+    starts = nodes.where(which).select(F.col("node").alias("start"))
     ends = nodes.where("node % 2 = 1").select("node", F.lit(1).alias("priority"))
     # a start is no end of its own: it sets out from its parent
     first = starts.join(back.withColumnRenamed("source", "start"), "start")
-    t = G.traces(back, first.select(F.col("target").alias("start")).distinct(), ends, depth=30, best=1).where("priority = 1")
+    t = G.traces(back, first.select(F.col("target").alias("start")).distinct(), ends, depth=DEEP, best=1).where("priority = 1")
     return first.join(t.select(F.col("start").alias("target"), F.element_at("path", -1).alias("root")), "target").select("start", "root")
 
 
@@ -171,12 +192,21 @@ def h33(spark, d):
 
 @query("j10_chain_traces", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS start, min(ancestor) AS root FROM up WHERE node % 50 = 7 GROUP BY node")
 def j10(spark, d):
+    return _inside(spark, d, "node % 50 = 7")
+
+
+@query("j10_chain_traces_whole", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS start, min(ancestor) AS root FROM up GROUP BY node")
+def j10_whole(spark, d):
+    return _inside(spark, d, "true")
+
+
+def _inside(spark, d, which):
     """Only the steps of the caller chains of the starts may be taken."""
     nodes, edges = tree(spark, d)
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    starts = nodes.where("node % 50 = 7").select(F.col("node").alias("start"))
+    starts = nodes.where(which).select(F.col("node").alias("start"))
     inside = G.reachable(back, starts.select("start", F.col("start").alias("node"))).select(F.col("node").alias("source")).distinct()
-    t = G.traces(back.join(inside, "source", "left_semi"), starts, nodes.where("false").select("node", F.lit(1).alias("priority")), depth=30)
+    t = G.traces(back.join(inside, "source", "left_semi"), starts, nodes.where("false").select("node", F.lit(1).alias("priority")), depth=DEEP)
     return t.where("depth > 0").select("start", F.element_at("path", -1).alias("root"))
 
 

@@ -14,6 +14,9 @@ from quarrystone.operators.components import connected_components
 from quarrystone.plans.registry import query, table
 
 
+DEEP = 64  # steps; a tree of 64-bit keys has at most 40 levels
+
+
 def tree(spark, d):
     p = table(spark, d, "part").where("p_partkey > 0")
     sev = X.mapped(F.col("p_size") % 5, {0: "CRITICAL", 1: "HIGH", 2: "MEDIUM", 3: "LOW"}, "INFO")
@@ -99,23 +102,40 @@ def j7(spark, d):
 
 @query("j8_backward_traces", f"WITH RECURSIVE {TREE}, {ABOVE}, b AS (SELECT DISTINCT node, ancestor FROM up WHERE node % 50 = 7) SELECT node AS start, max(ancestor) AS root FROM b WHERE ancestor IN (SELECT node FROM n WHERE p_size % 4 = 0) GROUP BY node")
 def j8(spark, d):
-    nodes, edges = tree(spark, d)
+    return _backward(*tree(spark, d), "node % 50 = 7")
+
+
+@query("j8_backward_traces_whole", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS start, max(ancestor) AS root FROM up WHERE ancestor IN (SELECT node FROM n WHERE p_size % 4 = 0) GROUP BY node")
+def j8_whole(spark, d):
+    return _backward(*tree(spark, d), "true")
+
+
+def _backward(nodes, edges, which):
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     hit = nodes.where("p_size % 4 = 0").select("node", F.lit(1).alias("priority"))
-    starts = nodes.where("node % 50 = 7").select(F.col("node").alias("start"))
+    starts = nodes.where(which).select(F.col("node").alias("start"))
     own = nodes.where("p_size % 4 = 0").select("node").join(starts.withColumnRenamed("start", "node"), "node", "left_semi")
     lifted = own.join(back.withColumnRenamed("source", "node"), "node").select(F.col("node").alias("start"), "target")
-    t = G.traces(back, starts.join(own.withColumnRenamed("node", "start"), "start", "left_anti"), hit)
-    t2 = G.traces(back, lifted.select(F.col("target").alias("start")).distinct(), hit).withColumnRenamed("start", "target").join(lifted, "target")
+    t = G.traces(back, starts.join(own.withColumnRenamed("node", "start"), "start", "left_anti"), hit, depth=DEEP)
+    t2 = G.traces(back, lifted.select(F.col("target").alias("start")).distinct(), hit, depth=DEEP).withColumnRenamed("start", "target").join(lifted, "target")
     both = t.select("start", "path", "priority").union(t2.select("start", "path", "priority"))
     return both.where("priority = 1").select("start", F.element_at("path", -1).alias("root"))
 
 
 @query("j9_forward_traces", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT ancestor AS start, count(*) AS leaves FROM up WHERE ancestor IN (4, 5, 6, 7, 8) AND node NOT IN (SELECT source FROM e) GROUP BY ancestor")
 def j9(spark, d):
+    return _forward(*tree(spark, d), "node between 4 and 8")
+
+
+@query("j9_forward_traces_whole", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT ancestor AS start, count(*) AS leaves FROM up WHERE node NOT IN (SELECT source FROM e) GROUP BY ancestor")
+def j9_whole(spark, d):
     nodes, edges = tree(spark, d)
+    return _forward(nodes.join(edges.select(F.col("source").alias("node")), "node", "left_semi"), edges, "true")
+
+
+def _forward(nodes, edges, which):
     none = nodes.where("false").select("node", F.lit(1).alias("priority"))
-    t = G.traces(edges, nodes.where("node between 4 and 8").select(F.col("node").alias("start")), none, depth=30, states=100_000, best=100_000)
+    t = G.traces(edges, nodes.where(which).select(F.col("node").alias("start")), none, depth=DEEP, states=None, best=None)
     return t.groupBy("start").agg(F.count("*").alias("leaves"))
 
 

@@ -12,6 +12,7 @@ from quarrystone.operators import kpi as K
 from quarrystone.operators import relational as R
 from quarrystone.operators import upsert as U
 from quarrystone.operators.components import connected_components
+from quarrystone.plans import details, graphs, registry  # noqa: F401  they fill the registry
 from quarrystone.sources import reports as S
 from quarrystone.streaming import agents, jobs
 
@@ -153,6 +154,20 @@ def test_daily_trend_of_each_group(spark):
     assert sorted((r.user, r.day.day, r.new, r.closed) for r in out.collect()) == [(1, 1, 0, 0), (1, 2, 2, 0), (1, 3, 0, 1), (2, 1, 0, 0), (2, 2, 0, 0), (2, 3, 0, 0)]
 
 
+def test_traces_of_a_deep_tree(spark, tmp_path):
+    """The only hit lies 12 steps above the lowest node, and every node is a start."""
+    line = [1_000_007]
+    while line[-1] >= 3:
+        line.append(line[-1] // 3)
+    rows = [(n, 4 if n == line[-1] else 2, "b") for n in line]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert run("j8_backward_traces") == [(n, line[-1]) for n in sorted(line[:-1]) if n % 50 == 7]
+    assert run("j8_backward_traces_whole") == [(n, line[-1]) for n in sorted(line[:-1])]
+    assert run("j9_forward_traces_whole") == [(n, 1) for n in sorted(line[1:])]
+    assert run("j10_chain_traces_whole") == [(n, line[-1]) for n in sorted(line[:-1])]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1100)] + [(None, 3), (4, 4)]
