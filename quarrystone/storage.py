@@ -1,7 +1,9 @@
 """Tables that cut lineage: written once to a folder all executors share, then read back.
 
-The folder is `spark.checkpoint.dir` of the session. Only where that is unset (tests, notebooks in
-local mode) a temporary folder of this process is used instead.
+The folder is `spark.checkpoint.dir` of the session. Where that is unset a session in local mode (tests,
+notebooks) uses a temporary folder of this process; on a cluster that would be another folder on every machine,
+so there it is an error. Each application writes below a folder of its own; what a step can delete it deletes with
+`forget`, and `clear` removes the rest once results are written.
 """
 
 from __future__ import annotations
@@ -12,16 +14,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+MARK = "quarrystone"
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder; nothing is created yet."""
+    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="quarrystone-"))
         base = f"file://{_local[0]}"
-    return f"{base.rstrip('/')}/quarrystone/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{MARK}/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
@@ -39,13 +49,21 @@ def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files behind a `stored` table that nothing will read again."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if not files:
-        return
-    marker = "/quarrystone/"
-    root, _, rest = files[0].partition(marker)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}{marker}{rest.split('/')[0]}")
+def forget(*tables: DataFrame) -> None:
+    """Delete the files behind `stored` tables that nothing will read again."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            root, _, rest = files[0].partition(f"/{MARK}/")
+            app, label = rest.split("/")[:2]
+            _delete(df.sparkSession, f"{root}/{MARK}/{app}/{label}")
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has stored. For the end of a job: DataFrames over stored tables fail afterwards."""
+    _delete(spark, _own(spark))
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,8 +17,12 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-tests-')}")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from quarrystone.storage import clear
+
+    clear(s)
     s.stop()
