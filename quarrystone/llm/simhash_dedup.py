@@ -1,15 +1,16 @@
 r"""SimHash near-dedup with pivot distance tables.
 
 Every document becomes a 64-bit fingerprint; documents with one fingerprint are one node, so copies cost
-nothing further. Two fingerprints at `RADIUS` (2) or fewer differing bits agree in one of three blocks of
-bits, so candidates meet in buckets (block, value). In a bucket a table of Hamming distances to many
+nothing further. Two fingerprints at `RADIUS` (2) or fewer differing bits agree in two of four blocks of 16
+bits, so candidates meet in buckets (pair of blocks, 32 bits). In a bucket a table of Hamming distances to many
 reference fingerprints (pivots) is computed once, and a pair goes when its largest coordinate difference
 passes the radius: by the triangle inequality no link is lost. Survivors are verified, and a bucket returns a
-spanning forest of its links instead of its pairs.
+spanning forest of its links instead of its pairs. With 32 bits in common, ten billion different texts leave two or
+three fingerprints in a bucket, so the tables work at every size.
 
-A bucket of more than `BUCKET` fingerprints (a large group of near copies) would need a pair table that grows
-with its square, so it takes an exact way that does not: each member emits itself and its 64 one-bit
-neighbours as keys. Two fingerprints share a key exactly when they differ in at most two bits, and all
+What fills a bucket further is a large group of near copies, and its pair table would grow with the square. A bucket
+of more than `BUCKET` fingerprints therefore takes an exact way that does not: each member emits itself and its 64
+one-bit neighbours as keys. Two fingerprints share a key exactly when they differ in at most two bits, and all
 members of a key (65 at most) are linked to each other, so a star to the smallest of them has the same
 components. No pair within a group is ever written out, and no link is lost.
 """
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.operators.components import connected_components
@@ -29,8 +30,9 @@ from quarrystone.storage import forget, stored
 
 RADIUS, BUCKET, PIVOTS = 2, 48, 32
 
-#: (shift, bits) of the three blocks: two fingerprints that differ in at most two bits agree in one.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: Shifts of the four blocks of 16 bits, and their pairs: fingerprints that differ in at most two bits agree in one pair.
+BLOCKS = (0, 16, 32, 48)
+PAIRS = tuple((a, b) for i, a in enumerate(BLOCKS) for b in BLOCKS[:i])
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -48,15 +50,19 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, fp): fp is the fingerprint's 64 bits as a signed long. A null text has no words."""
-    src = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    """(doc, mark, fp): fp is the fingerprint's 64 bits as a signed long, mark the text's hash. A null text has no words."""
+    src = docs.select(F.col(id_col).alias("doc"), mark(text_col).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc", "mark", "fp"])
 
-    return src.mapInArrow(run, f"doc {src.schema['doc'].dataType.simpleString()}, fp long")
+    return src.mapInArrow(run, f"doc {src.schema['doc'].dataType.simpleString()}, mark long, fp long")
+
+
+def mark(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def pivots(k: int = PIVOTS) -> np.ndarray:
@@ -90,9 +96,9 @@ def bucket_links(fps: np.ndarray, refs: np.ndarray, radius: int = RADIUS) -> lis
 
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """nodes: (fp), distinct. Edges (a, b) with the components of 'differ in at most two bits'."""
+    block = lambda shift: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(0xFFFF))
     keys = nodes.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1)).alias("value"))
-        for i, (s, n) in enumerate(BLOCKS)
+        F.struct(F.lit(i).alias("block"), F.shiftleft(block(a), 16).bitwiseOR(block(b)).alias("value")) for i, (a, b) in enumerate(PAIRS)
     ])).alias("k")).select("fp", "k.block", "k.value")
     large = stored(keys.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "simhash-large")
     small = (
@@ -125,21 +131,28 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return verified.union(stars)
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The prints (doc, mark, fp) of all rows, and (fp, root, component, first): of each fingerprint its component's root, smallest id and
+    first row (doc, mark), null ids last."""
+    prints = stored(fingerprints(docs, id_col, text_col), "simhash-prints")
+    row = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")
+    nodes = stored(prints.groupBy("fp").agg(F.min(row).alias("first")), "simhash-nodes")
+    comp = stored(connected_components(links(nodes.select("fp")), "a", "b"), "simhash-components")
+    named = stored(nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "simhash-named")
+    firsts = stored(named.groupBy("root").agg(F.min("first").alias("first")), "simhash-first")
+    names = stored(named.drop("first").join(firsts, "root").select("fp", "root", F.col("first.doc").alias("component"), "first"), "simhash-names")
+    forget(nodes, comp, named, firsts)
+    return prints, names
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, fp, component): component is the smallest id among all documents reachable over links.
 
     Defined cases: null and empty texts have fingerprint zero, linked like any other; rows with equal ids
-    stay separate rows; a null id is never a component's name while another id is there; an empty table gives
-    an empty table; further columns are not touched. Crowded buckets are met exactly, see above.
+    stay separate rows; a null id is never a component's name while another id is there; very long texts are read to
+    their end; an empty table gives an empty table; further columns are not touched. Crowded buckets are met exactly, see above.
     """
-    prints = stored(fingerprints(docs, id_col, text_col), "simhash-prints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-nodes")
-    comp = stored(connected_components(links(nodes.select("fp")), "a", "b"), "simhash-components")
-    named = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    firsts = named.groupBy("root").agg(F.min("first").alias("component"))
-    names = stored(named.join(stored(firsts, "simhash-first"), "root").select("fp", "component"), "simhash-names")
-    for t in (nodes, comp):
-        forget(t)
+    prints, names = groups(docs, id_col, text_col)
     return prints.join(names, "fp").select("doc", "fp", "component")
 
 
@@ -151,7 +164,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one that names it. Rows without an id stay, as nothing names them."""
-    stay = near_duplicates(docs).where("doc = component").select(F.col("doc").alias("doc_id")).distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of each group of near duplicates stays: that with the smallest id, null ids last, then with the smallest text hash.
+
+    Defined cases: rows are told apart by id and text, so of rows with one id and different texts each is judged by
+    its own text; of rows equal in both one stays; null and empty texts are one group; an empty table gives an empty
+    table; further columns travel along.
+    """
+    prints, names = groups(docs)
+    kept = names.select("first.doc", "first.mark").distinct()
+    same = prints["doc"].eqNullSafe(kept["doc"]) & (prints["mark"] == kept["mark"])
+    gone = stored(prints.join(kept, same, "left_anti").select("doc", "mark").distinct(), "simhash-gone")
+    again = stored(prints.groupBy("doc", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc", "mark"), "simhash-again")
+    forget(prints, names)
+    on = lambda t: docs["doc_id"].eqNullSafe(t["doc"]) & (mark("text") == t["mark"])
+    left = docs.join(gone, on(gone), "left_anti")
+    once = left.join(again, on(again), "left_anti")
+    repeated = left.join(again, on(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated).select(*docs.columns)

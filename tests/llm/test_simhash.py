@@ -81,9 +81,20 @@ def test_links_with_crowded_buckets(spark):
         assert [got.get(f, f) for f in signed] == want
 
 
+def test_pairs_of_blocks_meet_all_links():
+    rng = random.Random(7)
+    for _ in range(2000):
+        x = rng.getrandbits(64)
+        y = x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+        assert any((x ^ y) >> a & 0xFFFF == 0 == (x ^ y) >> b & 0xFFFF for a, b in S.PAIRS)
+    assert len(S.PAIRS) == 6
+
+
 def test_stage_keeps_one_of_each_group(spark):
-    rows = [(1, "a b c d e", 0, ""), (2, "A b c d e", 0, ""), (2, "A b c d e", 0, ""), (5, "quite another text here", 0, ""), (5, "quite another text here", 0, ""), (None, "a b c d e", 0, "")]
-    out = S.stage(spark, spark.createDataFrame(rows, SCHEMA), "")
-    assert out.columns == ["doc_id", "text", "fp", "doc"]
-    assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 5, None]
-    assert S.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    text, other, third = "a b c d e", "quite another text here", "nothing like the others at all"
+    rows = [(1, text), (2, "A b c d e"), (2, "A b c d e"), (5, text), (5, other), (5, other), (None, text), (None, third), (None, third), (7, None), (8, ""), (9, "w x y z " * 30_000)]
+    df = spark.createDataFrame([(i, t, 0, "x", 0, 1) for i, t in rows], SCHEMA + ", mark long, n int")
+    out = S.stage(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, text), (5, other), (None, third), (7, None), rows[-1]], key=str)
+    assert S.stage(spark, df.limit(0), "").count() == 0 and S.near_duplicates(df.limit(0)).count() == 0
