@@ -23,8 +23,8 @@ from quarrystone.llm.tokens import encoder
 from quarrystone.storage import stored
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces that one part of a length has on average, at most.
-PART = 50_000
+#: Pieces that one part of a length has on average, at most: there are as many parts in all as pieces / PART, and one for each length.
+PART = 1000
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -99,20 +99,22 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     texts are one piece, the end id; rows with equal ids are separate documents that get slots of their own; an
     empty table gives an empty table; further columns are not read.
     """
-    part = stored(pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids), "pack-pieces")
-    histogram = {r["length"]: r["n"] for r in part.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    part = stored(pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids).withColumn("row", F.monotonically_increasing_id()), "pack-pieces")  # the number is stored, so it stays
+    names = [c for c in part.columns if c != "row"]
+    lengths = stored(part.groupBy(F.col("length").alias("l")).agg(F.count("*").alias("n")), "pack-lengths")  # at most `capacity` rows
+    histogram = {r["l"]: r["n"] for r in lengths.collect()}
     slots = sorted(plan(histogram, capacity))
-    salts = max(16, -(-max(histogram.values(), default=0) // PART))
-    salted = part.withColumn("salt", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.lit(salts)))
+    salts = F.ceil(F.col("n") / PART)
+    salted = part.join(lengths, part["length"] == lengths["l"]).withColumn("salt", F.pmod(F.xxhash64("row"), salts)).select(*names, "row", "salt")
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bases = stored(counts.select(F.col("length").alias("l"), F.col("salt").alias("s"), before.alias("base")), "pack-bases")
-    within = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc", "piece", "ids_crc32")) - 1
+    within = F.row_number().over(W.partitionBy("length", "salt").orderBy("row")) - 1
     ranked = salted.withColumn("within", within)
     ranked = ranked.join(bases, (ranked["length"] == bases["l"]) & (ranked["salt"] == bases["s"]))
-    ranked = ranked.select(*part.columns, (F.col("base") + F.col("within")).alias("rank"))
+    ranked = ranked.select(*names, (F.col("base") + F.col("within")).alias("rank"))
     keys = np.array([(length << 44) | rank for length, rank, *_ in slots], dtype=np.int64)
-    table, names = np.array(slots, dtype=np.int64).reshape(-1, 5), part.columns
+    table = np.array(slots, dtype=np.int64).reshape(-1, 5)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             cols = [batch.column(c) for c in names] + [pa.array(slot[:, 3] + rank - slot[:, 1]), pa.array(slot[:, 4])]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.schema)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.schema if f.name in names)
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
