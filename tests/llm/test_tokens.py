@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -6,7 +7,9 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quarrystone.llm import best_fit_packing, simple8b, token_file  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+from quarrystone.llm import best_fit_packing, simple8b, token_file, tokens  # noqa: E402
 from quarrystone.llm.tokens import Encoder  # noqa: E402
 from quarrystone.storage import shared_dir  # noqa: E402
 
@@ -16,13 +19,40 @@ TEXTS = [
 ]
 
 
+def library(name):
+    """The library's own encoding, with its defaults."""
+    tok = Tokenizer.from_file(public_tokenizers.path(name))
+    return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_memo_gives_the_library_ids(name):
-    e = Encoder(public_tokenizers.path(name))
+    e, want = Encoder(public_tokenizers.path(name)), library(name)
+    assert e.fits
     rng = random.Random(1)
     texts = TEXTS + [" ".join(rng.choice(TEXTS) for _ in range(6)) for _ in range(200)]
+    texts += ["".join(rng.choice(["Wort", "mot,", "é", "\n", "\n", " ", " ", ".", "7", "'s", "<|", "|>"]) for _ in range(rng.randint(1, 30))) for _ in range(600)]
+    for special in ("<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"):
+        texts += [special, f"hello {special} there", f"a{special}b", f"x \n{special}\ny", f"word. {special}{special}"]
     for t in texts + texts:
-        assert e(t) == e.whole(t), t
+        assert e(t) == want(t), t
+
+
+def test_memo_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    e, want, rng = Encoder(public_tokenizers.path("byte_bpe_50k.json")), library("byte_bpe_50k.json"), random.Random(2)
+    for _ in range(300):
+        t = " ".join(str(rng.choice(["often", "many", rng.randint(0, 10**6)])) for _ in range(20))
+        assert e(t) == want(t) and len(e.memo) < 80
+
+
+def test_other_shapes_go_whole(tmp_path):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        shape = json.load(f)
+    shape["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(shape))
+    e = Encoder(str(tmp_path / "other.json"))
+    assert not e.fits and e("two words") == e.whole("two words")
 
 
 def test_simple8b_round_trip():
@@ -49,17 +79,17 @@ def docs(spark, extra=()):
 def test_token_file(spark):
     rows, df = docs(spark)
     name = public_tokenizers.path("byte_bpe_50k.json")
-    e, path = Encoder(name), shared_dir(spark, "test-tokens")
+    encode, path = library("byte_bpe_50k.json"), shared_dir(spark, "test-tokens")
     token_file.write_tokens(df, path, name, shards=3)
     got = [tuple(r) for r in token_file.read_tokens(spark, path).orderBy("start").collect()]
     want, start = [], 0
     for i, t, _ in sorted(rows, key=lambda r: r[0]):
-        ids = e.whole(t or "") + np.array([2], "<u4").tobytes()
+        ids = encode(t or "") + np.array([2], "<u4").tobytes()
         want.append((i, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
     assert [g[:3] for g in got] == [w[:3] for w in want] and got == want
     with_ids = {r.doc: r.ids for r in token_file.read_tokens(spark, path, with_ids=True).collect()}
-    assert with_ids[50][:-1] == np.frombuffer(e.whole("long text, " * 4000), "<u4").tolist()
+    assert with_ids[50][:-1] == np.frombuffer(encode("long text, " * 4000), "<u4").tolist()
     empty = shared_dir(spark, "test-tokens")
     token_file.write_tokens(df.limit(0), empty, name)
     assert token_file.read_tokens(spark, empty).count() == 0
@@ -90,11 +120,11 @@ def test_plan_fills_every_rank_once():
 def test_packing(spark):
     rows, df = docs(spark, [(200 + i, "word " * (i % 37), 1) for i in range(300)])
     name = best_fit_packing.tokenizer_path()
-    e = Encoder(name)
+    encode = library("word_bpe_49k.json")
     got = best_fit_packing.pack(df, name, with_ids=True).collect()
     want = []
     for i, t, _ in rows:
-        ids = e.whole(t or "") + np.array([0], "<u4").tobytes()
+        ids = encode(t or "") + np.array([0], "<u4").tobytes()
         want += [(i, k, 2048 * k, len(p) // 4, zlib.crc32(p), p) for k in range(-(-len(ids) // 8192)) for p in [ids[8192 * k : 8192 * (k + 1)]]]
     assert sorted((r.doc, r.piece, r.start, r.length, r.ids_crc32, bytes(r.ids)) for r in got) == sorted(want)
     by = {}
