@@ -6,8 +6,8 @@ their maximum go through a small hidden layer into one probability. Varied prose
 somewhere in a chunk; padding, symbol runs and repeated words set off few, or others.
 
 Training is plain stochastic gradient descent on the driver over a bounded sample (`PER_CLASS` labelled
-documents of each class, `TRAIN_CHUNKS` evenly spaced chunks of each), so its cost does not grow with the
-corpus. Scoring runs in Arrow batches over every chunk of every document.
+documents of each class, every chunk of each), so its cost does not grow with the corpus. Scoring runs in Arrow
+batches over every chunk of every document; a text's score depends on its own bytes only, not on what shares its batch.
 """
 
 from __future__ import annotations
@@ -21,29 +21,25 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import id_crc, labelled_sample, labelled_texts, table
 
-#: Bounds of the training sample.
-PER_CLASS, TRAIN_CHUNKS = 1500, 4
+#: Bound of the training sample: labelled documents of a class.
+PER_CLASS = 1000
 #: Bytes of a chunk, its overlap with the next, the filter's width and stride, numbers of a byte, filters and hidden units.
 CHUNK, OVERLAP, WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 256, 16, 8, 2, 6, 24, 16
 EPOCHS, BATCH, RATE = 8, 32, 0.004
 CUTOFF = 0.3
-#: Chunks that are scored in one go: bounds memory for very long texts.
-AT_ONCE = 512
+#: Chunks that are convolved in one go, counted from the start of a text: bounds memory for very long texts.
+AT_ONCE = 256
 
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
 
 
-def chunked(text: bytes, most: int | None = None) -> np.ndarray:
-    """Overlapping chunks that cover the whole text, zero-padded; one chunk of zeros for an empty text.
-
-    `most` picks that many of them, evenly spaced (training only).
-    """
+def chunked(text: bytes) -> np.ndarray:
+    """Overlapping chunks that cover the whole text, zero-padded; one chunk of zeros for an empty text."""
     step = CHUNK - OVERLAP
     n = max(1, -(-(len(text) - OVERLAP) // step))
     data = np.zeros(step * (n - 1) + CHUNK, np.uint8)
     data[: len(text)] = np.frombuffer(text, np.uint8)
-    out = np.lib.stride_tricks.sliding_window_view(data, CHUNK)[::step]
-    return out if most is None or n <= most else out[np.linspace(0, n - 1, most).astype(int)]
+    return np.lib.stride_tricks.sliding_window_view(data, CHUNK)[::step]
 
 
 class Net:
@@ -83,36 +79,15 @@ class Net:
         x = np.concatenate([(total / len(chunks)).astype(np.float32), most])
         return float(sigmoid(np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2[0]))
 
-    def probabilities(self, texts: list[bytes]) -> np.ndarray:
-        """Several texts together: their chunks share the matrix products; a text of many chunks goes alone."""
-        out, rows, sizes, at = np.zeros(len(texts)), [], [], []
-
-        def flush():
-            if not rows:
-                return
-            p = self.pooled(np.concatenate(rows))
-            starts = np.cumsum([0, *sizes[:-1]])
-            x = np.concatenate([np.add.reduceat(p, starts, axis=0) / np.array(sizes)[:, None], np.maximum.reduceat(p, starts, axis=0)], axis=1)
-            out[at] = sigmoid(np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2[0])
-            rows.clear(), sizes.clear(), at.clear()
-
-        for i, t in enumerate(texts):
-            if len(t) > AT_ONCE * CHUNK // 2:
-                out[i] = self.probability(t)
-                continue
-            c = chunked(t)
-            if sum(sizes) + len(c) > AT_ONCE:
-                flush()
-            rows.append(c), sizes.append(len(c)), at.append(i)
-        flush()
-        return out
-
     def gradients(self, chunks: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss over documents; `sizes` chunks belong to each document in turn."""
-        v = self.windows(chunks)
-        c = (v @ self.filters).reshape(len(chunks), POSITIONS, FILTERS)
-        where = c.argmax(axis=1)  # (chunks, FILTERS)
-        p = np.maximum(np.take_along_axis(c, where[:, None], 1)[:, 0] + self.bias, 0)
+        n = len(chunks)
+        where, p = np.empty((n, FILTERS), np.int64), np.empty((n, FILTERS), self.filters.dtype)
+        for i in range(0, n, AT_ONCE):
+            part = chunks[i : i + AT_ONCE]
+            c = (self.windows(part) @ self.filters).reshape(len(part), POSITIONS, FILTERS)
+            where[i : i + AT_ONCE] = c.argmax(axis=1)
+            p[i : i + AT_ONCE] = np.maximum(c.max(axis=1) + self.bias, 0)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         doc = np.repeat(np.arange(len(sizes)), sizes)
         mean = np.add.reduceat(p, starts, axis=0) / sizes[:, None]
@@ -127,15 +102,16 @@ class Net:
         dp = (dx[:, :FILTERS] / sizes[:, None].astype(np.float32))[doc] + dx[:, FILTERS:][doc] * (p == most[doc])
         dp = dp * (p > 0)
         g["bias"] = dp.sum(axis=0)
-        flat = where + POSITIONS * np.arange(len(chunks))[:, None]
-        g["filters"], back = np.empty_like(self.filters), np.zeros((256, EMBED), np.float32)
-        for f in range(FILTERS):
-            rows = flat[:, f]
-            g["filters"][:, f] = v[rows].T @ dp[:, f]
-            into = np.outer(dp[:, f], self.filters[:, f]).reshape(-1, EMBED)
-            first = STRIDE * where[:, f]
-            used = chunks[np.arange(len(chunks))[:, None], first[:, None] + np.arange(WIDTH)].ravel()
-            np.add.at(back, used, into)
+        g["filters"], back = np.zeros_like(self.filters), np.zeros((256, EMBED), np.float32)
+        for i in range(0, n, AT_ONCE):
+            part, at, dq = chunks[i : i + AT_ONCE], where[i : i + AT_ONCE], dp[i : i + AT_ONCE]
+            v, row = self.windows(part), np.arange(len(part))
+            for f in range(FILTERS):
+                used = row[dq[:, f] != 0]  # most chunks do not set off most filters
+                if len(used):
+                    g["filters"][:, f] += v[POSITIONS * used + at[used, f]].T @ dq[used, f]
+                    into = np.outer(dq[used, f], self.filters[:, f]).reshape(-1, EMBED)
+                    np.add.at(back, part[used[:, None], STRIDE * at[used, f][:, None] + np.arange(WIDTH)].ravel(), into)
         back[0] = 0
         g["embed"] = back
         return g
@@ -167,25 +143,31 @@ def train(parts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Net | None:
-    """The network for the labelled sample, or None where a class has no example."""
+    """The network for the labelled sample, or None where a class has no example.
+
+    Null labels, null ids and ids labelled both ways take no part; of rows with one id each text is an example; an
+    empty table has none; further columns are not read. The sample's whole texts come to the driver, which trains on them.
+    """
     sample = labelled_texts(docs, labelled_sample(labels, "quality", train_rows, per_class, id_col), id_col, text_col)
-    # only the chunks that training reads leave the executors
-    picked = F.udf(lambda t: chunked(t.encode(), TRAIN_CHUNKS).tobytes(), "binary")
-    got = sorted(sample.select("id", "y", picked("text").alias("chunks")).collect())
+    got = sorted(sample.select("id", "y", F.col("text").cast("binary").alias("text")).distinct().collect())
     y = np.array([r["y"] for r in got], dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    return train([np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in got], y)
+    return train([chunked(bytes(r["text"])) for r in got], y)
 
 
 def score(text: Column, net: Net | None) -> Column:
-    """Probability of label 1. Null and empty texts are one chunk of zeros. Without a network: 0.5."""
+    """Probability of label 1, of each row by its own text.
+
+    Null and empty texts are one chunk of zeros; very long texts are read to their end; equal texts, repeated rows among
+    them, get equal scores; an empty table has no score. Without a network: 0.5.
+    """
     if net is None:
         return F.lit(0.5)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(net.probabilities([bytes(t) for t in s]))
+            yield pd.Series([net.probability(bytes(t)) for t in s], dtype=float)
 
     return F.pandas_udf(run, "double")(F.coalesce(text, F.lit("")).cast("binary"))
 

@@ -98,6 +98,31 @@ def test_chunks_cover_the_text():
         assert back.tobytes() == t[:n] and c.shape[1] == C.CHUNK
 
 
+def plain_probability(net, text):
+    """The network written out: every chunk, every position, every filter."""
+    step = C.CHUNK - C.OVERLAP
+    n = max(1, math.ceil((len(text) - C.OVERLAP) / step))
+    pooled = []
+    for k in range(n):
+        chunk = text[k * step : k * step + C.CHUNK].ljust(C.CHUNK, b"\0")
+        best = [0.0] * C.FILTERS
+        for at in range(0, C.CHUNK - C.WIDTH + 1, C.STRIDE):
+            seen = [float(x) for b in chunk[at : at + C.WIDTH] for x in net.embed[b]]
+            for f in range(C.FILTERS):
+                best[f] = max(best[f], sum(x * float(w) for x, w in zip(seen, net.filters[:, f])) + float(net.bias[f]))
+        pooled.append(best)
+    x = [sum(p[f] for p in pooled) / n for f in range(C.FILTERS)] + [max(p[f] for p in pooled) for f in range(C.FILTERS)]
+    h = [max(0.0, sum(a * float(w) for a, w in zip(x, net.w1[:, j])) + float(net.b1[j])) for j in range(C.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(a * float(w) for a, w in zip(h, net.w2)) + float(net.b2[0]))))
+
+
+def test_cnn_against_plain_version():
+    net = C.Net(5)
+    net.bias += 0.1
+    for t in (b"", b"a", "é words and more words ".encode() * 30, bytes(range(256)) * 3):
+        assert math.isclose(net.probability(t), plain_probability(net, t), abs_tol=1e-5)
+
+
 def test_cnn(spark):
     docs, labels = frames(spark)
     net = C.fit(docs, labels, ~C.held_out(F.col("doc_id")))
@@ -105,8 +130,10 @@ def test_cnn(spark):
     assert len(got) == docs.count() and all(0 <= r.s <= 1 for r in got)
     held = [r for r in got if r.h and r.doc_id is not None and r.doc_id < 900]
     assert sum((r.s >= C.CUTOFF) == (r.doc_id % 5 != 1) for r in held) >= 0.97 * len(held)
-    texts = [t.encode() for t in ("", "a", "long words " * 40_000, "x" * 300)]
-    assert np.allclose(net.probabilities(texts), [net.probability(t) for t in texts], atol=1e-5)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    by = {r.doc_id: r.s for r in got if r.doc_id}
+    assert all(by[i] == net.probability(texts[i].encode()) for i in range(1, 900))  # whatever shares its batch
+    assert len({r.s for r in got if r.doc_id in (0, None)}) == 1
     assert C.fit(docs, labels.where("quality = 1"), F.lit(True)) is None
     assert {r.s for r in docs.select(C.score(F.col("text"), None).alias("s")).collect()} == {0.5}
     assert docs.limit(0).select(C.score(F.col("text"), net)).count() == 0
