@@ -1,10 +1,11 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is cut from a bounded sample of its texts. A text is
-compressed, whole and chunk by chunk, with each dictionary; the language whose dictionary gives the fewest
+For each language the texts of a bounded sample, whole, are the content of a raw-content zstandard dictionary. A text
+is compressed, whole and chunk by chunk, with each dictionary; the language whose dictionary gives the fewest
 bytes wins. Texts and dictionaries are reduced to lower-case words with runs of one word collapsed, so capitals,
 symbols and padding do not count. Where the runner-up comes within `MARGIN` of the winner, a slower level that
-finds shorter matches is asked, and where it is as close the decision is marked as rejected. The dictionaries are the only thing gathered: `PARTS * PER_PART` texts of a language at most, `DICT_BYTES` bytes of them kept.
+finds shorter matches is asked, and where it is as close the decision is marked as rejected. The sample is the only
+thing gathered: `PARTS * PER_PART` texts of a language, of at most `LANGUAGES` languages.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import id_crc, table
 
-#: Bounds of the training sample: parts of a language, texts of a part, and bytes of a dictionary.
-PARTS, PER_PART, DICT_BYTES = 64, 7, 64 * 1024
-#: Bytes of a compressed chunk, and of what one text adds to a dictionary.
-CHUNK, SHARE = 4096, 512
+#: Bounds of the training sample: parts of a language, and texts of a part; languages beyond which learning is refused.
+PARTS, PER_PART, LANGUAGES = 16, 8, 500
+#: Bytes of a text that are compressed together.
+CHUNK = 4096
 LEVEL, FINE_LEVEL, MARGIN = 6, 17, 0.01
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -35,27 +36,28 @@ def plain(text: str) -> bytes:
     return " ".join([w for w, before in zip(words, [None, *words]) if w != before]).encode()
 
 
-
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """language -> dictionary content, the most frequent language first, from a sample of training texts.
 
-    A language's ids fall into `PARTS` parts by their hash, and of each part the `PER_PART` texts with the smallest
-    hashes are taken, so no task sees a whole language. Only SHARE characters of the chosen texts are sent: a dictionary needs no more of each.
+    A language's rows fall into `PARTS` parts by a hash of id and text, and of each part the `PER_PART` rows with the
+    smallest hashes are taken, so no task sees a whole language; only then are their texts read. Rows equal in id and
+    text count once. More than `LANGUAGES` languages are an error.
     """
     from pyspark.sql import Window as W
 
     rows = docs.where(train & F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("lang"), F.col(id_col)).alias("h"))
-    # the middle of a text says more of its language than a licence line at its head
-    part = F.expr(f"substring(text, greatest(1, cast(char_length(text) / 2 - {SHARE // 2} as int)), {SHARE})")
-    rows = rows.select("lang", "h", part.alias("part"), F.pmod("h", F.lit(PARTS)).alias("salt"))
-    rank = F.row_number().over(W.partitionBy("lang", "salt").orderBy("h", "part"))
-    picked = rows.withColumn("r", rank).where(F.col("r") <= PER_PART)
-    common = docs.where(train & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count()
-    out: dict[str, bytes] = {r["lang"]: b"" for r in common.orderBy(F.desc("count"), "lang").collect()}
-    for r in sorted(picked.select("lang", "h", "part").collect()):
-        out[r["lang"]] = (out.get(r["lang"], b"") + plain(r["part"]) + b"\n")[:DICT_BYTES]
-    return {lang: content for lang, content in out.items() if content}
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("lang"), F.col(id_col), F.col(text_col)).alias("h"))
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    if len(common) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
+    rank = F.row_number().over(W.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h"))
+    picked = rows.select("lang", "h").withColumn("r", rank).where(F.col("r") <= PER_PART).select("lang", "h").distinct()
+    # at most LANGUAGES * PARTS * PER_PART rows of two values
+    texts = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text")).collect()
+    out: dict[str, bytes] = {r["lang"]: b"" for r in common}
+    for r in sorted(texts):
+        out[r["lang"]] += plain(r["text"]) + b"\n"
+    return {lang: content for lang, content in out.items() if content.strip()}
 
 
 class Classifier:

@@ -1,7 +1,10 @@
 import math
 import random
+import re
 from collections import Counter
 
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quarrystone.llm import language_id, quality_rules as Q
@@ -69,14 +72,48 @@ def test_judge(spark):
     assert Q.judge(docs.limit(0), lab).count() == 0 and Q.judge(docs, lab.limit(0)).where("kept").count() > 2900
 
 
+def plain_language(content):
+    """Compress with every dictionary at both levels, in the plainest way."""
+
+    def sizes(data, level):
+        out = {}
+        for lang, c in content.items():
+            d = zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            z = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            out[lang] = sum(len(z.compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
+        return out
+
+    def lang(text):
+        words = []
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            if not words or words[-1] != w:
+                words.append(w)
+        if not any(c.isalpha() for c in text or ""):
+            return "und", True
+        for level in (6, 17):
+            by = sizes(" ".join(words).encode(), level)
+            best = min(by, key=lambda k: by[k])
+            second = min(v for k, v in by.items() if k != best)
+            if (second - by[best]) / second >= 0.01:
+                return best, False
+        return best, True
+
+    return lang
+
+
 def test_language(spark):
     rng = random.Random(6)
     rows = [(i, prose(rng, lang, 60), lang, "s", "t", 0) for i in range(600) for lang in [rng.choice(list(SYLLABLES))]]
     odd = [(5000, None, "aa"), (5001, "", "bb"), (5002, "123 !!\n# ²", "cc"), (5003, prose(rng, "cc", 60).upper().replace(" ", "!! "), "cc"), (5004, prose(rng, "bb", 20_000), "bb"), (5005, prose(rng, "aa", 60), None)]
     docs = spark.createDataFrame(rows + [(i, t, lang, "s", "t", 0) for i, t, lang in odd], DOC)
     content = language_id.learn(docs, ~language_id.held_out(F.col("doc_id")))
-    assert set(content) == set(SYLLABLES) and all(len(c) <= language_id.DICT_BYTES for c in content.values())
+    assert set(content) == set(SYLLABLES) and all(1 < c.count(b"\n") <= language_id.PARTS * language_id.PER_PART for c in content.values())
     got = {r.doc: r for r in language_id.identify(docs, content).collect()}
+    plain = plain_language(content)
+    for i, t, *_ in rows[:100] + [(i, t) for i, t, _ in odd]:
+        lang, rejected = plain(t)
+        assert (got[i].lang_pred, got[i].rejected) == (lang, rejected), i
     right = sum(got[i].lang_pred == lang for i, _, lang, *_ in rows)
     assert right >= 0.98 * len(rows)
     assert [got[i].lang_pred for i in range(5000, 5006)] == ["und", "und", "und", "cc", "bb", "aa"]
@@ -84,3 +121,6 @@ def test_language(spark):
     nothing = language_id.learn(docs.limit(0), F.lit(True))
     assert nothing == {} and {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), content).count() == 0
+    many = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    with pytest.raises(ValueError):
+        language_id.learn(many, F.lit(True))
