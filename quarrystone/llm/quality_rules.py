@@ -2,7 +2,8 @@ r"""Quality rules whose cutoffs are risk-controlled on labelled holdouts.
 
 Five rules look at one ratio each and reject a document at or above a cutoff. A cutoff is chosen per rule and
 stratum (language) so that, with confidence 1 - `DELTA` over all of them together, each stratum loses at most
-`ALPHA` of its good documents: the labelled documents are split by a hash of their id; on one half candidate
+`ALPHA` of its good documents. Of near copies among the labelled documents one counts, so that draws are independent
+(texts with the least or the largest hash of their word triples in common); they are split by that hash; on one half candidate
 cutoffs are rated by what they reject, on the other half they are certified with the exact binomial
 (Clopper-Pearson) bound. For a rule and stratum the candidates are tested from lenient to strict and the
 testing stops at the first failure, so the order needs no correction; over rules and strata the error
@@ -16,9 +17,10 @@ group of the histogram, at most 4 * (BINS + 1) rows, in a task of its own.
 from __future__ import annotations
 
 import math
-import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,6 +60,16 @@ def measure(text: bytes) -> list[int]:
     ]
 
 
+def ends(words: list[bytes]) -> tuple[int, int]:
+    """The least and the largest hash of the text's word triples (of all words together where there are fewer than three)."""
+    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    if len(h) < 3:
+        return (zlib.crc32(b" ".join(words)),) * 2
+    t = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] * np.uint64(0x165667B19E3779F9)
+    t = (t ^ (t >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)
+    return int(t.min()), int(t.max())
+
+
 def dup_lines(text: bytes) -> int:
     """Lines with a word that equal an earlier line."""
     lines = [line for line in text.split(b"\n") if line.strip()]
@@ -87,17 +99,25 @@ def repeat_words(words: list[bytes], n: int = 3) -> int:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """(doc, stratum, counts...) of every document. A null text has no words and one line."""
+    """(doc, stratum, counts..., lo, hi) of every document; lo and hi as in `ends`. A null text has no words and one line."""
     src = docs.select(F.col(id_col).alias("doc"), F.col(stratum_col).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    names = [*COUNTS, "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t.as_py()) for t in batch.column(2)]
-            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc", "stratum", *COUNTS])
+            rows = [(*measure(t), *ends(t.split())) for t in batch.column(2).to_pylist()]
+            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc", "stratum", *names])
 
     kinds = [f"{c} {src.schema[c].dataType.simpleString()}" for c in ("doc", "stratum")]
-    return src.mapInArrow(run, ", ".join(kinds + [f"{c} long" for c in COUNTS]))
+    return src.mapInArrow(run, ", ".join(kinds + [f"{c} long" for c in names]))
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Of rows with one `lo`, and then of those with one `hi`, the one with the smallest id."""
+    for key in ("lo", "hi"):
+        rows = rows.groupBy(key).agg(F.min(F.struct("doc", *[c for c in rows.columns if c not in ("doc", key)])).alias("first")).select(key, "first.*")
+    return rows
 
 
 def base_failed() -> Column:
@@ -112,10 +132,32 @@ def level(rule: str) -> Column:
 
 
 def tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X binomial(n, p): the exact test behind the Clopper-Pearson upper bound."""
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    """P(X <= k) for X binomial(n, p): the exact test behind the Clopper-Pearson upper bound.
+
+    It is the incomplete beta function I(1 - p; n - k, k + 1), by its continued fraction: some dozens of steps for any n.
+    """
+    if k >= n:
+        return 1.0
+    a, b, x = n - k, k + 1, 1 - p
+    if x > (a + 1) / (a + b + 2):  # where the fraction converges slowly its mirror image does not
+        return 1.0 - _beta(b, a, p)
+    return _beta(a, b, x)
+
+
+def _beta(a: float, b: float, x: float) -> float:
+    """The incomplete beta function for x up to about a / (a + b)."""
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(tiny, 1 - (a + b) * x / (a + 1))
+    value = d
+    for m in range(1, 100_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + term * d) or tiny)
+            c = (1 + term / c) or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return min(1.0, front * value)
 
 
 def certify(good: list[int], good_held: list[int], bad: list[int], alpha: float, delta: float) -> int | None:
@@ -136,9 +178,9 @@ def certify(good: list[int], good_held: list[int], bad: list[int], alpha: float,
 
 
 def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """labelled: (doc, stratum, quality, counts...) -> (stratum, one column per rule: the cutoff's level or null)."""
-    rated = F.pmod(F.xxhash64(F.lit("half"), "doc"), F.lit(2)) == 0
-    rows = labelled.where(F.col("quality").isin(0, 1) & ~base_failed()).select(
+    """labelled: (doc, stratum, quality, counts..., lo, hi) -> (stratum, one column per rule: the cutoff's level or null)."""
+    rated = F.pmod("lo", F.lit(2)) == 0
+    rows = without_copies(labelled.where(F.col("quality").isin(0, 1) & ~base_failed())).select(
         F.coalesce(F.col("stratum").cast("string"), F.lit("")).alias("stratum"), "quality", rated.alias("rated"),
         F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("bin")) for r in RULES])).alias("x"),
     )
@@ -164,12 +206,14 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(doc, stratum, counts..., base_failed, rejected_by, kept) per document.
 
     `rejected_by` lists the rules that reject it. Defined cases: null and empty texts have no words and fail
-    the base; null is a stratum of its own; labels that are null, or of ids that no document has, take no
-    part; a document labelled twice counts twice in the holdout; rows with equal ids are judged each by its own
-    text; an empty table gives an empty table; further columns are not read.
+    the base; null is a stratum of its own; labels that are null, of ids that no document has, or that
+    contradict each other take no part; a document labelled twice counts once in the holdout, and so do copies; rows with
+    equal ids are judged each by its own text; very long texts are read to their end; an empty table gives an empty
+    table; further columns are not read.
     """
     rows = stored(measured(docs, id_col, text_col, stratum_col), "rules-counts")
-    own = labels.select(F.col(id_col).alias("doc"), F.col("quality").cast("int").alias("quality")).where("quality is not null")
+    own = labels.select(F.col(id_col).alias("doc"), F.col("quality").cast("int").alias("quality")).where("doc is not null and quality is not null")
+    own = own.groupBy("doc").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     cuts = cutoffs(rows.join(own, "doc"), alpha, delta).withColumnRenamed("stratum", "of")
     out = rows.join(cuts, F.coalesce(F.col("stratum").cast("string"), F.lit("")) == F.col("of"), "left")
     hit = [F.when(F.coalesce(level(r) >= F.col(r), F.lit(False)), F.lit(r)) for r in RULES]

@@ -1,7 +1,8 @@
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 import zstandard
@@ -42,6 +43,13 @@ def test_binomial_tail_and_certify():
     for n, p in ((1, 0.3), (20, 0.1), (300, 0.01)):
         for k in (0, 1, min(n, 5)):
             assert math.isclose(Q.tail(k, n, p), min(1, sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))), rel_tol=1e-9)
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randint(1, 400)
+        k, p = rng.randint(0, n), rng.choice([0.01, 0.05, 0.3, 0.9])
+        want = float(sum(Fraction(math.comb(n, i)) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k + 1)))
+        assert math.isclose(Q.tail(k, n, p), want, rel_tol=1e-8, abs_tol=1e-13), (n, k, p)
+    assert 0.4 < Q.tail(10**7, 10**9, 0.01) < 0.6 and Q.tail(10**7 - 10**5, 10**9, 0.01) < 1e-100
     zero = [0] * (Q.BINS + 1)
     at = lambda **x: [x.get(f"b{i}", 0) for i in range(Q.BINS + 1)]
     assert Q.certify(at(b0=1000), at(b0=1000), at(b150=90, b0=10), 0.01, 0.0025) == 150
@@ -50,6 +58,41 @@ def test_binomial_tail_and_certify():
     assert Q.certify(zero, zero, zero, 0.01, 0.0025) is None
 
 
+def plain_kept(rows, labels):
+    """The whole rule by lists and exact fractions: doc -> kept, for rows of one text each."""
+    stats, by = {}, defaultdict(set)
+    for i, t, lang, *_ in rows:
+        m = dict(zip(Q.COUNTS, Q.measure((t or "").encode())))
+        failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
+        at = {r: min(Q.BINS, Q.BINS * m[p] // m[w]) if m[w] else 0 for r, (p, w) in Q.RULES.items()}
+        stats[i] = (lang or "", failed, at, Q.ends((t or "").encode().split()))
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            by[i].add(q)
+    held = [(i, min(q)) for i, q in sorted(by.items()) if len(q) == 1 and i in stats and not stats[i][1]]
+    for side in (0, 1):
+        first = {}
+        for i, q in held:
+            first.setdefault(stats[i][3][side], (i, q))
+        held = sorted(first.values())
+    tests = len({stats[i][0] for i, _ in held}) * len(Q.RULES)
+    cut = {}
+    for lang in {stats[i][0] for i, _ in held}:
+        for r in Q.RULES:
+            level = lambda q, halves: [stats[i][2][r] for i, y in held if stats[i][0] == lang and y == q and stats[i][3][0] % 2 in halves]  # noqa: B023, E731
+            good, tested, bad = level(1, (0,)), level(1, (1,)), level(0, (0, 1))
+            best, worth, p = None, 0, Fraction(Q.ALPHA / len(Q.RULES))
+            for c in range(Q.BINS, 0, -1):
+                k, n = sum(x >= c for x in tested), len(tested)
+                if not n or sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) > Q.DELTA / tests:
+                    break
+                value = sum(x >= c for x in bad) / max(1, len(bad)) - 10 * sum(x >= c for x in good) / max(1, len(good))
+                if value > worth + 1e-12:
+                    best, worth = c, value
+            cut[lang, r] = best
+    return {i: not failed and not any(cut.get((lang, r)) is not None and at[r] >= cut[lang, r] for r in Q.RULES) for i, (lang, failed, at, _) in stats.items()}
+
+
 def test_judge(spark):
     rng = random.Random(4)
     rows, labels = [], []
@@ -59,7 +102,9 @@ def test_judge(spark):
         text = prose(rng, "aa", 70)
         rows.append((i, text.replace(" ", "### ") if bad else text, lang, "s", "t", 0))
         labels.append((i, int(not bad), 0))
-    rows += [(9000, None, "aa", "", "", 0), (9001, "", None, "", "", 0), (9002, "w " * 60, "zz", "", "", 0), (9003, prose(rng, "aa", 60), "zz", "", "", 0)]
+    rows += [(9000, None, "aa", "", "", 0), (9001, "", None, "", "", 0), (9002, "w " * 60, "zz", "", "", 0), (9003, prose(rng, "aa", 60), "zz", "", "", 0), (9004, prose(rng, "aa", 60_000), "aa", "", "", 0)]
+    rows += [(10_000 + i, rows[5][1], "aa", "", "", 0) for i in range(300)]  # copies of one junk text, labelled good
+    labels += [(10_000 + i, 1, 0) for i in range(300)] + [(10, 1, 0), (12, 1, 0)]  # 10 is labelled both ways, 12 twice
     labels += [(None, 1, 0), (77_777, 1, 0), (1, None, 0)]
     docs, lab = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {r.doc: r for r in Q.judge(docs, lab).collect()}
@@ -68,7 +113,9 @@ def test_judge(spark):
     assert got[9003].kept  # a stratum without labels loses nothing
     lost = [i for i, q, _ in labels[:3000] if q and not got[i].kept]
     assert len(lost) <= 0.05 * 2400
-    assert sum(not got[i].kept for i in range(0, 3000, 5)) > 430  # the null stratum has too few labels for a cutoff
+    junk = {lang: [got[i].kept for i in range(0, 3000, 5) if rows[i][2] == lang] for lang in ("aa", None)}
+    assert not any(junk["aa"]) and all(junk[None])  # the null stratum has too few labels for a cutoff
+    assert {i: r.kept for i, r in got.items()} == plain_kept(rows, labels)
     assert Q.judge(docs.limit(0), lab).count() == 0 and Q.judge(docs, lab.limit(0)).where("kept").count() > 2900
 
 
