@@ -1,15 +1,19 @@
 r"""Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, reported speech, other). Small transducers read the
-symbols of a clause: negation discounts what follows within a few words, reported speech discounts the rest
-of the clause, a target beside an insult adds to it, a threat counts only together with a target. They are
-composed into one machine, built once; it runs over those clauses only that hold an insult or a threat. A
-document's evidence is the sum over its matched clauses, not over isolated words, and a logistic curve fitted
-to labelled documents turns it into a score.
+Words become symbols (insult, threat, target, negation, reported speech, other). Five transducers read them. Three
+rewrite: negation marks the insults and threats that follow within a few words, reported speech those in the rest of
+the clause, target those that come after a person is named. Two accept: a path of the insult machine picks one
+insult, a path of the threat machine one threat in a clause that names a person, before or after it, and the arc that
+picks weighs the word by its marks. They are composed, rewriters first and then the union of the acceptors, into one
+table built once; the weight of a clause is the sum over its accepting paths. A document's evidence is the sum over
+its matched clauses, not over isolated words, and a logistic curve fitted to labelled documents turns the logarithm
+of it into a score.
 
 The insult lexicon is learned: words and word beginnings that are significantly over-represented in documents
 labelled toxic, weighted by log-odds. It is fitted on a bounded sample (`PER_CLASS` labelled documents of each
-class), counted by Spark; scoring reads every document whole, in Arrow batches, without a shuffle.
+class), counted by Spark; scoring reads every document whole, in Arrow batches, without a shuffle. Near copies count
+once in the sample and an entry must pass Bonferroni's bound, which keeps clean documents out of the lexicon; the
+price is that with a few dozen toxic labels rare insults are not learned (see the README for recall).
 """
 
 from __future__ import annotations
@@ -17,8 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import product
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,20 +35,22 @@ from quarrystone.storage import stored
 
 #: Bound of the training sample: labelled documents of each class.
 PER_CLASS = 5000
-#: Bound of the lexicon: entries kept, by strength of evidence.
-LEXICON = 4000
 CUTOFF = 0.7
 
-#: Word lists (fixed values).
-TARGETS = "you your yours yourself u ur he she they them him her du dich dir euch ihr sie tu te toi vous tú ti usted ustedes vosotros".split()
-THREATS = "kill murder hurt destroy stab strangle shoot töten umbringen verletzen tuer frapper détruire matar golpear destruir".split()
-NEGATIONS = "not never isn't aren't don't nicht kein keine niemals pas jamais ni nunca jamás".split()
-REPORTS = "said says say wrote writes called quoted alleged sagte schrieb nannte dit écrit déclaré dijo escribió llamó".split()
+#: Word lists and endings (fixed values): a verb is a stem with one of the endings.
+TARGETS = "you your yours yourself yourselves u ur he she they them him her his their du dich dir dein deine euch ihr ihn ihm sie tu te toi vous lui leur tú ti tu usted ustedes vosotros".split()
+THREATS = "kill murder hurt destroy stab strangl shoot beat töt ermord umbring verletz erwürg tu frapp détrui étrangl mat golpe destru asesin".split()
+NEGATIONS = "not never isn't aren't don't won't wasn't nicht kein keine keinen niemals nie pas jamais ni nunca jamás".split()
+REPORTS = "said say wrote writ call quot alleg claim report sag schrieb schreib nannt behaupt dit écri déclar affirm dijo dice escrib llam afirm".split()
+ENDINGS = "e s es ed d ing er ers en n t st te ten et é ée és ées er ez ent ait ant re it ar aron ó o a as an aba ado ada ando ir ir en ió iendo ten".split()
+#: What a threat weighs, and what each mark does to a weight.
+THREAT_WEIGHT, NEGATED_GAIN, REPORTED_GAIN, DIRECTED_GAIN = 2.0, 0.4, 0.6, 1.25
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 CLAUSE = re.compile(r"[^.,;:!?\n|()\[\]{}\"“”«»]+")
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+KINDS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+NEGATED, REPORTED, DIRECTED = 8, 16, 32  # marks that are added to a kind
 
 
 def beginnings(word: str) -> list[str]:
@@ -52,74 +58,130 @@ def beginnings(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in (4, 5, 6) if len(word) > k)] if len(word) > 2 else []
 
 
-# Transducers: state, symbol -> next state, and the gain put on an insult or threat read in that state.
-def negation(state: int, symbol: int) -> tuple[int, float]:
-    """States 0..3: words left in which a negation reaches."""
-    return (3 if symbol == NEGATION else max(0, state - 1)), (0.4 if state else 1.0)
+def forms(stems: list[str]) -> set[str]:
+    """The stems with and without each ending."""
+    return {stem + end for stem in stems for end in ["", *ENDINGS]}
 
 
-def reported(state: int, symbol: int) -> tuple[int, float]:
-    """State 1: reported speech since a verb of saying."""
-    return (1 if symbol == REPORT or state else 0), (0.6 if state else 1.0)
+@dataclass(frozen=True)
+class Transducer:
+    """arcs(state, symbol) gives (next state, output, weight, whether the word's own weight counts too)."""
 
+    start: object
+    arcs: Callable[[object, int], list[tuple[object, int, float, bool]]]
+    final: Callable[[object], float]
 
-def targeted(state: int, symbol: int) -> tuple[int, float]:
-    """State 1: the clause has named a person."""
-    return (1 if symbol == TARGET or state else 0), (1.25 if state else 1.0)
 
+def rewriter(mark: int, after: Callable[[int, int], int]) -> Transducer:
+    """Marks insults and threats read in any state but 0; `after` gives the next state."""
 
-def compose(*machines) -> dict[tuple[tuple[int, ...], int], tuple[tuple[int, ...], float]]:
-    """The product machine: states are tuples, gains multiply. Only states reachable from all zeros are built."""
-    start = (0,) * len(machines)
-    table_, todo = {}, [start]
-    while todo:
-        state = todo.pop()
-        if (state, OTHER) in table_:
-            continue
-        for symbol in range(6):
-            steps = [m(s, symbol) for m, s in zip(machines, state)]
-            nxt = tuple(s for s, _ in steps)
-            table_[state, symbol] = nxt, math.prod(g for _, g in steps)
-            todo.append(nxt)
-    return table_
+    def arcs(state, symbol):
+        marked = symbol | mark if state and symbol % 8 in (INSULT, THREAT) else symbol
+        return [(after(state, symbol % 8), marked, 1.0, False)]
 
+    return Transducer(0, arcs, lambda state: 1.0)
 
-GRAMMAR = compose(negation, reported, targeted)
-CLASSES = {w: c for c, ws in ((TARGET, TARGETS), (THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
 
+def gain(symbol: int) -> float:
+    return math.prod(g for mark, g in ((NEGATED, NEGATED_GAIN), (REPORTED, REPORTED_GAIN), (DIRECTED, DIRECTED_GAIN)) if symbol & mark)
 
-def clause_weight(words: list[str], insult: dict[str, float]) -> float:
-    """What the grammar gives one clause: the gains on its insults, and on threats if a person is named."""
-    state, total, threat, target = (0, 0, 0), 0.0, 0.0, False
-    for word in words:
-        weight = max((insult[b] for b in beginnings(word) if b in insult), default=0.0)
-        symbol = INSULT if weight else CLASSES.get(word, OTHER)
-        state_gain = GRAMMAR[state, symbol]
-        if symbol == INSULT:
-            total += weight * state_gain[1]
-        elif symbol == THREAT:
-            threat += 2.0 * state_gain[1]
-        target |= symbol == TARGET
-        state = state_gain[0]
-    return total + (threat if target else 0.0)
+
+def insult_arcs(state: int, symbol: int) -> list[tuple[int, int, float, bool]]:
+    """State 1: an insult is picked."""
+    return [(state, symbol, 1.0, False)] + [(1, symbol, gain(symbol), True)] * (state == 0 and symbol % 8 == INSULT)
+
+
+def threat_arcs(state: int, symbol: int) -> list[tuple[int, int, float, bool]]:
+    """State 1: a threat is picked and a person still to be named; state 2: both are there."""
+    stay = 2 if state == 1 and symbol % 8 == TARGET else state
+    pick = [(2 if symbol & DIRECTED else 1, symbol, gain(symbol), True)] if state == 0 and symbol % 8 == THREAT else []
+    return [(stay, symbol, 1.0, False), *pick]
+
+
+NEGATION_SCOPE = rewriter(NEGATED, lambda state, kind: 3 if kind == NEGATION else max(0, state - 1))
+REPORTED_SPEECH = rewriter(REPORTED, lambda state, kind: 1 if state or kind == REPORT else 0)
+NAMED_TARGET = rewriter(DIRECTED, lambda state, kind: 1 if state or kind == TARGET else 0)
+INSULTS = Transducer(0, insult_arcs, lambda state: float(state == 1))
+THREATENED = Transducer(0, threat_arcs, lambda state: float(state == 2))
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """b reads what a writes; weights multiply."""
+
+    def arcs(state, symbol):
+        return [((x, y), out, v * w, p or q) for x, mid, v, p in a.arcs(state[0], symbol) for y, out, w, q in b.arcs(state[1], mid)]
+
+    return Transducer((a.start, b.start), arcs, lambda state: a.final(state[0]) * b.final(state[1]))
+
+
+def union(a: Transducer, b: Transducer) -> Transducer:
+    """The paths of either; the state says whose, none before the first word."""
+
+    def arcs(state, symbol):
+        own = [(0, a, a.start), (1, b, b.start)] if state is None else [(state[0], (a, b)[state[0]], state[1])]
+        return [((k, x), out, w, p) for k, m, s in own for x, out, w, p in m.arcs(s, symbol)]
+
+    return Transducer(None, arcs, lambda state: 0.0 if state is None else (a, b)[state[0]].final(state[1]))
+
+
+def tabled(machine: Transducer) -> tuple[list[list[list[tuple[int, float, bool]]]], list[float]]:
+    """Reachable states by number: arcs of (state, kind), and final weights. State 0 is the start."""
+    number, todo, arcs, final = {machine.start: 0}, [machine.start], [], []
+    for state in todo:  # grows while it is read
+        final.append(machine.final(state))
+        rows = []
+        for kind in KINDS:
+            row = []
+            for nxt, _, w, own in machine.arcs(state, kind):
+                if nxt not in number:
+                    number[nxt] = len(todo)
+                    todo.append(nxt)
+                row.append((number[nxt], w, own))
+            rows.append(row)
+        arcs.append(rows)
+    return arcs, final
+
+
+GRAMMAR, FINAL = tabled(compose(compose(compose(NEGATION_SCOPE, REPORTED_SPEECH), NAMED_TARGET), union(INSULTS, THREATENED)))
+CLASSES = dict.fromkeys(forms(REPORTS), REPORT) | dict.fromkeys(forms(THREATS), THREAT) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(TARGETS, TARGET)
+
+
+def clause_weight(read: list[tuple[int, float]]) -> float:
+    """The sum over the grammar's accepting paths; read: (kind, the word's own weight)."""
+    paths = {0: 1.0}
+    for kind, own in read:
+        ahead: dict[int, float] = {}
+        for state, weight in paths.items():
+            for nxt, w, counts in GRAMMAR[state][kind]:
+                ahead[nxt] = ahead.get(nxt, 0.0) + weight * w * (own if counts else 1.0)
+        paths = ahead
+    return sum(weight * FINAL[state] for state, weight in paths.items())
 
 
 class Lexicon:
-    """The learned insult weights, with the quick test that skips clauses without any match."""
+    """The learned insult weights, with the quick test that skips texts and clauses without any match."""
 
     def __init__(self, insult: dict[str, float]):
         self.insult = insult
-        self.heads = {k[:3] for k in insult} | {w[:3] for w in THREATS}
+        self.heads = {k[:3] for k in insult} | {w[:3] for w, kind in CLASSES.items() if kind == THREAT}
+
+    def read(self, word: str) -> tuple[int, float]:
+        """(kind, own weight) of a word; a learned insult comes before the lists."""
+        weight = max((self.insult[b] for b in beginnings(word) if b in self.insult), default=0.0)
+        kind = INSULT if weight else CLASSES.get(word, OTHER)
+        return kind, weight if weight else THREAT_WEIGHT * (kind == THREAT)
 
     def evidence(self, text: str) -> float:
         low, heads = text.lower(), self.heads
-        if not any(w[:3] in heads for w in set(WORD.findall(low))):
+        hot = {w for w in set(WORD.findall(low)) if w[:3] in heads}
+        hot = {w for w in hot if self.read(w)[0] in (INSULT, THREAT)}
+        if not hot:
             return 0.0
         total = 0.0
         for clause in CLAUSE.findall(low):
             words = WORD.findall(clause)
-            if any(w[:3] in heads for w in words):
-                total += clause_weight(words, self.insult)
+            if not hot.isdisjoint(words):
+                total += clause_weight([self.read(w) for w in words])
         return total
 
 
@@ -130,7 +192,7 @@ def count_beginnings(sample: DataFrame) -> DataFrame:
         for b in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for y, text in zip(b["y"], b["text"]):
-                counts[int(y == 1)].update({x for w in set(WORD.findall(text.lower())) if len(w) <= 40 for x in beginnings(w)})
+                counts[int(y == 1)].update({x for w in set(WORD.findall(text.lower())) for x in beginnings(w)})
             items = list(set(counts[0]) | set(counts[1]))
             yield pd.DataFrame({"item": items, "toxic": [counts[1][i] for i in items], "clean": [counts[0][i] for i in items]})
 
@@ -153,7 +215,10 @@ def without_copies(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Lexicon, float, float]:
-    """Lexicon and the logistic curve (slope, intercept). Without labels of both classes: no lexicon, scores low."""
+    """Lexicon and the logistic curve (slope, intercept). Without labels of both classes: no lexicon, scores low.
+
+    Null labels, null ids and ids labelled both ways take no part, near copies in the sample count once.
+    """
     sample = without_copies(labelled_texts(docs, labelled_sample(labels, "toxic", train, per_class, id_col), id_col, text_col))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(4)) == 0  # a quarter is left to fit the curve on
     n = {r["y"]: r["n"] for r in sample.where(~fold).groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -169,16 +234,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_
     found = (
         counts.where(F.col("toxic") >= 3).select("item", "toxic", odds.alias("odds"), unlikely.alias("unlikely"))
         .where((F.col("odds") >= 3.0) & (F.col("unlikely") >= math.log(2 * max(1, counts.count()))))  # Bonferroni: half a false entry expected
-        .orderBy(F.desc("unlikely"), "item").limit(LEXICON)
     )
     lexicon = Lexicon({r["item"]: float(r["odds"]) for r in found.collect()})
     evidence = F.pandas_udf(lambda s: s.map(lexicon.evidence), "double")
-    bins = sample.where(fold).select("y", F.least(F.floor(evidence("text") * 2), F.lit(200)).alias("bin")).groupBy("y", "bin").agg(F.count("*").alias("n")).collect()
+    bins = sample.where(fold).select("y", F.floor(F.log1p(evidence("text")) * 8).alias("bin")).groupBy("y", "bin").agg(F.count("*").alias("n")).collect()
     of = {c: max(1, sum(r["n"] for r in bins if r["y"] == c)) for c in (0, 1)}
-    x = np.array([r["bin"] / 2 for r in bins], dtype=float)
+    x = np.array([r["bin"] / 8 for r in bins], dtype=float)
     y = np.array([r["y"] for r in bins], dtype=float)
     w = np.array([r["n"] / of[r["y"]] for r in bins], dtype=float)
-    return lexicon, *logistic(np.minimum(x, 12.0), y, w)
+    return lexicon, *logistic(x, y, w)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -199,11 +263,15 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -
 
 
 def score(text: Column, model: tuple[Lexicon, float, float]) -> Column:
-    """Toxicity of a text, 0 to 1. Null and empty texts have no evidence and get the curve's lowest value."""
+    """Toxicity of a text, 0 to 1, of each row by its own text.
+
+    Null and empty texts have no evidence and get the curve's lowest value; very long texts are read to their end; equal
+    texts, repeated rows among them, get equal scores; an empty table has no score.
+    """
     lexicon, a, b = model
 
     def run(s: pd.Series) -> pd.Series:
-        x = np.minimum(s.map(lexicon.evidence).to_numpy(dtype=float), 12.0)
+        x = np.log1p(s.map(lexicon.evidence).to_numpy(dtype=float))
         return pd.Series(1 / (1 + np.exp(-(a * x + b))))
 
     return F.pandas_udf(run, "double")(F.coalesce(text, F.lit("")))
@@ -220,6 +288,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not rejected as toxic. Rows are kept as they are, repeated rows included."""
+    """The documents that are not rejected as toxic, rows and columns as they are.
+
+    Defined cases: null and empty texts stay; rows with equal ids are judged each by its own text; a document at the
+    cutoff goes; without labels of both classes all stay; an empty table gives an empty table; further columns travel along.
+    """
     labels = table(spark, sf_dir, "labels")
     return docs.where(score(F.col("text"), fit(docs, labels, ~held_out(F.col("doc_id")))) < CUTOFF)

@@ -1,6 +1,7 @@
 import functools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -40,16 +41,39 @@ def frames(spark):
     return spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL)
 
 
+def plain_clause(read):
+    """What the grammar says in words: each insult, and each threat of a clause with a target, times the gains that hold where it stands."""
+    total = 0.0
+    for i, (kind, own) in enumerate(read):
+        before = [k for k, _ in read[:i]]
+        g = (0.4 if T.NEGATION in before[-3:] else 1) * (0.6 if T.REPORT in before else 1) * (1.25 if T.TARGET in before else 1)
+        if kind == T.INSULT or kind == T.THREAT and T.TARGET in [k for k, _ in read]:
+            total += g * own
+    return total
+
+
+def plain_evidence(lex, text):
+    total = 0.0
+    for clause in re.split(r"[.,;:!?\n|()\[\]{}\"“”«»]", text.lower()):
+        total += plain_clause([lex.read(w) for w in T.WORD.findall(clause)])
+    return total
+
+
 def test_grammar():
-    insult = {"idiot$": 4.0, "zurg": 3.0}
-    w = lambda s: T.clause_weight(s.split(), insult)
+    rng = random.Random(3)
+    for _ in range(2000):
+        read = [(rng.choice(T.KINDS), rng.choice([1.0, 2.0, 3.5])) for _ in range(rng.randint(0, 9))]
+        assert math.isclose(T.clause_weight(read), plain_clause(read)), read
+    lex = T.Lexicon({"idiot$": 4.0, "zurg": 3.0})
+    w = lambda s: T.clause_weight([lex.read(x) for x in s.split()])
     assert w("quite harmless words") == 0 and w("the idiot") == 4.0 and w("some zurgling") == 3.0
     assert w("you are an idiot") > w("the idiot") > w("she wrote idiot") and w("not an idiot") < w("an idiot")
     assert w("not one two three four idiot") == w("idiot")  # out of the negation's reach
-    assert w("kill the process") == 0 and w("i will kill you") > 0
+    assert w("kill the process") == 0 and w("i will kill you") > 0 and w("he killed") > 0 and w("i am killing you") > 0
     assert math.isclose(w("you said not idiot"), 4.0 * 1.25 * 0.6 * 0.4)
-    lex = T.Lexicon(insult)
     assert lex.evidence("Idiot! idiot. " * 2) == 16.0 and lex.evidence("") == 0
+    long = "x" * 60 + " idiot, " + "word " * 50_000 + "you idiot"
+    assert math.isclose(lex.evidence(long), plain_evidence(lex, long))
 
 
 def test_toxicity(spark):
@@ -60,6 +84,11 @@ def test_toxicity(spark):
     held = [r for r in got if r.h and r.doc_id is not None and r.doc_id < 900]
     assert all((r.s >= T.CUTOFF) == (r.doc_id % 6 == 0) for r in held)
     assert all(r.s < T.CUTOFF for r in got if r.doc_id in (5000, 5001, 5002))
+    lexicon, a, b = model
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        if r.doc_id:
+            assert math.isclose(r.s, 1 / (1 + math.exp(-(a * math.log1p(plain_evidence(lexicon, texts[r.doc_id] or "")) + b))), rel_tol=1e-9)
     none = T.fit(docs, labels.limit(0), F.lit(True))
     assert all(r.s < T.CUTOFF for r in docs.select(T.score(F.col("text"), none).alias("s")).collect())
     assert docs.limit(0).select(T.score(F.col("text"), model)).count() == 0
