@@ -39,10 +39,11 @@ CUTOFF = 0.7
 
 #: Word lists and endings (fixed values): a verb is a stem with one of the endings.
 TARGETS = "you your yours yourself yourselves u ur he she they them him her his their du dich dir dein deine euch ihr ihn ihm sie tu te toi vous lui leur tú ti tu usted ustedes vosotros".split()
-THREATS = "kill murder hurt destroy stab strangl shoot beat töt ermord umbring verletz erwürg tu frapp détrui étrangl mat golpe destru asesin".split()
+THREATS = "kill murder hurt destroy stab strangl shoot töt ermord umbring verletz erwürg frapp détrui étrangl golpe destru asesin".split()
+THREAT_WORDS = "tuer tue tuez tuerai tuerais matar mataré mataría".split()  # stems too short for endings
 NEGATIONS = "not never isn't aren't don't won't wasn't nicht kein keine keinen niemals nie pas jamais ni nunca jamás".split()
 REPORTS = "said say wrote writ call quot alleg claim report sag schrieb schreib nannt behaupt dit écri déclar affirm dijo dice escrib llam afirm".split()
-ENDINGS = "e s es ed d ing er ers en n t st te ten et é ée és ées er ez ent ait ant re it ar aron ó o a as an aba ado ada ando ir ir en ió iendo ten".split()
+ENDINGS = "e s es ed d ing er ers en n t st te ten et é ée és ées er ez ent ait ant re it ar aron ó o a as an aba ado ada ando ir ir en ió iendo".split()
 #: What a threat weighs, and what each mark does to a weight.
 THREAT_WEIGHT, NEGATED_GAIN, REPORTED_GAIN, DIRECTED_GAIN = 2.0, 0.4, 0.6, 1.25
 
@@ -143,7 +144,7 @@ def tabled(machine: Transducer) -> tuple[list[list[list[tuple[int, float, bool]]
 
 
 GRAMMAR, FINAL = tabled(compose(compose(compose(NEGATION_SCOPE, REPORTED_SPEECH), NAMED_TARGET), union(INSULTS, THREATENED)))
-CLASSES = dict.fromkeys(forms(REPORTS), REPORT) | dict.fromkeys(forms(THREATS), THREAT) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(TARGETS, TARGET)
+CLASSES = dict.fromkeys(forms(REPORTS), REPORT) | dict.fromkeys([*forms(THREATS), *THREAT_WORDS], THREAT) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(TARGETS, TARGET)
 
 
 def clause_weight(read: list[tuple[int, float]]) -> float:
@@ -238,7 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_
     lexicon = Lexicon({r["item"]: float(r["odds"]) for r in found.collect()})
     evidence = F.pandas_udf(lambda s: s.map(lexicon.evidence), "double")
     bins = sample.where(fold).select("y", F.floor(F.log1p(evidence("text")) * 8).alias("bin")).groupBy("y", "bin").agg(F.count("*").alias("n")).collect()
-    of = {c: max(1, sum(r["n"] for r in bins if r["y"] == c)) for c in (0, 1)}
+    # each class weighs as much as it has labels in all, so the curve knows how rare toxic documents are
+    labelled = {r["y"]: r["n"] for r in labels.where(train & F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    of = {c: max(1, sum(r["n"] for r in bins if r["y"] == c)) * sum(labelled.values()) / max(1, labelled.get(c, 0)) for c in (0, 1)}
     x = np.array([r["bin"] / 8 for r in bins], dtype=float)
     y = np.array([r["y"] for r in bins], dtype=float)
     w = np.array([r["n"] / of[r["y"]] for r in bins], dtype=float)
