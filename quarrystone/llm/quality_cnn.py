@@ -25,7 +25,8 @@ from quarrystone.llm.common import id_crc, labelled_sample, labelled_texts, tabl
 PER_CLASS = 1000
 #: Bytes of a chunk, its overlap with the next, the filter's width and stride, numbers of a byte, filters and hidden units.
 CHUNK, OVERLAP, WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 256, 16, 8, 2, 6, 24, 16
-EPOCHS, BATCH, RATE = 8, 32, 0.004
+#: Epochs and, for small samples, steps at least; documents of a step; first step size.
+EPOCHS, STEPS, BATCH, RATE = 8, 300, 32, 0.004
 CUTOFF = 0.3
 #: Chunks that are convolved in one go, counted from the start of a text: bounds memory for very long texts.
 AT_ONCE = 256
@@ -64,10 +65,13 @@ class Net:
         v = np.lib.stride_tricks.as_strided(e, (len(chunks), POSITIONS, WIDTH * EMBED), (e.strides[0], STRIDE * EMBED * e.itemsize, e.itemsize))
         return np.ascontiguousarray(v).reshape(-1, WIDTH * EMBED)
 
+    def convolved(self, chunks: np.ndarray) -> np.ndarray:
+        """(FILTERS, chunks, positions)."""
+        return (self.filters.T @ self.windows(chunks).T).reshape(FILTERS, len(chunks), POSITIONS)
+
     def pooled(self, chunks: np.ndarray) -> np.ndarray:
         """(chunks, FILTERS) after ReLU and max-pooling over positions."""
-        c = (self.windows(chunks) @ self.filters).reshape(len(chunks), POSITIONS, FILTERS).max(axis=1)
-        return np.maximum(c + self.bias, 0)
+        return np.maximum(self.convolved(chunks).max(axis=2).T + self.bias, 0)
 
     def probability(self, text: bytes) -> float:
         chunks = chunked(text)
@@ -79,22 +83,22 @@ class Net:
         x = np.concatenate([(total / len(chunks)).astype(np.float32), most])
         return float(sigmoid(np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2[0]))
 
-    def gradients(self, chunks: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean log loss over documents; `sizes` chunks belong to each document in turn."""
+    def gradients(self, chunks: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
+        """Of the mean weighted log loss over documents; `sizes` chunks belong to each document in turn."""
         n = len(chunks)
         where, p = np.empty((n, FILTERS), np.int64), np.empty((n, FILTERS), self.filters.dtype)
         for i in range(0, n, AT_ONCE):
             part = chunks[i : i + AT_ONCE]
-            c = (self.windows(part) @ self.filters).reshape(len(part), POSITIONS, FILTERS)
-            where[i : i + AT_ONCE] = c.argmax(axis=1)
-            p[i : i + AT_ONCE] = np.maximum(c.max(axis=1) + self.bias, 0)
+            c = self.convolved(part)
+            where[i : i + AT_ONCE] = c.argmax(axis=2).T
+            p[i : i + AT_ONCE] = np.maximum(c.max(axis=2).T + self.bias, 0)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         doc = np.repeat(np.arange(len(sizes)), sizes)
         mean = np.add.reduceat(p, starts, axis=0) / sizes[:, None]
         most = np.maximum.reduceat(p, starts, axis=0)
         x = np.concatenate([mean, most], axis=1).astype(np.float32)
         h = np.maximum(x @ self.w1 + self.b1, 0)
-        d = ((sigmoid(h @ self.w2 + self.b2[0]) - y) / len(y)).astype(np.float32)
+        d = (weight * (sigmoid(h @ self.w2 + self.b2[0]) - y) / len(y)).astype(np.float32)
         g = {"w2": h.T @ d, "b2": np.array([d.sum()], np.float32)}
         dh = np.outer(d, self.w2) * (h > 0)
         g["w1"], g["b1"] = x.T @ dh, dh.sum(axis=0)
@@ -122,17 +126,19 @@ def sigmoid(x):
 
 
 def train(parts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Net:
-    """Adam over shuffled batches of documents; `parts` has the chunks of each."""
+    """Adam over shuffled batches of documents, both classes of one weight; `parts` has the chunks of each."""
     net, rng = Net(seed), np.random.default_rng(seed)
     mean = {n: np.zeros_like(getattr(net, n)) for n in Net.NAMES}
     square = {n: np.zeros_like(getattr(net, n)) for n in Net.NAMES}
-    step = 0
+    share = y.mean()
+    weight = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share))
+    step, epochs = 0, max(epochs, -(-STEPS * BATCH // len(parts)))
     for epoch in range(epochs):
         order = rng.permutation(len(parts))
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
             sizes = np.array([len(parts[k]) for k in pick])
-            g = net.gradients(np.concatenate([parts[k] for k in pick]), sizes, y[pick])
+            g = net.gradients(np.concatenate([parts[k] for k in pick]), sizes, y[pick], weight[pick])
             step += 1
             for n in Net.NAMES:
                 mean[n] = 0.9 * mean[n] + 0.1 * g[n]
