@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_named: dict[str, str] = {}  # path of a sorted run -> its table's name
 MARK = "quarrystone"
 
 
@@ -49,6 +50,25 @@ def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sorted_run(df: DataFrame, label: str, buckets: int, *cols: str) -> DataFrame:
+    """Like `stored`, in one file for each of `buckets` buckets of the columns' hash, sorted by them, and known to Spark as such.
+
+    A merge join on `cols` with rows that a shuffle of as many partitions has dealt by them neither shuffles nor sorts a run.
+    """
+    spark = df.sparkSession
+    path, name = shared_dir(spark, label), f"run_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # one file a bucket, so the order can be used
+    df.repartition(buckets, *cols).write.bucketBy(buckets, *cols).sortBy(*cols).option("path", path).saveAsTable(name)
+    _named[path] = name
+    return spark.table(name)
+
+
+def plain(run: DataFrame) -> DataFrame:
+    """The rows of a `sorted_run` without what Spark knows of their order: a union of bucketed tables would pass for a bucketed one."""
+    files = run.inputFiles()
+    return run.sparkSession.read.schema(run.schema).parquet(files[0].rpartition("/")[0]) if files else run
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files behind `stored` tables that nothing will read again."""
     for df in tables:
@@ -56,7 +76,10 @@ def forget(*tables: DataFrame) -> None:
         if files:
             root, _, rest = files[0].partition(f"/{MARK}/")
             app, label = rest.split("/")[:2]
-            _delete(df.sparkSession, f"{root}/{MARK}/{app}/{label}")
+            path = f"{root}/{MARK}/{app}/{label}"
+            for known in [k for k in _named if k.endswith(f"/{MARK}/{app}/{label}")]:
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {_named.pop(known)}")
+            _delete(df.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
