@@ -1,11 +1,12 @@
 r"""Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table (h1, h2, n_docs, owner), one row per line key, hash-partitioned and sorted by the
-128-bit key hash. Documents come in batches of descending id, so the first batch that holds a key also holds
-its largest document. A new batch reduces its lines to one row per key and merge-anti-joins the entries of
-the runs that are already decided (in `min_docs` documents or more: owner and verdict cannot change any
-more); what is left becomes its own run on level 0. When a level has `fanout` runs they are merged into one
-run of the next level, so a key is rewritten once per level and the number of runs stays logarithmic.
+A run is a table (h1, h2, n_docs, owner), one row per line key, in buckets of the 128-bit key hash, one sorted file
+each, and Spark knows it as such. Documents come in batches of descending id, so the first batch that holds a key also
+holds its largest document. A new batch reduces its lines to one row per key, which deals them to the same buckets, is
+sorted once, and merge-anti-joins the entries of every run that are already decided (in `min_docs` documents or more:
+owner and verdict cannot change any more); what is left becomes its own run on level 0. No run is shuffled or sorted
+again for that. When a level has `fanout` runs they are merged into one run of the next level, so a key is rewritten
+once per level and the number of runs stays logarithmic.
 
 Only 128-bit hashes are shuffled on the way to the verdicts. Texts move once, to meet their own dropped lines.
 Everything is DataFrame functions; hot keys are pre-aggregated before each shuffle.
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import SPACE, ascii_lower
-from quarrystone.storage import forget, stored
+from quarrystone.storage import forget, plain, sorted_run, stored
 
 RUN = ["h1", "h2", "n_docs", "owner"]
 
@@ -32,8 +33,8 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """The levelled runs. `add` takes batches in descending order of document id."""
 
-    def __init__(self, min_docs: int = 5, fanout: int = 3):
-        self.min_docs, self.fanout, self.levels = min_docs, fanout, []
+    def __init__(self, buckets: int, min_docs: int = 5, fanout: int = 3):
+        self.buckets, self.min_docs, self.fanout, self.levels = buckets, min_docs, fanout, []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -46,18 +47,17 @@ class LineRuns:
         )
         for run in self.runs():
             decided = run.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
-            own = own.join(decided, ["h1", "h2"], "left_anti")
+            own = own.join(decided.hint("merge"), ["h1", "h2"], "left_anti")
         self._put(0, own)
 
     def _put(self, level: int, rows: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(stored(rows.select(*RUN).sortWithinPartitions("h1", "h2"), f"lines-l{level}"))
+        self.levels[level].append(sorted_run(rows.select(*RUN), f"lines-l{level}", self.buckets, "h1", "h2"))
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             self._put(level + 1, merged(old))
-            for run in old:
-                forget(run)
+            forget(*old)
 
     def repeated(self) -> DataFrame:
         """(h1, h2, n_docs, owner) of every key in at least `min_docs` documents."""
@@ -65,7 +65,7 @@ class LineRuns:
 
 
 def merged(runs: list[DataFrame]) -> DataFrame:
-    rows = reduce(DataFrame.unionByName, runs)
+    rows = reduce(DataFrame.unionByName, map(plain, runs))
     return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("owner").alias("owner"))
 
 
@@ -100,11 +100,12 @@ def dedup_lines(
         .where(F.char_length("key") >= min_chars)
         .select("doc", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "batch")
     )
-    lines = stored(line_rows, "lines")
-    runs = LineRuns(min_docs, fanout)
+    lines = stored(line_rows, "lines", "batch")  # a batch reads its own files only
+    runs = LineRuns(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min_docs, fanout)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
     repeated = stored(runs.repeated(), "lines-repeated")
+    forget(*runs.runs())
     doc = F.col("doc")
     drops = (
         lines.join(repeated, ["h1", "h2"])
@@ -129,7 +130,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with repeated lines dropped; n_chars follows the text."""
+    """The documents with repeated lines dropped; n_chars follows the text.
+
+    Defined cases: those of `dedup_lines`; every row stays, with its columns; a null text stays null; n_chars is changed
+    only where a line went.
+    """
     out = dedup_lines(docs)
     cols = []
     for c in docs.columns:
