@@ -1,8 +1,9 @@
 r"""Mix sources to target weights by repetition rates and a hash-seeded Bernoulli copy.
 
 Tokens are summed per source; each source's target gives its repetition rate target / size. A document is
-emitted floor(rate) times, plus once more when a uniform number made from a hash of its id lies below the
-fraction of the rate. Only one row per source is ever gathered; documents are not shuffled to be mixed.
+emitted floor(rate) times, plus once more when a uniform number made from a hash of its id and text lies below the
+fraction of the rate. Rows equal in both are numbered, so each draws a number of its own. Only one row per source is
+ever gathered; documents are not shuffled to be mixed, only the hashes of id and text are, to find equal rows.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
 
     Sources in code-point order, null last, take `weights` in turn and share the total of all sizes by
     weight, none above `cap` times its own size; what that cuts off is shared again by weight among the rest.
+    Sources are kinds of origin, thousands at most, not documents: the windows run over one row for each in one task.
     With sources sorted by cap / weight the capped ones are a prefix, so the level every other source
-    reaches comes from running sums, without rounds. The windows run over one row per source.
+    reaches comes from running sums, without rounds.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -48,25 +50,49 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) that depends on the id and the seed only: 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
+def uniform(doc_id: Column, text: Column, number: Column, seed: str) -> Column:
+    """A number in [0, 1) that depends on id, text, the row's number among equal rows and the seed: 52 bits of an MD5."""
+    parts = [F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), number.cast("string"), F.lit(":"), F.coalesce(text, F.lit(""))]
+    return F.conv(F.substring(F.md5(F.concat(*parts).cast("binary")), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows: (id, mark, ...) with `number` added, 0 to n - 1 among the rows of one id and mark.
+
+    Only rows that have an equal are stored and numbered: within each of their partitions first, then shifted by what
+    the partitions before hold, so a row that a third of all rows repeat is numbered by many tasks.
+    """
+    again = stored(rows.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("i"), F.col("mark").alias("m")), "mix-again")
+    alone = rows.withColumn("number", F.lit(0).cast("long"))
+    if again.isEmpty():
+        return alone
+    same = rows["id"].eqNullSafe(again["i"]) & (rows["mark"] == again["m"])
+    equal = stored(rows.join(again, same, "left_semi").withColumn("part", F.spark_partition_id()), "mix-equal")
+    counts = equal.groupBy("id", "mark", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("id", "mark").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = stored(counts.select(F.col("id").alias("i"), F.col("mark").alias("m"), F.col("part").alias("p"), before.alias("base")), "mix-bases")
+    within = F.row_number().over(W.partitionBy("id", "mark", "part").orderBy("mark")) - 1
+    on = equal["id"].eqNullSafe(bases["i"]) & (equal["mark"] == bases["m"]) & (equal["part"] == bases["p"])
+    ranked = equal.withColumn("within", within).join(bases, on).withColumn("number", F.col("base") + F.col("within"))
+    return alone.join(again, same, "left_anti").unionByName(ranked.select(*rows.columns, "number"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix:", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row per document: (row, size, source_size, target, copies); `row` is the input row as a struct.
 
     Defined cases: a null text has size 0; documents of a source without any word get 0 copies; null is a
-    source of its own; rows with equal ids (null ids too) get the same decision; an empty table gives an
+    source of its own; rows with equal ids (null ids too) are decided each by its own text, and rows equal in both each
+    by its own number, so reruns take as many of them; very long texts count whole; an empty table gives an
     empty table; further columns travel in `row`. `emit` turns copies into rows.
     """
     sizes = docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     targets = stored(source_targets(sizes, weights, cap), "mix-targets")  # one row per source; Spark sees its size
-    src = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("s"), n_words(F.col(text_col)).alias("size"))
-    both = src.join(targets, src["s"].eqNullSafe(targets["source"]), "left")
+    src = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("s"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
+    both = numbered(src).withColumn("size", n_words(F.col("row").getField(text_col)))
+    both = both.join(targets, both["s"].eqNullSafe(targets["source"]), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = F.when(uniform(F.col("id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    draw = uniform(F.col("id"), F.col("row").getField(text_col), F.col("number"), seed)
+    extra = F.when(draw < rate - F.floor(rate), 1).otherwise(0)
     return both.select("row", "size", "source_size", "target", (F.floor(rate) + extra).cast("long").alias("copies"))
 
 
@@ -84,12 +110,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it, with its columns as they are; the cases are those of `mix`."""
     return emit(mix(docs), docs.columns)
 
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, text, row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1 AS number, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM p),
@@ -106,7 +133,7 @@ t AS (SELECT c.source, c.source_size,
 e AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+         CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || CAST(d.number AS VARCHAR) || ':' || coalesce(d.text, '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
