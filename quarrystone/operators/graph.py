@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
+from quarrystone.operators.components import connected_components
 from quarrystone.operators.relational import consecutive, first_n
 from quarrystone.storage import forget, stored
 
@@ -219,8 +220,11 @@ def first_edge_paths(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], st
 
     out = follow(degrees(nodes, edge, keys).where("n_in = 0"))
     rest = nodes.select(*keys, "node").distinct().join(out.select(*keys, F.explode("path").alias("node")).distinct(), [*keys, "node"], "left_anti")
-    while not rest.isEmpty():  # untouched nodes lie on or behind cycles: the smallest of each graph goes next
-        more = stored(follow(rest.groupBy(*keys).agg(F.min("node").alias("node"))), "first-more")
+    while not rest.isEmpty():  # untouched nodes lie on or behind cycles: the smallest of each of their components goes next
+        inner = first.join(rest.withColumnRenamed("node", "source"), [*keys, "source"], "left_semi").join(rest.withColumnRenamed("node", "target"), [*keys, "target"], "left_semi")
+        comp = connected_components(inner, "source", "target", *keys)
+        parts = rest.join(comp, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))
+        more = stored(follow(parts.groupBy(*keys, "component").agg(F.min("node").alias("node")).select(*keys, "node")), "first-more")
         out = out.unionByName(more)
         rest = stored(rest.join(more.select(*keys, F.explode("path").alias("node")).distinct(), [*keys, "node"], "left_anti"), "first-rest")
     return out
@@ -276,10 +280,17 @@ def heap_matches(reads: DataFrame, writes: DataFrame, sets: DataFrame, field: st
     overlap, or either is unknown or truncated. Same class scores 10 and each common root 1; the `most` best of a read.
     """
     side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "method", "cls", "base")], field).join(sets.select(F.col("node").alias(f"{p}_base"), F.col("roots").alias(f"{p}_roots"), F.col("truncated").alias(f"{p}_cut")), f"{p}_base", "left")
-    both = side(reads, "r").join(side(writes, "w"), field).where("r_method <> w_method")
-    open_ = F.col("r_roots").isNull() | F.col("w_roots").isNull() | F.col("r_cut") | F.col("w_cut")
+    r, w = side(reads, "r"), side(writes, "w")
+    same = F.when(F.col("r_cls") == F.col("w_cls"), 10).otherwise(0)
+    loose = lambda p: F.col(f"{p}_roots").isNull() | F.coalesce(F.col(f"{p}_cut"), F.lit(False))
+    # bases with known roots meet by field and root
+    each = lambda df, p: df.where(~loose(p)).select("*", F.explode(F.array_distinct(f"{p}_roots")).alias("_root")).drop(f"{p}_roots", f"{p}_cut")
+    known = each(r, "r").join(each(w, "w"), [field, "_root"]).where("r_method <> w_method")
+    known = known.groupBy("r_id", "w_id").agg((F.max(same) + F.count("*")).alias("score"))
+    # only where a side is unknown or truncated may any base of the field be the same
     common = F.coalesce(F.size(F.array_intersect("r_roots", "w_roots")), F.lit(0))
-    both = both.where(open_ | F.arrays_overlap("r_roots", "w_roots")).withColumn("score", F.when(F.col("r_cls") == F.col("w_cls"), 10).otherwise(0) + common)
+    open_ = r.where(loose("r")).join(w, field).unionByName(r.where(~loose("r")).join(w.where(loose("w")), field)).where("r_method <> w_method")
+    both = known.unionByName(open_.select("r_id", "w_id", (same + common).alias("score")))
     both = both.select(F.col("r_id").alias("read"), F.col("w_id").alias("write"), "score")
     return first_n(both, ["read"], [F.desc("score"), F.col("write")], most)
 
@@ -309,7 +320,7 @@ def entry_points(methods: DataFrame, rules: DataFrame, above: DataFrame) -> Data
     has = lambda rule, col: F.col(rule).isNull() | F.coalesce(F.array_contains(F.col(col), F.col(rule)), F.lit(False))
     r = rules.select("rule", *[F.col(c).alias(f"_{c}") for c in ("cls_annotation", "annotation", "ancestor", "name")])
     hit = has("_cls_annotation", "cls_annotations") & has("_annotation", "annotations") & has("_ancestor", "_up") & (F.col("_name").isNull() | (F.col("_name") == F.col("name")))
-    return m.join(F.broadcast(r), hit).select("method", "rule").distinct()  # the rule table is a handful of rows
+    return m.join(r, hit).select("method", "rule").distinct()  # a theta join: Spark broadcasts the rules by their size
 
 
 def chain_rows(chains_: DataFrame, keys: Sequence[str], chain: str = "chain") -> tuple[DataFrame, DataFrame]:

@@ -60,7 +60,11 @@ def worst(df: DataFrame, keys: Sequence[str], severity: str = "severity") -> Dat
 
 
 def content_digest(rules: DataFrame, keys: Sequence[str], rule: str, *parts: str) -> DataFrame:
-    """SHA-256 of rule:part:part... in the order of rule ids, joined by |. An entry a group has is collected once."""
+    """SHA-256 of rule:part:part... in the order of rule ids, joined by |. An entry a group has is collected once.
+
+    One digest runs over all of a group, so a group's entries meet in one row: for groups of the size of a rule set or a
+    project's file list.
+    """
     entry = F.concat_ws(":", F.col(rule).cast("string"), *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
     listed = F.array_sort(F.collect_list(F.struct(F.col(rule).cast("string").alias("r"), entry.alias("e"))))
     return rules.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["e"]), "|"), 256).alias("digest"))
@@ -84,9 +88,32 @@ def usage_packages(vulns: DataFrame, most: int = 200) -> DataFrame:
 
 
 def graph_stats(edges: DataFrame, source: str, target: str, kind: str) -> DataFrame:
-    """nodes, edges and edges of each kind in one row."""
-    nodes = edges.select(F.col(source).alias("n")).union(edges.select(target)).agg(F.count_distinct("n").alias("nodes"))
-    return edges.agg(F.count("*").alias("edges"), F.count_distinct(kind).alias("kinds"), F.count_if(F.col(target).isNull()).alias("unresolved")).join(nodes)
+    """One row: edges, their kinds, edges without a target, and nodes."""
+    ends = edges.select(F.col(kind).alias("kind"), F.posexplode(F.array(source, target)).alias("end", "node"))
+    return ends.agg(F.count_if(F.col("end") == 0).alias("edges"), F.count_distinct("kind").alias("kinds"), F.count_if((F.col("end") == 1) & F.col("node").isNull()).alias("unresolved"), F.count_distinct("node").alias("nodes"))
+
+
+def type_stats(edges: DataFrame, child: str = "child", parent: str = "parent", kind: str = "kind") -> DataFrame:
+    """One row: types named on either side, edges, and edges that implement or extend."""
+    ends = edges.select(F.col(kind).alias("kind"), F.posexplode(F.array(child, parent)).alias("end", "type"))
+    edge = lambda k: F.count_if((F.col("end") == 0) & (F.col("kind") == k))
+    return ends.agg(F.count_distinct("type").alias("types"), F.count_if(F.col("end") == 0).alias("edges"), edge("IMPL").alias("impl_edges"), edge("EXTE").alias("exte_edges"))
+
+
+def field_stats(accesses: DataFrame, field: str = "field", kind: str = "kind") -> DataFrame:
+    """One row: READ and WRITE accesses, and distinct fields."""
+    return accesses.agg(F.count_if(F.col(kind) == "READ").alias("reads"), F.count_if(F.col(kind) == "WRITE").alias("writes"), F.count_distinct(field).alias("fields"))
+
+
+def bean_stats(beans: DataFrame, injections: DataFrame) -> DataFrame:
+    """One row: beans and injections. Both are counted in one pass over their union."""
+    both = beans.select(F.lit(0).alias("_k")).union(injections.select(F.lit(1)))
+    return both.agg(F.count_if(F.col("_k") == 0).alias("beans"), F.count_if(F.col("_k") == 1).alias("injections"))
+
+
+def points_to_stats(sets: DataFrame, truncated: str = "truncated") -> DataFrame:
+    """One row: nodes with a points-to set, and sets that were cut."""
+    return sets.agg(F.count("*").alias("entries"), F.count_if(truncated).alias("truncated"))
 
 
 def counts(df: DataFrame, *keys: str | Column, name: str = "n") -> DataFrame:

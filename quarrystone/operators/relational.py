@@ -88,9 +88,9 @@ def capped(df: DataFrame, group: Sequence[str], key: Sequence[str], order: Seque
 def top_and_rest(df: DataFrame, key: str, weight: str, n: int = 199, rest: str = "_OTHER") -> DataFrame:
     """(key, weight) of the n heaviest keys, all others summed under one name."""
     per = df.groupBy(key).agg(F.sum(weight).alias(weight))
-    top = per.orderBy(F.desc(weight), key).limit(n)
+    top = per.orderBy(F.desc(weight), key).limit(n)  # Spark broadcasts it while n is small
     name = F.when(F.col("_top").isNotNull(), F.col(key)).otherwise(F.lit(rest))
-    return per.join(F.broadcast(top.select(F.col(key).alias("_k"), F.lit(1).alias("_top"))), F.col(key) == F.col("_k"), "left").groupBy(name.alias(key)).agg(F.sum(weight).alias(weight))
+    return per.join(top.select(F.col(key).alias("_k"), F.lit(1).alias("_top")), F.col(key).eqNullSafe(F.col("_k")), "left").groupBy(name.alias(key)).agg(F.sum(weight).alias(weight))
 
 
 def found_and_missing(asked: DataFrame, df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -132,9 +132,19 @@ def risk_of(nodes: DataFrame, risk: DataFrame, node: str, keys: str, version: st
 
 
 def lines_with_tokens(lines: DataFrame, tokens: DataFrame, line: str = "line", token: str = "token", most: int = 400) -> DataFrame:
-    """Lines that contain a token, a row for each token. Only the `most` longest tokens count, so that side is bounded."""
+    """Lines that contain a token, a row for each token.
+
+    Only the `most` longest tokens count, so they may come to the driver: packed into one pattern they sort out the lines
+    without any, and only the others are held against each token, in the same stage as the scan.
+    """
     picked = tokens.select(F.lower(F.trim(F.col(token))).alias("token")).where("token <> ''").distinct().orderBy(F.desc(F.length("token")), "token").limit(most)
-    return lines.join(F.broadcast(picked), F.instr(F.lower(F.col(line)), F.col("token")) > 0)
+    known = [r["token"] for r in picked.collect()]
+    if not known:
+        return lines.where("false").withColumn("token", F.lit("").cast("string"))
+    low = F.lower(F.col(line))
+    any_ = "|".join("\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in known)
+    held = F.filter(F.array(*map(F.lit, known)), lambda t: F.contains(low, t))
+    return lines.where(low.rlike(any_)).withColumn("token", F.explode(held))
 
 
 def longest_prefix(names: DataFrame, groups: DataFrame, name: str, group: str, sep: str = ".") -> DataFrame:
@@ -149,9 +159,25 @@ def longest_prefix(names: DataFrame, groups: DataFrame, name: str, group: str, s
 
 
 def preceding(edges: DataFrame, contexts: DataFrame, keys: Sequence[str], offset: str, at: str, context: Sequence[str], tie: str, n: int = 3) -> DataFrame:
-    """The n nearest edges at or before each context (a null offset always passes), by key."""
-    hit = contexts.join(edges, list(keys)).where(F.col(offset).isNull() | F.col(at).isNull() | (F.col(offset) <= F.col(at)))
-    return first_n(hit, [*keys, *context], [F.col(offset).desc_nulls_last(), F.col(tie)], n)
+    """The n nearest edges at or before each context (a null offset always passes, as does a null context), by key.
+
+    Edges and contexts of a key go through one window in order of place, where a context looks back at n edges, so a
+    key is sorted, not paired. Edges without an offset come after all others; n of a key suffice.
+    """
+    more = [c for c in edges.columns if c not in keys]
+    edge = F.struct(*more)
+    left = [c for c in contexts.columns if c not in keys]
+    none = F.lit(None)
+    rows = edges.where(F.col(offset).isNotNull()).select(*keys, F.col(offset).alias("_at"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), edge.alias("_edge"), none.cast(contexts.select(F.struct(*left)).schema[0].dataType).alias("_context"))
+    rows = rows.unionByName(contexts.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), none.cast(edges.schema[tie].dataType).alias("_tie"), none.cast(edges.select(edge).schema[0].dataType).alias("_edge"), F.struct(*left).alias("_context")))
+    # of edges at one place the smallest tie is the nearest, so it comes last
+    back = ", ".join(f"lag(_edge, {k}) IGNORE NULLS OVER w" for k in range(1, n + 1))
+    spec = f"PARTITION BY {', '.join(keys)} ORDER BY _at ASC NULLS LAST, _side, _tie DESC"
+    seen = rows.select("*", F.expr(f"array({back.replace('OVER w', f'OVER ({spec})')})").alias("_found")).where("_side = 1")
+    placed = seen.select(*keys, "_context.*", F.explode(F.filter("_found", lambda e: e.isNotNull())).alias("_e")).select(*keys, *left, "_e.*")
+    loose = first_n(edges.where(F.col(offset).isNull()), keys, [F.col(tie)], n)
+    both = placed.unionByName(contexts.join(loose, list(keys)).select(*placed.columns))
+    return first_n(both, [*keys, *context], [F.col(offset).desc_nulls_last(), F.col(tie)], n)
 
 
 def carried(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
@@ -233,11 +259,21 @@ def maven_coordinates(lines: DataFrame, keys: Sequence[str], order: str, line: s
 
 
 def manifest_matches(lines: DataFrame, packages: DataFrame, keys: Sequence[str], order: str, line: str, package: str) -> DataFrame:
-    """(keys..., order, package, confidence): declared coordinates that equal a package."""
+    """(keys..., order, package, confidence): coordinates that a pom declares and that equal a package. Gradle: `gradle_matches`."""
     found = maven_coordinates(lines, keys, order, line)
     return found.join(packages.select(F.col(package).alias("coordinate")).distinct(), "coordinate").select(*keys, order, F.col("coordinate").alias(package), F.lit(0.7).alias("confidence"))
 
 
+def gradle_matches(lines: DataFrame, packages: DataFrame, order: str, line: str, package: str, most: int = 200) -> DataFrame:
+    """(lines' columns, package, confidence): lines of Gradle files that contain a package's group:artifact, whatever the case.
+
+    packages: (package); as many as a usage scan is asked for, at most `most`, the longest.
+    """
+    low = packages.groupBy(F.lower(F.trim(F.col(package))).alias("_token")).agg(F.min(package).alias(package))
+    hits = lines_with_tokens(lines, low, line, "_token", most)
+    return hits.join(low, hits["token"] == low["_token"]).select(*lines.columns, package, F.lit(0.75).alias("confidence"))
+
+
 def call_targets(calls: DataFrame, sites: DataFrame, most: int = 50) -> DataFrame:
     """(caller, offset, callee): what a call declares, and the callees recorded at the same offset, at most `most`."""
     same = calls.select("caller", "offset").distinct().join(sites, ["caller", "offset"]).select("caller", "offset", "callee", F.lit(1).alias("_o"))

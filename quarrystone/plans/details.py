@@ -25,15 +25,9 @@ def b15(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", X.blank_to_null(F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit(" s"), "l_suppkey", F.lit(" "))).otherwise("  ")).alias("title"))
 
 
-@query("c12_manifest_matches", """SELECT l_orderkey, l_linenumber, 'g' || l_suppkey || ':a' || l_partkey AS package FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem WHERE l_linenumber <= 3)
+@query("c12_manifest_matches", """SELECT l_orderkey, l_linenumber, 'g' || l_suppkey || ':a' || l_partkey AS package FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem)
   WHERE l_partkey % 2 = 0""")
 def c12(spark, d):
-    return _manifests(table(spark, d, "lineitem").where("l_linenumber <= 3"))
-
-
-@query("c12_manifest_matches_whole", """SELECT l_orderkey, l_linenumber, 'g' || l_suppkey || ':a' || l_partkey AS package FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem)
-  WHERE l_partkey % 2 = 0""")
-def c12_whole(spark, d):
     return _manifests(table(spark, d, "lineitem"))
 
 
@@ -45,16 +39,19 @@ def _manifests(li):
     return R.manifest_matches(lines, packages, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "pos", "line", "package").select("l_orderkey", "l_linenumber", "package")
 
 
-@query("c14_call_targets", """WITH c AS (SELECT DISTINCT l_orderkey AS caller, l_linenumber AS "offset", l_partkey AS callee FROM lineitem WHERE l_orderkey % 10 = 0),
-  s AS (SELECT DISTINCT l_orderkey AS caller, l_linenumber AS "offset", l_suppkey AS callee FROM lineitem WHERE l_suppkey % 2 = 0) SELECT * FROM c UNION SELECT s.* FROM s JOIN c ON s.caller = c.caller AND s."offset" = c."offset" """)
-def c14(spark, d):
-    li = table(spark, d, "lineitem")
-    return _targets(li.where("l_orderkey % 10 = 0"), li)
+@query("c12_gradle_matches", """WITH l AS (SELECT l_orderkey, l_linenumber, 'implementation "G' || l_suppkey || ':A' || l_partkey || ':1.0"' AS line FROM lineitem),
+  k AS (SELECT DISTINCT 'g' || l_suppkey || ':a' || l_partkey AS package FROM lineitem), t AS (SELECT package FROM k ORDER BY length(package) DESC, package LIMIT 200)
+  SELECT l_orderkey, l_linenumber, package, 0.75::DOUBLE AS confidence FROM l JOIN t ON contains(lower(line), package)""")
+def c12_gradle(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    lines = li.select("l_orderkey", "l_linenumber", F.concat(F.lit('implementation "G'), "l_suppkey", F.lit(":A"), "l_partkey", F.lit(':1.0"')).alias("line"))
+    packages = li.select(F.concat(F.lit("g"), "l_suppkey", F.lit(":a"), "l_partkey").alias("package")).distinct()
+    return R.gradle_matches(lines, packages, "l_linenumber", "line", "package").select("l_orderkey", "l_linenumber", "package", "confidence")
 
 
-@query("c14_call_targets_whole", """SELECT DISTINCT l_orderkey AS caller, l_linenumber AS "offset", l_partkey AS callee FROM lineitem
+@query("c14_call_targets", """SELECT DISTINCT l_orderkey AS caller, l_linenumber AS "offset", l_partkey AS callee FROM lineitem
   UNION SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey % 2 = 0""")
-def c14_whole(spark, d):
+def c14(spark, d):
     li = table(spark, d, "lineitem")
     return _targets(li, li)
 
@@ -66,18 +63,10 @@ def _targets(called, li):
 
 
 @query("c15_bean_candidates", f"""WITH RECURSIVE {TREE}, {ABOVE}, b AS (SELECT node AS bean, CASE WHEN p_size <> 1 THEN node END AS type FROM n),
-  u AS (SELECT bean FROM b WHERE type IS NULL ORDER BY bean LIMIT 20), t AS (SELECT node AS target FROM n WHERE node % 100 = 5),
-  m AS (SELECT target, bean, 0 AS fit FROM t JOIN b ON target = type UNION ALL SELECT target, bean, 1 FROM t JOIN up ON target = ancestor JOIN b ON up.node = type UNION ALL SELECT target, bean, 2 FROM t, u)
-  SELECT target, bean, fit FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY fit, bean) AS k FROM (SELECT target, bean, min(fit) AS fit FROM m GROUP BY 1, 2)) WHERE k <= 20""")
-def c15(spark, d):
-    return _beans(spark, d, "node % 100 = 5")
-
-
-@query("c15_bean_candidates_whole", f"""WITH RECURSIVE {TREE}, {ABOVE}, b AS (SELECT node AS bean, CASE WHEN p_size <> 1 THEN node END AS type FROM n),
   u AS (SELECT bean FROM b WHERE type IS NULL ORDER BY bean LIMIT 20), t AS (SELECT node AS target FROM n),
   m AS (SELECT target, bean, 0 AS fit FROM t JOIN b ON target = type UNION ALL SELECT target, bean, 1 FROM t JOIN up ON target = ancestor JOIN b ON up.node = type UNION ALL SELECT target, bean, 2 FROM t, u)
   SELECT target, bean, fit FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY fit, bean) AS k FROM (SELECT target, bean, min(fit) AS fit FROM m GROUP BY 1, 2)) WHERE k <= 20""")
-def c15_whole(spark, d):
+def c15(spark, d):
     return _beans(spark, d, "true")
 
 
@@ -114,13 +103,8 @@ def f7(spark, d):
     return R.page(li, [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")], 500, most=200).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("f9_best_traces", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT DISTINCT node AS start, first_value(ancestor) OVER (PARTITION BY node ORDER BY ancestor DESC) AS root FROM up WHERE node % 97 = 3 AND ancestor % 2 = 1")
+@query("f9_best_traces", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS start, max(ancestor) AS root FROM up WHERE ancestor % 2 = 1 GROUP BY node")
 def f9(spark, d):
-    return _best(spark, d, "node % 97 = 3")
-
-
-@query("f9_best_traces_whole", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS start, max(ancestor) AS root FROM up WHERE ancestor % 2 = 1 GROUP BY node")
-def f9_whole(spark, d):
     return _best(spark, d, "true")
 
 
@@ -190,13 +174,8 @@ def h33(spark, d):
     return o.select("o_custkey", X.ticket_description(none, none, F.transform("ids", lambda i: i.cast("string"))).alias("description"))
 
 
-@query("j10_chain_traces", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS start, min(ancestor) AS root FROM up WHERE node % 50 = 7 GROUP BY node")
+@query("j10_chain_traces", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS start, min(ancestor) AS root FROM up GROUP BY node")
 def j10(spark, d):
-    return _inside(spark, d, "node % 50 = 7")
-
-
-@query("j10_chain_traces_whole", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS start, min(ancestor) AS root FROM up GROUP BY node")
-def j10_whole(spark, d):
     return _inside(spark, d, "true")
 
 

@@ -76,10 +76,10 @@ def j5(spark, d):
     return out.groupBy("conv_id").agg(F.count("*").alias("chains"), F.max(F.size("chain")).alias("longest"))
 
 
-@query("j6_entries_reaching", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS target, ancestor AS entry FROM up WHERE node > 1000 AND ancestor % 10 = 1")
+@query("j6_entries_reaching", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS target, ancestor AS entry FROM up WHERE ancestor IN (SELECT node FROM n WHERE p_size % 10 = 1)")
 def j6(spark, d):
     nodes, edges = tree(spark, d)
-    out = G.entry_points_reaching(edges, nodes.where("node > 1000"), nodes.where("node % 10 = 1"))
+    out = G.entry_points_reaching(edges, nodes, nodes.where("p_size % 10 = 1"))
     # the SQL asks for what lies above a target: neither itself nor targets that no entry point reaches
     return out.where("not any_entry and entry <> target").select("target", "entry")
 
@@ -100,13 +100,8 @@ def j7(spark, d):
     return G.first_edge_paths(*talk(spark, d), ["conv_id"]).select("conv_id", "start", F.size("path").alias("steps"))
 
 
-@query("j8_backward_traces", f"WITH RECURSIVE {TREE}, {ABOVE}, b AS (SELECT DISTINCT node, ancestor FROM up WHERE node % 50 = 7) SELECT node AS start, max(ancestor) AS root FROM b WHERE ancestor IN (SELECT node FROM n WHERE p_size % 4 = 0) GROUP BY node")
+@query("j8_backward_traces", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS start, max(ancestor) AS root FROM up WHERE ancestor IN (SELECT node FROM n WHERE p_size % 4 = 0) GROUP BY node")
 def j8(spark, d):
-    return _backward(*tree(spark, d), "node % 50 = 7")
-
-
-@query("j8_backward_traces_whole", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node AS start, max(ancestor) AS root FROM up WHERE ancestor IN (SELECT node FROM n WHERE p_size % 4 = 0) GROUP BY node")
-def j8_whole(spark, d):
     return _backward(*tree(spark, d), "true")
 
 
@@ -122,13 +117,8 @@ def _backward(nodes, edges, which):
     return both.where("priority = 1").select("start", F.element_at("path", -1).alias("root"))
 
 
-@query("j9_forward_traces", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT ancestor AS start, count(*) AS leaves FROM up WHERE ancestor IN (4, 5, 6, 7, 8) AND node NOT IN (SELECT source FROM e) GROUP BY ancestor")
+@query("j9_forward_traces", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT ancestor AS start, count(*) AS leaves FROM up WHERE node NOT IN (SELECT source FROM e) GROUP BY ancestor")
 def j9(spark, d):
-    return _forward(*tree(spark, d), "node between 4 and 8")
-
-
-@query("j9_forward_traces_whole", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT ancestor AS start, count(*) AS leaves FROM up WHERE node NOT IN (SELECT source FROM e) GROUP BY ancestor")
-def j9_whole(spark, d):
     nodes, edges = tree(spark, d)
     return _forward(nodes.join(edges.select(F.col("source").alias("node")), "node", "left_semi"), edges, "true")
 
@@ -139,10 +129,10 @@ def _forward(nodes, edges, which):
     return t.groupBy("start").agg(F.count("*").alias("leaves"))
 
 
-@query("j11_points_to", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node, count(*) AS n_roots FROM (SELECT node, ancestor AS root FROM up WHERE ancestor % 4 = 1 UNION SELECT node, node FROM n WHERE node % 4 = 1) GROUP BY node")
+@query("j11_points_to", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node, count(*) AS n_roots FROM (SELECT node, ancestor AS root FROM up WHERE ancestor IN (SELECT node FROM n WHERE p_size % 4 = 1) UNION SELECT node, node FROM n WHERE p_size % 4 = 1) GROUP BY node")
 def j11(spark, d):
     nodes, edges = tree(spark, d)
-    sets, _ = G.points_to(edges, nodes.where("node % 4 = 1").select("node", F.col("node").alias("root")))
+    sets, _ = G.points_to(edges, nodes.where("p_size % 4 = 1").select("node", F.col("node").alias("root")))
     return sets.select("node", F.size("roots").alias("n_roots"))
 
 
@@ -171,17 +161,10 @@ def j15(spark, d):
     return G.chain_rows(c, ["conv_id"])[0].select("conv_id", "node", "role")
 
 
-@query("j16_dispatch_edges", """WITH c AS (SELECT l_orderkey AS caller, l_partkey AS callee FROM lineitem WHERE l_orderkey % 40 = 0),
+@query("j16_dispatch_edges", """WITH c AS (SELECT l_orderkey AS caller, l_partkey AS callee FROM lineitem),
   v AS (SELECT a.p_partkey AS callee, b.p_partkey AS override, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) AS k FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 3 = 0 AND b.p_partkey % 3 <> 0)
   SELECT caller, callee FROM c UNION SELECT caller, override FROM c JOIN v USING (callee) WHERE k <= 40""")
 def j16(spark, d):
-    return _dispatch(spark, d, table(spark, d, "lineitem").where("l_orderkey % 40 = 0"))
-
-
-@query("j16_dispatch_edges_whole", """WITH c AS (SELECT l_orderkey AS caller, l_partkey AS callee FROM lineitem),
-  v AS (SELECT a.p_partkey AS callee, b.p_partkey AS override, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) AS k FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 3 = 0 AND b.p_partkey % 3 <> 0)
-  SELECT caller, callee FROM c UNION SELECT caller, override FROM c JOIN v USING (callee) WHERE k <= 40""")
-def j16_whole(spark, d):
     return _dispatch(spark, d, table(spark, d, "lineitem"))
 
 

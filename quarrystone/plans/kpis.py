@@ -81,18 +81,10 @@ def d9(spark, d):
 
 
 @query("d10_daily_trend", """WITH s AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS day),
-  a AS (SELECT CAST(ts AS DATE) AS day, count(*) AS new FROM events WHERE event_type = 'signup' AND user_id % 50 = 1 GROUP BY 1),
-  b AS (SELECT CAST(ts AS DATE) AS day, count(*) AS closed FROM events WHERE event_type = 'purchase' AND user_id % 50 = 1 GROUP BY 1)
-  SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(new, 0) AS new, coalesce(closed, 0) AS closed FROM s LEFT JOIN a USING (day) LEFT JOIN b USING (day)""")
-def d10(spark, d):
-    return _trend(table(spark, d, "events").where("user_id % 50 = 1"))
-
-
-@query("d10_daily_trend_whole", """WITH s AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS day),
   a AS (SELECT CAST(ts AS DATE) AS day, count(*) AS new FROM events WHERE event_type = 'signup' GROUP BY 1),
   b AS (SELECT CAST(ts AS DATE) AS day, count(*) AS closed FROM events WHERE event_type = 'purchase' GROUP BY 1)
   SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(new, 0) AS new, coalesce(closed, 0) AS closed FROM s LEFT JOIN a USING (day) LEFT JOIN b USING (day)""")
-def d10_whole(spark, d):
+def d10(spark, d):
     return _trend(table(spark, d, "events"))
 
 
@@ -178,7 +170,20 @@ def d23(spark, d):
     return K.usage_packages(v).withColumn("tokens", F.array_join("tokens", ","))
 
 
-@query("d25_source_fingerprint", """SELECT source, substr(sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || CAST(n_chars AS VARCHAR), '|' ORDER BY CAST(doc_id AS VARCHAR))), 1, 16) AS fingerprint FROM documents GROUP BY source""")
+@query("d25_source_fingerprint", """SELECT l_orderkey AS project, substr(sha256(string_agg(l_partkey || ':' || l_linenumber, '|' ORDER BY CAST(l_partkey AS VARCHAR), l_partkey || ':' || l_linenumber)), 1, 16) AS fingerprint FROM lineitem GROUP BY l_orderkey""")
 def d25(spark, d):
-    out = K.content_digest(table(spark, d, "documents"), ["source"], "doc_id", "n_chars")
-    return out.select("source", F.substring("digest", 1, 16).alias("fingerprint"))
+    """A project for each order, its lines as files with a time of change."""
+    out = K.content_digest(table(spark, d, "lineitem"), ["l_orderkey"], "l_partkey", "l_linenumber")
+    return out.select(F.col("l_orderkey").alias("project"), F.substring("digest", 1, 16).alias("fingerprint"))
+
+
+@query("d20_index_statistics", """SELECT (SELECT count(*) FROM (SELECT 'c' || p_partkey FROM part UNION SELECT p_type FROM part)) AS types, count(*) AS edges, count(*) FILTER (WHERE p_size % 2 = 0) AS impl_edges, count(*) FILTER (WHERE p_size % 2 <> 0) AS exte_edges,
+  count(*) FILTER (WHERE p_size > 25) AS reads, count(*) FILTER (WHERE p_size <= 25) AS writes, count(DISTINCT p_brand) AS fields, count(*) AS beans, (SELECT count(*) FROM supplier) AS injections, count(*) AS entries, count(*) FILTER (WHERE p_size = 50) AS truncated FROM part""")
+def d20_index(spark, d):
+    """The statistics of the type, field, bean and points-to indexes side by side: one row each."""
+    p = table(spark, d, "part")
+    types = K.type_stats(p.select(F.concat(F.lit("c"), "p_partkey").alias("child"), F.col("p_type").alias("parent"), F.when(F.col("p_size") % 2 == 0, "IMPL").otherwise("EXTE").alias("kind")))
+    fields = K.field_stats(p.select(F.col("p_brand").alias("field"), F.when(F.col("p_size") > 25, "READ").otherwise("WRITE").alias("kind")))
+    sets = K.points_to_stats(p.select(F.col("p_partkey").alias("node"), (F.col("p_size") == 50).alias("truncated")))
+    one = [df.withColumn("_row", F.lit(1)) for df in (types, fields, K.bean_stats(p, table(spark, d, "supplier")), sets)]
+    return one[0].join(one[1], "_row").join(one[2], "_row").join(one[3], "_row").drop("_row")

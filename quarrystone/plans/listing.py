@@ -121,16 +121,9 @@ def c3(spark, d):
 
 
 @query("c4_ruleset_overrides", """SELECT l_orderkey AS group_id, l_linenumber AS member_id, l_partkey AS rule_id,
-  coalesce(CASE WHEN l_returnflag = 'R' THEN 'HIGH' END, p_brand) AS severity, coalesce(CASE WHEN l_linestatus = 'F' THEN FALSE END, p_size > 10) AS enabled
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 5 = 0""")
-def c4(spark, d):
-    return _overrides(spark, d, table(spark, d, "lineitem").where("l_suppkey % 5 = 0"))
-
-
-@query("c4_ruleset_overrides_whole", """SELECT l_orderkey AS group_id, l_linenumber AS member_id, l_partkey AS rule_id,
   coalesce(CASE WHEN l_returnflag = 'R' THEN 'HIGH' END, p_brand) AS severity, coalesce(CASE WHEN l_linestatus = 'F' THEN FALSE END, p_size > 10) AS enabled
   FROM lineitem JOIN part ON l_partkey = p_partkey""")
-def c4_whole(spark, d):
+def c4(spark, d):
     return _overrides(spark, d, table(spark, d, "lineitem"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrystone.operators import graph as G
 from quarrystone.plans.registry import query, table
 from quarrystone.sources import reports as S
-from quarrystone.storage import stored
+from quarrystone.storage import shared_dir, stored
 
 
 def _lines(spark, d):
@@ -71,6 +71,7 @@ def trivy(spark, d):
     item = F.struct(F.concat(F.lit("CVE-"), "p").alias("VulnerabilityID"), F.col("rule").alias("PkgName"), F.col("n").cast("string").alias("InstalledVersion"),
                     F.when(F.col("level") == "error", "critical").when(F.col("level") == "warning", "odd").otherwise("Low").alias("Severity"),
                     F.struct(F.concat(F.lit("pkg:npm/"), "rule", F.lit("@1")).alias("PURL")).alias("PkgIdentifier"),
+                    F.when(F.col("n") % 2 == 0, F.concat(F.lit("https://x/"), "p")).alias("PrimaryURL"), F.when(F.col("level") == "error", F.concat(F.lit("t"), "q")).alias("Title"),
                     F.create_map(F.lit("nvd"), F.struct((F.col("q") / 10).alias("V3Score")), F.lit("ghsa"), F.struct(F.lit(2.5).alias("V3Score"))).alias("CVSS"))
     return _documents(_lines(spark, d), "o", item, lambda items: F.struct(F.array(F.struct(F.lit("t").alias("Target"), F.lit("npm").alias("Type"), items.alias("Vulnerabilities"))).alias("Results")), ".json")
 
@@ -81,14 +82,14 @@ def a6(spark, d):
     return S.trivy_issues(trivy(spark, d)).select("task_id", "vuln_id", "severity", "ecosystem", "issue_key", F.col("cvss.score").alias("score"), F.col("cvss.source").alias("source"))
 
 
-@query("a7_sbom_graph", """WITH n AS (SELECT p_brand AS task_id, 'r' || p_partkey AS node, 'pkg:x/' || p_partkey AS label FROM part WHERE p_partkey % 4 <> 0 UNION SELECT p_brand, 'r' || p_partkey, 'r' || p_partkey FROM part WHERE p_partkey % 4 = 0)
-  SELECT task_id, node, label, 1 AS n_out FROM n""")
+@query("a7_sbom_graph", """SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS task_id, 'r' || l_partkey AS node, CASE WHEN l_partkey % 4 <> 0 THEN 'pkg:x/' ELSE 'r' END || l_partkey AS label, 1 AS n_out FROM lineitem""")
 def a7(spark, d):
-    p = table(spark, d, "part").select("p_brand", F.concat(F.lit("r"), "p_partkey").alias("ref"), F.col("p_partkey").alias("k"))
+    """A bill of materials for each order."""
+    p = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("r"), "l_partkey").alias("ref"), F.col("l_partkey").alias("k")).distinct()
     item = F.struct("ref", "k")
     comp = lambda items: F.transform(F.filter(items, lambda i: i["k"] % 4 != 0), lambda i: F.struct(i["ref"].alias("bom-ref"), F.concat(F.lit("pkg:x/"), i["k"]).alias("purl")))
     deps = lambda items: F.transform(items, lambda i: F.struct(i["ref"].alias("ref"), F.array(i["ref"]).alias("dependsOn")))
-    nodes, edges = S.sbom_graph(_documents(p, "p_brand", item, lambda items: F.struct(F.lit("cycloneDX").alias("bomFormat"), comp(items).alias("components"), deps(items).alias("dependencies")), ".json"))
+    nodes, edges = S.sbom_graph(_documents(p, "l_orderkey", item, lambda items: F.struct(F.lit("cycloneDX").alias("bomFormat"), comp(items).alias("components"), deps(items).alias("dependencies")), ".json"))
     return nodes.join(G.degrees(nodes, edges, ["task_id"]), ["task_id", "node"]).select("task_id", "node", "label", "n_out")
 
 
@@ -109,8 +110,7 @@ def _catalog(spark, d):
     m = p.where("p_size % 2 = 0").groupBy("p_brand", "p_type").agg(F.collect_set(F.concat(F.lit("m"), "p_size")).alias("ms")).groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "ms"))).alias("methodSinks"))
     c = p.groupBy("p_brand").agg(F.collect_set("p_type").alias("constructorSinks")).join(m, "p_brand", "left")
     docs = c.select(F.lit("c").alias("task_id"), F.lit("/c.json").alias("path"), F.to_json(F.struct(F.lit(1).alias("formatVersion"), F.array(F.struct(F.col("p_brand").alias("subType"), "methodSinks", "constructorSinks")).alias("definitions"))).alias("value"))
-    known = [r[0] for r in p.select("p_brand").distinct().collect()]
-    return S.sink_catalog(docs, known)
+    return S.sink_catalog(docs, p.select(F.col("p_brand").alias("sub_type")))
 
 
 @query("c10_sink_calls", """WITH k AS (SELECT DISTINCT p_brand AS sub_type, p_type AS cls, 'm' || p_size AS method FROM part WHERE p_size % 2 = 0)
@@ -125,7 +125,7 @@ def a4(spark, d):
     p = table(spark, d, "pages")
     k = F.col("page_id") % 4
     path = F.concat("url", F.when(k == 0, ".sarif.json").when(k == 3, ".txt").otherwise(".json"))
-    value = F.when(k == 1, '{"results": [{"check_id": "a"}]}').when(k == 2, '{"results": 3}').otherwise("no json")
+    value = F.when(k == 1, F.to_json(F.struct(F.array(F.struct(F.col("html").alias("check_id"))).alias("results")))).when(k == 2, F.to_json(F.struct(F.length("html").alias("results")))).otherwise(F.col("html"))
     return p.select("page_id", S.report_format(path, value).alias("kind"))
 
 
@@ -135,3 +135,36 @@ def a17(spark, d):
 
     rows, _ = S.report_dataset(findings(spark, d).withColumn("project", F.col("project_id") % 20), ["project"], [F.desc("created_at"), F.col("finding_id")])
     return rows.groupBy("project").agg(F.count("*").alias("n"))
+
+
+@query("a6_trivy_evidence", f"""WITH {_L} SELECT CAST(o AS VARCHAR) AS task_id, 'CVE-' || p AS vuln_id, 't' AS target, rule AS package, CASE WHEN n % 2 = 0 THEN 'https://x/' || p END AS url,
+  CASE WHEN rf = 'A' THEN 't' || q END AS title, n % 2 = 0 AS has_url, rf = 'A' AS has_title FROM l""")
+def a6_evidence(spark, d):
+    """Location and evidence hold no nulls: a key is there or it is not."""
+    t = S.trivy_issues(trivy(spark, d))
+    return t.select("task_id", "vuln_id", F.get_json_object("location", "$.target").alias("target"), F.get_json_object("evidence", "$.pkgName").alias("package"), F.get_json_object("location", "$.primaryUrl").alias("url"),
+                    F.get_json_object("evidence", "$.title").alias("title"), F.array_contains(F.json_object_keys("location"), "primaryUrl").alias("has_url"), F.array_contains(F.json_object_keys("evidence"), "title").alias("has_title"))
+
+
+@query("a9_source_lines", """WITH f AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN 'src/App' || doc_id || '.RB' WHEN doc_id % 4 = 1 THEN 'm' || doc_id || '/Cargo.toml' WHEN doc_id % 4 = 2 THEN 'a/node_modules/x' || doc_id || '.js' ELSE 'readme' || doc_id || '.md' END AS path
+    FROM documents WHERE text IS NOT NULL AND strlen(text) <= 2097152)
+  SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM f WHERE doc_id % 4 < 2""")
+def a9(spark, d):
+    """Documents as files of a source tree."""
+    docs, k = table(spark, d, "documents").where("text is not null"), F.col("doc_id") % 4
+    path = F.when(k == 0, F.concat(F.lit("src/App"), "doc_id", F.lit(".RB"))).when(k == 1, F.concat(F.lit("m"), "doc_id", F.lit("/Cargo.toml"))).when(k == 2, F.concat(F.lit("a/node_modules/x"), "doc_id", F.lit(".js"))).otherwise(F.concat(F.lit("readme"), "doc_id", F.lit(".md")))
+    return S.lines_of_sources(docs.select(path.alias("path"), F.octet_length("text").alias("length"), F.col("text").cast("binary").alias("content")))
+
+
+@query("a14_outbox", "SELECT o_orderkey AS event_id, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' ORDER BY o_orderdate, o_orderkey LIMIT 100")
+def a14(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderstatus") == "P", "PENDING").otherwise("PROCESSED").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return S.pending_after(o, F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")).select("event_id", "created_at")
+
+
+@query("a16_json_sink", "SELECT p_brand AS brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY p_brand")
+def a16(spark, d):
+    """Written as JSON in folders by brand and read again."""
+    path = shared_dir(spark, "json-sink")
+    S.write_json(table(spark, d, "part").select(F.col("p_brand").alias("brand"), "p_partkey", "p_size"), path, "brand")
+    return spark.read.schema("p_partkey long, p_size long, brand string").json(path).groupBy("brand").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))

@@ -62,14 +62,26 @@ def k2(spark, d):
     """Every event of a user but views is a stage event of its task, for the stage that its place among them names."""
     from pyspark.sql import Window as W
 
-    schema_path = shared_dir(spark, "stage-events")
     n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     e = table(spark, d, "events").where("event_type <> 'view'").withColumn("n", n)
-    e.select(F.col("user_id").cast("string").alias("task_id"), F.lit("CODE_CHECK").alias("task_type"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("stage_id"),
-             F.get(F.array(*map(F.lit, jobs.PLAN)), F.col("n")).alias("stage_type"), F.lit("StageCompleted").alias("event"),
-             F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCEEDED").alias("status"), "ts").withColumnRenamed("ts", "at").write.parquet(schema_path)
-    s = spark.readStream.schema(spark.read.parquet(schema_path).schema).parquet(schema_path)
-    return finished(jobs.task_states(s), ["task_id"], mode="update")
+    e = e.select(F.col("user_id").cast("string").alias("task_id"), F.lit("CODE_CHECK").alias("task_type"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("stage_id"),
+                 F.get(F.array(*map(F.lit, jobs.PLAN)), F.col("n")).alias("stage_type"), F.lit("StageCompleted").alias("event"),
+                 F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCEEDED").alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    # a task's events come in three batches, by their place among them, the state carried over in between
+    third = F.least(F.floor((F.to_number(F.date_format("at", "dd"), F.lit("99")) - 1) / 10), F.lit(2))
+    steps = [e.where(third == k) for k in range(3)]
+    return arrived(spark, steps, lambda s: jobs.task_states(s.withWatermark("at", "60 days")), ["task_id"])
+
+
+def arrived(spark, steps, job, keys):
+    """A stream whose input arrives in steps, each worked off before the next: the last row of each key."""
+    source, cursor, path = (shared_dir(spark, f"stream-{x}") for x in ("steps", "cursor", "out"))
+    for rows in steps:
+        rows.write.mode("append").parquet(source)
+        s = spark.readStream.schema(rows.schema).parquet(source)
+        jobs.run_once(job(s), cursor, lambda b, i: b.withColumn("_batch", F.lit(i)).write.mode("append").parquet(path), "update")
+    out = spark.read.parquet(path)
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in out.columns if c not in keys]), "_batch").alias("s")).select(*keys, "s.*").drop("_batch")
 
 
 @query("k3_liveness", "SELECT CAST(user_id AS VARCHAR) AS executor_id, strftime(max(ts), '%Y-%m-%d %H:%M') AS last FROM events GROUP BY user_id")
@@ -78,6 +90,15 @@ def k3(spark, d):
     return finished(jobs.liveness(b), ["executor_id"], mode="update").select("executor_id", F.date_format(F.timestamp_millis("last_ms"), "yyyy-MM-dd HH:mm").alias("last"))
 
 
+@query("k3_offline", "SELECT CAST(user_id AS VARCHAR) AS executor_id, 'OFFLINE' AS status, strftime(max(ts), '%Y-%m-%d %H:%M') AS last FROM events GROUP BY user_id")
+def k3_offline(spark, d):
+    """Long after the last event every executor has gone offline; what says so is the time of one that still beats."""
+    b = table(spark, d, "events").select(F.col("user_id").cast("string").alias("executor_id"), F.lit("REGISTERED").alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    later = lambda years: b.limit(1).select(F.lit("still-here").alias("executor_id"), "status", F.make_timestamp(F.year("at") + years, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("at"))
+    out = arrived(spark, [b, later(1), later(2)], lambda s: jobs.liveness(s.withWatermark("at", "1 day")), ["executor_id"])
+    return out.where("executor_id <> 'still-here'").select("executor_id", "status", F.date_format(F.timestamp_millis("last_ms"), "yyyy-MM-dd HH:mm").alias("last"))
+
+
 @query("k8_log_ends", "SELECT conv_id AS task_id, TRUE AS complete, max(turn) + 1 - count(DISTINCT turn) AS missing FROM conversations GROUP BY conv_id")
 def k8(spark, d):
     c = table(spark, d, "conversations")
@@ -126,3 +147,17 @@ class StageSignal:
 @query("l1_agents", "SELECT event_id, 'HIGH' AS severity FROM events WHERE event_type = 'error' AND value > 50")
 def l1(spark, d):
     return agents.run_agents(table(spark, d, "events").select("event_id", "event_type", "value"), ["stage-signal"], "event_id").select("event_id", "severity")
+
+
+@query("l2_loaded_agents", "SELECT event_id, 'HIGH' AS severity FROM events WHERE event_type = 'error' AND value > 50")
+def l2(spark, d):
+    """The same agent, found by the name of its module and class."""
+    return agents.run_agents(table(spark, d, "events").select("event_id", "event_type", "value"), ["quarrystone.plans.streams:StageSignal"], "event_id").select("event_id", "severity")
+
+
+@query("l3_enriched_code", "SELECT doc_id, CASE WHEN lang = 'en' THEN CAST(length(text) AS VARCHAR) || ' characters' ELSE text END AS code FROM documents")
+def l3(spark, d):
+    """An enricher for the snippets of one kind of path."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("path"), F.col("text").alias("code"))
+    said = (lambda path: path == "en", lambda code: code.map(lambda t: None if t is None else f"{len(t)} characters"))
+    return agents.enriched(docs, [said], "path", "code").select("doc_id", "code")

@@ -23,7 +23,7 @@ SEMGREP = """results ARRAY<STRUCT<check_id: STRING, path: STRING, start: STRUCT<
   extra: STRUCT<message: STRING, severity: STRING, fingerprint: STRING, fix: STRING, lines: STRING>>>"""
 TRIVY = """Results ARRAY<STRUCT<Target: STRING, Class: STRING, Type: STRING, Vulnerabilities: ARRAY<STRUCT<VulnerabilityID: STRING, PkgName: STRING,
   InstalledVersion: STRING, FixedVersion: STRING, Severity: STRING, PrimaryURL: STRING, PkgIdentifier: MAP<STRING, STRING>, PURL: STRING, Title: STRING,
-  Description: STRING, References: ARRAY<STRING>, CVSS: MAP<STRING, STRUCT<V3Score: DOUBLE, V3Vector: STRING>>>>>>"""
+  Description: STRING, PublishedDate: STRING, LastModifiedDate: STRING, References: ARRAY<STRING>, CVSS: MAP<STRING, STRUCT<V3Score: DOUBLE, V3Vector: STRING>>>>>>"""
 CYCLONEDX = """bomFormat STRING, components ARRAY<STRUCT<`bom-ref`: STRING, bomRef: STRING, name: STRING, version: STRING, purl: STRING>>,
   dependencies ARRAY<STRUCT<ref: STRING, dependsOn: ARRAY<STRING>>>"""
 USAGE = """generatedAt STRING, scannedFiles INT, entries ARRAY<STRUCT<ecosystem: STRING, key: STRING, file: STRING, line: INT, kind: STRING, snippet: STRING,
@@ -129,16 +129,22 @@ def findings(reports: DataFrame) -> DataFrame:
 
 def trivy_issues(reports: DataFrame) -> DataFrame:
     """Vulnerabilities of Trivy reports; rows without an id are dropped, unknown severities are INFO."""
-    t = _rows(reports, TRIVY).select("task_id", F.explode("j.Results").alias("t")).select("task_id", "t.Target", "t.Type", F.explode("t.Vulnerabilities").alias("v"))
+    t = _rows(reports, TRIVY).select("task_id", F.explode("j.Results").alias("t")).select("task_id", "t.Target", "t.Class", "t.Type", F.explode("t.Vulnerabilities").alias("v"))
     purl = X.first_text(F.try_element_at("v.PkgIdentifier", F.lit("PURL")), F.try_element_at("v.PkgIdentifier", F.lit("Purl")), F.col("v.PURL"))
     cvss = F.transform(F.map_entries("v.CVSS"), lambda e: F.struct(e["key"].alias("source"), F.coalesce(e["value"]["V3Score"], F.lit(0.0)).alias("score")))
     text = lambda c: X.blank_to_null(F.col(c))
+    place = F.struct(F.col("Target").alias("target"), F.col("Class").alias("class"), F.col("Type").alias("type"), F.col("v.PkgName").alias("package"), F.col("v.InstalledVersion").alias("installedVersion"),
+                     F.col("v.FixedVersion").alias("fixedVersion"), F.col("v.PrimaryURL").alias("primaryUrl"), purl.alias("purl"))
     refs = F.array_distinct(F.filter(F.transform(F.col("v.References"), F.trim), lambda x: x != ""))
+    evidence = F.struct(F.col("v.Title").alias("title"), F.col("v.Description").alias("description"), F.col("v.Severity").alias("severity"), F.col("v.PublishedDate").alias("publishedDate"),
+                        F.col("v.LastModifiedDate").alias("lastModifiedDate"), F.when(F.size(refs) > 0, refs).alias("references"), F.col("v.CVSS").alias("cvss"), F.col("v.PkgName").alias("pkgName"),
+                        F.col("v.InstalledVersion").alias("installedVersion"), F.col("v.FixedVersion").alias("fixedVersion"), F.col("v.PrimaryURL").alias("primaryUrl"), F.col("Target").alias("target"), purl.alias("purl"))
     return t.where(text("v.VulnerabilityID").isNotNull()).select(
         "task_id", text("v.VulnerabilityID").alias("vuln_id"), F.col("v.PkgName").alias("package"), F.col("v.InstalledVersion").alias("version"), F.col("v.FixedVersion").alias("fixed_version"),
         purl.alias("purl"), X.trivy_severity(F.col("v.Severity")).alias("severity"), F.lit("OPEN").alias("status"), X.ecosystem(purl, F.col("Type")).alias("ecosystem"),
         X.sca_issue_key(text("v.VulnerabilityID"), F.col("v.PkgName"), F.col("v.InstalledVersion"), purl).alias("issue_key"), text("v.Title").alias("title"), text("v.Description").alias("description"),
         refs.alias("references"), X.best_cvss(cvss).alias("cvss"), F.col("Target").alias("target"),
+        F.to_json(place).alias("location"), F.to_json(evidence).alias("evidence"),  # without what is null
     )
 
 
@@ -159,9 +165,9 @@ def usage_entries(reports: DataFrame) -> DataFrame:
     return _rows(reports, USAGE).select("task_id", F.posexplode("j.entries").alias("pos", "e")).select("task_id", "pos", "e.*")
 
 
-def sink_catalog(reports: DataFrame, known: list[str]) -> DataFrame:
-    """(sub_type, cls, method): method sinks, and constructor sinks with method <init>; version 1 and known types only."""
-    d = _rows(reports, SINKS).where("j.formatVersion = 1").select(F.explode("j.definitions").alias("d")).where(F.col("d.subType").isin(known))
+def sink_catalog(reports: DataFrame, known: DataFrame) -> DataFrame:
+    """(sub_type, cls, method): method sinks, and constructor sinks with method <init>; version 1 and known types (sub_type) only."""
+    d = _rows(reports, SINKS).where("j.formatVersion = 1").select(F.explode("j.definitions").alias("d")).join(known.select(F.col("sub_type").alias("_known")).distinct(), F.col("d.subType") == F.col("_known"), "left_semi")
     methods = d.select("d.subType", F.explode("d.methodSinks").alias("cls", "ms")).select(F.col("subType").alias("sub_type"), "cls", F.explode("ms").alias("method"))
     return methods.union(d.select("d.subType", F.explode("d.constructorSinks").alias("cls"), F.lit("<init>"))).distinct()
 
@@ -171,10 +177,14 @@ def sinks_called(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     return calls.join(catalog, ["cls", "method"]).select("call_id", "cls", "method", "sub_type")
 
 
-#: Folders and files of a source scan (fixed values).
+#: Folders that a source scan leaves out.
 SKIPPED = ("node_modules", "vendor", "target", "build", "dist", "out")
-NAMES = ("pom.xml", "build.gradle", "build.gradle.kts", "package.json", "package-lock.json", "yarn.lock", "go.mod", "go.sum", "requirements.txt")
-ENDINGS = (".java", ".kt", ".go", ".py", ".js", ".ts", ".tsx", ".jsx", ".gradle", ".kts", ".lock")
+#: Files that a source scan reads, by name or ending, in lower case (fixed values).
+NAMES = (
+    "pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "package.json", "package-lock.json", "yarn.lock",
+    "pnpm-lock.yaml", "go.mod", "go.sum", "requirements.txt", "poetry.lock", "cargo.toml", "cargo.lock", "gemfile",
+)
+ENDINGS = (".java", ".kt", ".kts", ".go", ".js", ".jsx", ".ts", ".tsx", ".py", ".rb", ".php", ".cs", ".rs", ".xml", ".yml", ".yaml")
 
 
 def source_lines(spark: SparkSession, root: str, most_bytes: int = 2 << 20) -> DataFrame:
@@ -183,13 +193,27 @@ def source_lines(spark: SparkSession, root: str, most_bytes: int = 2 << 20) -> D
     base = root if "://" in root or root.startswith("file:") else f"file:{root}"
     rel = F.regexp_replace("path", "^file:/+", "/")
     rel = F.substring(rel, len(base.removeprefix("file:").replace("//", "")) + 1, 1 << 30)
-    name = F.element_at(F.split("path", "/"), -1)
-    fine = ~rel.rlike(r"(^|/)(\.[^/]+|" + "|".join(SKIPPED) + ")/") & (name.isin(*NAMES) | name.rlike("(" + "|".join(e.replace(".", r"\.") for e in ENDINGS) + ")$"))
-    picked = files.where((F.col("length") <= most_bytes) & fine).select(F.regexp_replace(rel, "^/+", "").alias("path"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("i", "line"))
-    return picked.select("path", (F.col("i") + 1).alias("line_no"), "line")
+    return lines_of_sources(files.withColumn("path", F.regexp_replace(rel, "^/+", "")), most_bytes)
+
+
+def lines_of_sources(files: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
+    """files: (path below the root, length, content). (path, line_no, line) of those that a source scan reads; case does not count."""
+    low = F.lower("path")
+    name = F.element_at(F.split(low, "/"), -1)
+    skipped = low.rlike(r"(^|/)(\.[^/]+|" + "|".join(SKIPPED) + ")/")
+    known = name.isin(*NAMES) | name.rlike("(" + "|".join(e.replace(".", r"\.") for e in ENDINGS) + ")$")
+    picked = files.where((F.col("length") <= most_bytes) & ~skipped & known)
+    lines = picked.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("i", "line"))
+    return lines.select("path", (F.col("i") + 1).alias("line_no"), "line")
+
+
+def pending_after(outbox: DataFrame, since, status: str = "status", created: str = "created_at", key: str = "event_id", most: int = 100) -> DataFrame:
+    """The outbox source: PENDING rows created at or after `since`, oldest first, at most `most`."""
+    return outbox.where((F.col(status) == "PENDING") & (F.col(created) >= F.lit(since))).orderBy(created, key).limit(most)
 
 
 def write_json(df: DataFrame, path: str, *partition_by: str) -> None:
+    """The graph and report sink: a JSON document per row, in folders by `partition_by`."""
     df.write.partitionBy(*partition_by).json(path)
 
 

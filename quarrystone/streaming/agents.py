@@ -1,7 +1,8 @@
 """The extension surface: named agents that turn a row into any number of rows, and code enrichers.
 
 An agent has `supports(row) -> bool` and `run(row) -> list of (severity, summary)`; it is registered by name or
-found as `module:Class`. They run over Arrow batches, the outputs of all agents side by side.
+found as `module:Class`. They run over Arrow batches, the outputs of all agents side by side. This is the hook for code
+of users' own that takes one row at a time; what a column expression can say needs no agent.
 """
 
 from __future__ import annotations

@@ -1,7 +1,6 @@
 """Streaming operators: DataFrame in, DataFrame out, for a stream or, where no state is kept, for a batch too.
 
-State processors use `transformWithStateInPandas`-style keyed state through `applyInPandasWithState`, which keeps
-one small tuple per key. Sources without an event-time type are cast to `timestamp` before a watermark.
+State processors keep one small tuple per key through `applyInPandasWithState`, and drop it by event-time timeouts. Sources without an event-time type are cast to `timestamp` before a watermark.
 """
 
 from __future__ import annotations
@@ -71,15 +70,20 @@ def trend(events: DataFrame, at: str, kind: str, late: str = "1 day", window: st
     return rows.groupBy(F.window(at, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), kind, "n")
 
 
-def task_states(events: DataFrame) -> DataFrame:
+def task_states(events: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
     """(task_id, position, status) whenever events of a task arrive: its place in the plan, and RUNNING, SUCCEEDED or FAILED.
 
     events: (task_id, task_type, stage_id, stage_type, event, status, at). Success and skipping move on, failure ends
     the task; a StageUpdated counts only when it skips. An event of another stage than the plan expects is
-    ignored; events of one batch are taken in order of time. A finished task keeps only its outcome.
+    ignored; events of one batch are taken in order of time. `at` needs a watermark: a finished task's outcome is kept
+    until that is `keep_ms` past its last event, so that late events do not start it anew, and is then dropped. Plan
+    positions depend on each other, so a task's few events are stepped through one by one.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         at, status = state.get if state.exists else (0, "RUNNING")
         rows = pd.concat(list(batches)).sort_values(["at", "stage_id"])
         for r in rows.itertuples(index=False):
@@ -92,9 +96,12 @@ def task_states(events: DataFrame) -> DataFrame:
                 at += 1
                 status = "SUCCEEDED" if at == len(plan) else status
         state.update((at, status))
+        if status != "RUNNING":
+            last = rows["at"].max().value // 1_000_000
+            state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"task_id": [key[0]], "position": [at], "status": [status]})
 
-    return events.groupBy("task_id").applyInPandasWithState(step, "task_id string, position int, status string", "position int, status string", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("task_id").applyInPandasWithState(step, "task_id string, position int, status string", "position int, status string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def liveness(beats: DataFrame, timeout_ms: int = 120_000) -> DataFrame:
