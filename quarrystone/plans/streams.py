@@ -70,7 +70,7 @@ def k2(spark, d):
     # a task's events come in three batches, by their place among them, the state carried over in between
     third = F.least(F.floor((F.to_number(F.date_format("at", "dd"), F.lit("99")) - 1) / 10), F.lit(2))
     steps = [e.where(third == k) for k in range(3)]
-    return arrived(spark, steps, lambda s: jobs.task_states(s.withWatermark("at", "60 days")), ["task_id"])
+    return arrived(spark, steps, lambda s: jobs.task_states(s, "60 days"), ["task_id"])
 
 
 def arrived(spark, steps, job, keys):

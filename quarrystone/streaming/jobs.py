@@ -70,13 +70,14 @@ def trend(events: DataFrame, at: str, kind: str, late: str = "1 day", window: st
     return rows.groupBy(F.window(at, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), kind, "n")
 
 
-def task_states(events: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
+def task_states(events: DataFrame, late: str = "1 day", keep_ms: int = 86_400_000) -> DataFrame:
     """(task_id, position, status) whenever events of a task arrive: its place in the plan, and RUNNING, SUCCEEDED or FAILED.
 
     events: (task_id, task_type, stage_id, stage_type, event, status, at). Success and skipping move on, failure ends
     the task; a StageUpdated counts only when it skips. An event of another stage than the plan expects is
-    ignored; events of one batch are taken in order of time. `at` needs a watermark: a finished task's outcome is kept
-    until that is `keep_ms` past its last event, so that late events do not start it anew, and is then dropped. Plan
+    ignored; events of one batch are taken in order of time, those more than `late` behind the newest one do not count.
+    A finished task's outcome is kept for `keep_ms` after its last event, so that stragglers do not start it anew, and is
+    then dropped. Plan
     positions depend on each other, so a task's few events are stepped through one by one.
     """
 
@@ -101,7 +102,7 @@ def task_states(events: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
             state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"task_id": [key[0]], "position": [at], "status": [status]})
 
-    return events.groupBy("task_id").applyInPandasWithState(step, "task_id string, position int, status string", "position int, status string", "update", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark("at", late).groupBy("task_id").applyInPandasWithState(step, "task_id string, position int, status string", "position int, status string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def liveness(beats: DataFrame, timeout_ms: int = 120_000) -> DataFrame:
