@@ -8,6 +8,7 @@ folder, which cuts the lineage. Caps are applied per key and per round, in the o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,12 +66,12 @@ def subtree_worst(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (),
     return state
 
 
-def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str] = (), most_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """starts: (keys..., start, node). (keys..., start, node, depth): breadth-first from each start along the edges."""
     on = [*keys, "start", "node"]
     seen = stored(starts.select(*on).distinct().withColumn("depth", F.lit(0)), "reach")
     front, edge, parts = seen, stored(edges.select(*keys, "source", "target").distinct(), "reach-edges"), [seen]
-    for depth in range(1, most_rounds):
+    for depth in count(1):
         step = front.join(edge.withColumnRenamed("source", "node"), [*keys, "node"]).select(*keys, "start", F.col("target").alias("node")).distinct()
         for p in parts:
             step = step.join(p, on, "left_anti")

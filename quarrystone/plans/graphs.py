@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
 from quarrystone.operators import graph as G
+from quarrystone.operators import value_flow as V
 from quarrystone.operators.components import connected_components
 from quarrystone.plans.registry import query, table
 
@@ -65,14 +66,28 @@ def j4(spark, d):
     return G.chains(*talk(spark, d), ["conv_id"]).select("conv_id", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
+@query("j4_cyclic_chains", f"""WITH RECURSIVE tn AS (SELECT DISTINCT conv_id, turn AS node FROM conversations), x AS (SELECT conv_id, node, max(node) OVER (PARTITION BY conv_id) AS top FROM tn),
+  te AS (SELECT a.conv_id, a.node AS source, b.node AS target FROM x a JOIN x b ON a.conv_id = b.conv_id AND (b.node = a.node + 1 OR (a.node % 2 = 0 AND b.node = a.node + 3) OR (a.node % 3 = 2 AND a.node < a.top AND b.node = a.node - 1 AND b.node > 0))),
+  s AS (SELECT conv_id, node FROM tn WHERE (conv_id, node) NOT IN (SELECT conv_id, target FROM te)),
+  p AS (SELECT conv_id, node, [node] AS chain FROM s UNION ALL SELECT p.conv_id, target, list_append(chain, target) FROM p JOIN te ON p.conv_id = te.conv_id AND p.node = te.source WHERE NOT list_contains(chain, target)),
+  c AS (SELECT conv_id, chain, row_number() OVER (PARTITION BY conv_id ORDER BY chain) AS k FROM p WHERE (conv_id, node) NOT IN (SELECT conv_id, source FROM te))
+  SELECT conv_id, array_to_string(chain, '>') AS chain FROM c WHERE k <= 20""")
+def j4_cyclic(spark, d):
+    """Some turns also lead back to the one before, so paths run into cycles and only simple ones count."""
+    nodes, edges = talk(spark, d)
+    top = nodes.groupBy("conv_id").agg(F.max("node").alias("top"))
+    back = nodes.join(top, "conv_id").where("node % 3 = 2 and node < top and node > 1").select("conv_id", F.col("node").alias("source"), (F.col("node") - 1).alias("target"))
+    return G.chains(nodes, edges.union(back), ["conv_id"]).select("conv_id", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
+
+
 @query("j5_caller_chains", f"""WITH RECURSIVE {TALK}, s AS (SELECT conv_id, max(node) AS target FROM tn GROUP BY conv_id),
   p AS (SELECT conv_id, target, target AS node, [target] AS chain FROM s UNION ALL SELECT p.conv_id, p.target, te.source, list_prepend(te.source, chain) FROM p JOIN te ON p.conv_id = te.conv_id AND p.node = te.target WHERE len(chain) <= 10),
-  c AS (SELECT conv_id, target, chain, row_number() OVER (PARTITION BY conv_id, target ORDER BY chain) AS k FROM p WHERE len(chain) = 11 OR (conv_id, node) NOT IN (SELECT conv_id, target FROM te))
-  SELECT conv_id, count(*) AS chains, max(len(chain)) AS longest FROM c GROUP BY conv_id""")
+  c AS (SELECT conv_id, target, chain, row_number() OVER (PARTITION BY conv_id, target ORDER BY list_reverse(chain)) AS k FROM p WHERE len(chain) = 11 OR (conv_id, node) NOT IN (SELECT conv_id, target FROM te))
+  SELECT conv_id, count(*) AS chains, max(len(chain)) AS longest FROM c WHERE k <= 20 GROUP BY conv_id""")
 def j5(spark, d):
     nodes, edges = talk(spark, d)
     last = nodes.groupBy("conv_id").agg(F.max("node").alias("node"))
-    out = G.caller_chains(G.known_edges(edges, nodes, ["conv_id"]), last, ["conv_id"], most=10_000)
+    out = G.caller_chains(G.known_edges(edges, nodes, ["conv_id"]), last, ["conv_id"])
     return out.groupBy("conv_id").agg(F.count("*").alias("chains"), F.max(F.size("chain")).alias("longest"))
 
 
@@ -129,6 +144,37 @@ def _forward(nodes, edges, which):
     return t.groupBy("start").agg(F.count("*").alias("leaves"))
 
 
+def _flow(spark, d):
+    """A method for each part, called by the part above it: it copies its parameter to `a` and passes `a` on."""
+    nodes, edges = tree(spark, d)
+    name = lambda c: F.concat(F.lit("m"), c)
+    copies = nodes.select(name("node").alias("method"), F.lit("a").alias("left"), F.lit("PARAM:0").alias("right"), F.col("p_size").alias("offset"))
+    none = nodes.where("false")
+    loads = none.select(F.lit("").alias("method"), F.lit("").alias("target"), F.lit("").alias("source_field"), "p_size").withColumnRenamed("p_size", "offset")
+    stores = loads.withColumnRenamed("target", "target_field").withColumnRenamed("source_field", "value")
+    calls = edges.select(name("source").alias("method"), name("target").alias("callee"), F.lit(99).alias("offset"), F.lit(None).cast("string").alias("receiver"), F.array(F.lit("a")).alias("args"), F.lit("r").alias("result"))
+    methods = nodes.select(name("node").alias("method"), (F.col("p_size") % 10 == 1).alias("entry"), F.lit(1).alias("n_params")).join(calls.select(F.col("callee").alias("method"), F.lit(True).alias("called")), "method", "left").na.fill(False, ["called"])
+    starts = nodes.select(F.col("node").alias("start"), name("node").alias("method"), F.lit("a").alias("token"), F.lit(100).alias("offset"))
+    return V.flow_edges(copies, loads, stores, calls), starts, methods, calls
+
+
+FLOW = """en AS (SELECT node FROM n WHERE p_size % 10 = 1),
+  r AS (SELECT n.node AS start, CASE WHEN n.node IN (SELECT node FROM en) THEN n.node ELSE coalesce((SELECT max(ancestor) FROM up WHERE up.node = n.node AND ancestor IN (SELECT node FROM en)), least(n.node, coalesce((SELECT min(ancestor) FROM up WHERE up.node = n.node), n.node))) END AS root FROM n)"""
+
+
+@query("j8_value_flow", f"WITH RECURSIVE {TREE}, {ABOVE}, {FLOW} SELECT start, 'm' || root AS root, CASE WHEN root IN (SELECT node FROM en) THEN 'entry' ELSE 'no_caller' END AS kind FROM r")
+def j8_flow(spark, d):
+    edges, starts, methods, _ = _flow(spark, d)
+    t = V.traces_to_roots(edges, starts, methods, depth=2 * DEEP, best=1)
+    return t.select("start", F.element_at("path", -1)["method"].alias("root"), F.col("root").alias("kind"))
+
+
+@query("j9_round_trips", f"WITH RECURSIVE {TREE}, {ABOVE}, {FLOW} SELECT start, 'm' || root AS root, root <> start AS forward FROM r")
+def j9_trips(spark, d):
+    t = V.round_trips(*_flow(spark, d), depth=2 * DEEP, best=1, forward_depth=2 * DEEP)
+    return t.select("start", F.element_at("path", -1)["method"].alias("root"), "forward")
+
+
 @query("j11_points_to", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node, count(*) AS n_roots FROM (SELECT node, ancestor AS root FROM up WHERE ancestor IN (SELECT node FROM n WHERE p_size % 4 = 1) UNION SELECT node, node FROM n WHERE p_size % 4 = 1) GROUP BY node")
 def j11(spark, d):
     nodes, edges = tree(spark, d)

@@ -11,6 +11,7 @@ from quarrystone.operators import graph as G
 from quarrystone.operators import kpi as K
 from quarrystone.operators import relational as R
 from quarrystone.operators import upsert as U
+from quarrystone.operators import value_flow as V
 from quarrystone.operators.components import connected_components
 from quarrystone.plans import details, graphs, registry  # noqa: F401  they fill the registry
 from quarrystone.sources import reports as S
@@ -402,3 +403,81 @@ print("GOT", [r.event_id for r in agents.run_agents(events, ["quarrystone.plans.
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     said = subprocess.run([sys.executable, "job.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "GOT [1]" in said.stdout, said.stderr[-2000:]
+
+
+def random_flow(seed):
+    rng = random.Random(seed)
+    methods = [f"m{i}" for i in range(7)]
+    token = lambda: rng.choice(["a", "b", "c", "PARAM:0", "PARAM:1", "RET", "f", "CALLRET@4", "UNKNOWN:x"])
+    at = lambda: rng.choice([None, 1, 3, 5, 9])
+    within = lambda n: [(rng.choice(methods), token(), token(), at()) for _ in range(n)]
+    calls = [(rng.choice(methods), rng.choice([*methods[1:], "C#<init>"]), at(), token(), [token(), token()], token()) for _ in range(12)]
+    return methods, within(30), within(6), within(6), calls, [("m3", "a", "svc")]
+
+
+def plain_roots(edges, start, methods, depth=10):
+    """Breadth-first by rounds with the latest offset of a node: end -> (priority, depth)."""
+    entry, called = methods
+    inf = 1 << 31
+
+    def offset(tok, at):
+        n = tok[8:] if tok.startswith("CALLRET@") else tok.rpartition("@")[2] if tok.startswith("ALLOC:") and "@" in tok else ""
+        return at if at is None or not n.isdigit() else max(at, int(n))
+
+    def rank(m, t, d):
+        for k, yes in (("bean", t.startswith("BEAN:")), ("entry", m in entry), ("alloc", t.startswith("ALLOC:")), ("unknown", t.startswith("UNKNOWN")), ("no_caller", m not in called), ("depth", d >= depth)):
+            if yes:
+                return V.PRIORITY[k]
+        return None
+
+    m, t, at = start
+    if rank(m, t, 0) is not None:
+        return {(m, t): (rank(m, t, 0), 0)}
+    front, seen, out = {(m, t): offset(t, at)}, {}, {}
+    key = lambda o: inf if o is None else o
+    seen[m, t] = key(offset(t, at))
+    for d in range(1, depth + 1):
+        nxt = {}
+        for (m, t), at in front.items():
+            ways = [e for e in edges if e[:2] == (m, t) and (e[5] in V.ELSEWHERE or e[4] is None or at is None or e[4] <= at)]
+            for kind in {e[5] for e in ways}:
+                some = sorted((e for e in ways if e[5] == kind), key=lambda e: (-(e[4] if e[4] is not None else -1), e[3]))
+                for _, _, m2, t2, o, _ in some[:3] if kind in V.LATEST else some:
+                    o2 = offset(t2, at if o is None else o)
+                    if (m2, t2) not in nxt or key(o2) > key(nxt[m2, t2]):
+                        nxt[m2, t2] = o2
+        nxt = {n: o for n, o in nxt.items() if n not in seen or seen[n] < key(o)}
+        for n, o in nxt.items():
+            seen[n] = key(o)
+            r = rank(*n, d)
+            if r is not None:
+                out[n] = min(out.get(n, (99, 99)), (r, d))
+        front = {n: o for n, o in nxt.items()}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_value_flow_against_plain_version(spark, seed):
+    names, copies, loads, stores, calls, injected = random_flow(seed)
+    of = lambda rows, cols: spark.createDataFrame(rows, cols)
+    call_rows = of(calls, "method string, callee string, offset int, receiver string, args array<string>, result string")
+    edges = V.flow_edges(of(copies, "method string, left string, right string, offset int"), of(loads, "method string, target string, source_field string, offset int"), of(stores, "method string, target_field string, value string, offset int"), call_rows, of(injected, "method string, token string, bean string"))
+    called = {c for _, c, *_ in calls if c != "C#<init>"} - {"m0"}
+    methods = of([(m, m == "m1", m in called, 2) for m in names], "method string, entry boolean, called boolean, n_params int")
+    starts = [(i, m, t, o) for i, (m, t, o) in enumerate((m, t, o) for m in names[2:] for t in ("a", "b", "RET") for o in (None, 4))]
+    got = {}
+    frame = of(starts, "start int, method string, token string, offset int")
+    for r in V.traces_to_roots(edges, frame, methods, best=1000).collect():
+        assert len(r.kinds) == len(r.path) - 1 == r.depth
+        got.setdefault(r.start, {})[tuple(r.path[-1])] = (r.priority, r.depth)
+    plain = [tuple(e) for e in edges.collect()]
+    want = {i: plain_roots(plain, s, ({"m1"}, called)) for i, *s in starts}
+    assert got == {i: w for i, w in want.items() if w}
+    first = {r.start: r for r in V.traces_to_roots(edges, frame, methods, best=1).collect()}
+    assert all((r.priority, r.depth) == min(want[i].values()) for i, r in first.items())
+    step = {(e[0], e[1], e[2], e[3]) for e in plain}
+    trips = V.round_trips(edges, frame, methods, call_rows.where("callee <> 'C#<init>'")).collect()
+    for r in trips:
+        assert tuple(r.path[0]) == tuple(starts[r.start][1:3])
+        assert all((*a, *b) in step for a, b in zip(r.path, r.path[1:]))
+    assert {i for i, w in want.items() if w} <= {r.start for r in trips}
