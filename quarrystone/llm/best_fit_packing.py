@@ -140,5 +140,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: placements of all pieces instead of documents."""
+    """The last stage: placements of all pieces instead of documents.
+
+    The cases are those of `pack`: a null or empty text is one piece, every row is packed whatever its id, a very long
+    text is cut into many pieces, an empty table gives an empty table, and further columns are not read.
+    """
     return pack(docs, tokenizer_path()).withColumnRenamed("doc", "doc_id")

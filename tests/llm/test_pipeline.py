@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -35,11 +36,18 @@ def corpus():
         t = docs[7 * (i % 5) + 1][1]
         docs.append((300 + i, t if i % 2 else t + " ", "xx", "c"))
     docs += [(400, None, "xx", "a"), (401, "", None, "b"), (402, "word " * 5000, "xx", "c")]
+    # one id with another text, ids that are null, a row twice
+    docs += [(7, docs[8][1] + " and more of it", "xx", "a"), (None, "a text without an id " * 3, "xx", "b"), (None, "one more without an id " * 4, "xx", "b"), docs[50], (9, docs[1][1], "xx", "a")]
     return [(*d, len(d[1] or "")) for d in docs], labels
 
 
+#: Columns that the stages use as names of their own.
+CLASH = "doc long, mark long, row string, size long, s string, fp long, lines string, copies long, length int, kept string, was_null boolean, number long, th long"
+
+
 def write(spark, path, docs, labels):
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    more = (1, 2, "r", 3, "s", 4, "l", 5, 6, "k", True, 7, 8)
+    spark.createDataFrame([(*d, *more) for d in docs], "doc_id long, text string, lang string, source string, n_chars long, " + CLASH).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
 
 
@@ -59,17 +67,20 @@ def test_pipeline_against_plain_version(spark, tmp_path):
         for line in (t or "").split("\n"):
             if len(line.strip()) >= 40:
                 holders[line.strip().lower()].add(i)
-    owner = {k: max(v) for k, v in holders.items() if len(v) >= 5}
+    owner = {k: max(x for x in v if x is not None) for k, v in holders.items() if len(v) >= 5}
     rows = [(i, None if t is None else "\n".join(x for x in t.split("\n") if owner.get(x.strip().lower(), i) == i), s) for i, t, _, s, _ in rows]
-    comp = plain_components([plain_print(t) for _, t, _ in rows], [r[0] for r in rows])
-    rows = [r for r, c in zip(rows, comp) if r[0] == c]
+    groups = defaultdict(set)
+    for r, c in zip(rows, plain_components([plain_print(t) for _, t, _ in rows], list(range(len(rows))))):
+        groups[c].add(r)
+    signed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) ^ 1 << 63) - (1 << 63)
+    rows = [min(g, key=lambda r: (r[0] is None, r[0] or 0, signed(r[1]))) for g in groups.values()]
     sizes = defaultdict(int)
     for _, t, s in rows:
         sizes[s] += len((t or "").split())
     want, e, pieces = targets(sizes), Encoder(best_fit_packing.tokenizer_path()), Counter()
     for i, t, s in rows:
         rate = want[s] / sizes[s] if sizes[s] else 0
-        u = int(hashlib.md5(f"mix:{i}:0:{t or ''}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.md5(f"mix:{'' if i is None else i}:0:{t or ''}".encode()).hexdigest()[:13], 16) / 2**52
         ids = e.whole(t or "") + np.array([0], "<u4").tobytes()
         for k in range(-(-len(ids) // 8192)):
             p = ids[8192 * k : 8192 * (k + 1)]
