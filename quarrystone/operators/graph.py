@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions import expr as X
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.relational import consecutive, first_n
-from quarrystone.storage import forget, stored
+from quarrystone.storage import Gathered, forget, stored
 
 
 def known_edges(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,40 +54,34 @@ def subtree_worst(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (),
     Semi-naive: a round sends on only the ranks that rose, against the edges.
     """
     on = [*keys, "node"]
-    state = stored(nodes.groupBy(*on).agg(F.max(X.severity_rank(F.col(severity))).alias("rank")), "worst")
-    delta, edge = state, stored(edges.select(*keys, "source", "target").distinct(), "worst-edges")
+    delta = stored(nodes.groupBy(*on).agg(F.max(X.severity_rank(F.col(severity))).alias("rank")), "worst")
+    known, edge = Gathered(delta, *on, "rank", own=True), stored(edges.select(*keys, "source", "target").distinct(), "worst-edges")
     while not delta.isEmpty():
         sent = delta.withColumnRenamed("node", "target").join(edge, [*keys, "target"])
         best = sent.groupBy(*keys, F.col("source").alias("node")).agg(F.max("rank").alias("_new"))
-        risen = stored(best.join(state, on).where(F.col("_new") > F.col("rank")).select(*on, F.col("_new").alias("rank")), "worst-delta")
-        new = stored(state.join(risen.withColumnRenamed("rank", "_new"), on, "left").withColumn("rank", F.coalesce("_new", "rank")).drop("_new"), "worst")
-        forget(state)
-        state, delta = new, risen
+        # a node's ranks of earlier rounds: the largest holds
+        had = known.rows().join(best, on).groupBy(*on).agg(F.max("rank").alias("rank"), F.max("_new").alias("_new"))
+        delta = stored(had.where(F.col("_new") > F.col("rank")).select(*on, F.col("_new").alias("rank")), "worst-delta")
+        known.add(delta)
+    state = stored(known.rows().groupBy(*on).agg(F.max("rank").alias("rank")), "worst")
+    known.forget()
+    forget(edge)
     return state
 
 
 def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """starts: (keys..., start, node). (keys..., start, node, depth): breadth-first from each start along the edges."""
     on = [*keys, "start", "node"]
-    seen = stored(starts.select(*on).distinct().withColumn("depth", F.lit(0)), "reach")
-    front, edge, parts = seen, stored(edges.select(*keys, "source", "target").distinct(), "reach-edges"), [seen]
+    front = stored(starts.select(*on).distinct().withColumn("depth", F.lit(0)), "reach")
+    seen, edge = Gathered(front, *on, "depth", own=True), stored(edges.select(*keys, F.col("source").alias("node"), F.col("target").alias("_to")).distinct(), "reach-edges")
     for depth in count(1):
-        step = front.join(edge.withColumnRenamed("source", "node"), [*keys, "node"]).select(*keys, "start", F.col("target").alias("node")).distinct()
-        for p in parts:
-            step = step.join(p, on, "left_anti")
-        front = stored(step.withColumn("depth", F.lit(depth)), "reach-step")
+        step = front.join(edge, [*keys, "node"]).select(*keys, "start", F.col("_to").alias("node")).distinct()
+        front = stored(step.join(seen.rows(), on, "left_anti").withColumn("depth", F.lit(depth)), "reach-step")
         if front.isEmpty():
             break
-        parts.append(front)
-        if len(parts) > 8:  # few tables to look a node up in
-            whole = parts[0]
-            for p in parts[1:]:
-                whole = whole.unionByName(p)
-            parts = [stored(whole, "reach")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        seen.add(front)
+    forget(front, edge)
+    return seen.rows()
 
 
 def closure(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -143,22 +137,24 @@ def _first_paths(starts: DataFrame, edge: DataFrame, ends: DataFrame, keys: Sequ
     aside = stored(starts.select(*on, "chain").dropna(subset=list(on)).where(F.element_at("chain", 1).isNotNull()), "chain-aside")
     done = aside.where("false")
     pruned = False
+    ended = lambda df: df.withColumn("_from", F.element_at("chain", -1)).join(ends, [*keys, "_from"], "left")
+    stop = F.coalesce("_end", F.lit(False)) | (F.size("chain") >= size)
     while True:
-        front = stored(first_n(aside, on, order, most), "chain-front")
+        front = stored(ended(first_n(aside, on, order, most)), "chain-front")
         if front.isEmpty():
             return done
-        out, steps, fronts = [done], [aside], [front]
+        steps, fronts = [aside], [front]
         while not front.isEmpty():
-            last = front.withColumn("_from", F.element_at("chain", -1)).join(ends, [*keys, "_from"], "left")
-            stop = F.coalesce("_end", F.lit(False)) | (F.size("chain") >= size)
-            out.append(stored(last.where(stop).select(*on, "chain"), "chain-done"))
-            go = last.where(~stop).join(way, [*keys, "_from"]).where(~F.array_contains("chain", F.col("_to")))
+            go = front.where(~stop).join(way, [*keys, "_from"]).where(~F.array_contains("chain", F.col("_to")))
             steps.append(stored(go.select(*on, F.array_append("chain", F.col("_to")).alias("chain")), "chain-step"))
-            front = stored(first_n(steps[-1], on, order, most), "chain-front")
+            front = stored(ended(first_n(steps[-1], on, order, most)), "chain-front")
             fronts.append(front)
-        done = stored(first_n(_union(out), on, order, most), "chain-done")
+        out = [f.where(stop).select(*on, "chain") for f in fronts]
+        done = stored(first_n(_union([done, *out]), on, order, most), "chain-done")
         full = done.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") >= most)
-        aside = stored(_union(steps).join(_union(fronts), [*on, "chain"], "left_anti").join(full, list(on), "left_anti"), "chain-aside")
+        taken = _union([f.select(*on, "chain") for f in fronts])
+        aside = stored(_union(steps).join(taken, [*on, "chain"], "left_anti").join(full, list(on), "left_anti"), "chain-aside")
+        forget(*steps, *fronts)
         if not pruned and not aside.isEmpty():
             leading, pruned = _leading(way, ends, keys, size), True
             way = stored(way.join(leading, [*keys, "_to"], "left_semi"), "chain-edges")
@@ -241,24 +237,27 @@ def traces(edges: DataFrame, starts: DataFrame, ends: DataFrame, keys: Sequence[
     """
     on = [*keys, "start"]
     edge = stored(edges.select(*keys, "source", "target").distinct(), "trace-edges")
-    end = stored(ends.groupBy(*keys, "node").agg(F.min("priority").alias("priority")), "trace-ends")
-    path = stored(starts.select(*on, F.col("start").alias("node"), F.array("start").alias("path")).distinct(), "trace-front")
-    seen, done = path.select(*on, "node"), []
+    ways = edge.select(*keys, F.col("source").alias("node")).distinct().withColumn("_on", F.lit(True))
+    end = ends.groupBy(*keys, "node").agg(F.min("priority").alias("priority"))
+    mark = stored(ways.join(end, [*keys, "node"], "full"), "trace-ends")  # what a node is: an end, a node with a way on, or both
+    met = lambda df: stored(df.join(mark, [*keys, "node"], "left"), "trace-front")
+    front = met(starts.select(*on, F.col("start").alias("node"), F.array("start").alias("path")).distinct())
+    seen, fronts, done = Gathered(front, *on, "node"), [front], []
     for step in range(depth + 1):
-        here = path.join(end, [*keys, "node"], "left")
-        ways = here.join(edge.select(*keys, F.col("source").alias("node")).distinct().withColumn("_on", F.lit(True)), [*keys, "node"], "left")
         over = F.col("priority").isNotNull() | F.col("_on").isNull() | F.lit(step == depth)
-        done.append(stored(ways.where(over).select(*on, "path", F.coalesce("priority", F.lit(1 << 20)).alias("priority"), F.lit(step).alias("depth")), "trace-done"))
-        go = ways.where(~over).withColumnRenamed("node", "source").join(edge, [*keys, "source"]).select(*on, F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"))
-        go = go.groupBy(*on, "node").agg(F.min("path").alias("path")).join(seen, [*on, "node"], "left_anti")
-        path = stored(first_n(go, on, [F.col("path")], states) if states else go, "trace-front")
-        if path.isEmpty():
+        done.append(front.where(over).select(*on, "path", F.coalesce("priority", F.lit(1 << 20)).alias("priority"), F.lit(step).alias("depth")))
+        go = front.where(~over).withColumnRenamed("node", "source").join(edge, [*keys, "source"]).select(*on, F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"))
+        go = go.groupBy(*on, "node").agg(F.min("path").alias("path")).join(seen.rows(), [*on, "node"], "left_anti")
+        front = met(first_n(go, on, [F.col("path")], states) if states else go)
+        fronts.append(front)
+        if front.isEmpty():
             break
-        seen = stored(seen.unionByName(path.select(*on, "node")), "trace-seen")
-    out = done[0]
-    for p in done[1:]:
-        out = out.unionByName(p)
-    return first_n(out, on, [F.col("priority"), F.col("depth"), F.col("path")], best) if best else out
+        seen.add(front)
+    out = _union(done)
+    out = stored(first_n(out, on, [F.col("priority"), F.col("depth"), F.col("path")], best) if best else out, "traces")
+    seen.forget()
+    forget(edge, mark, *fronts)
+    return out
 
 
 def points_to(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), most: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -10,11 +10,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystone.operators.graph import reachable
 from quarrystone.operators.relational import first_n
-from quarrystone.storage import forget, stored
+from quarrystone.storage import Gathered, forget, stored
 
 NODE = ["method", "token"]
 #: Kinds of edges of which only the latest few before a place count, and how many.
@@ -85,33 +86,38 @@ def traces_to_roots(edges: DataFrame, starts: DataFrame, methods: DataFrame, dep
         return both.withColumn("root", root_kind(F.col("token"), flag("entry"), flag("called"), F.lit(step >= depth))).drop("entry", "called")
 
     front = starts.select("start", *NODE, later(F.col("token"), F.col("offset")).alias("at"), F.array(node).alias("path"), F.array().cast("array<string>").alias("kinds"))
-    front = stored(rooted(front, 0), "flow-front")
-    done = [front.where("root is not null").withColumn("depth", F.lit(0))]
-    front = front.where("root is null").drop("root")
-    seen = stored(front.select("start", *NODE, at_key.alias("key")), "flow-seen")
+    front = rooted(front.withColumn("key", at_key), 0)
+    taken = front.where("root is null").groupBy("start").agg(F.count_distinct(node).alias("taken"))  # nodes a start has visited: its rows carry it
+    front = stored(front.join(taken, "start", "left"), "flow-front")
+    fronts, done = [front], [front.where("root is not null").withColumn("depth", F.lit(0))]
+    front = front.where("root is null")
+    seen = Gathered(front, "start", *NODE, "key")
     for step in range(1, depth + 1):
         go = front.join(edge, NODE).where(F.col("kind").isin(*ELSEWHERE) | F.col("offset").isNull() | F.col("at").isNull() | (F.col("offset") <= F.col("at")))
         near = first_n(go.where(F.col("kind").isin(*LATEST)), ["start", *NODE, "kind"], [F.col("offset").desc_nulls_last(), F.col("to_token")], NEAREST)
         go = near.unionByName(go.where(~F.col("kind").isin(*LATEST)))
         to = F.struct(F.col("to_method").alias("method"), F.col("to_token").alias("token"))
         go = go.select("start", F.col("to_method").alias("method"), F.col("to_token").alias("token"), later(F.col("to_token"), F.coalesce("offset", "at")).alias("at"),
-                       F.array_append("path", to).alias("path"), F.array_append("kinds", F.col("kind")).alias("kinds"))
+                       F.array_append("path", to).alias("path"), F.array_append("kinds", F.col("kind")).alias("kinds"), "taken")
         # of ways to one node in a round the latest place, then the smallest path
-        go = go.groupBy("start", *NODE).agg(F.max(at_key).alias("key"), F.min(F.struct((-at_key.cast("long")).alias("o"), "at", "path", "kinds")).alias("w")).select("start", *NODE, "key", "w.at", "w.path", "w.kinds")
-        old = seen.groupBy("start", *NODE).agg(F.max("key").alias("had"))
+        go = go.groupBy("start", *NODE).agg(F.max(at_key).alias("key"), F.min(F.struct((-at_key.cast("long")).alias("o"), "at", "path", "kinds")).alias("w"), F.max("taken").alias("taken")).select("start", *NODE, "key", "w.at", "w.path", "w.kinds", "taken")
+        old = seen.rows().groupBy("start", *NODE).agg(F.max("key").alias("had"))
         fresh = go.join(old, ["start", *NODE], "left").where("had is null or had < key")
-        taken = seen.select("start", *NODE).distinct().groupBy("start").agg(F.count("*").alias("taken"))
-        fresh = first_n(fresh.join(taken, "start", "left"), ["start"], [F.col("method"), F.col("token")], states, "place")
-        fresh = fresh.where(F.col("had").isNotNull() | (F.coalesce("taken", F.lit(0)) + F.col("place") <= states)).drop("had", "taken", "place")
-        new = stored(rooted(fresh, step), "flow-front")
-        if new.isEmpty():
+        fresh = first_n(fresh, ["start"], [F.col("method"), F.col("token")], states, "place").where(F.col("had").isNotNull() | (F.col("taken") + F.col("place") <= states))
+        fresh = fresh.withColumn("taken", F.col("taken") + F.count_if(F.col("had").isNull()).over(W.partitionBy("start"))).drop("had", "place")
+        front = stored(rooted(fresh, step), "flow-front")
+        fronts.append(front)
+        if front.isEmpty():
             break
-        done.append(new.where("root is not null").withColumn("depth", F.lit(step)).drop("key"))
-        seen = stored(seen.unionByName(new.select("start", *NODE, "key")), "flow-seen")
-        front = new.drop("root", "key")
+        done.append(front.where("root is not null").withColumn("depth", F.lit(step)))
+        seen.add(front)
     out = reduce(DataFrame.unionByName, done).withColumn("priority", priority(F.col("root")))
     out = first_n(out, ["start", *NODE], [F.col("priority"), F.col("depth"), F.col("path")], 1)
-    return first_n(out, ["start"], [F.col("priority"), F.col("depth"), F.col("method"), F.col("token")], best).select("start", "path", "kinds", "root", "priority", "depth")
+    out = first_n(out, ["start"], [F.col("priority"), F.col("depth"), F.col("method"), F.col("token")], best)
+    out = stored(out.select("start", "path", "kinds", "root", "priority", "depth"), "flow-traces")
+    seen.forget()
+    forget(edge, known, *fronts)
+    return out
 
 
 def forward_paths(edges: DataFrame, pairs: DataFrame, depth: int = 16, states: int = 4000) -> DataFrame:
@@ -120,19 +126,22 @@ def forward_paths(edges: DataFrame, pairs: DataFrame, depth: int = 16, states: i
     turned = stored(edges.select(F.col("to_method").alias("method"), F.col("to_token").alias("token"), F.col("method").alias("next_method"), F.col("token").alias("next_token")).distinct(), "forward-edges")
     key = ["start", "pair"]
     front = stored(pairs.select(*key, *NODE, "to_method", "to_token", F.array(F.struct(*NODE)).alias("path")), "forward-front")
-    seen, done = front.select(*key, *NODE), []
+    seen, fronts, done = Gathered(front, *key, *NODE), [front], []
     for _ in range(depth + 1):
         here = (F.col("method") == F.col("to_method")) & (F.col("token") == F.col("to_token"))
-        done.append(stored(front.where(here).select(*key, "path"), "forward-done"))
+        done.append(front.where(here).select(*key, "path"))
         open_ = front.where(~here).join(done[-1].select(*key), key, "left_anti")
         go = open_.join(turned, NODE).select(*key, F.col("next_method").alias("method"), F.col("next_token").alias("token"), "to_method", "to_token", "path")
         go = go.withColumn("path", F.array_append("path", F.struct(*NODE))).groupBy(*key, *NODE, "to_method", "to_token").agg(F.min("path").alias("path"))
-        front = stored(first_n(go.join(seen, [*key, *NODE], "left_anti"), key, [F.col("path")], states), "forward-front")
+        front = stored(first_n(go.join(seen.rows(), [*key, *NODE], "left_anti"), key, [F.col("path")], states), "forward-front")
+        fronts.append(front)
         if front.isEmpty():
             break
-        seen = stored(seen.unionByName(front.select(*key, *NODE)), "forward-seen")
-    forget(turned)
-    return reduce(DataFrame.unionByName, done).select(*key, F.reverse("path").alias("path"))
+        seen.add(front)
+    out = stored(reduce(DataFrame.unionByName, done).select(*key, F.reverse("path").alias("path")), "forward-paths")
+    seen.forget()
+    forget(turned, *fronts)
+    return out
 
 
 def round_trips(edges: DataFrame, starts: DataFrame, methods: DataFrame, calls: DataFrame, depth: int = 10, best: int = 3, seeds: int = 200, forward_depth: int = 16) -> DataFrame:

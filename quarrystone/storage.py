@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,6 +83,30 @@ def forget(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+class Gathered:
+    """Rows that a loop gathers, a stored table a round. No round is written again but when `most` of them become one table.
+
+    With `own` the rounds' tables are this object's and go then; else only what it wrote itself does.
+    """
+
+    def __init__(self, first: DataFrame, *cols: str, own: bool = False, most: int = 8):
+        self.cols, self.own, self.most, self.parts, self.made = cols, own, most, [first], []
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p.select(*self.cols) for p in self.parts])
+
+    def add(self, rows: DataFrame) -> None:
+        self.parts.append(rows)
+        if len(self.parts) > self.most:
+            old, last = self.parts[:-1], self.parts[-1]  # the last is what the loop goes on with
+            whole = stored(reduce(DataFrame.unionByName, [p.select(*self.cols) for p in old]), "gathered")
+            forget(*(old if self.own else self.made))
+            self.parts, self.made = [whole, last], [whole]
+
+    def forget(self) -> None:
+        forget(*(self.parts if self.own else self.made))
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that this application has stored. For the end of a job: DataFrames over stored tables fail afterwards."""
     _delete(spark, _own(spark))
