@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarrystone.llm import (
     best_fit_packing,
     collision_ann,
+    histogram_shards,
     language_id,
     line_dedup,
     quality_cnn,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_source_mixing": source_mixing.query,
     "op10_quality_cnn": quality_cnn.query,
+    "op13_histogram_shards": histogram_shards.query,
 }
 
 ORACLE = {
