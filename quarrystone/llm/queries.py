@@ -8,6 +8,7 @@ from quarrystone.llm import (
     histogram_shards,
     language_id,
     line_dedup,
+    prefix_trie,
     quality_cnn,
     quality_rules,
     simhash_dedup,
@@ -27,10 +28,12 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_source_mixing": source_mixing.query,
     "op10_quality_cnn": quality_cnn.query,
+    "op12_prefix_trie": prefix_trie.query,
     "op13_histogram_shards": histogram_shards.query,
 }
 
 ORACLE = {
     "op1_line_dedup": line_dedup.SQL,
     "op9_source_mixing": source_mixing.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
