@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarrystone.llm import (
     best_fit_packing,
     collision_ann,
+    collocations,
     histogram_shards,
     language_id,
     line_dedup,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_source_mixing": source_mixing.query,
     "op10_quality_cnn": quality_cnn.query,
+    "op11_collocations": collocations.query,
     "op12_prefix_trie": prefix_trie.query,
     "op13_histogram_shards": histogram_shards.query,
 }
@@ -35,5 +37,6 @@ QUERIES = {
 ORACLE = {
     "op1_line_dedup": line_dedup.SQL,
     "op9_source_mixing": source_mixing.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
 }
