@@ -146,13 +146,13 @@ def a6_evidence(spark, d):
                     F.get_json_object("evidence", "$.title").alias("title"), F.array_contains(F.json_object_keys("location"), "primaryUrl").alias("has_url"), F.array_contains(F.json_object_keys("evidence"), "title").alias("has_title"))
 
 
-@query("a9_source_lines", """WITH f AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN 'src/App' || doc_id || '.RB' WHEN doc_id % 4 = 1 THEN 'm' || doc_id || '/Cargo.toml' WHEN doc_id % 4 = 2 THEN 'a/node_modules/x' || doc_id || '.js' ELSE 'readme' || doc_id || '.md' END AS path
+@query("a9_source_lines", """WITH f AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN doc_id % 3 = 0 THEN '.github/Vendor/' ELSE 'src/' END || 'App' || doc_id || '.RB' WHEN doc_id % 4 = 1 THEN 'm' || doc_id || '/Cargo.toml' WHEN doc_id % 4 = 2 THEN 'a/node_modules/x' || doc_id || '.js' ELSE 'readme' || doc_id || '.md' END AS path
     FROM documents WHERE text IS NOT NULL AND strlen(text) <= 2097152)
   SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM f WHERE doc_id % 4 < 2""")
 def a9(spark, d):
     """Documents as files of a source tree."""
     docs, k = table(spark, d, "documents").where("text is not null"), F.col("doc_id") % 4
-    path = F.when(k == 0, F.concat(F.lit("src/App"), "doc_id", F.lit(".RB"))).when(k == 1, F.concat(F.lit("m"), "doc_id", F.lit("/Cargo.toml"))).when(k == 2, F.concat(F.lit("a/node_modules/x"), "doc_id", F.lit(".js"))).otherwise(F.concat(F.lit("readme"), "doc_id", F.lit(".md")))
+    path = F.when(k == 0, F.concat(F.when(F.col("doc_id") % 3 == 0, ".github/Vendor/").otherwise("src/"), F.lit("App"), "doc_id", F.lit(".RB"))).when(k == 1, F.concat(F.lit("m"), "doc_id", F.lit("/Cargo.toml"))).when(k == 2, F.concat(F.lit("a/node_modules/x"), "doc_id", F.lit(".js"))).otherwise(F.concat(F.lit("readme"), "doc_id", F.lit(".md")))
     return S.lines_of_sources(docs.select(path.alias("path"), F.octet_length("text").alias("length"), F.col("text").cast("binary").alias("content")))
 
 

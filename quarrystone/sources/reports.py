@@ -177,8 +177,8 @@ def sinks_called(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     return calls.join(catalog, ["cls", "method"]).select("call_id", "cls", "method", "sub_type")
 
 
-#: Folders that a source scan leaves out.
-SKIPPED = ("node_modules", "vendor", "target", "build", "dist", "out")
+#: Folders that a source scan leaves out, by their exact names (fixed values).
+SKIPPED = (".git", ".svn", ".hg", ".idea", ".vscode", ".gradle", "node_modules", "vendor", "target", "build", "dist", "out", ".next")
 #: Files that a source scan reads, by name or ending, in lower case (fixed values).
 NAMES = (
     "pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "package.json", "package-lock.json", "yarn.lock",
@@ -188,19 +188,37 @@ ENDINGS = (".java", ".kt", ".kts", ".go", ".js", ".jsx", ".ts", ".tsx", ".py", "
 
 
 def source_lines(spark: SparkSession, root: str, most_bytes: int = 2 << 20) -> DataFrame:
-    """(path, line_no, line) of the source files below a root: hidden and vendored folders and large files left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(path, line_no, line) of the source files below a root: folders of tools and vendors and large files left out.
+
+    Spark's file listing passes over names that begin with a dot or an underscore. Folders of such names are listed here and
+    read as roots of their own; files of such names can't be read this way (`lines_of_sources` takes them from elsewhere).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([root, *_passed_over(spark, root)])
     base = root if "://" in root or root.startswith("file:") else f"file:{root}"
     rel = F.regexp_replace("path", "^file:/+", "/")
     rel = F.substring(rel, len(base.removeprefix("file:").replace("//", "")) + 1, 1 << 30)
     return lines_of_sources(files.withColumn("path", F.regexp_replace(rel, "^/+", "")), most_bytes)
 
 
+def _passed_over(spark: SparkSession, root: str) -> list[str]:
+    """Folders below a root whose names begin with a dot or an underscore, without those of SKIPPED. Only folders are gone through, on the driver, as Spark's listing does."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], [path]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            name = status.getPath().getName()
+            if status.isDirectory() and name not in SKIPPED:
+                todo.append(status.getPath())
+                if name[0] in "._":
+                    found.append(status.getPath().toString())
+    return found
+
+
 def lines_of_sources(files: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
-    """files: (path below the root, length, content). (path, line_no, line) of those that a source scan reads; case does not count."""
-    low = F.lower("path")
-    name = F.element_at(F.split(low, "/"), -1)
-    skipped = low.rlike(r"(^|/)(\.[^/]+|" + "|".join(SKIPPED) + ")/")
+    """files: (path below the root, length, content). (path, line_no, line) of those that a source scan reads; case counts in folders' names only."""
+    name = F.element_at(F.split(F.lower("path"), "/"), -1)
+    skipped = F.col("path").rlike("(^|/)(" + "|".join(f.replace(".", r"\.") for f in SKIPPED) + ")/")
     known = name.isin(*NAMES) | name.rlike("(" + "|".join(e.replace(".", r"\.") for e in ENDINGS) + ")$")
     picked = files.where((F.col("length") <= most_bytes) & ~skipped & known)
     lines = picked.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("i", "line"))

@@ -59,9 +59,19 @@ def run_agents(events: DataFrame, names: list[str], key: str) -> DataFrame:
 
 
 def enriched(df: DataFrame, enrichers: list[tuple[Callable[[str], bool], Callable[[pd.Series], pd.Series]]], path: str, code: str) -> DataFrame:
-    """Code snippets through every enricher that supports the row's path, in order. Both functions are given column-wise."""
-    for supports, enrich in enrichers:
-        yes = F.pandas_udf(lambda p, s=supports: p.map(lambda x: bool(x) and s(x)), "boolean")
-        new = F.pandas_udf(enrich, "string")
-        df = df.withColumn(code, F.when(yes(path), new(code)).otherwise(F.col(code)))
-    return df
+    """Code snippets through every enricher that supports the row's path, in order.
+
+    `supports` is asked for one path at a time, `enrich` is given the snippets of the supported rows of a batch, and is not
+    called for a batch without any. A null path is supported by none.
+    """
+
+    @F.pandas_udf("string")
+    def run(paths: pd.Series, codes: pd.Series) -> pd.Series:
+        for supports, enrich in enrichers:
+            mine = paths.map(lambda p: p is not None and bool(supports(p))).astype(bool)
+            if mine.any():
+                codes = codes.copy()
+                codes[mine] = enrich(codes[mine])
+        return codes
+
+    return df.withColumn(code, run(path, code)) if enrichers else df

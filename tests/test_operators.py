@@ -244,8 +244,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "t9" / "a.py").write_text("import x\ny = 1")
     (tmp_path / "t9" / "node_modules" / "b.py").write_text("no")
     (tmp_path / "t9" / "c.bin").write_text("no")
+    for path, text in ((".github/workflows/ci.yml", "on: push"), ("Vendor/x.go", "package x"), ("vendor/y.go", "no"), (".gradle/z.xml", "no"), ("xvendor/.next/w.js", "no")):
+        (tmp_path / "t9" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t9" / path).write_text(text)
     got = sorted((r.path, r.line_no, r.line) for r in S.source_lines(spark, str(tmp_path)).collect())
-    assert got == [("t9/a.py", 1, "import x"), ("t9/a.py", 2, "y = 1")]
+    assert got == [("t9/.github/workflows/ci.yml", 1, "on: push"), ("t9/Vendor/x.go", 1, "package x"), ("t9/a.py", 1, "import x"), ("t9/a.py", 2, "y = 1")]
     (tmp_path / "r" / "t1").mkdir(parents=True)
     (tmp_path / "r" / "t1" / "x.sarif").write_text(json.dumps({"runs": [{"results": [{"ruleId": "q"}]}]}, indent=1))
     assert [(r.task_id, r.rule_id) for r in S.findings(S.read_reports(spark, str(tmp_path / "r"))).collect()] == [("t1", "q")]
@@ -313,6 +316,19 @@ def test_agents(spark):
     assert [r.event_type for r in out.orderBy("event_id").collect()] == ["error!", "view!"]
 
 
+def test_enrichers_see_only_what_they_support(spark):
+    def python_only(code):
+        if code.str.contains("java").any():
+            raise ValueError("not Python")
+        return code.str.upper()
+
+    rows = [("a.py", "x"), ("b.java", "java"), (None, "none"), ("c.py", None), ("d.kt", "y")]
+    df = spark.createDataFrame(rows, "path string, code string")
+    steps = [(lambda p: p.endswith(".py"), python_only), (lambda p: p.endswith((".py", ".kt")), lambda c: c + "!"), (lambda p: False, lambda c: 1 / 0)]
+    got = {r.path: r.code for r in agents.enriched(df, steps, "path", "code").collect()}
+    assert got == {"a.py": "X!", "b.java": "java", None: "none", "c.py": None, "d.kt": "y!"}
+
+
 def test_preceding_against_plain_version(spark):
     rng = random.Random(8)
     edges = [(rng.choice("ab"), i, rng.choice([None, 1, 2, 3, 5, 8, 8])) for i in range(40)]
