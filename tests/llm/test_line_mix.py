@@ -111,8 +111,32 @@ def test_mixing(spark):
     assert [taken["rep"], len({r.copies for r in out if r.source == "rep"})] != [0, 1]  # equal rows draw apart
     again = source_mixing.mix(df.repartition(7)).select("row.doc_id", "size", "copies").collect()
     assert sorted(map(str, ((r.doc_id, r["size"], r.copies) for r in out))) == sorted(str(tuple(r)) for r in again)
-    numbers = source_mixing.numbered(df.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))).groupBy("id", "mark").agg(F.array_sort(F.collect_list("number")).alias("n")).collect()
+    narrow = source_mixing.sized(df)
+    numbers = source_mixing.numbered(narrow, source_mixing.repeated(narrow)).groupBy("id", "mark").agg(F.array_sort(F.collect_list("number")).alias("n")).collect()
     assert all(list(r.n) == list(range(len(r.n))) for r in numbers) and max(len(r.n) for r in numbers) == 300
     rows_ = source_mixing.stage(spark, df, "")
     assert rows_.columns == df.columns and rows_.count() == sum(r.copies for r in out)
     assert source_mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_mixing_reruns_agree_row_by_row(spark):
+    """Rows equal in id and text, of several sources and with other columns that differ: each gets the same in every partitioning."""
+    docs = [(7, "the same words in all of them", lang, source, k % 2, k, "z") for source in ("a", "b", "c", None) for lang in ("en", "de") for k in range(12)]
+    docs += [(i, f"own words {i}", "en", s, 0, 0, "") for i in range(60) for s in "abc"]
+    df = spark.createDataFrame(docs, SCHEMA)
+    seen = set()
+    for parts in (1, 3, 7):
+        rows = source_mixing.mix(df.repartition(parts)).select("row.*", "copies").collect()
+        seen.add(tuple(sorted(str(tuple(r)) for r in rows)))
+        assert len(rows) == len(docs)
+    assert len(seen) == 1
+    assert len({r.copies for r in rows if r.doc_id == 7}) > 1
+
+
+def test_targets_of_many_sources(spark):
+    """More sources than one task ranks."""
+    rng = random.Random(6)
+    sizes = {f"host{rng.randint(0, 10**6)}": rng.choice([0, 1, 5, 50, rng.randint(1, 10_000)]) for _ in range(300)} | {None: 77}
+    got = source_mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long"), part=20).collect()
+    want = targets(sizes)
+    assert {r.source: r.source_size for r in got} == sizes and all(abs(r.target - want[r.source]) < 1e-6 for r in got)
