@@ -28,7 +28,7 @@ from quarrystone.storage import forget, stored
 #: Fixed values of the query: least count, most words, phrases of a language, and the share (percent) of a phrase's count at which a longer one takes its place.
 LEAST, LONGEST, TOP, SHARE = 30, 4, 2000, 80
 #: Words of a block; entries that meet in a group; bytes of text taken apart at once.
-BLOCK, GROUP, SLICE = 1 << 20, 1 << 21, 1 << 20
+BLOCK, GROUP, SLICE = 1 << 20, 1 << 20, 1 << 20
 #: Ids on a tile's side, tiles in a row that may be dense, and pairs from which a tile is.
 TILE, HEAD, DENSE = 1024, 8, 1 << 17
 #: Left ids are multiplied by this to make a pair's code: words have fewer ids, and left parts fewer than 2 ** 32.
