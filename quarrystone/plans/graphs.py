@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
 from quarrystone.operators import graph as G
+from quarrystone.operators import points_to as P
 from quarrystone.operators import value_flow as V
 from quarrystone.operators.components import connected_components
 from quarrystone.plans.registry import query, table
@@ -182,6 +183,24 @@ def j11(spark, d):
     return sets.select("node", F.size("roots").alias("n_roots"))
 
 
+@query("j11_points_to_index", f"""WITH RECURSIVE {TREE}, {ABOVE}, h AS (SELECT node, node AS root FROM n UNION ALL SELECT node, ancestor FROM up),
+  r AS (SELECT h.node, list(DISTINCT 'ALLOC:K' || (root // 2) ORDER BY 'ALLOC:K' || (root // 2)) AS roots FROM h JOIN n ON n.node = root WHERE p_size % 4 = 1 GROUP BY h.node)
+  SELECT 'm' || node AS method, array_to_string(CASE WHEN len(roots) > 3 THEN list_concat(['UNKNOWN'], roots[1:2]) ELSE roots END, ',') AS roots, len(roots) > 3 AS truncated FROM r""")
+def j11_index(spark, d):
+    """A method for each part: it is called by the part above it with that part's own parameter, may put a new object into a field of a field of it, and reads that field."""
+    nodes, edges = tree(spark, d)
+    name, field = lambda c: F.concat(F.lit("m"), c), F.lit("HEAP(HEAP(PARAM:0):box):item")
+    own = nodes.where("p_size % 4 = 1")
+    copies = own.select(name("node").alias("method"), F.lit("made").alias("left"), F.lit("fresh").alias("right"))
+    loads = nodes.select(name("node").alias("method"), F.lit("x").alias("target"), field.alias("source_field"))
+    stores = own.select(name("node").alias("method"), field.alias("target_field"), F.lit("made").alias("value"))
+    call = lambda df, caller, callee, args, result: df.select(name(caller).alias("method"), callee.alias("callee"), F.lit(1).alias("offset"), F.lit(None).cast("string").alias("receiver"), args.alias("args"), result.alias("result"))
+    made = call(own, "node", F.concat(F.lit("K"), F.expr("node div 2"), F.lit("#<init>")), F.array().cast("array<string>"), F.lit("fresh"))
+    calls = call(edges, "source", name("target"), F.array(F.lit("PARAM:0")), F.lit(None).cast("string")).unionByName(made)
+    out = P.points_to_index(copies, loads, stores, calls, most=3).where("token = 'x'")
+    return out.select("method", F.array_join("roots", ",").alias("roots"), "truncated")
+
+
 @query("j12_type_closure", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node, ancestor FROM up")
 def j12(spark, d):
     _, edges = tree(spark, d)
