@@ -2,7 +2,9 @@
 
 A node is (method, token); flow edges say where the value of a token comes from. Inside a method an edge holds at an
 offset, and only edges at or before the place looked from count (edges to callers, beans and other writers of a field
-count from anywhere), so a state carries the offset it was reached at and may be entered again from a later one. All starts are traced at once, in rounds of joins; every round is stored.
+count from anywhere), so a state carries the offset it was reached at and may be entered again from a later one.
+Field tokens are not all known beforehand: while walking, their bases are exchanged for aliases and rewritten for callers.
+All starts are traced at once, in rounds of joins; every round is stored.
 """
 
 from __future__ import annotations
@@ -14,39 +16,93 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystone.operators.graph import reachable
+from quarrystone.operators.points_to import call_sites, field_of, is_field, is_unknown, nesting, rewritten
 from quarrystone.operators.relational import first_n
 from quarrystone.storage import Gathered, forget, stored
 
 NODE = ["method", "token"]
 #: Kinds of edges of which only the latest few before a place count, and how many.
 LATEST, NEAREST = ("copy", "load", "store"), 3
-#: Kinds of edges that leave the method from any place in it.
-ELSEWHERE = ("caller", "inject", "heap")
+#: Kinds of edges that count from any place in a method.
+ELSEWHERE = ("caller", "inject", "heap", "alias")
 #: Priorities of roots, by kind (fixed values): the smaller, the better a trace that ends there.
 PRIORITY = {"bean": 0, "inject": 0, "entry": 1, "alloc": 2, "no_caller": 3, "unknown": 50, "depth": 80}
 
 
-def flow_edges(copies: DataFrame, loads: DataFrame, stores: DataFrame, calls: DataFrame, injections: DataFrame | None = None, heap: DataFrame | None = None) -> DataFrame:
-    """(method, token, to_method, to_token, offset, kind): where the value of a token comes from.
+def flow_edges(copies: DataFrame, loads: DataFrame, stores: DataFrame, calls: DataFrame, injections: DataFrame | None = None, heap: DataFrame | None = None, targets: DataFrame | None = None, modelled: DataFrame | None = None) -> DataFrame:
+    """(method, token, to_method, to_token, offset, kind[, reach]): where the value of a token comes from.
 
     copies: (method, left, right, offset); loads: (method, target, source_field, offset); stores: (method, target_field,
     value, offset); calls: (method, callee, offset, receiver, args, result), a constructor's callee being `Class#<init>`;
-    injections: (method, token, bean); heap: (method, token, to_method, to_token), the writers of a field that is read.
+    injections: (method, token, bean); heap: (method, token, to_method, to_token), the writers of a field that is read;
+    targets: (method, offset, callee), methods that a call may reach besides the declared one; modelled: (method), those with a
+    summary. With `modelled` given, a result comes from summarized methods only, and a result that none of them explains comes, approximately, from
+    the call's receiver and arguments; `reach` then tells what the call may reach, for `chain_traces`.
     """
     inside = lambda df, kind, left, right: df.select("method", F.col(left).alias("token"), F.col("method").alias("to_method"), F.col(right).alias("to_token"), "offset", F.lit(kind).alias("kind"))
     made = F.endswith("callee", F.lit("#<init>"))
     alloc = F.concat(F.lit("ALLOC:"), F.substring_index("callee", "#", 1), F.coalesce(F.concat(F.lit("@"), F.col("offset").cast("string")), F.lit("")))
-    result = calls.select("method", F.col("result").alias("token"), F.when(made, F.col("method")).otherwise(F.col("callee")).alias("to_method"), F.when(made, alloc).otherwise("RET").alias("to_token"), "offset", F.lit("result").alias("kind"))
-    up = lambda token, value: calls.where(~made).select(F.col("callee").alias("method"), token.alias("token"), F.col("method").alias("to_method"), value.alias("to_token"), "offset", F.lit("caller").alias("kind"))
-    args = calls.where(~made).select("callee", "method", "offset", F.posexplode("args").alias("i", "arg"))
+    sites = calls if targets is None else call_sites(calls, targets)
+    out = F.array_distinct(F.array_compact(F.array(F.trim("result"), F.concat(F.lit("CALLRET@"), F.col("offset").cast("string")))))
+    given = lambda df: df.withColumn("_out", F.explode(out))
+    result = lambda df, method, token: given(df).select("method", F.col("_out").alias("token"), method.alias("to_method"), token.alias("to_token"), "offset", F.lit("result").alias("kind"))
+    known_sites = sites.where(~made)
+    if modelled is not None:
+        known_sites = known_sites.join(modelled.select(F.col("method").alias("callee")).distinct(), "callee", "left_semi")
+    up = lambda token, value: sites.where(~made).select(F.col("callee").alias("method"), token.alias("token"), F.col("method").alias("to_method"), value.alias("to_token"), "offset", F.lit("caller").alias("kind"))
+    args = sites.where(~made).select("callee", "method", "offset", F.posexplode("args").alias("i", "arg"))
     args = args.select(F.col("callee").alias("method"), F.concat(F.lit("PARAM:"), F.col("i").cast("string")).alias("token"), F.col("method").alias("to_method"), F.col("arg").alias("to_token"), "offset", F.lit("caller").alias("kind"))
-    parts = [inside(copies, "copy", "left", "right"), inside(loads, "load", "target", "source_field"), inside(stores, "store", "target_field", "value"), result, up(F.lit("THIS"), F.col("receiver")), args]
+    parts = [
+        inside(copies.where(~is_field(F.col("left"))), "copy", "left", "right"), inside(loads, "load", "target", "source_field"), inside(stores, "store", "target_field", "value"),
+        result(calls.where(made), F.col("method"), alloc), result(known_sites, F.col("callee"), F.lit("RET")), up(F.lit("THIS"), F.col("receiver")), up(F.lit("RET"), F.col("result")), args,
+    ]
     if injections is not None:
         parts.append(injections.select("method", "token", F.col("method").alias("to_method"), F.concat(F.lit("BEAN:"), "bean").alias("to_token"), F.lit(None).cast("int").alias("offset"), F.lit("inject").alias("kind")))
     if heap is not None:
         parts.append(heap.select("method", "token", "to_method", "to_token", F.lit(None).cast("int").alias("offset"), F.lit("heap").alias("kind")))
-    known = lambda c: F.col(c).isNotNull() & (F.trim(c) != "")
-    return reduce(DataFrame.unionByName, parts).where(known("token") & known("to_token")).distinct()
+    named = lambda c: F.col(c).isNotNull() & (F.trim(c) != "")
+    edges = reduce(DataFrame.unionByName, parts).where(named("token") & named("to_token")).distinct()
+    if modelled is None:
+        return edges
+    inputs = given(_reach(calls, targets, modelled)).select("method", F.col("_out").alias("token"), F.col("method").alias("to_method"), F.explode(F.concat(F.array(F.trim("receiver")), F.transform("args", F.trim))).alias("to_token"), "offset", F.lit("approx").alias("kind"), "reach")
+    inputs = inputs.where(named("token") & named("to_token") & ~is_unknown(F.col("to_token")) & (F.col("token") != F.col("to_token"))).distinct()
+    return edges.withColumn("reach", F.lit(None).cast(inputs.schema["reach"].dataType)).unionByName(inputs)
+
+
+def _reach(calls: DataFrame, targets: DataFrame | None, modelled: DataFrame) -> DataFrame:
+    """calls with `reach`: (callee, modelled) of each method they may reach, few for a call."""
+    known_ = modelled.select(F.col("method").alias("callee"), F.lit(True).alias("_known")).distinct()
+    said = F.struct("callee", F.coalesce("_known", F.lit(False)).alias("modelled"))
+    declared = calls.join(known_, "callee", "left").withColumn("reach", F.array_compact(F.array(F.when(F.col("callee").isNotNull(), said)))).drop("_known")
+    if targets is None:
+        return declared
+    per = targets.join(known_, "callee", "left").groupBy(F.col("method").alias("_m"), F.col("offset").alias("_o")).agg(F.collect_set(said).alias("_more"))
+    both = declared.join(per, (F.col("method") == F.col("_m")) & (F.col("offset") == F.col("_o")), "left")
+    return both.withColumn("reach", F.array_union("reach", F.coalesce("_more", F.slice("reach", 1, 0)))).drop("_m", "_o", "_more")
+
+
+def field_ways(copies: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both directions of copies between bases (method, _base, _other, offset), and calls by callee, stored for the rounds of a walk."""
+    both = copies.select("method", F.trim("left").alias("_base"), F.trim("right").alias("_other"), "offset").union(copies.select("method", F.trim("right"), F.trim("left"), "offset"))
+    called = sites.where("callee is not null").select(F.col("callee").alias("method"), F.col("method").alias("to_method"), "offset", "receiver", "args", "result")
+    return stored(both.where("_other <> '' and _other <> 'UNKNOWN'").distinct(), "flow-bases"), stored(called, "flow-sites")
+
+
+def field_steps(front: DataFrame, bases: DataFrame, called: DataFrame) -> DataFrame:
+    """Rows of `front` on field tokens with (to_method, to_token, offset, kind): the same field of an alias of its base, and what callers call it.
+
+    An alias is the other side of a copy of the base in the method, wherever it stands; the way goes on from the copy's place.
+    """
+    _, base, fields = nesting(F.col("token"))
+    own = F.when(F.startswith(F.col("token"), F.lit("THIS:")), "THIS").when(F.startswith(F.col("token"), F.lit("STATIC:")), "STATIC")
+    field = F.when(own.isNotNull(), F.substring("token", F.instr("token", ":") + 1, F.length("token"))).otherwise(F.try_element_at(fields, F.lit(-1)))
+    outer = F.coalesce(own, F.substring("token", F.lit(6), F.length("token") - F.length(field) - 7))  # between HEAP( and ):field
+    at = front.where(is_field(F.col("token"))).withColumn("_base", outer).withColumn("_field", field).withColumn("_root", F.when(F.startswith(base, F.lit("THIS:")), "THIS").otherwise(base))
+    cols = [*front.columns, "to_method", "to_token", "offset", "kind"]
+    alias = at.join(bases, ["method", "_base"]).select("*", F.col("method").alias("to_method"), field_of(F.col("_other"), F.col("_field")).alias("to_token"), F.lit("alias").alias("kind")).select(*cols)
+    up = at.where(F.col("_root").isin("THIS", "RET") | F.startswith("_root", F.lit("PARAM:"))).join(called, "method")
+    up = up.select("*", rewritten(F.col("token"), F.col("receiver"), F.col("args"), F.col("result")).alias("to_token"), F.lit("caller").alias("kind")).where("to_token is not null").select(*cols)
+    return alias.unionByName(up)
 
 
 def token_offset(token: Column) -> Column:
@@ -67,17 +123,28 @@ def priority(kind: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), kind)
 
 
-def traces_to_roots(edges: DataFrame, starts: DataFrame, methods: DataFrame, depth: int = 10, states: int = 2000, best: int = 3) -> DataFrame:
+def later(token: Column, at: Column) -> Column:
+    """The place looked from: that of the edge, or of the token itself where it is later."""
+    return F.when(at.isNotNull(), F.greatest(at, F.coalesce(token_offset(token), at)))
+
+
+def _open(edges: DataFrame) -> DataFrame:
+    """The edges that count outside a chain: approximate ones only where no summarized method is reached."""
+    if "reach" not in edges.columns:
+        return edges
+    return edges.where((F.col("kind") != "approx") | ~F.exists("reach", lambda c: c["modelled"])).drop("reach")
+
+
+def traces_to_roots(edges: DataFrame, starts: DataFrame, methods: DataFrame, depth: int = 10, states: int = 2000, best: int = 3, copies: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
     """(start, path, kinds, root, priority, depth): the best ways from each start back to a root.
 
     starts: (start, method, token, offset); methods: (method, entry, called), called meaning that some call leads to it.
     A way ends at any root on it; of one end the best rank counts, of a start the `best` ends by priority, then
     depth, then node. A start visits at most `states` nodes, the first of a round by node; a start that is a root itself
-    is its only trace.
+    is its only trace. With the `copies` of `flow_edges` and the call `sites` (`call_sites`) the ways of field tokens are followed too.
     """
-    edge, known = stored(edges, "flow-edges"), stored(methods.groupBy("method").agg(F.bool_or("entry").alias("entry"), F.bool_or("called").alias("called")), "flow-methods")
+    edge, known = stored(_open(edges), "flow-edges"), stored(methods.groupBy("method").agg(F.bool_or("entry").alias("entry"), F.bool_or("called").alias("called")), "flow-methods")
     node = F.struct(*NODE)
-    later = lambda token, at: F.when(at.isNotNull(), F.greatest(at, F.coalesce(token_offset(token), at)))
     at_key = F.coalesce(F.col("at"), F.lit((1 << 31) - 1))
 
     def rooted(front: DataFrame, step: int) -> DataFrame:
@@ -85,6 +152,7 @@ def traces_to_roots(edges: DataFrame, starts: DataFrame, methods: DataFrame, dep
         flag = lambda c: F.coalesce(F.col(c), F.lit(False))
         return both.withColumn("root", root_kind(F.col("token"), flag("entry"), flag("called"), F.lit(step >= depth))).drop("entry", "called")
 
+    ways = () if copies is None else field_ways(copies, sites)
     front = starts.select("start", *NODE, later(F.col("token"), F.col("offset")).alias("at"), F.array(node).alias("path"), F.array().cast("array<string>").alias("kinds"))
     front = rooted(front.withColumn("key", at_key), 0)
     taken = front.where("root is null").groupBy("start").agg(F.count_distinct(node).alias("taken"))  # nodes a start has visited: its rows carry it
@@ -93,7 +161,10 @@ def traces_to_roots(edges: DataFrame, starts: DataFrame, methods: DataFrame, dep
     front = front.where("root is null")
     seen = Gathered(front, "start", *NODE, "key")
     for step in range(1, depth + 1):
-        go = front.join(edge, NODE).where(F.col("kind").isin(*ELSEWHERE) | F.col("offset").isNull() | F.col("at").isNull() | (F.col("offset") <= F.col("at")))
+        go = front.join(edge, NODE)
+        if copies is not None:
+            go = go.unionByName(field_steps(front, *ways).select(*go.columns))
+        go = go.where(F.col("kind").isin(*ELSEWHERE) | F.col("offset").isNull() | F.col("at").isNull() | (F.col("offset") <= F.col("at")))
         near = first_n(go.where(F.col("kind").isin(*LATEST)), ["start", *NODE, "kind"], [F.col("offset").desc_nulls_last(), F.col("to_token")], NEAREST)
         go = near.unionByName(go.where(~F.col("kind").isin(*LATEST)))
         to = F.struct(F.col("to_method").alias("method"), F.col("to_token").alias("token"))
@@ -116,14 +187,14 @@ def traces_to_roots(edges: DataFrame, starts: DataFrame, methods: DataFrame, dep
     out = first_n(out, ["start"], [F.col("priority"), F.col("depth"), F.col("method"), F.col("token")], best)
     out = stored(out.select("start", "path", "kinds", "root", "priority", "depth"), "flow-traces")
     seen.forget()
-    forget(edge, known, *fronts)
+    forget(edge, known, *ways, *fronts)
     return out
 
 
 def forward_paths(edges: DataFrame, pairs: DataFrame, depth: int = 16, states: int = 4000) -> DataFrame:
     """pairs: (start, pair, method, token, to_method, to_token). (start, pair, path): a shortest way along the turned edges from the node to the
     other one, the smallest of its length, given backward: from the end to the beginning."""
-    turned = stored(edges.select(F.col("to_method").alias("method"), F.col("to_token").alias("token"), F.col("method").alias("next_method"), F.col("token").alias("next_token")).distinct(), "forward-edges")
+    turned = stored(_open(edges).select(F.col("to_method").alias("method"), F.col("to_token").alias("token"), F.col("method").alias("next_method"), F.col("token").alias("next_token")).distinct(), "forward-edges")
     key = ["start", "pair"]
     front = stored(pairs.select(*key, *NODE, "to_method", "to_token", F.array(F.struct(*NODE)).alias("path")), "forward-front")
     seen, fronts, done = Gathered(front, *key, *NODE), [front], []
@@ -144,13 +215,13 @@ def forward_paths(edges: DataFrame, pairs: DataFrame, depth: int = 16, states: i
     return out
 
 
-def round_trips(edges: DataFrame, starts: DataFrame, methods: DataFrame, calls: DataFrame, depth: int = 10, best: int = 3, seeds: int = 200, forward_depth: int = 16) -> DataFrame:
+def round_trips(edges: DataFrame, starts: DataFrame, methods: DataFrame, calls: DataFrame, depth: int = 10, best: int = 3, seeds: int = 200, forward_depth: int = 16, copies: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
     """(start, path, forward): each backward trace by the way forward from its root where there is one, else as it is.
 
     A start without any trace is looked for from entry points: those from which its method is called, else all of them,
     by their parameters (methods: n_params), at most `seeds` of a start; the first seed that reaches it gives the trace.
     """
-    back = stored(traces_to_roots(edges, starts, methods, depth, best=best), "round-back")
+    back = stored(traces_to_roots(edges, starts, methods, depth, best=best, copies=copies, sites=sites), "round-back")
     at = starts.select("start", F.col("method").alias("to_method"), F.col("token").alias("to_token"))
     end = F.element_at("path", -1)
     numbered = stored(back.select("start", F.to_json("path").alias("pair"), "path", end["method"].alias("method"), end["token"].alias("token")).join(at, "start"), "round-pairs")
@@ -174,3 +245,72 @@ def round_trips(edges: DataFrame, starts: DataFrame, methods: DataFrame, calls:
     found = forward_paths(edges, pairs, forward_depth)
     found = first_n(found, ["start"], [F.size("path"), F.col("path")], 1)
     return traced.unionByName(found.select("start", "path", F.lit(True).alias("forward")))
+
+
+def chain_traces(edges: DataFrame, chains: DataFrame, depth: int = 12, states: int = 1500, best: int = 1, places: DataFrame | None = None, copies: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
+    """(start, path, kinds, depth): ways from the last method of a call chain to its first, inside the chain.
+
+    chains: (start, chain, token, offset), the chain's methods from the outermost caller to the method looked from; a method that
+    occurs again counts where it comes first. A state is a place in the chain, a token and an offset: a call leads to the
+    method before or after in the chain only, at the offsets that `places` (caller, callee, offset) knows for the two, where it
+    knows any; other writers of a field count where their method is in the chain. A call that does not lead to the next method of the
+    chain, or reaches no summarized method of it, is external, so its result comes from its inputs. The `best` nodes of the first
+    method that are reached are given, by depth, then token; a chain of one method is its own way.
+    """
+    chain = chains.withColumn("chain", F.array_distinct("chain")).where((F.size("chain") > 0) & (F.trim("token") != ""))
+    steps = chain.select("start", "chain", F.posexplode("chain").alias("pos", "method"))
+    at_pos = stored(steps.select("start", "pos", "method", F.get("chain", F.col("pos") + 1).alias("next"), "chain"), "chain-places")
+    extra = [] if "reach" not in edges.columns else ["reach"]
+    edge = edges
+    if places is not None:
+        some = places.groupBy(F.col("caller").alias("_caller"), F.col("callee").alias("_callee")).agg(F.collect_set("offset").alias("_at"))
+        up = F.col("kind") == "caller"
+        edge = edge.withColumn("_caller", F.when(up, F.col("to_method")).otherwise(F.col("method"))).withColumn("_callee", F.when(up, F.col("method")).otherwise(F.col("to_method"))).join(some, ["_caller", "_callee"], "left")
+        over = up | ((F.col("kind") == "result") & (F.col("method") != F.col("to_method")))
+        edge = edge.where(~over | F.col("_at").isNull() | F.col("offset").isNull() | F.array_contains("_at", F.col("offset"))).drop("_caller", "_callee", "_at")
+    edge = stored(edge.select(*NODE, "to_method", "to_token", "offset", "kind", *extra), "chain-flow")
+    node = F.struct(*NODE)
+    at_key = F.coalesce(F.col("at"), F.lit((1 << 31) - 1))
+    whole = lambda df: df.join(at_pos.drop("chain"), ["start", "method"])  # noqa: E731  a place of the chain, or none
+    ways = () if copies is None else field_ways(copies, sites)
+    first = chain.select("start", F.element_at("chain", -1).alias("method"), F.trim("token").alias("token"), "offset")
+    front = first.select("start", *NODE, later(F.col("token"), F.col("offset")).alias("at"), F.array(node).alias("path"), F.array().cast("array<string>").alias("kinds"), F.lit(1).cast("long").alias("taken"))
+    front = stored(whole(front.withColumn("key", at_key)), "chain-front")
+    alone = F.col("pos") == 0
+    fronts, done = [front], [front.where(alone).withColumn("depth", F.lit(0))]
+    front = front.where(~alone)
+    seen = Gathered(front, "start", *NODE, "key")
+    to_pos = at_pos.select("start", F.col("method").alias("to_method"), F.col("pos").alias("to_pos"))
+    for step in range(1, depth + 1):
+        go = front.join(edge, NODE)
+        if copies is not None:
+            more = field_steps(front, *ways)
+            go = go.unionByName((more.withColumn("reach", F.lit(None).cast(edge.schema["reach"].dataType)) if extra else more).select(*go.columns))
+        go = go.where(F.col("kind").isin(*ELSEWHERE) | F.col("offset").isNull() | F.col("at").isNull() | (F.col("offset") <= F.col("at")))
+        if extra:  # a call inside the chain explains its result
+            chained = F.exists("reach", lambda c: c["callee"] == F.col("next"))
+            held = go.where("kind = 'approx'").join(at_pos.select("start", "pos", F.col("chain").alias("_chain")), ["start", "pos"])
+            external = ~F.coalesce(chained & F.exists("reach", lambda c: c["modelled"] & F.array_contains("_chain", c["callee"])), F.lit(False))
+            go = go.where("kind <> 'approx'").unionByName(held.where(external).drop("_chain").select(*go.columns)).drop("reach")
+        near = first_n(go.where(F.col("kind").isin(*LATEST)), ["start", *NODE, "kind"], [F.col("offset").desc_nulls_last(), F.col("to_token")], NEAREST)
+        go = near.unionByName(go.where(~F.col("kind").isin(*LATEST))).join(to_pos, ["start", "to_method"])
+        call = F.when(F.col("kind") == "caller", F.col("to_pos") == F.col("pos") - 1).when((F.col("kind") == "result") & (F.col("to_method") != F.col("method")), F.col("to_pos") == F.col("pos") + 1).otherwise(True)
+        to = F.struct(F.col("to_method").alias("method"), F.col("to_token").alias("token"))
+        go = go.where(call).select("start", F.col("to_method").alias("method"), F.col("to_token").alias("token"), later(F.col("to_token"), F.coalesce("offset", "at")).alias("at"),
+                                   F.array_append("path", to).alias("path"), F.array_append("kinds", F.col("kind")).alias("kinds"), "taken")
+        go = go.groupBy("start", *NODE).agg(F.max(at_key).alias("key"), F.min(F.struct((-at_key.cast("long")).alias("o"), "at", "path", "kinds")).alias("w"), F.max("taken").alias("taken")).select("start", *NODE, "key", "w.at", "w.path", "w.kinds", "taken")
+        old = seen.rows().groupBy("start", *NODE).agg(F.max("key").alias("had"))
+        fresh = go.join(old, ["start", *NODE], "left").where("had is null or had < key")
+        fresh = first_n(fresh, ["start"], [F.col("method"), F.col("token")], states, "place").where(F.col("had").isNotNull() | (F.col("taken") + F.col("place") <= states))
+        fresh = fresh.withColumn("taken", F.col("taken") + F.count_if(F.col("had").isNull()).over(W.partitionBy("start"))).drop("had", "place")
+        front = stored(whole(fresh), "chain-front")
+        fronts.append(front)
+        if front.isEmpty():
+            break
+        done.append(front.where(alone).withColumn("depth", F.lit(step)))
+        seen.add(front)
+    out = first_n(reduce(DataFrame.unionByName, done), ["start", *NODE], [F.col("depth"), F.col("path")], 1)
+    out = stored(first_n(out, ["start"], [F.col("depth"), F.col("token")], best).select("start", "path", "kinds", "depth"), "chain-traces")
+    seen.forget()
+    forget(edge, at_pos, *ways, *fronts)
+    return out

@@ -176,6 +176,41 @@ def j9_trips(spark, d):
     return t.select("start", F.element_at("path", -1)["method"].alias("root"), "forward")
 
 
+@query("j8_field_flow", f"""WITH RECURSIVE {TREE}, {ABOVE}, h AS (SELECT node AS start, node AS anc FROM n UNION ALL SELECT node, ancestor FROM up), top AS (SELECT start, min(anc) AS top FROM h GROUP BY start),
+  s AS (SELECT h.start, max(anc) AS anc FROM h JOIN n ON n.node = anc WHERE p_size % 4 = 1 GROUP BY h.start)
+  SELECT top.start, CASE WHEN s.anc IS NULL OR top.start = top THEN 'm' || top ELSE 'm' || s.anc END AS root, CASE WHEN s.anc IS NULL OR top.start = top THEN 'no_caller' ELSE 'alloc' END AS kind FROM top LEFT JOIN s ON s.start = top.start""")
+def j8_fields(spark, d):
+    """A method for each part, called through an interface by the part above it: it reads a field of an alias of its parameter, and some put into that field what a
+    library call makes of a new object."""
+    nodes, edges = tree(spark, d)
+    name = lambda c: F.concat(F.lit("m"), c)
+    own = nodes.where("p_size % 4 = 1")
+    copies = nodes.select(name("node").alias("method"), F.lit("b").alias("left"), F.lit("PARAM:0").alias("right"), F.lit(10).alias("offset"))
+    loads = nodes.select(name("node").alias("method"), F.lit("x").alias("target"), F.lit("HEAP(b):f").alias("source_field"), F.lit(50).alias("offset"))
+    stores = own.select(name("node").alias("method"), F.lit("HEAP(PARAM:0):f").alias("target_field"), F.lit("r").alias("value"), F.lit(5).alias("offset"))
+    call = lambda df, caller, callee, offset, arg, result: df.select(name(caller).alias("method"), callee.alias("callee"), offset.alias("offset"), F.lit(None).cast("string").alias("receiver"), F.array(F.lit(arg)).alias("args"), F.lit(result).alias("result"))
+    place = (60 + F.col("target") % 3).cast("int")
+    calls = call(edges, "source", F.lit("Step#run"), place, "b", "done").unionByName(call(own, "node", F.lit("lib#wrap"), F.lit(4), "src", "r")).unionByName(call(own, "node", F.lit("K#<init>"), F.lit(3), "none", "src"))
+    targets = edges.select(name("source").alias("method"), place.alias("offset"), name("target").alias("callee"))
+    flow = V.flow_edges(copies, loads, stores, calls, targets=targets, modelled=copies.select("method"))
+    methods = nodes.select(name("node").alias("method"), F.lit(False).alias("entry")).join(targets.select(F.col("callee").alias("method"), F.lit(True).alias("called")), "method", "left").na.fill(False, ["called"])
+    starts = nodes.select(F.col("node").alias("start"), name("node").alias("method"), F.lit("x").alias("token"), F.lit(100).alias("offset"))
+    t = V.traces_to_roots(flow, starts, methods, depth=2 * DEEP, best=1, copies=copies, sites=V.call_sites(calls, targets))
+    return t.select("start", F.element_at("path", -1)["method"].alias("root"), F.col("root").alias("kind"))
+
+
+@query("j10_value_chains", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT n.node AS start, 'm' || least(n.node, coalesce(min(ancestor), n.node)) AS root, 2 * count(ancestor) AS depth FROM n LEFT JOIN up ON up.node = n.node GROUP BY n.node")
+def j10_chains(spark, d):
+    """Inside the chain of calls from the top of the tree to each part."""
+    edges, starts, _, _ = _flow(spark, d)
+    nodes, tree_edges = tree(spark, d)
+    above = G.closure(tree_edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    way = nodes.select("node", F.col("node").alias("ancestor")).union(above).groupBy("node").agg(F.array_sort(F.collect_list("ancestor")).alias("ids"))
+    chains = starts.join(way, F.col("start") == F.col("node")).select("start", F.transform("ids", lambda i: F.concat(F.lit("m"), i)).alias("chain"), "token", "offset")
+    t = V.chain_traces(edges, chains, depth=2 * DEEP)
+    return t.select("start", F.element_at("path", -1)["method"].alias("root"), "depth")
+
+
 @query("j11_points_to", f"WITH RECURSIVE {TREE}, {ABOVE} SELECT node, count(*) AS n_roots FROM (SELECT node, ancestor AS root FROM up WHERE ancestor IN (SELECT node FROM n WHERE p_size % 4 = 1) UNION SELECT node, node FROM n WHERE p_size % 4 = 1) GROUP BY node")
 def j11(spark, d):
     nodes, edges = tree(spark, d)
