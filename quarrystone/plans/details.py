@@ -12,6 +12,8 @@ from quarrystone.plans.graphs import ABOVE, DEEP, TREE, tree
 from quarrystone.plans.registry import query, table
 from quarrystone.plans.streams import finished, stream
 from quarrystone.plans.views import FINDINGS, TASKS, findings, tasks
+from quarrystone.storage import shared_dir
+from quarrystone.streaming import jobs, outbox, reviews
 
 
 @query("b1_active_rows", f"WITH {FINDINGS} SELECT finding_id, project_id % 7 AS tenant_id FROM f WHERE status <> 'RESOLVED' AND project_id % 7 = 3")
@@ -194,6 +196,17 @@ def k1(spark, d):
     return finished(stream(spark, d).where("event_type = 'purchase'").select("event_id"))
 
 
+@query("k7_review_ledger", f"WITH {FINDINGS} SELECT event_id AS job_id, CASE WHEN event_id % 7 = 0 THEN 'rejected' ELSE 'review' END AS kind, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_type = 'error' THEN 'FAILED' ELSE 'TRUE_POSITIVE' END AS verdict, CASE WHEN event_id % 7 <> 0 AND event_type <> 'error' AND status = 'OPEN' THEN 'CONFIRMED' END AS status_after FROM events LEFT JOIN f ON finding_id = event_id WHERE event_type IN ('error', 'click') AND (event_id % 7 = 0 OR finding_id IS NOT NULL)")
+def k7_ledger(spark, d):
+    """Review results as JSON, every seventh of them broken, applied in a micro-batch with its ledger."""
+    target = F.col("event_id").cast("long")
+    doc = F.to_json(F.struct(target.alias("target_id"), X.mapped(F.col("event_type"), {"error": "FAILED", "click": "COMPLETED"}, "RUNNING").alias("status"), F.lit("TRUE_POSITIVE").alias("verdict"), F.lit(0.5).alias("confidence"), F.lit("confirmed").alias("suggested")))
+    e = stream(spark, d).where("event_type in ('error', 'click')").select(target.alias("job_id"), F.when(target % 7 == 0, F.substring(doc, 1, 20)).otherwise(doc).alias("payload"))
+    path, cursor = shared_dir(spark, "review-ledger"), shared_dir(spark, "review-cursor")
+    jobs.run_once(e, cursor, reviews.review_sink(spark, path, findings(spark, d), F.to_timestamp(F.lit("2025-01-01 00:00:00"))))
+    return outbox.written(spark, path, reviews.LEDGER).where("kind <> 'finding'").select("job_id", "kind", "verdict", "status_after")
+
+
 @query("k7_review_stream", f"WITH {FINDINGS} SELECT event_id AS job_id, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'TRUE_POSITIVE' END AS verdict, CASE WHEN event_type <> 'error' AND status = 'OPEN' THEN 'CONFIRMED' END AS status_after FROM events JOIN f ON finding_id = event_id WHERE event_type IN ('error', 'click')")
 def k7(spark, d):
     f = findings(spark, d)

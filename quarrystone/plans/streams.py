@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.plans.registry import query, table
 from quarrystone.storage import shared_dir
-from quarrystone.streaming import agents, jobs
+from quarrystone.streaming import agents, jobs, outbox, stateful
 
 
 def stream(spark, d, name="events"):
@@ -106,6 +106,36 @@ def k8(spark, d):
     return jobs.log_ends(c.join(last, "conv_id").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("sequence"), (F.col("turn") == F.col("end")).alias("is_last")))
 
 
+@query("k8_log_progress", "SELECT CAST(conv_id AS VARCHAR) AS task_id, count(DISTINCT turn) = max(turn) + 1 AS complete, TRUE AS ended, max(turn) + 1 - count(DISTINCT turn) AS missing FROM conversations WHERE NOT (conv_id % 7 = 3 AND turn = 1) GROUP BY conv_id HAVING max(turn) IS NOT NULL")
+def k8_progress(spark, d):
+    """Turns as chunks that come in three steps, out of order; of some tasks one chunk never comes."""
+    c = table(spark, d, "conversations").where("not (conv_id % 7 = 3 and turn = 1) and turn is not null")
+    c = c.join(c.groupBy("conv_id").agg(F.max("turn").alias("end")), "conv_id")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("turn"))
+    rows = c.select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("sequence"), (F.col("turn") == F.col("end")).alias("is_last"), at.alias("at"))
+    return arrived(spark, [rows.where(F.pmod(F.col("sequence") * 5, F.lit(3)) == k) for k in range(3)], stateful.log_progress, ["task_id"])
+
+
+@query("k3_cleared_metrics", "SELECT CAST(user_id AS VARCHAR) AS executor_id, 'OFFLINE' AS status, epoch_us(max(ts)) // 1000 AS last_ms, CAST(NULL AS DOUBLE) AS cpu FROM events GROUP BY user_id")
+def k3_metrics(spark, d):
+    """Heartbeats with metrics; long after the last one every executor is offline and has none."""
+    b = table(spark, d, "events").select(F.col("user_id").cast("string").alias("executor_id"), F.lit("READY").alias("status"), F.col("value").cast("double").alias("cpu"), F.lit(1.0).alias("memory"), F.col("ts").cast("timestamp").alias("at"))
+    later = lambda years: b.limit(1).select(F.lit("still-here").alias("executor_id"), "status", "cpu", "memory", F.make_timestamp(F.year("at") + years, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("at"))
+    out = arrived(spark, [b, later(1), later(2)], lambda s: stateful.executors(s, "1 day"), ["executor_id"])
+    return out.where("executor_id <> 'still-here'").select("executor_id", "status", "last_ms", "cpu")
+
+
+@query("k1_outbox_loop", "SELECT event_id, event_type AS event FROM events WHERE event_type <> 'view'")
+def k1_outbox(spark, d):
+    """All events through an outbox, in batches in the order of time, each written once."""
+    source, cursor, path = (shared_dir(spark, f"outbox-{x}") for x in ("table", "cursor", "out"))
+    schema = "event_id long, event string, status string, created_at timestamp"
+    e = table(spark, d, "events").select(F.col("event_id").cast("long").alias("event_id"), F.col("event_type").alias("event"), F.when(F.col("event_type") == "view", "PROCESSED").otherwise("PENDING").alias("status"), F.col("ts").cast("timestamp").alias("created_at"))
+    e.write.parquet(source)
+    outbox.run_idle(outbox.outbox(spark, source, schema, limit=50_000), cursor, outbox.write_once(path))
+    return outbox.written(spark, path, schema).select("event_id", "event")
+
+
 @query("k9_late_events", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-03 00:00:00'")
 def k9(spark, d):
     return finished(jobs.late_rows(stream(spark, d), "ts", "2024-01-03 00:00:00").select("event_id"))
