@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from itertools import count
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
@@ -228,10 +229,11 @@ def first_edge_paths(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], st
 
 
 def traces(edges: DataFrame, starts: DataFrame, ends: DataFrame, keys: Sequence[str] = (), depth: int = 10, states: int | None = 2000, best: int | None = 3) -> DataFrame:
-    """(keys..., start, path, priority, depth): the best ways from a start along the edges to an end.
+    """(keys..., start, path, priority, depth, truncated): the best ways from a start along the edges to an end.
 
-    ends: (keys..., node, priority). Each state is entered once per start, by its smallest path; at most
-    `states` are open per start and round. Of the ends reached the `best` by priority, then depth, are given (None: no cap);
+    ends: (keys..., node, priority). Each state is entered once per start, by its smallest path; a start enters at most
+    `states` in all, those of a round by their paths, and is truncated where there were more. Of the ends reached the `best` by
+    priority, then depth, are given (None: no cap);
     a node without a way on, or at the last depth, ends with the lowest priority. Run it over turned edges to
     trace the other way, or over edges cut down to the steps of a chain to stay inside it.
     """
@@ -241,20 +243,29 @@ def traces(edges: DataFrame, starts: DataFrame, ends: DataFrame, keys: Sequence[
     end = ends.groupBy(*keys, "node").agg(F.min("priority").alias("priority"))
     mark = stored(ways.join(end, [*keys, "node"], "full"), "trace-ends")  # what a node is: an end, a node with a way on, or both
     met = lambda df: stored(df.join(mark, [*keys, "node"], "left"), "trace-front")
-    front = met(starts.select(*on, F.col("start").alias("node"), F.array("start").alias("path")).distinct())
-    seen, fronts, done = Gathered(front, *on, "node"), [front], []
+    front = met(starts.select(*on, F.col("start").alias("node"), F.array("start").alias("path"), F.lit(1).cast("long").alias("taken"), F.lit(False).alias("over")).distinct())
+    seen, fronts, done, cut = Gathered(front, *on, "node"), [front], [], []
     for step in range(depth + 1):
-        over = F.col("priority").isNotNull() | F.col("_on").isNull() | F.lit(step == depth)
-        done.append(front.where(over).select(*on, "path", F.coalesce("priority", F.lit(1 << 20)).alias("priority"), F.lit(step).alias("depth")))
-        go = front.where(~over).withColumnRenamed("node", "source").join(edge, [*keys, "source"]).select(*on, F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"))
-        go = go.groupBy(*on, "node").agg(F.min("path").alias("path")).join(seen.rows(), [*on, "node"], "left_anti")
-        front = met(first_n(go, on, [F.col("path")], states) if states else go)
-        fronts.append(front)
+        last = F.col("priority").isNotNull() | F.col("_on").isNull() | F.lit(step == depth)
+        done.append(front.where(last).select(*on, "path", F.coalesce("priority", F.lit(1 << 20)).alias("priority"), F.lit(step).alias("depth")))
+        go = front.where(~last).withColumnRenamed("node", "source").join(edge, [*keys, "source"]).select(*on, F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"), "taken")
+        go = go.groupBy(*on, "node").agg(F.min("path").alias("path"), F.max("taken").alias("taken")).join(seen.rows(), [*on, "node"], "left_anti")
+        if states:  # one row more tells that there were more
+            go = first_n(go, on, [F.col("path")], states + 1, "place").where(F.col("taken") + F.col("place") <= states + 1).withColumn("over", F.col("taken") + F.col("place") > states)
+            go = go.withColumn("taken", F.col("taken") + F.count_if(~F.col("over")).over(W.partitionBy(*on))).drop("place")
+        else:
+            go = go.withColumn("over", F.lit(False))
+        every = met(go.select(*on, "node", "path", "taken", "over"))
+        fronts.append(every)
+        cut.append(every.where("over").select(*on))
+        front = every.where("not over")
         if front.isEmpty():
             break
         seen.add(front)
     out = _union(done)
-    out = stored(first_n(out, on, [F.col("priority"), F.col("depth"), F.col("path")], best) if best else out, "traces")
+    flagged = _union(cut).distinct().withColumn("_cut", F.lit(True)) if cut else starts.select(*on).where("false").withColumn("_cut", F.lit(True))
+    out = (first_n(out, on, [F.col("priority"), F.col("depth"), F.col("path")], best) if best else out).join(flagged, on, "left")
+    out = stored(out.withColumn("truncated", F.coalesce("_cut", F.lit(False))).drop("_cut"), "traces")
     seen.forget()
     forget(edge, mark, *fronts)
     return out
@@ -273,18 +284,50 @@ def points_to(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), most
     return kept.join(size, [*keys, "node"]).select(*keys, "node", "roots", (F.col("_n") > most).alias("truncated")), pairs
 
 
-def heap_matches(reads: DataFrame, writes: DataFrame, sets: DataFrame, field: str = "field", most: int = 25) -> DataFrame:
+def foremost(writers: DataFrame, alike: Sequence[str], method: str, order: str, most: int) -> DataFrame:
+    """Of writers that any read scores alike those that can be among the first `most` of a read, whatever the read's own method, which does not count:
+    at most `most` of a method, and twice as many in all."""
+    return first_n(first_n(writers, [*alike, method], [F.col(order)], most), alike, [F.col(order)], 2 * most)
+
+
+def of_type(bases: DataFrame, id_: str, owner: str, above: DataFrame) -> DataFrame:
+    """bases: (id, owner, roots, ...): roots whose type is known and is not below the owner are left out.
+
+    above: (node, ancestor) of types. A root names its type behind its prefix and before an @.
+    """
+    each = bases.select(id_, owner, F.explode("roots").alias("_root")).withColumn("_type", F.nullif(F.trim(F.regexp_extract("_root", r"^(?:ALLOC|BEAN|INJECT):([^@]*)", 1)), F.lit("")))
+    types = above.select(F.col("node").alias("_type")).distinct().withColumn("_known", F.lit(True))
+    fits = above.select(F.col("node").alias("_type"), F.col("ancestor").alias(owner)).distinct().withColumn("_fits", F.lit(True))
+    both = each.join(types, "_type", "left").join(fits, ["_type", owner], "left")
+    stay = F.col(owner).isNull() | F.col("_type").isNull() | (F.col("_type") == F.col(owner)) | F.col("_known").isNull() | F.col("_fits")
+    kept = both.where(stay).groupBy(F.col(id_).alias("_id")).agg(F.array_sort(F.collect_set("_root")).alias("_kept"))
+    none = F.when(F.col("roots").isNotNull(), F.slice("roots", 1, 0))
+    return bases.join(kept, F.col(id_) == F.col("_id"), "left").withColumn("roots", F.coalesce("_kept", none)).drop("_id", "_kept")
+
+
+def heap_matches(reads: DataFrame, writes: DataFrame, sets: DataFrame, field: str = "field", most: int = 25, above: DataFrame | None = None) -> DataFrame:
     """(read, write, score): writes of the field a read looks at, in other methods, whose bases may be the same object.
 
     reads, writes: (id, method, cls, base, field); sets: (node, roots, truncated). Bases match when their roots
-    overlap, or either is unknown or truncated. Same class scores 10 and each common root 1; the `most` best of a read.
+    overlap, or either is unknown, empty or truncated. Same class scores 10 and each common root 1; the `most` best of a read.
+    With `above` (types) roots count only where their type fits the field's class, the part of its name before #. Of writes with
+    one field, class and root set only the foremost meet the reads, so a hot field's pairs grow with its reads.
     """
-    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "method", "cls", "base")], field).join(sets.select(F.col("node").alias(f"{p}_base"), F.col("roots").alias(f"{p}_roots"), F.col("truncated").alias(f"{p}_cut")), f"{p}_base", "left")
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        known_ = sets.select(F.col("node").alias("base"), "roots", "truncated")
+        both = df.select("id", "method", "cls", "base", field).join(known_, "base", "left")
+        if above is not None:
+            typed = of_type(both.withColumn("_owner", F.when(F.contains(field, F.lit("#")), F.substring_index(field, "#", 1))), "id", "_owner", above).drop("_owner")
+            both = typed.withColumn("roots", F.when(F.size("roots") > 0, F.col("roots")))  # none that fits: unknown
+        return both.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "method", "cls", "base")], field, F.array_sort(F.array_distinct("roots")).alias(f"{p}_roots"), F.coalesce("truncated", F.lit(False)).alias(f"{p}_cut"))
+
     r, w = side(reads, "r"), side(writes, "w")
+    w = stored(foremost(w, [field, "w_cls", "w_roots", "w_cut"], "w_method", "w_id", most), "heap-writers")
     same = F.when(F.col("r_cls") == F.col("w_cls"), 10).otherwise(0)
-    loose = lambda p: F.col(f"{p}_roots").isNull() | F.coalesce(F.col(f"{p}_cut"), F.lit(False))
+    loose = lambda p: F.col(f"{p}_roots").isNull() | F.col(f"{p}_cut")
     # bases with known roots meet by field and root
-    each = lambda df, p: df.where(~loose(p)).select("*", F.explode(F.array_distinct(f"{p}_roots")).alias("_root")).drop(f"{p}_roots", f"{p}_cut")
+    each = lambda df, p: df.where(~loose(p)).select("*", F.explode(f"{p}_roots").alias("_root")).drop(f"{p}_roots", f"{p}_cut")
     known = each(r, "r").join(each(w, "w"), [field, "_root"]).where("r_method <> w_method")
     known = known.groupBy("r_id", "w_id").agg((F.max(same) + F.count("*")).alias("score"))
     # only where a side is unknown or truncated may any base of the field be the same

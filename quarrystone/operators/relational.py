@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
 
+#: Characters by which packages are looked up in lines.
+GRAM = 12
+
 
 def active(df: DataFrame, deleted: str = "deleted_at") -> DataFrame:
     return df.where(F.col(deleted).isNull())
@@ -107,10 +110,13 @@ def with_override(members: DataFrame, rules: DataFrame, key: str, pairs: dict[st
 
 
 def matched_evidence(issues: DataFrame, entries: DataFrame, issue: str, group: str, keys: str, entry_key: str, pos: str, n: int = 80) -> DataFrame:
-    """Entries listed under any key of an issue of their group, each once, in index order, at most n an issue."""
-    asked = issues.select(issue, group, F.explode(keys).alias("_key"))
-    have = entries.withColumn("_key", F.lower(F.trim(F.col(entry_key))))
-    hits = asked.join(have, [group, "_key"]).dropDuplicates([issue, pos])
+    """Entries listed under any key of an issue of their group, each once, in index order, at most n an issue.
+
+    The first n of an issue are among the first n of its keys, so each key's entries are cut before they meet the issues.
+    """
+    asked = issues.select(issue, group, F.explode(F.array_distinct(keys)).alias("_key"))
+    have = entries.withColumn("_key", F.lower(F.trim(F.col(entry_key)))).dropDuplicates([group, "_key", pos])
+    hits = asked.join(first_n(have, [group, "_key"], [F.col(pos)], n), [group, "_key"]).dropDuplicates([issue, pos])
     return first_n(hits, [issue], [F.col(pos)], n).drop("_key")
 
 
@@ -264,14 +270,20 @@ def manifest_matches(lines: DataFrame, packages: DataFrame, keys: Sequence[str],
     return found.join(packages.select(F.col(package).alias("coordinate")).distinct(), "coordinate").select(*keys, order, F.col("coordinate").alias(package), F.lit(0.7).alias("confidence"))
 
 
-def gradle_matches(lines: DataFrame, packages: DataFrame, order: str, line: str, package: str, most: int = 200) -> DataFrame:
+def gradle_matches(lines: DataFrame, packages: DataFrame, order: str, line: str, package: str) -> DataFrame:
     """(lines' columns, package, confidence): lines of Gradle files that contain a package's group:artifact, whatever the case.
 
-    packages: (package); as many as a usage scan is asked for, at most `most`, the longest.
+    packages: (package), as many as there are. A package is met by its last `GRAM` characters, where artifacts differ: a line is cut into
+    the pieces of that length at each place, which are joined with the packages' ends, and what meets is compared whole; shorter packages
+    meet the pieces of their own length. So neither lines nor packages are held against all others.
     """
-    low = packages.groupBy(F.lower(F.trim(F.col(package))).alias("_token")).agg(F.min(package).alias(package))
-    hits = lines_with_tokens(lines, low, line, "_token", most)
-    return hits.join(low, hits["token"] == low["_token"]).select(*lines.columns, package, F.lit(0.75).alias("confidence"))
+    low = packages.groupBy(F.lower(F.trim(F.col(package))).alias("_token")).agg(F.min(package).alias(package)).where("_token <> ''")
+    low = low.withColumn("_size", F.least(F.length("_token"), F.lit(GRAM))).withColumn("_piece", F.right("_token", F.lit(GRAM)))
+    sizes = low.select("_size").distinct()  # at most GRAM rows
+    numbered = lines.withColumn("_low", F.lower(F.col(line))).join(F.broadcast(sizes), F.length("_low") >= F.col("_size"))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_low") - F.col("_size") + 1), lambda i: F.substring(F.col("_low"), i, F.col("_size"))))
+    met = numbered.withColumn("_piece", F.explode(pieces)).join(low, ["_piece", "_size"]).where(F.contains("_low", F.col("_token")))
+    return met.select(*lines.columns, package, F.lit(0.75).alias("confidence"))
 
 
 def call_targets(calls: DataFrame, sites: DataFrame, most: int = 50) -> DataFrame:

@@ -42,8 +42,9 @@ def _manifests(li):
 
 
 @query("c12_gradle_matches", """WITH l AS (SELECT l_orderkey, l_linenumber, 'implementation "G' || l_suppkey || ':A' || l_partkey || ':1.0"' AS line FROM lineitem),
-  k AS (SELECT DISTINCT 'g' || l_suppkey || ':a' || l_partkey AS package FROM lineitem), t AS (SELECT package FROM k ORDER BY length(package) DESC, package LIMIT 200)
-  SELECT l_orderkey, l_linenumber, package, 0.75::DOUBLE AS confidence FROM l JOIN t ON contains(lower(line), package)""")
+  k AS (SELECT DISTINCT 'g' || l_suppkey || ':a' || l_partkey AS package FROM lineitem), t AS (SELECT package, length(package) AS n FROM k), s AS (SELECT DISTINCT n FROM t),
+  x AS (SELECT l_orderkey, l_linenumber, line, lower(line)[17 : 16 + n] AS package FROM l, s)
+  SELECT l_orderkey, l_linenumber, package, 0.75::DOUBLE AS confidence FROM x JOIN t USING (package)""")
 def c12_gradle(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     lines = li.select("l_orderkey", "l_linenumber", F.concat(F.lit('implementation "G'), "l_suppkey", F.lit(":A"), "l_partkey", F.lit(':1.0"')).alias("line"))

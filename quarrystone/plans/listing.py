@@ -111,11 +111,12 @@ def c2(spark, d):
     return out.select("finding_id", F.col("c_name").alias("project_name"), F.col("n_name").alias("repo"), "verdict")
 
 
-@query("c3_effective_permissions", """SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS tenant_id, c_custkey AS user_id, 'supply:' || CAST(s_suppkey AS VARCHAR) AS permission
-  FROM customer JOIN supplier ON c_nationkey = s_nationkey""")
+@query("c3_effective_permissions", """SELECT DISTINCT CAST(s_nationkey % 5 AS BIGINT) AS tenant_id, c_custkey AS user_id, 'supply:' || CAST(s_suppkey AS VARCHAR) AS permission
+  FROM customer JOIN supplier ON c_nationkey % 5 = s_nationkey % 5 AND c_custkey // 75 = s_suppkey // 5""")
 def c3(spark, d):
-    users = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("tenant_id"), F.col("c_custkey").alias("user_id"), F.lit("buyer").alias("role_id"))
-    roles = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("tenant_id"), F.lit("buyer").alias("role_id"), F.concat(F.lit("supply:"), "s_suppkey").alias("permission"))
+    """Roles of five suppliers each, so that permissions grow with the users."""
+    users = table(spark, d, "customer").select((F.col("c_nationkey") % 5).cast("long").alias("tenant_id"), F.col("c_custkey").alias("user_id"), F.expr("c_custkey div 75").alias("role_id"))
+    roles = table(spark, d, "supplier").select((F.col("s_nationkey") % 5).cast("long").alias("tenant_id"), F.expr("s_suppkey div 5").alias("role_id"), F.concat(F.lit("supply:"), "s_suppkey").alias("permission"))
     blank = roles.withColumn("permission", F.lit("  "))
     return R.effective_permissions(users, roles.union(blank))
 

@@ -497,3 +497,51 @@ def test_value_flow_against_plain_version(spark, seed):
         assert tuple(r.path[0]) == tuple(starts[r.start][1:3])
         assert all((*a, *b) in step for a, b in zip(r.path, r.path[1:]))
     assert {i for i, w in want.items() if w} <= {r.start for r in trips}
+
+
+def test_pairs_of_a_hot_field_stay_linear(spark):
+    """A thousand writers alike: those that meet the reads are as many as a read's cap asks for, the result is that of all pairs."""
+    writers = [(i, f"m{i % 3 if i % 7 else 9}", "C", 1, "f") for i in range(1000)]
+    cols = "id int, method string, cls string, base int, field string"
+    kept = G.foremost(spark.createDataFrame(writers, cols), ["field", "cls", "base"], "method", "id", 25)
+    assert kept.count() <= 50
+    sets = spark.createDataFrame([(1, [7], False)], "node int, roots array<int>, truncated boolean")
+    out = G.heap_matches(spark.createDataFrame([(5000, "m9", "C", 1, "f"), (5001, "m1", "D", 1, "f")], cols), spark.createDataFrame(writers, cols), sets).collect()
+    for read, method in ((5000, "m9"), (5001, "m1")):
+        assert sorted(r.write for r in out if r.read == read) == [i for i, m, *_ in writers if m != method][:25]
+
+
+def test_heap_roots_of_other_types(spark):
+    cols = "id int, method string, cls string, base int, field string"
+    reads, writes = spark.createDataFrame([(1, "a", "A", 10, "T#f"), (2, "a", "A", 12, "T#f")], cols), spark.createDataFrame([(3, "b", "B", 11, "T#f"), (4, "c", "B", 13, "T#f")], cols)
+    sets = spark.createDataFrame([(10, ["ALLOC:S@1", "ALLOC:U"], False), (11, ["ALLOC:U"], False), (12, ["BEAN:S"], False), (13, ["ALLOC:S@1", "BEAN:S"], False)], "node int, roots array<string>, truncated boolean")
+    above = spark.createDataFrame([("S", "T"), ("U", "V")], "node string, ancestor string")
+    got = sorted(map(tuple, G.heap_matches(reads, writes, sets, above=above).collect()))
+    assert got == [(1, 3, 0), (1, 4, 1), (2, 3, 0), (2, 4, 1)]  # U is no T: the base of 3 has no root left and is unknown
+    assert (1, 3, 1) in set(map(tuple, G.heap_matches(reads, writes, sets).collect()))
+
+
+def test_gradle_matches_without_a_cap(spark):
+    rng = random.Random(3)
+    packages = [f"org.group{i % 40}:artifact-{i}" for i in range(400)] + ["a:b", "G:x", " "]
+    lines = [(i, f"  implementation '{rng.choice(packages).upper()}:1.{i}' // {rng.choice(packages)}") for i in range(200)] + [(900, None), (901, "")]
+    out = R.gradle_matches(spark.createDataFrame(lines, "n int, line string"), spark.createDataFrame([(p,) for p in packages], "package string"), "n", "line", "package")
+    want = sorted((n, p) for n, line in lines for p in packages if line and p.strip() and p.strip().lower() in line.lower())
+    assert sorted((r.n, r.package) for r in out.collect()) == want
+
+
+def test_evidence_is_cut_by_key_before_it_meets_issues(spark):
+    issues = [(i, 1, ["k", "k", f"k{i}"]) for i in range(20)] + [(50, 2, ["k"])]
+    entries = [(p, 1, " K ") for p in range(300)] + [(p, 1, f"k{p % 20}") for p in range(300, 400)] + [(5, 1, "k3"), (7, 2, "k")]
+    out = R.matched_evidence(spark.createDataFrame(issues, "i int, g int, keys array<string>"), spark.createDataFrame(entries, "pos int, g int, entry string"), "i", "g", "keys", "entry", "pos", 4)
+    want = sorted((i, p) for i, g, keys in issues for p in sorted({p for p, h, e in entries if h == g and e.strip().lower() in keys})[:4])
+    assert sorted((r.i, r.pos) for r in out.collect()) == want
+
+
+def test_traces_count_states_in_all(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 6)] + [(i, 10 * i) for i in range(1, 6)] + [(20, 21), (90, 91)], "source int, target int")
+    starts, ends = spark.createDataFrame([(0,), (90,)], "start int"), spark.createDataFrame([(30, 1), (21, 2)], "node int, priority int")
+    every = {(r.start, r.path[-1]): r.truncated for r in G.traces(edges, starts, ends, best=None, states=100).collect()}
+    assert every == {(0, 30): False, (0, 21): False, (0, 10): False, (0, 40): False, (0, 50): False, (90, 91): False}
+    some = {(r.start, r.path[-1]): r.truncated for r in G.traces(edges, starts, ends, best=None, states=8).collect()}  # 0, 1 to 5, 10, 20
+    assert some == {(0, 10): True, (90, 91): False}
