@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import id_crc, table
 
 #: Bounds of the training sample: parts of a language, and texts of a part; languages beyond which learning is refused.
-PARTS, PER_PART, LANGUAGES = 16, 8, 500
+PARTS, PER_PART = 16, 8
+#: Bytes above which a text is sampled only where its part of a language has no shorter ones.
+LONG = 1 << 20
 #: Bytes of a text that are compressed together.
 CHUNK = 4096
 LEVEL, FINE_LEVEL, MARGIN = 6, 17, 0.01
@@ -40,19 +42,17 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """language -> dictionary content, the most frequent language first, from a sample of training texts.
 
     A language's rows fall into `PARTS` parts by a hash of id and text, and of each part the `PER_PART` rows with the
-    smallest hashes are taken, so no task sees a whole language; only then are their texts read. Rows equal in id and
-    text count once. More than `LANGUAGES` languages are an error.
+    smallest hashes are taken, texts over `LONG` bytes last, so no task sees a whole language; only then are their texts read. Rows equal in id and
+    text count once. There are as many dictionaries as languages.
     """
     from pyspark.sql import Window as W
 
     rows = docs.where(train & F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("lang"), F.col(id_col), F.col(text_col)).alias("h"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
-    if len(common) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages to learn")
-    rank = F.row_number().over(W.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h"))
-    picked = rows.select("lang", "h").withColumn("r", rank).where(F.col("r") <= PER_PART).select("lang", "h").distinct()
-    # at most LANGUAGES * PARTS * PER_PART rows of two values
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one row a language
+    rank = F.row_number().over(W.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("long", "h"))
+    picked = rows.select("lang", "h", (F.octet_length("text") > LONG).alias("long")).distinct().withColumn("r", rank).where(F.col("r") <= PER_PART).select("lang", "h")
+    # at most PARTS * PER_PART rows of two values for each language
     texts = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text")).collect()
     out: dict[str, bytes] = {r["lang"]: b"" for r in common}
     for r in sorted(texts):
@@ -99,9 +99,10 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
     very long texts are compressed chunk by chunk to the end; an empty table gives an empty table.
     """
     src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(content)  # as large as the sample that `learn` bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(content)
+        model = Classifier(shared.value)
         for batch in batches:
             rows = [model(t) for t in batch.column(1).to_pylist()]
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]

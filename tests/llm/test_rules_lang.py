@@ -169,5 +169,8 @@ def test_language(spark):
     assert nothing == {} and {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), content).count() == 0
     many = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
-    with pytest.raises(ValueError):
-        language_id.learn(many, F.lit(True))
+    every = language_id.learn(many, F.lit(True))
+    assert len(every) == 600 and language_id.identify(many, every).count() == 600
+    long = spark.createDataFrame([(i, "short words", "a") for i in range(3)] + [(9, "long " * 300_000, "a"), (10, "only long " * 200_000, "b")], "doc_id long, text string, lang string")
+    both = language_id.learn(long, F.lit(True))
+    assert set(both) == {"a", "b"} and both["b"].startswith(b"only long")
