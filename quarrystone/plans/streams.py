@@ -45,6 +45,17 @@ def k4(spark, d):
     return finished(jobs.log_chunks(m, t)).select("sequence", "stream")
 
 
+@query("k4_authorized_as_of", """WITH a AS (SELECT user_id, ts, max(CAST(event_id % 3 AS VARCHAR)) AS x FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+  SELECT CAST(c.user_id AS VARCHAR) AS task_id, c.event_id AS sequence, coalesce(CAST(c.event_id % 3 AS VARCHAR) = a.x, FALSE) AS authorized FROM events c ASOF LEFT JOIN a ON c.user_id = a.user_id AND c.ts >= a.ts WHERE c.event_type = 'view'""")
+def k4_as_of(spark, d):
+    """Purchases hand a user's task to one of three executors, views are the chunks these send; the rows far behind the last event close the stream."""
+    e = table(spark, d, "events").where("event_type in ('purchase', 'view')")
+    rows = e.select(F.col("user_id").cast("string").alias("task_id"), F.when(F.col("event_type") == "view", "chunk").otherwise("assignment").alias("kind"), (F.col("event_id") % 3).cast("string").alias("executor_id"), F.col("event_id").cast("long").alias("sequence"), F.lit(None).cast("string").alias("stream"), F.col("ts").cast("timestamp").alias("at"))
+    later = lambda years: rows.limit(1).select(F.lit("end").alias("task_id"), F.lit("assignment").alias("kind"), "executor_id", "sequence", "stream", F.make_timestamp(F.year("at") + years, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("at"))
+    job = lambda s: stateful.authorized_as_of(s.where("kind = 'chunk'"), s.where("kind = 'assignment'"), "1 day")
+    return arrived(spark, [rows, later(1), later(2)], job, ["task_id", "sequence"], "append").drop("stream")
+
+
 @query("k10_trend_stream", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def k10(spark, d):
     out = finished(jobs.trend(stream(spark, d), "ts", "event_type"), ["day", "event_type"], mode="update")
@@ -73,13 +84,13 @@ def k2(spark, d):
     return arrived(spark, steps, lambda s: jobs.task_states(s, "60 days"), ["task_id"])
 
 
-def arrived(spark, steps, job, keys):
+def arrived(spark, steps, job, keys, mode="update"):
     """A stream whose input arrives in steps, each worked off before the next: the last row of each key."""
     source, cursor, path = (shared_dir(spark, f"stream-{x}") for x in ("steps", "cursor", "out"))
     for rows in steps:
         rows.write.mode("append").parquet(source)
         s = spark.readStream.schema(rows.schema).parquet(source)
-        jobs.run_once(job(s), cursor, lambda b, i: b.withColumn("_batch", F.lit(i)).write.mode("append").parquet(path), "update")
+        jobs.run_once(job(s), cursor, lambda b, i: b.withColumn("_batch", F.lit(i)).write.mode("append").parquet(path), mode)
     out = spark.read.parquet(path)
     return out.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in out.columns if c not in keys]), "_batch").alias("s")).select(*keys, "s.*").drop("_batch")
 

@@ -135,3 +135,76 @@ def executors(beats: DataFrame, late: str = "1 minute", timeout_ms: int = 120_00
     beats.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     rows = beats.select("executor_id", "status", "cpu", "memory", "at").withWatermark("at", late)
     return rows.groupBy("executor_id").transformWithStateInPandas(Liveness(timeout_ms), "executor_id string, status string, last_ms long, cpu double, memory double", "Update", "EventTime")
+
+
+class AsOf(StatefulProcessor):
+    """Chunks judged by the assignment that held at their event time.
+
+    Chunks wait until the watermark has passed them, as an assignment may come after a chunk that it concerns; of
+    assignments those that can still hold for a waiting or coming chunk are kept.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, executor_id string, sequence long, stream string")
+        self.held = handle.getListState("held", "at long, executor_id string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        chunks, given, last = [], [], 0
+        for batch in rows:
+            for at, kind, executor, sequence, stream in zip(batch["at"], batch["kind"], batch["executor_id"], batch["sequence"], batch["stream"]):
+                us = at.value // 1000
+                last = max(last, us)
+                if kind == "assignment":
+                    given.append((us, executor))
+                elif not pd.isna(sequence):
+                    chunks.append((us, executor, int(sequence), stream or "stdout"))
+        for state, fresh in ((self.waiting, chunks), (self.held, given)):
+            if fresh:
+                state.appendList(fresh)
+        if last:
+            now = timerValues.getCurrentWatermarkInMs()
+            self.handle.registerTimer(max(last // 1000 + 1, now + 1))
+            self.handle.registerTimer(max(last // 1000 + self.keep_ms, now + 1))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.held.get(), key=lambda h: (h[0], h[1] or ""))
+        ready, later, out = [], [], []
+        for c in self.waiting.get():
+            (ready if c[0] <= now else later).append(c)
+        for at, executor, sequence, stream in sorted(ready, key=lambda c: (c[0], c[2])):
+            before = [e for t, e in held if t <= at]
+            out.append((key[0], sequence, stream, bool(before) and executor is not None and before[-1] == executor))
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+        past = [h for h in held if h[0] <= now]
+        stay = past[-1:] + [h for h in held if h[0] > now]
+        self.held.clear()
+        if not later and past and expiredTimerInfo.getExpiryTimeInMs() >= past[-1][0] // 1000 + self.keep_ms and len(stay) == 1:
+            stay = []  # silent for so long that the task is forgotten
+        if stay:
+            self.held.put(stay)
+        yield pd.DataFrame(out, columns=["task_id", "sequence", "stream", "authorized"])
+
+
+def authorized_as_of(chunks: DataFrame, assignments: DataFrame, late: str = "1 hour", keep_ms: int = 7 * 86_400_000) -> DataFrame:
+    """(task_id, sequence, stream, authorized): whether the sending executor had the task when a chunk was sent.
+
+    chunks: (task_id string, executor_id string, sequence, stream, at); assignments: (task_id, executor_id, at), a task being its
+    executor's from `at` to the next one; both streams. A null executor takes the task away. A chunk is judged once the
+    watermark, `late` behind the newest row of either, has passed it; of assignments of one time the last by executor id holds. A task without a row for
+    `keep_ms` is forgotten.
+    """
+    from pyspark.sql import functions as F
+
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    sent = chunks.select("task_id", F.lit("chunk").alias("kind"), "executor_id", F.col("sequence").cast("long").alias("sequence"), "stream", "at")
+    given = assignments.select("task_id", F.lit("assignment").alias("kind"), "executor_id", F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("string").alias("stream"), "at")
+    rows = sent.unionByName(given).withWatermark("at", late)
+    return rows.groupBy("task_id").transformWithStateInPandas(AsOf(keep_ms), "task_id string, sequence long, stream string, authorized boolean", "Append", "EventTime")

@@ -59,3 +59,24 @@ def test_executors_lose_their_metrics(spark, tmp_path):
     said = [r for x in out[1:3] for r in x]
     assert ("x", "OFFLINE", ms(1), None, None) in said
     assert ("x", "READY", ms(31), 0.6, 60.0) in out[3]  # it is back
+
+
+def test_chunks_are_judged_by_the_assignment_of_their_time(spark, tmp_path):
+    """A task reassigned between two chunks, an assignment that comes after the chunk it concerns, and one that takes the task away."""
+    schema = "task_id string, kind string, executor_id string, sequence long, stream string, at timestamp"
+    at = lambda m: T0 + datetime.timedelta(minutes=m)
+    chunk = lambda t, e, n, m: (t, "chunk", e, n, None, at(m))
+    given = lambda t, e, m: (t, "assignment", e, None, None, at(m))
+    steps = [
+        [given("t", "x", 0), chunk("t", "x", 0, 1), chunk("t", "y", 1, 2), chunk("u", "x", 0, 5)],
+        [given("t", "y", 10), chunk("t", "y", 2, 11), chunk("t", "x", 3, 9), chunk("t", "x", 4, 12), given("u", "x", 4)],
+        [given("t", None, 20), chunk("t", "y", 5, 21), chunk("v", "x", 0, 22)],
+        [given("end", "x", 500)],
+        [given("end", "x", 900)],
+    ]
+    job = lambda s: stateful.authorized_as_of(s.where("kind = 'chunk'"), s.where("kind = 'assignment'"), "30 minutes")
+    said = []
+    for rows in steps:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.run_once(job(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "cursor"), lambda b, i: said.extend(map(tuple, b.collect())), "append")
+    assert sorted(said) == [("t", 0, "stdout", True), ("t", 1, "stdout", False), ("t", 2, "stdout", True), ("t", 3, "stdout", True), ("t", 4, "stdout", False), ("t", 5, "stdout", False), ("u", 0, "stdout", True), ("v", 0, "stdout", False)]
