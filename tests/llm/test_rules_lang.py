@@ -4,7 +4,6 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
-import pytest
 import zstandard
 from pyspark.sql import functions as F
 
