@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
 from quarrystone.operators import upsert as U
+from quarrystone.operators.snapshots import Snapshot
 from quarrystone.plans.registry import query, table
 from quarrystone.plans.views import FINDINGS, REVIEWS, day, findings, reviews
+from quarrystone.storage import shared_dir
 
 
 def _stamp(text):
@@ -41,6 +43,19 @@ def i2(spark, d):
     return U.upsert(t, u, ["issue_key"], [F.desc("l_quantity")], keep=["status"])
 
 
+@query("i2_touched_folders", """WITH t AS (SELECT p_partkey AS issue_key, p_name AS title, 'OLD' AS status FROM part WHERE p_partkey % 3 <> 0),
+  u AS (SELECT l_partkey AS issue_key, max(l_quantity) AS q FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1)
+  SELECT coalesce(t.issue_key, u.issue_key) AS issue_key, CASE WHEN u.issue_key IS NOT NULL THEN 'q' || CAST(q AS INT) ELSE title END AS title, coalesce(t.status, 'OPEN') AS status FROM t FULL JOIN u ON t.issue_key = u.issue_key""")
+def i2_touched(spark, d):
+    """The same upsert on a stored snapshot, of which only the folders that the updates fall into are rewritten."""
+    t = table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("issue_key"), F.col("p_name").alias("title"), F.lit("OLD").alias("status"))
+    u = table(spark, d, "lineitem").where("l_partkey % 2 = 0").select(F.col("l_partkey").alias("issue_key"), F.concat(F.lit("q"), F.col("l_quantity").cast("int")).alias("title"), F.lit("OPEN").alias("status"), "l_quantity")
+    snapshot = Snapshot(spark, shared_dir(spark, "issues"), t.schema, ["issue_key"], parts=16)
+    snapshot.create(t)
+    snapshot.mutate(u, lambda rows, new: U.upsert(rows, new, ["issue_key"], [F.desc("l_quantity")], keep=["status"]))
+    return snapshot.read()
+
+
 @query("i3_stage_upsert", """WITH t AS (SELECT user_id, event_type, ts, event_id FROM events WHERE event_id % 2 = 0), u AS (SELECT user_id, event_type, ts, event_id FROM events WHERE event_id % 2 = 1),
   a AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS s FROM t GROUP BY 1), b AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS s FROM u GROUP BY 1)
   SELECT coalesce(a.user_id, b.user_id) AS stage_id, coalesce(b.s, a.s) AS status FROM a FULL JOIN b ON a.user_id = b.user_id""")
