@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
+from quarrystone.operators import frameworks as FW
 from quarrystone.operators import graph as G
 from quarrystone.operators import points_to as P
 from quarrystone.operators import value_flow as V
@@ -284,3 +285,17 @@ def j17(spark, d):
         F.lit(None).cast("string").alias("annotation"), F.lit(None).cast("string").alias("ancestor"), F.when(F.col("r_regionkey") == 1, "7").alias("name"))
     above = m.select(F.col("cls").alias("node"), F.col("cls").alias("ancestor")).distinct()
     return G.entry_points(m, rules, above)
+
+
+@query("j17_framework_entries", """SELECT p_partkey AS method, 'spring' AS framework FROM part WHERE p_size % 5 = 0 AND p_type LIKE '%STEEL' UNION ALL SELECT p_partkey, 'jaxrs' FROM part WHERE p_size % 7 = 0
+  UNION ALL SELECT p_partkey, 'servlet' FROM part WHERE p_brand LIKE '%1' AND p_size % 2 = 1 UNION ALL SELECT p_partkey, 'main' FROM part WHERE p_brand LIKE '%2' AND p_size < 2""")
+def j17_frameworks(spark, d):
+    """Brands are classes: some are controllers, some servlets; a method's name and annotations follow from its size and type."""
+    size, brand = F.col("p_size"), F.col("p_brand")
+    servlet, main = brand.endswith("1"), brand.endswith("2")
+    name = F.when(servlet & (size % 2 == 1), "doGet").when(main, "main").otherwise("run")
+    on = F.array_compact(F.array(F.when(F.col("p_type").endswith("STEEL"), FW.SPRING_MAPPINGS[1]), F.when(size % 7 == 0, FW.PATH[0])))
+    m = table(spark, d, "part").select(F.col("p_partkey").alias("method"), brand.alias("cls"), name.alias("name"), size.cast("int").alias("n_params"), on.alias("annotations"), F.lit(None).cast("array<string>").alias("meta"),
+                                       F.array_compact(F.array(F.when(size % 5 == 0, FW.SPRING_CONTROLLERS[1]))).alias("cls_annotations"), F.lit(True).alias("public"), main.alias("static"), F.lit(None).cast("array<string>").alias("types"), F.lit(False).alias("overrides"))
+    above = m.where(F.col("cls").endswith("1")).select(F.col("cls").alias("node"), F.lit(FW.HTTP_SERVLETS[0]).alias("ancestor")).distinct()
+    return FW.framework_entry_points(m, above)
