@@ -340,3 +340,22 @@ def snippet_lines(lines: Column, start: Column, end: Column, most: int = 200, wi
 def ticket_description(en: Column, zh: Column, titles: Column) -> Column:
     """The given text, else a list of the items."""
     return pick_i18n(en, zh, F.array_join(F.transform(titles, lambda t: F.concat(F.lit("- "), t)), "\n"))
+
+
+SNIPPET = "STRUCT<path: STRING, startLine: INT, endLine: INT, lines: ARRAY<STRUCT<lineNumber: INT, content: STRING, highlight: BOOLEAN>>>"
+
+
+def dataflow_snippet(evidence: Column, path: Column, line: Column, most: int = 200, width: int = 400) -> Column:
+    """(path, start_line, end_line, lines) of the first dataflow node of an evidence text at (path, line), or null: the node's own
+    snippet where it is valid, else its value as the one line, highlighted."""
+    flow = F.coalesce(F.get_json_object(evidence, "$.dataflow"), F.get_json_object(evidence, "$.dataFlow"))
+    nodes = F.from_json(flow, f"nodes ARRAY<STRUCT<file: STRING, line: INT, value: STRING, codeSnippet: {SNIPPET}>>")["nodes"]
+    node = F.get(F.filter(nodes, lambda n: (n["file"] == path) & (n["line"] == line)), F.lit(0))
+    own = node["codeSnippet"]
+    kept = F.filter(own["lines"], lambda x: x["lineNumber"].isNotNull() & x["content"].isNotNull())
+    one = lambda number, content, lit: F.struct(number.alias("line_number"), F.substring(content, 1, width).alias("content"), lit.alias("highlight"))
+    said = F.transform(F.slice(kept, 1, most), lambda x: one(x["lineNumber"], x["content"], F.coalesce(x["highlight"], F.lit(False))))
+    fine = (F.trim(own["path"]) != "") & (own["startLine"] > 0) & (own["endLine"] >= own["startLine"]) & (F.size(kept) > 0)
+    part = lambda p, a, b, lines: F.struct(p.alias("path"), a.alias("start_line"), b.alias("end_line"), lines.alias("lines"))
+    text = node["value"]
+    return F.when(fine, part(F.trim(own["path"]), own["startLine"], own["endLine"], said)).when(F.trim(F.substring(text, 1, width)) != "", part(path, line.cast("int"), line.cast("int"), F.array(one(line.cast("int"), text, F.lit(True)))))

@@ -91,6 +91,14 @@ def closure(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return reachable(edges, starts, keys).where("depth > 0 and start <> node").select(*keys, F.col("start").alias("node"), F.col("node").alias("ancestor"))
 
 
+def related_types(edges: DataFrame, kind: str | None = None) -> DataFrame:
+    """edges: (source, target, kind), a type and one it extends or implements. (type, other, relation, kind): its parents and children, of one kind or of all."""
+    e = edges.where(F.col("kind") == kind) if kind else edges
+    e = e.where((F.trim("source") != "") & (F.trim("target") != "")).select("source", "target", "kind").distinct()
+    up = e.select(F.col("source").alias("type"), F.col("target").alias("other"), F.lit("parent").alias("relation"), "kind")
+    return up.union(e.select("target", "source", F.lit("child"), "kind"))
+
+
 def entry_points_reaching(calls: DataFrame, targets: DataFrame, entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., target, entry, any_entry): entry points from which a target is reached, itself included.
 

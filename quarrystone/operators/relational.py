@@ -305,3 +305,26 @@ def bean_candidates(targets: DataFrame, beans: DataFrame, above: DataFrame, most
     unknown = t.join(F.broadcast(loose), F.lit(True)).select("target", "bean", F.lit(2).alias("fit"))  # at most `most` rows
     both = exact.union(sub).union(unknown).groupBy("target", "bean").agg(F.min("fit").alias("fit"))
     return first_n(both, ["target"], [F.col("fit"), F.col("bean")], most)
+
+
+def default_branches(repos: DataFrame, branches: DataFrame, repo: str = "repo") -> DataFrame:
+    """repos: (repo, configured, detected); branches: (repo, name, commit), names as references have them. (repo, branch): the configured branch, else
+    the detected one, else the first by name; null where there is none."""
+    names = branch_names(branches, repo).groupBy(repo).agg(F.min("name").alias("_first"))
+    detected = F.nullif(F.regexp_replace("detected", "^refs/heads/", ""), F.lit(""))
+    both = repos.join(names, repo, "left")
+    return both.select(repo, F.coalesce(F.when(F.trim("configured") != "", F.col("configured")), detected, F.col("_first")).alias("branch"))
+
+
+def branch_names(branches: DataFrame, repo: str = "repo") -> DataFrame:
+    """(repo, name, commit) without the prefixes of references; of a branch that is local and remote the local one counts."""
+    short = F.regexp_replace(F.regexp_replace("name", "^refs/heads/", ""), "^refs/remotes/origin/", "")
+    rows = branches.withColumn("_remote", F.startswith("name", F.lit("refs/remotes/"))).withColumn("name", short).where(F.trim("name") != "")
+    return first_n(rows, [repo, "name"], [F.col("_remote"), F.col("commit")], 1).drop("_remote")
+
+
+def recent_commits(repos: DataFrame, branches: DataFrame, commits: DataFrame, order: Sequence[Column], repo: str = "repo", most: int = 50) -> DataFrame:
+    """The newest commits of each repository's default branch. commits: (repo, branch, ...); a repository whose default branch is not among its branches has none."""
+    known_ = branch_names(branches, repo).select(repo, F.col("name").alias("branch"))
+    chosen = default_branches(repos, branches, repo).join(known_, [repo, "branch"], "left_semi")
+    return first_n(commits.join(chosen, [repo, "branch"]), [repo], order, most)

@@ -162,6 +162,17 @@ def h21(spark, d):
     return docs.select("doc_id", F.array_join(X.snippet_lines(F.col("x"), F.lit(2), F.lit(4)), "\n").alias("snippet"))
 
 
+@query("h21_dataflow_snippet", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE event_type || '.py' END AS path, CASE WHEN event_id % 3 = 2 THEN NULL WHEN event_id % 3 = 0 THEN 1 ELSE user_id + 1 END AS start_line, CASE event_id % 3 WHEN 0 THEN 'own line' WHEN 1 THEN 'v' || event_id END AS content FROM events")
+def h21_flow(spark, d):
+    """Evidence of three kinds: its node has a snippet, a value, or lies elsewhere."""
+    k, path, line = F.col("event_id") % 3, F.concat("event_type", F.lit(".py")), (F.col("user_id") + 1).cast("int")
+    own = F.when(k == 0, F.struct(path.alias("path"), F.lit(1).alias("startLine"), F.lit(2).alias("endLine"), F.array(F.struct(F.lit(1).alias("lineNumber"), F.lit("own line").alias("content"))).alias("lines")))
+    node = F.struct(path.alias("file"), (line + F.when(k == 2, 1).otherwise(0)).alias("line"), F.concat(F.lit("v"), "event_id").alias("value"), own.alias("codeSnippet"))
+    doc = F.to_json(F.struct(F.struct(F.array(node).alias("nodes")).alias("dataFlow")))
+    e = table(spark, d, "events").withColumn("s", X.dataflow_snippet(doc, path, line))
+    return e.select("event_id", "s.path", F.col("s.start_line").cast("long").alias("start_line"), F.get(F.col("s.lines"), F.lit(0))["content"].alias("content"))
+
+
 @query("h24_review_fields", "SELECT event_id, 'v' || event_type AS verdict, 'r' || user_id AS reason, CASE WHEN event_id % 2 = 0 THEN 'CONFIRMED' ELSE 'FALSE_POSITIVE' END AS status FROM events")
 def h24(spark, d):
     even = F.col("event_id") % 2 == 0

@@ -243,6 +243,14 @@ def j12(spark, d):
     return G.closure(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
 
 
+@query("j12_related_types", f"""WITH {TREE}, k AS (SELECT CAST(target AS VARCHAR) AS c, CAST(source AS VARCHAR) AS p, CASE WHEN p_size % 2 = 0 THEN 'IMPL' ELSE 'EXTE' END AS kind FROM e JOIN n ON node = target)
+  SELECT c AS type, p AS other, 'parent' AS relation, kind FROM k UNION ALL SELECT p, c, 'child', kind FROM k""")
+def j12_related(spark, d):
+    nodes, edges = tree(spark, d)
+    kind = nodes.select(F.col("node").alias("target"), F.when(F.col("p_size") % 2 == 0, "IMPL").otherwise("EXTE").alias("kind"))
+    return G.related_types(edges.join(kind, "target").select(F.col("target").cast("string").alias("source"), F.col("source").cast("string").alias("target"), "kind"))
+
+
 @query("j13_alias_classes", f"""WITH RECURSIVE {TREE}, g AS (SELECT source, target FROM e WHERE target % 4 <> 0),
   up AS (SELECT target AS node, source AS ancestor FROM g UNION ALL SELECT up.node, g.source FROM up JOIN g ON up.ancestor = g.target)
   SELECT node, min(ancestor) AS component FROM (SELECT node, ancestor FROM up UNION ALL SELECT DISTINCT source, source FROM g) GROUP BY node""")

@@ -275,6 +275,18 @@ def e9(spark, d):
     return R.first_n(li, ["l_suppkey"], [F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")], 50).select(F.col("l_suppkey").alias("repo"), "l_orderkey", "l_linenumber")
 
 
+@query("e9_default_branch_commits", """WITH r AS (SELECT s_suppkey AS repo, CASE s_suppkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'none' END AS configured, CASE WHEN s_suppkey % 4 = 2 THEN 'R' END AS detected FROM supplier),
+  b AS (SELECT DISTINCT l_suppkey AS repo, l_returnflag AS name FROM lineitem), d AS (SELECT repo, coalesce(configured, detected, (SELECT min(name) FROM b WHERE b.repo = r.repo)) AS branch FROM r)
+  SELECT repo, l_orderkey, l_linenumber FROM (SELECT d.repo, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY d.repo ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS n FROM lineitem JOIN d ON l_suppkey = d.repo AND l_returnflag = d.branch) WHERE n <= 50""")
+def e9_branches(spark, d):
+    """Suppliers are repositories, return flags their branches; some have a configured or a detected default, of one branch none is there."""
+    k = F.col("s_suppkey") % 4
+    repos = table(spark, d, "supplier").select(F.col("s_suppkey").alias("repo"), F.when(k == 0, "A").when(k == 1, "none").alias("configured"), F.when(k == 2, "refs/heads/R").alias("detected"))
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("repo"), F.col("l_returnflag").alias("branch"), "l_orderkey", "l_linenumber", "l_shipdate")
+    branches = li.select("repo", F.concat(F.when(F.col("branch") == "N", "refs/remotes/origin/").otherwise("refs/heads/"), "branch").alias("name"), F.lit("").alias("commit")).distinct()
+    return R.recent_commits(repos, branches, li, [F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")]).select("repo", "l_orderkey", "l_linenumber")
+
+
 @query("e10_merged_ranges", """WITH a AS (SELECT user_id, k - 3 AS s, k + 3 AS e FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
   o AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM a),
   g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o)
