@@ -178,6 +178,8 @@ def a15(spark, d):
 class StageSignal:
     """Speaks up where an error is worth more than a limit."""
 
+    where = "event_type = 'error'"
+
     def supports(self, row):
         return row["event_type"] == "error"
 
@@ -196,6 +198,14 @@ def l2(spark, d):
     return agents.run_agents(table(spark, d, "events").select("event_id", "event_type", "value"), ["quarrystone.plans.streams:StageSignal"], "event_id").select("event_id", "severity")
 
 
+@query("l1_agents_sql", "SELECT event_id, 'HIGH' AS severity FROM events WHERE event_type = 'error' AND value > 50")
+def l1_sql(spark, d):
+    """The agent as a table function in SQL, a partition for each user."""
+    agents.register_sql(spark)
+    table(spark, d, "events").createOrReplaceTempView("stage_events")
+    return spark.sql("SELECT event_id, severity FROM review_agents(TABLE(SELECT event_id, event_type, value, user_id FROM stage_events) PARTITION BY (user_id), 'event_id', 'quarrystone.plans.streams:StageSignal')")
+
+
 @query("l3_enriched_code", "SELECT doc_id, CASE WHEN lang = 'en' THEN CAST(length(text) AS VARCHAR) || ' characters' ELSE text END AS code FROM documents")
 def l3(spark, d):
     """An enricher for the snippets of one kind of path."""

@@ -316,6 +316,20 @@ def test_agents(spark):
     assert [r.event_type for r in out.orderBy("event_id").collect()] == ["error!", "view!"]
 
 
+def test_agents_from_sql(spark):
+    agents.register_sql(spark)
+    spark.createDataFrame([(1, "error", 99.0), (2, "view", 99.0), (3, "error", 1.0), (4, "error", 60.0)], "event_id int, event_type string, value double").createOrReplaceTempView("sql_events")
+    name = "quarrystone.plans.streams:StageSignal"
+    out = spark.sql(f"SELECT * FROM review_agents(TABLE(sql_events) PARTITION BY (event_type) ORDER BY (event_id), 'event_id', '{name}, {name}')")
+    assert out.schema["event_id"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, out.collect())) == [(i, name, "HIGH", f"event {i}") for i in (1, 1, 4, 4)]
+    for args in (f"'none', '{name}'", "'event_id', 'nobody'"):
+        with pytest.raises(Exception, match="no column none|no agent is named nobody"):
+            spark.sql(f"SELECT * FROM review_agents(TABLE(sql_events), {args})").collect()
+    plan = agents.run_agents(spark.table("sql_events"), [name], "event_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "event_type" in plan
+
+
 def test_enrichers_see_only_what_they_support(spark):
     def python_only(code):
         if code.str.contains("java").any():
