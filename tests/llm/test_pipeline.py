@@ -80,7 +80,8 @@ def test_pipeline_against_plain_version(spark, tmp_path):
     want, e, pieces = targets(sizes), Encoder(best_fit_packing.tokenizer_path()), Counter()
     for i, t, s in rows:
         rate = want[s] / sizes[s] if sizes[s] else 0
-        u = int(hashlib.md5(f"mix:{'' if i is None else i}:0:{t or ''}".encode()).hexdigest()[:13], 16) / 2**52
+        mark = hashlib.md5((t or "").encode()).hexdigest()
+        u = int(hashlib.md5(f"mix:{'' if i is None else i}:0:{mark}".encode()).hexdigest()[:13], 16) / 2**52
         ids = e.whole(t or "") + np.array([0], "<u4").tobytes()
         for k in range(-(-len(ids) // 8192)):
             p = ids[8192 * k : 8192 * (k + 1)]
