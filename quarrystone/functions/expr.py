@@ -158,14 +158,14 @@ def usage_tokens(purl: Column, package: Column) -> Column:
 # Paths and texts --------------------------------------------------------------------------------
 
 
-def rewrite_uri(uri: Column, prefix: str, root: str = "/src/") -> Column:
+def rewrite_uri(uri: Column, prefix: str | Column, root: str = "/src/") -> Column:
     """Container and relative URIs under the workspace prefix; other schemes and absolute paths as they are."""
-    base = prefix.rstrip("/") + "/"
+    base = F.lit(prefix.rstrip("/") + "/") if isinstance(prefix, str) else F.concat(F.rtrim(prefix, F.lit("/")), F.lit("/"))
     return (
-        F.when(F.startswith(uri, F.lit("file://" + root)), F.concat(F.lit(base), F.substring(uri, len("file://" + root) + 1, 1 << 30)))
-        .when(F.startswith(uri, F.lit(root)), F.concat(F.lit(base), F.substring(uri, len(root) + 1, 1 << 30)))
+        F.when(F.startswith(uri, F.lit("file://" + root)), F.concat(base, F.substring(uri, len("file://" + root) + 1, 1 << 30)))
+        .when(F.startswith(uri, F.lit(root)), F.concat(base, F.substring(uri, len(root) + 1, 1 << 30)))
         .when(uri.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | F.startswith(uri, F.lit("/")), uri)
-        .otherwise(F.concat(F.lit(base), uri))
+        .otherwise(F.concat(base, uri))
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators import graph as G
 from quarrystone.plans.registry import query, table
+from quarrystone.sources import report_sink
 from quarrystone.sources import reports as S
 from quarrystone.storage import shared_dir, stored
 
@@ -168,3 +169,16 @@ def a16(spark, d):
     path = shared_dir(spark, "json-sink")
     S.write_json(table(spark, d, "part").select(F.col("p_brand").alias("brand"), "p_partkey", "p_size"), path, "brand")
     return spark.read.schema("p_partkey long, p_size long, brand string").json(path).groupBy("brand").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
+
+
+@query("a16_report_documents", """SELECT 't' || (p_partkey // 50) AS task_id, CAST(p_partkey AS INT) AS line, p_brand AS rule_id, CASE WHEN p_size > 25 THEN 'HIGH' ELSE 'LOW' END AS severity,
+  CASE WHEN p_size % 2 = 0 THEN '/work/t' || (p_partkey // 50) || '/a.py' ELSE '/work/t' || (p_partkey // 50) || '/b/' || p_size || '.py' END AS file, p_name AS message FROM part""")
+def a16_documents(spark, d):
+    """Findings written as one SARIF document per task, URIs rewritten on the way, and read again."""
+    size = F.col("p_size")
+    rows = table(spark, d, "part").select(
+        F.concat(F.lit("t"), F.expr("p_partkey div 50")).alias("task_id"), F.lit("r").alias("report"), F.lit(0).alias("run"), F.col("p_partkey").alias("pos"), F.col("p_brand").alias("rule_id"), F.when(size > 25, "HIGH").otherwise("LOW").alias("severity"),
+        F.col("p_name").alias("message"), F.when(size % 2 == 0, "file:///src/a.py").otherwise(F.concat(F.lit("b/"), size, F.lit(".py"))).alias("file"), F.col("p_partkey").cast("int").alias("line"), F.col("p_partkey").cast("string").alias("fingerprint"))
+    path = shared_dir(spark, "report-documents")
+    report_sink.write_documents(report_sink.sarif_documents(rows, "scan", "/work"), path)
+    return S.sarif_findings(S.read_reports(spark, path)).select("task_id", "line", "rule_id", "severity", "file", "message")
