@@ -225,10 +225,18 @@ def typed_union(**parts: DataFrame) -> DataFrame:
     return out
 
 
-def effective_permissions(user_roles: DataFrame, role_permissions: DataFrame) -> DataFrame:
-    """(tenant_id, user_id, permission) over roles of the same tenant, blanks dropped, no repeats."""
-    both = user_roles.join(role_permissions, ["tenant_id", "role_id"])
-    return both.where(F.trim("permission") != "").select("tenant_id", "user_id", "permission").distinct()
+def effective_permissions(user_roles: DataFrame, role_permissions: DataFrame, parts: int = 16) -> DataFrame:
+    """(tenant_id, user_id, permission) over roles of the same tenant, blanks dropped, no repeats.
+
+    Repeats are dropped for each set of roles that users have, before its permissions meet the users, so pairs of users and permissions
+    are neither shuffled nor compared; a set many users have meets them in `parts` parts.
+    """
+    tenant = ["tenant_id", "_roles"]
+    users = user_roles.dropna(subset=["tenant_id", "role_id"]).groupBy("tenant_id", "user_id").agg(F.array_sort(F.collect_set("role_id")).alias("_roles"))
+    each = users.select(*tenant).distinct().withColumn("role_id", F.explode("_roles"))
+    granted = each.join(role_permissions.where(F.trim("permission") != ""), ["tenant_id", "role_id"]).select(*tenant, "permission").distinct()
+    dealt = granted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return users.withColumn("_part", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int")).join(dealt, [*tenant, "_part"]).select("tenant_id", "user_id", "permission")
 
 
 def log_signals(lines: DataFrame, keys: Sequence[str], pos: str, line: str, words: dict[str, str], shown: int = 3) -> DataFrame:
