@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
 
-#: Characters by which packages are looked up in lines.
+#: Characters by which packages without a colon are looked up in lines.
 GRAM = 12
 
 
@@ -281,17 +281,40 @@ def manifest_matches(lines: DataFrame, packages: DataFrame, keys: Sequence[str],
 def gradle_matches(lines: DataFrame, packages: DataFrame, order: str, line: str, package: str) -> DataFrame:
     """(lines' columns, package, confidence): lines of Gradle files that contain a package's group:artifact, whatever the case.
 
-    packages: (package), as many as there are. A package is met by its last `GRAM` characters, where artifacts differ: a line is cut into
-    the pieces of that length at each place, which are joined with the packages' ends, and what meets is compared whole; shorter packages
-    meet the pieces of their own length. So neither lines nor packages are held against all others.
+    packages: (package), as many as there are. A line is cut at its colons: what ends before one, in the lengths that groups have, meets
+    the groups, and only where a group stands there what follows is cut to the lengths of its own artifacts and meets the packages whole.
+    Packages without a colon: `_held`. So neither lines nor packages are held against all others.
+    """
+    token = F.lower(F.trim(F.col(package)))
+    low = packages.groupBy(token.alias("_token")).agg(F.min(package).alias(package)).where("_token <> ''")
+    # of the packages as they come, not of `low`: its shuffle is not needed for the few groups
+    named = packages.select(token.alias("_token"), F.substring_index(token, ":", 1).alias("_group")).where(F.contains("_token", F.lit(":")))
+    groups = named.groupBy("_group").agg(F.collect_set(F.length("_token") - F.length("_group") - 1).alias("_sizes"))
+    lengths = named.agg(F.collect_set(F.length("_group")).alias("_lengths"))  # one row
+    parts = F.split(F.lower(F.col(line)), ":")
+    before = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda k: F.array_join(F.slice("_parts", 1, k), ":"))
+    ends = F.flatten(F.transform(F.col("_before"), lambda b: F.transform(F.filter("_lengths", lambda n: n <= F.length(b)), lambda n: F.right(b, n))))
+    cut = lines.withColumn("_parts", parts).where(F.size("_parts") > 1).withColumn("_before", before).join(F.broadcast(lengths), F.lit(True))
+    at = cut.withColumn("_group", F.explode(F.array_distinct(ends))).drop("_lengths").join(groups, "_group")
+    places = F.filter(F.sequence(F.lit(1), F.size("_parts") - 1), lambda k: F.endswith(F.element_at("_before", k), F.col("_group")))
+    after = F.transform(places, lambda k: F.array_join(F.slice("_parts", k + 1, F.size("_parts")), ":"))
+    tokens = F.flatten(F.transform(after, lambda a: F.transform(F.filter("_sizes", lambda n: n <= F.length(a)), lambda n: F.concat(F.col("_group"), F.lit(":"), F.left(a, n)))))
+    met = at.select(*lines.columns, F.explode(F.array_distinct(tokens)).alias("_token")).join(low, "_token").select(*lines.columns, package)
+    return met.unionByName(_held(lines, low.where(~F.contains("_token", F.lit(":"))), line, package)).withColumn("confidence", F.lit(0.75))
+
+
+def _held(lines: DataFrame, low: DataFrame, line: str, package: str) -> DataFrame:
+    """(lines' columns, package): lines that contain a token. low: (_token, package).
+
+    A token is met by its last `GRAM` characters: a line is cut into the pieces of that length at each place, which are joined with the
+    tokens' ends, and what meets is compared whole; shorter tokens meet the pieces of their own length.
     """
-    low = packages.groupBy(F.lower(F.trim(F.col(package))).alias("_token")).agg(F.min(package).alias(package)).where("_token <> ''")
     low = low.withColumn("_size", F.least(F.length("_token"), F.lit(GRAM))).withColumn("_piece", F.right("_token", F.lit(GRAM)))
     sizes = low.select("_size").distinct()  # at most GRAM rows
     numbered = lines.withColumn("_low", F.lower(F.col(line))).join(F.broadcast(sizes), F.length("_low") >= F.col("_size"))
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_low") - F.col("_size") + 1), lambda i: F.substring(F.col("_low"), i, F.col("_size"))))
     met = numbered.withColumn("_piece", F.explode(pieces)).join(low, ["_piece", "_size"]).where(F.contains("_low", F.col("_token")))
-    return met.select(*lines.columns, package, F.lit(0.75).alias("confidence"))
+    return met.select(*lines.columns, package)
 
 
 def call_targets(calls: DataFrame, sites: DataFrame, most: int = 50) -> DataFrame:

@@ -48,7 +48,7 @@ def _manifests(li):
 def c12_gradle(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     lines = li.select("l_orderkey", "l_linenumber", F.concat(F.lit('implementation "G'), "l_suppkey", F.lit(":A"), "l_partkey", F.lit(':1.0"')).alias("line"))
-    packages = li.select(F.concat(F.lit("g"), "l_suppkey", F.lit(":a"), "l_partkey").alias("package")).distinct()
+    packages = li.select(F.concat(F.lit("g"), "l_suppkey", F.lit(":a"), "l_partkey").alias("package"))
     return R.gradle_matches(lines, packages, "l_linenumber", "line", "package").select("l_orderkey", "l_linenumber", "package", "confidence")
 
 
