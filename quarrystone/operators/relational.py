@@ -112,12 +112,15 @@ def with_override(members: DataFrame, rules: DataFrame, key: str, pairs: dict[st
 def matched_evidence(issues: DataFrame, entries: DataFrame, issue: str, group: str, keys: str, entry_key: str, pos: str, n: int = 80) -> DataFrame:
     """Entries listed under any key of an issue of their group, each once, in index order, at most n an issue.
 
-    The first n of an issue are among the first n of its keys, so each key's entries are cut before they meet the issues.
+    The first n of an issue are among the first n of its keys, so each key's entries are cut first. Issues with the same keys among those
+    that have entries have the same evidence: it is found once for each such set, and only the result has a row for each issue.
     """
     asked = issues.select(issue, group, F.explode(F.array_distinct(keys)).alias("_key"))
-    have = entries.withColumn("_key", F.lower(F.trim(F.col(entry_key)))).dropDuplicates([group, "_key", pos])
-    hits = asked.join(first_n(have, [group, "_key"], [F.col(pos)], n), [group, "_key"]).dropDuplicates([issue, pos])
-    return first_n(hits, [issue], [F.col(pos)], n).drop("_key")
+    have = first_n(entries.withColumn("_key", F.lower(F.trim(F.col(entry_key)))).dropDuplicates([group, "_key", pos]), [group, "_key"], [F.col(pos)], n)
+    sets = asked.join(have.select(group, "_key").distinct(), [group, "_key"], "left_semi").groupBy(issue, group).agg(F.array_sort(F.collect_set("_key")).alias("_keys"))
+    one = sets.select(group, "_keys").distinct().withColumn("_key", F.explode("_keys"))
+    hits = one.join(have, [group, "_key"]).dropDuplicates([group, "_keys", pos]).drop("_key")
+    return sets.join(first_n(hits, [group, "_keys"], [F.col(pos)], n), [group, "_keys"]).drop("_keys")
 
 
 def component_risk(issues: DataFrame, keys: str = "keys", version: str = "version", severity: str = "severity", status: str = "status") -> DataFrame:
