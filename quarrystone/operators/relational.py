@@ -321,10 +321,16 @@ def _held(lines: DataFrame, low: DataFrame, line: str, package: str) -> DataFram
 
 
 def call_targets(calls: DataFrame, sites: DataFrame, most: int = 50) -> DataFrame:
-    """(caller, offset, callee): what a call declares, and the callees recorded at the same offset, at most `most`."""
-    same = calls.select("caller", "offset").distinct().join(sites, ["caller", "offset"]).select("caller", "offset", "callee", F.lit(1).alias("_o"))
-    both = calls.select("caller", "offset", "callee", F.lit(0).alias("_o")).union(same).groupBy("caller", "offset", "callee").agg(F.min("_o").alias("_o"))
-    return first_n(both, ["caller", "offset"], [F.col("_o"), F.col("callee")], most).drop("_o")
+    """(caller, offset, callee): what a call declares, and the callees recorded at the same offset, at most `most`.
+
+    Both are dealt once, by caller and offset: a place's first row shows whether it has a call at all.
+    """
+    place = ["caller", "offset"]
+    both = calls.select(*place, "callee", F.lit(0).alias("_o")).unionByName(sites.dropna(subset=place).select(*place, "callee", F.lit(1).alias("_o")))
+    w = W.partitionBy(*place).orderBy("_o", "callee")
+    each = both.repartition(*place).groupBy(*place, "callee").agg(F.min("_o").alias("_o"))
+    ranked = each.withColumn("_rank", F.row_number().over(w)).withColumn("_first", F.first("_o").over(w))
+    return ranked.where((F.col("_rank") <= most) & (F.col("_first") == 0)).select(*place, "callee")
 
 
 def bean_candidates(targets: DataFrame, beans: DataFrame, above: DataFrame, most: int = 20) -> DataFrame:

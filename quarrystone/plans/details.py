@@ -60,8 +60,8 @@ def c14(spark, d):
 
 
 def _targets(called, li):
-    calls = called.select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("offset"), F.col("l_partkey").alias("callee")).distinct()
-    sites = li.where("l_suppkey % 2 = 0").select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("offset"), F.col("l_suppkey").alias("callee")).distinct()
+    calls = called.select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("offset"), F.col("l_partkey").alias("callee"))
+    sites = li.where("l_suppkey % 2 = 0").select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("offset"), F.col("l_suppkey").alias("callee"))
     return R.call_targets(calls, sites)
 
 
