@@ -351,16 +351,21 @@ def dispatch_edges(calls: DataFrame, methods: DataFrame, above: DataFrame, most:
 
     calls: (caller, callee, kind); methods: (method, cls, name, arity, abstract, virtual); above: (node, ancestor) of
     classes. A virtual method of an abstract type also leads to the concrete methods of the same name and
-    number of parameters below it, at most `most`.
+    number of parameters below it, at most `most`. A caller's calls and their overrides meet in one row: a method's code is
+    short (64 KB in a class file), and so an edge is not shuffled by itself.
     """
     m = methods.select("method", "cls", "name", "arity", "abstract", "virtual")
     wide = m.where("abstract and virtual").select(F.col("method").alias("callee"), F.col("cls").alias("ancestor"), "name", "arity")
     below = wide.join(above, "ancestor").select("callee", "name", "arity", F.col("node").alias("cls"))
-    over = below.join(m.where("not abstract"), ["cls", "name", "arity"]).select("callee", F.col("method").alias("override"))
-    over = first_n(over.distinct(), ["callee"], [F.col("override")], most)
-    more = calls.join(over, "callee").select("caller", F.col("override").alias("callee"), F.lit("IMPL").alias("kind"))
-    both = calls.select("caller", "callee", "kind", F.lit(0).alias("_o")).union(more.withColumn("_o", F.lit(1)))
-    return first_n(both, ["caller", "callee"], [F.col("_o"), F.col("kind")], 1).drop("_o")
+    # the first of a callee are among the first of each class below it
+    made = first_n(m.where("not abstract").select("cls", "name", "arity", "method").distinct(), ["cls", "name", "arity"], [F.col("method")], most)
+    over = below.join(made, ["cls", "name", "arity"]).select("callee", F.col("method").alias("override"))
+    over = first_n(over.distinct(), ["callee"], [F.col("override")], most).groupBy("callee").agg(F.collect_list("override").alias("_over"))
+    own = calls.join(over, "callee", "left").groupBy("caller").agg(F.collect_set(F.struct("callee", "kind")).alias("_own"), F.flatten(F.collect_set("_over")).alias("_over"))
+    own = own.withColumn("_own", F.array_sort("_own")).withColumn("_callees", F.array_distinct("_own.callee"))
+    first = F.filter("_own", lambda x, i: (i == 0) | ~F.get(F.col("_own"), i - 1)["callee"].eqNullSafe(x["callee"]))
+    more = F.transform(F.array_except("_over", "_callees"), lambda c: F.struct(c.alias("callee"), F.lit("IMPL").alias("kind")))
+    return own.select("caller", F.inline(F.concat(first, more)))
 
 
 def entry_points(methods: DataFrame, rules: DataFrame, above: DataFrame) -> DataFrame:
