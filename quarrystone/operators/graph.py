@@ -319,7 +319,8 @@ def heap_matches(reads: DataFrame, writes: DataFrame, sets: DataFrame, field: st
     reads, writes: (id, method, cls, base, field); sets: (node, roots, truncated). Bases match when their roots
     overlap, or either is unknown, empty or truncated. Same class scores 10 and each common root 1; the `most` best of a read.
     With `above` (types) roots count only where their type fits the field's class, the part of its name before #. Of writes with
-    one field, class and root set only the foremost meet the reads, so a hot field's pairs grow with its reads.
+    one field, class and root set only the foremost meet the reads, and of those with one field and root set the foremost of all classes meet the
+    reads of other classes, which score them alike: so a read's pairs do not grow with its field's writers or classes.
     """
 
     def side(df: DataFrame, p: str) -> DataFrame:
@@ -332,15 +333,23 @@ def heap_matches(reads: DataFrame, writes: DataFrame, sets: DataFrame, field: st
 
     r, w = side(reads, "r"), side(writes, "w")
     w = stored(foremost(w, [field, "w_cls", "w_roots", "w_cut"], "w_method", "w_id", most), "heap-writers")
-    same = F.when(F.col("r_cls") == F.col("w_cls"), 10).otherwise(0)
+    # without those of the read's class (two `most`) and method (one) enough are left
+    others = stored(first_n(w, [field, "w_roots", "w_cut"], [F.col("w_id")], 4 * most), "heap-others")
+    alike = F.col("r_cls") == F.col("w_cls")
+    same = F.when(alike, 10).otherwise(0)
     loose = lambda p: F.col(f"{p}_roots").isNull() | F.col(f"{p}_cut")
+
+    def met(reads_: DataFrame, pick, on: Sequence[str]) -> DataFrame:
+        own = reads_.withColumn("w_cls", F.col("r_cls")).join(pick(w), [*on, "w_cls"])
+        other = reads_.join(pick(others), list(on)).where(~F.coalesce(alike, F.lit(False)))
+        return own.unionByName(other.select(*own.columns)).where("r_method <> w_method")
+
     # bases with known roots meet by field and root
     each = lambda df, p: df.where(~loose(p)).select("*", F.explode(f"{p}_roots").alias("_root")).drop(f"{p}_roots", f"{p}_cut")
-    known = each(r, "r").join(each(w, "w"), [field, "_root"]).where("r_method <> w_method")
-    known = known.groupBy("r_id", "w_id").agg((F.max(same) + F.count("*")).alias("score"))
+    known = met(each(r, "r"), lambda df: each(df, "w"), [field, "_root"]).groupBy("r_id", "w_id").agg((F.max(same) + F.count("*")).alias("score"))
     # only where a side is unknown or truncated may any base of the field be the same
     common = F.coalesce(F.size(F.array_intersect("r_roots", "w_roots")), F.lit(0))
-    open_ = r.where(loose("r")).join(w, field).unionByName(r.where(~loose("r")).join(w.where(loose("w")), field)).where("r_method <> w_method")
+    open_ = met(r.where(loose("r")), lambda df: df, [field]).unionByName(met(r.where(~loose("r")), lambda df: df.where(loose("w")), [field]))
     both = known.unionByName(open_.select("r_id", "w_id", (same + common).alias("score")))
     both = both.select(F.col("r_id").alias("read"), F.col("w_id").alias("write"), "score")
     return first_n(both, ["read"], [F.desc("score"), F.col("write")], most)
