@@ -3,7 +3,7 @@
 Each round relinks every node to the smallest node of its neighbourhood: first from the node to its
 larger neighbours, then from the node to its smaller ones. Rounds grow with the logarithm of the
 component size, and each is two aggregations and two joins. Minima are stored before they are joined
-back, so Spark may broadcast them when small and split a hub's rows over tasks when not.
+back, and not broadcast, as that would send them through the driver each round; a hub's rows are split over tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.storage import forget, stored
+from quarrystone.storage import dealt, forget, stored
 
 
 def _signature(edges: DataFrame):
@@ -35,14 +35,14 @@ def connected_components(edges: DataFrame, a: str, b: str, *keys: str) -> DataFr
         both = both.toDF(*names, "u", "v")
         least = stored(both.groupBy(*names, "u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "cc-min")
         large = (
-            both.alias("l").join(least.alias("r"), [*on(both, least), both["u"] == least["u"]])
+            both.alias("l").join(dealt(least.alias("r")), [*on(both, least), both["u"] == least["u"]])
             .where(both["v"] > both["u"])
             .select(*[both[n] for n in names], both["v"].alias("a"), least["m"].alias("b"))
             .where("a <> b").distinct()
         )
         mid = stored(large, "cc-large")
         least2 = stored(mid.groupBy(*names, "a").agg(F.min("b").alias("m")), "cc-min")
-        linked = mid.join(least2, [*on(mid, least2), mid["a"] == least2["a"]]).select(
+        linked = mid.join(dealt(least2), [*on(mid, least2), mid["a"] == least2["a"]]).select(
             *[mid[n] for n in names], mid["b"].alias("a"), least2["m"].alias("b")
         )
         small = linked.where("a <> b").union(least2.select(*names, "a", F.col("m").alias("b"))).distinct()

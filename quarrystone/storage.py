@@ -51,6 +51,11 @@ def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that shuffles it. A loop's tables are small when compressed, so that Spark would send them through the driver, each round again."""
+    return df.hint("merge")
+
+
 def sorted_run(df: DataFrame, label: str, buckets: int, *cols: str) -> DataFrame:
     """Like `stored`, in one file for each of `buckets` buckets of the columns' hash, sorted by them, and known to Spark as such.
 
