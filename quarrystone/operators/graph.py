@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from quarrystone.functions import expr as X
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.relational import consecutive, first_n
-from quarrystone.storage import Gathered, forget, stored
+from quarrystone.storage import Gathered, dealt, forget, stored
 
 
 def known_edges(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Edges whose two ends are nodes, without repeats."""
     ends = lambda c: nodes.select(*keys, F.col("node").alias(c)).distinct()
-    return edges.select(*keys, "source", "target").distinct().join(ends("source"), [*keys, "source"], "left_semi").join(ends("target"), [*keys, "target"], "left_semi")
+    return edges.select(*keys, "source", "target").distinct().join(dealt(ends("source")), [*keys, "source"], "left_semi").join(dealt(ends("target")), [*keys, "target"], "left_semi")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -76,8 +76,8 @@ def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str] = ()) ->
     front = stored(starts.select(*on).distinct().withColumn("depth", F.lit(0)), "reach")
     seen, edge = Gathered(front, *on, "depth", own=True), stored(edges.select(*keys, F.col("source").alias("node"), F.col("target").alias("_to")).distinct(), "reach-edges")
     for depth in count(1):
-        step = front.join(edge, [*keys, "node"]).select(*keys, "start", F.col("_to").alias("node")).distinct()
-        front = stored(step.join(seen.rows(), on, "left_anti").withColumn("depth", F.lit(depth)), "reach-step")
+        step = front.join(dealt(edge), [*keys, "node"]).select(*keys, "start", F.col("_to").alias("node")).distinct()
+        front = stored(step.join(dealt(seen.rows()), on, "left_anti").withColumn("depth", F.lit(depth)), "reach-step")
         if front.isEmpty():
             break
         seen.add(front)
@@ -243,21 +243,21 @@ def traces(edges: DataFrame, starts: DataFrame, ends: DataFrame, keys: Sequence[
     `states` in all, those of a round by their paths, and is truncated where there were more. Of the ends reached the `best` by
     priority, then depth, are given (None: no cap);
     a node without a way on, or at the last depth, ends with the lowest priority. Run it over turned edges to
-    trace the other way, or over edges cut down to the steps of a chain to stay inside it.
+    trace the other way, or over edges cut down to the steps of a chain to stay inside it. No side of a round's joins goes through the driver.
     """
     on = [*keys, "start"]
     edge = stored(edges.select(*keys, "source", "target").distinct(), "trace-edges")
     ways = edge.select(*keys, F.col("source").alias("node")).distinct().withColumn("_on", F.lit(True))
     end = ends.groupBy(*keys, "node").agg(F.min("priority").alias("priority"))
-    mark = stored(ways.join(end, [*keys, "node"], "full"), "trace-ends")  # what a node is: an end, a node with a way on, or both
-    met = lambda df: stored(df.join(mark, [*keys, "node"], "left"), "trace-front")
+    mark = stored(ways.join(dealt(end), [*keys, "node"], "full"), "trace-ends")  # what a node is: an end, a node with a way on, or both
+    met = lambda df: stored(df.join(dealt(mark), [*keys, "node"], "left"), "trace-front")
     front = met(starts.select(*on, F.col("start").alias("node"), F.array("start").alias("path"), F.lit(1).cast("long").alias("taken"), F.lit(False).alias("over")).distinct())
     seen, fronts, done, cut = Gathered(front, *on, "node"), [front], [], []
     for step in range(depth + 1):
         last = F.col("priority").isNotNull() | F.col("_on").isNull() | F.lit(step == depth)
         done.append(front.where(last).select(*on, "path", F.coalesce("priority", F.lit(1 << 20)).alias("priority"), F.lit(step).alias("depth")))
-        go = front.where(~last).withColumnRenamed("node", "source").join(edge, [*keys, "source"]).select(*on, F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"), "taken")
-        go = go.groupBy(*on, "node").agg(F.min("path").alias("path"), F.max("taken").alias("taken")).join(seen.rows(), [*on, "node"], "left_anti")
+        go = front.where(~last).withColumnRenamed("node", "source").join(dealt(edge), [*keys, "source"]).select(*on, F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"), "taken")
+        go = go.groupBy(*on, "node").agg(F.min("path").alias("path"), F.max("taken").alias("taken")).join(dealt(seen.rows()), [*on, "node"], "left_anti")
         if states:  # one row more tells that there were more
             go = first_n(go, on, [F.col("path")], states + 1, "place").where(F.col("taken") + F.col("place") <= states + 1).withColumn("over", F.col("taken") + F.col("place") > states)
             go = go.withColumn("taken", F.col("taken") + F.count_if(~F.col("over")).over(W.partitionBy(*on))).drop("place")
@@ -272,7 +272,7 @@ def traces(edges: DataFrame, starts: DataFrame, ends: DataFrame, keys: Sequence[
         seen.add(front)
     out = _union(done)
     flagged = _union(cut).distinct().withColumn("_cut", F.lit(True)) if cut else starts.select(*on).where("false").withColumn("_cut", F.lit(True))
-    out = (first_n(out, on, [F.col("priority"), F.col("depth"), F.col("path")], best) if best else out).join(flagged, on, "left")
+    out = (first_n(out, on, [F.col("priority"), F.col("depth"), F.col("path")], best) if best else out).join(dealt(flagged), on, "left")
     out = stored(out.withColumn("truncated", F.coalesce("_cut", F.lit(False))).drop("_cut"), "traces")
     seen.forget()
     forget(edge, mark, *fronts)

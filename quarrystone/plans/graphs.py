@@ -15,6 +15,7 @@ from quarrystone.operators import points_to as P
 from quarrystone.operators import value_flow as V
 from quarrystone.operators.components import connected_components
 from quarrystone.plans.registry import query, table
+from quarrystone.storage import dealt
 
 
 DEEP = 64  # steps; a tree of 64-bit keys has at most 40 levels
@@ -126,10 +127,10 @@ def _backward(nodes, edges, which):
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     hit = nodes.where("p_size % 4 = 0").select("node", F.lit(1).alias("priority"))
     starts = nodes.where(which).select(F.col("node").alias("start"))
-    own = nodes.where("p_size % 4 = 0").select("node").join(starts.withColumnRenamed("start", "node"), "node", "left_semi")
-    lifted = own.join(back.withColumnRenamed("source", "node"), "node").select(F.col("node").alias("start"), "target")
-    t = G.traces(back, starts.join(own.withColumnRenamed("node", "start"), "start", "left_anti"), hit, depth=DEEP)
-    t2 = G.traces(back, lifted.select(F.col("target").alias("start")).distinct(), hit, depth=DEEP).withColumnRenamed("start", "target").join(lifted, "target")
+    own = nodes.where("p_size % 4 = 0").select("node").join(dealt(starts.withColumnRenamed("start", "node")), "node", "left_semi")
+    lifted = own.join(dealt(back.withColumnRenamed("source", "node")), "node").select(F.col("node").alias("start"), "target")
+    t = G.traces(back, starts.join(dealt(own.withColumnRenamed("node", "start")), "start", "left_anti"), hit, depth=DEEP)
+    t2 = G.traces(back, lifted.select(F.col("target").alias("start")).distinct(), hit, depth=DEEP).withColumnRenamed("start", "target").join(dealt(lifted), "target")
     both = t.select("start", "path", "priority").union(t2.select("start", "path", "priority"))
     return both.where("priority = 1").select("start", F.element_at("path", -1).alias("root"))
 
