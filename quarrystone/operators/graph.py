@@ -28,10 +28,12 @@ def known_edges(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> Data
 
 def degrees(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., node, n_in, n_out)."""
-    n_in = edges.groupBy(*keys, F.col("target").alias("node")).agg(F.count("*").alias("n_in"))
-    n_out = edges.groupBy(*keys, F.col("source").alias("node")).agg(F.count("*").alias("n_out"))
     on = [*keys, "node"]
-    return nodes.select(*on).distinct().join(n_in, on, "left").join(n_out, on, "left").na.fill(0, ["n_in", "n_out"])
+    one = lambda node, n_in, n_out: F.struct(node.alias("node"), F.lit(n_in).cast("long").alias("n_in"), F.lit(n_out).cast("long").alias("n_out"), F.lit(False).alias("_own"))
+    ends = edges.select(*keys, F.inline(F.array(one(F.col("target"), 1, 0), one(F.col("source"), 0, 1))))
+    ends = ends.where(" and ".join(f"`{c}` is not null" for c in on))
+    own = nodes.select(*on, F.lit(0).cast("long").alias("n_in"), F.lit(0).cast("long").alias("n_out"), F.lit(True).alias("_own"))
+    return own.unionByName(ends).groupBy(*on).agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), F.bool_or("_own").alias("_own")).where("_own").drop("_own")
 
 
 def roots(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

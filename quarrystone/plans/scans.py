@@ -8,7 +8,7 @@ from quarrystone.operators import graph as G
 from quarrystone.plans.registry import query, table
 from quarrystone.sources import report_sink
 from quarrystone.sources import reports as S
-from quarrystone.storage import shared_dir, stored
+from quarrystone.storage import dealt, shared_dir, stored
 
 
 def _lines(spark, d):
@@ -86,12 +86,13 @@ def a6(spark, d):
 @query("a7_sbom_graph", """SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS task_id, 'r' || l_partkey AS node, CASE WHEN l_partkey % 4 <> 0 THEN 'pkg:x/' ELSE 'r' END || l_partkey AS label, 1 AS n_out FROM lineitem""")
 def a7(spark, d):
     """A bill of materials for each order."""
-    p = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("r"), "l_partkey").alias("ref"), F.col("l_partkey").alias("k")).distinct()
+    p = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("r"), "l_partkey").alias("ref"), F.col("l_partkey").alias("k")).repartition("l_orderkey").distinct()  # dealt once, for the documents too
     item = F.struct("ref", "k")
     comp = lambda items: F.transform(F.filter(items, lambda i: i["k"] % 4 != 0), lambda i: F.struct(i["ref"].alias("bom-ref"), F.concat(F.lit("pkg:x/"), i["k"]).alias("purl")))
     deps = lambda items: F.transform(items, lambda i: F.struct(i["ref"].alias("ref"), F.array(i["ref"]).alias("dependsOn")))
     nodes, edges = S.sbom_graph(_documents(p, "l_orderkey", item, lambda items: F.struct(F.lit("cycloneDX").alias("bomFormat"), comp(items).alias("components"), deps(items).alias("dependencies")), ".json"))
-    return nodes.join(G.degrees(nodes, edges, ["task_id"]), ["task_id", "node"]).select("task_id", "node", "label", "n_out")
+    nodes = stored(nodes.select("task_id", "node", "label"), "sbom-nodes")
+    return nodes.join(dealt(G.degrees(nodes, edges, ["task_id"])), ["task_id", "node"]).select("task_id", "node", "label", "n_out")
 
 
 @query("a8_usage_index", "SELECT CAST(user_id AS VARCHAR) AS task_id, event_type AS key, CAST(json_extract_string(props, '$.k') AS INT) AS line, round(value, 3) AS confidence FROM events")

@@ -175,11 +175,16 @@ def trivy_issues(reports: DataFrame) -> DataFrame:
 
 def sbom_graph(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (task_id, node, label, name, version, purl) and edges (task_id, source, target) of CycloneDX files."""
-    b = _rows(reports, CYCLONEDX).where(F.lower("j.bomFormat") == "cyclonedx")
-    comp = b.select("task_id", F.explode("j.components").alias("c")).select("task_id", X.first_text(F.col("c.bom-ref"), F.col("c.bomRef")).alias("node"), "c.name", "c.version", "c.purl").where("node is not null")
-    edges = b.select("task_id", F.explode("j.dependencies").alias("d")).select("task_id", F.col("d.ref").alias("source"), F.explode_outer("d.dependsOn").alias("target")).where("source is not null")
-    every = comp.select("task_id", "node").union(edges.select("task_id", "source")).union(edges.where("target is not null").select("task_id", "target")).distinct()
-    one = comp.groupBy("task_id", "node").agg(F.max_by(F.struct("name", "version", "purl"), F.struct("name", "version", "purl")).alias("m"))
+    b, good = _rows(reports, CYCLONEDX), F.lower("j.bomFormat") == "cyclonedx"
+    about = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("purl"))
+    none = F.array().cast("array<struct<node: string, m: struct<name: string, version: string, purl: string>>>")
+    at = lambda node: F.struct(node.alias("node"), F.when(F.lit(False), about).alias("m"))
+    told = F.transform("j.components", lambda c: F.struct(X.first_text(c["bom-ref"], c["bomRef"]).alias("node"), F.struct(c["name"], c["version"], c["purl"]).alias("m")))
+    refs = F.filter("j.dependencies", lambda d: d["ref"].isNotNull())
+    named = F.flatten(F.transform(refs, lambda d: F.transform(F.concat(F.array(d["ref"]), F.coalesce(d["dependsOn"], F.array().cast("array<string>"))), at)))
+    every = F.concat(*[F.coalesce(part, none) for part in (told, named)])  # all nodes that a file names, in one reading
+    each = _each(b.withColumn("_every", F.when(good, every)), "_every", "_i", "e", "task_id").where("e.node is not null")
+    one = each.groupBy("task_id", F.col("e.node").alias("node")).agg(F.max("e.m").alias("m"))
     label = F.coalesce(X.blank_to_null(F.col("m.purl")), F.when(X.blank_to_null(F.col("m.name")).isNotNull(), F.concat_ws("@", "m.name", "m.version")), F.col("node"))
     nodes = every.join(one, ["task_id", "node"], "left").select("task_id", "node", label.alias("label"), "m.name", "m.version", "m.purl")
     return nodes, edges.where("target is not null").distinct()
