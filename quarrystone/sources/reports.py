@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
-from quarrystone.operators.relational import consecutive
 
 _PLACE = "STRUCT<artifactLocation: STRUCT<uri: STRING>, region: STRUCT<startLine: INT, startColumn: INT, endLine: INT, endColumn: INT, snippet: STRUCT<text: STRING>>>"
 _FLOWS = f"codeFlows: ARRAY<STRUCT<threadFlows: ARRAY<STRUCT<locations: ARRAY<STRUCT<location: STRUCT<physicalLocation: {_PLACE}, message: STRUCT<text: STRING>>>>>>>>"
@@ -118,15 +117,16 @@ def sarif_dataflow(reports: DataFrame, most: int = 50) -> tuple[DataFrame, DataF
     key = ["task_id", "report", "run", "pos"]
     each = _results(reports, SARIF_FLOWS).select(*key, flows.alias("flows"))
     starts = F.transform(F.sequence(F.lit(0), F.size("flows") - 1), lambda k: F.reduce(F.slice("flows", 1, k), F.lit(0), lambda n, f: n + F.size(f)))
-    each = each.where(F.size("flows") > 0).select(*key, F.explode(F.arrays_zip(F.col("flows").alias("f"), starts.alias("s"), F.sequence(F.lit(0), F.size("flows") - 1).alias("flow"))).alias("z"))
-    loc = each.select(*key, F.col("z.flow").alias("flow"), F.col("z.s").alias("s"), F.posexplode("z.f").alias("i", "l"))
+    each = each.where(F.size("flows") > 0).select(*key, F.explode(F.arrays_zip(F.col("flows").alias("f"), starts.alias("s"))).alias("z"))
+    loc = each.select(*key, F.col("z.s").alias("s"), F.posexplode("z.f").alias("i", "l"))
     label = F.col("l.location.message.text")
     nodes = loc.select(
-        *key, "flow", "i", F.concat(F.lit("n"), F.col("s") + F.col("i")).alias("id"), F.trim(F.substring_index(label, " @", 1)).alias("label"), X.dataflow_role(label).alias("role"),
+        *key, "i", F.concat(F.lit("n"), F.col("s") + F.col("i")).alias("id"), F.trim(F.substring_index(label, " @", 1)).alias("label"), X.dataflow_role(label).alias("role"),
         X.dataflow_value(label).alias("value"), F.col("l.location.physicalLocation.artifactLocation.uri").alias("file"), F.col("l.location.physicalLocation.region.startLine").alias("line"),
     )
-    edges = consecutive(nodes, "id", [*key, "flow"], [F.col("i")]).drop("flow")
-    return nodes.drop("flow", "i"), edges
+    number = F.col("s") + F.col("i")  # a location's place tells the one before it
+    edges = loc.where("i > 0").select(*key, F.concat(F.lit("n"), number - 1).alias("source"), F.concat(F.lit("n"), number).alias("target"))
+    return nodes.drop("i"), edges
 
 
 def code_flows(reports: DataFrame) -> DataFrame:
