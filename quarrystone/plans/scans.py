@@ -144,8 +144,9 @@ def a17(spark, d):
 def a6_evidence(spark, d):
     """Location and evidence hold no nulls: a key is there or it is not."""
     t = S.trivy_issues(trivy(spark, d))
-    return t.select("task_id", "vuln_id", F.get_json_object("location", "$.target").alias("target"), F.get_json_object("evidence", "$.pkgName").alias("package"), F.get_json_object("location", "$.primaryUrl").alias("url"),
-                    F.get_json_object("evidence", "$.title").alias("title"), F.array_contains(F.json_object_keys("location"), "primaryUrl").alias("has_url"), F.array_contains(F.json_object_keys("evidence"), "title").alias("has_title"))
+    place, said = (F.from_json(c, "map<string, string>") for c in ("location", "evidence"))  # each is parsed once
+    return t.select("task_id", "vuln_id", place["target"].alias("target"), said["pkgName"].alias("package"), place["primaryUrl"].alias("url"), said["title"].alias("title"),
+                    F.map_contains_key(place, "primaryUrl").alias("has_url"), F.map_contains_key(said, "title").alias("has_title"))
 
 
 @query("a9_source_lines", """WITH f AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN doc_id % 3 = 0 THEN '.github/Vendor/' ELSE 'src/' END || 'App' || doc_id || '.RB' WHEN doc_id % 4 = 1 THEN 'm' || doc_id || '/Cargo.toml' WHEN doc_id % 4 = 2 THEN 'a/node_modules/x' || doc_id || '.js' ELSE 'readme' || doc_id || '.md' END AS path
