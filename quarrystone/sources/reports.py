@@ -38,10 +38,13 @@ def read_reports(spark: SparkSession, path: str, task_pattern: str = r"([^/]+)/[
     return files.select(F.regexp_extract("path", task_pattern, 1).alias("task_id"), "path", "value")
 
 
+def is_sarif(path):
+    return F.lower(path).rlike(r"\.sarif(\.json)?$")
+
+
 def report_format(path, value):
     """sarif or semgrep, or null for files that are neither."""
     low = F.lower(path)
-    sarif = low.rlike(r"\.sarif(\.json)?$")
     results = F.get_json_object(value, "$.results")
     return F.when(is_sarif(path), "sarif").when(low.rlike(r"\.json$") & F.startswith(results, F.lit("[")), "semgrep")
 
@@ -67,8 +70,7 @@ def _runs(reports: DataFrame, schema: str) -> DataFrame:
 
 def _results(reports: DataFrame, schema: str) -> DataFrame:
     """(task_id, report, run, pos, r): a row for each result."""
-    runs = _rows(reports, schema).select("task_id", F.col("path").alias("report"), F.posexplode("j.runs").alias("run", "x"))
-    return runs.select("task_id", "report", "run", F.posexplode("x.results").alias("pos", "r"))
+    return _each(_runs(reports, schema), "x.results", "pos", "r", "task_id", "report", "run")
 
 
 def sarif_rules(reports: DataFrame) -> DataFrame:
@@ -148,8 +150,8 @@ def semgrep_findings(reports: DataFrame) -> DataFrame:
 
 def findings(reports: DataFrame) -> DataFrame:
     """All findings of a mixed set of reports, each by its format."""
-    kind = report_format(F.col("path"), F.col("value"))
-    return sarif_findings(reports.where(kind == "sarif")).unionByName(semgrep_findings(reports.where(kind == "semgrep")))
+    # SARIF is told by the path alone: asking for the format would look into all other reports
+    return sarif_findings(reports.where(is_sarif(F.col("path")))).unionByName(semgrep_findings(reports.where(report_format(F.col("path"), F.col("value")) == "semgrep")))
 
 
 def trivy_issues(reports: DataFrame) -> DataFrame:
@@ -186,8 +188,9 @@ def sbom_graph(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = _each(b.withColumn("_every", F.when(good, every)), "_every", "_i", "e", "task_id").where("e.node is not null")
     one = each.groupBy("task_id", F.col("e.node").alias("node")).agg(F.max("e.m").alias("m"))
     label = F.coalesce(X.blank_to_null(F.col("m.purl")), F.when(X.blank_to_null(F.col("m.name")).isNotNull(), F.concat_ws("@", "m.name", "m.version")), F.col("node"))
-    nodes = every.join(one, ["task_id", "node"], "left").select("task_id", "node", label.alias("label"), "m.name", "m.version", "m.purl")
-    return nodes, edges.where("target is not null").distinct()
+    nodes = one.select("task_id", "node", label.alias("label"), "m.name", "m.version", "m.purl")
+    edges = _each(b.withColumn("_deps", F.when(good, F.col("j.dependencies"))), "_deps", "_i", "d", "task_id").select("task_id", F.col("d.ref").alias("source"), F.explode("d.dependsOn").alias("target"))
+    return nodes, edges.where("source is not null and target is not null").distinct()
 
 
 def usage_entries(reports: DataFrame) -> DataFrame:
