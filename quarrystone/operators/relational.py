@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
+from quarrystone.storage import dealt
 
 #: Characters by which packages without a colon are looked up in lines.
 GRAM = 12
@@ -271,14 +272,15 @@ def maven_coordinates(lines: DataFrame, keys: Sequence[str], order: str, line: s
     """(keys..., order, coordinate): group:artifact for each artifactId line, the group being the last one above or on it."""
     tag = lambda name: F.nullif(F.trim(F.regexp_extract(line, f"<{name}>([^<]*)</{name}>", 1)), F.lit(""))
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    seen = lines.withColumn("_group", F.last(tag("groupId"), ignorenulls=True).over(w)).withColumn("_artifact", tag("artifactId"))
+    named = lines.select(*keys, order, tag("groupId").alias("_group"), tag("artifactId").alias("_artifact")).where("_group is not null or _artifact is not null")  # other lines go no further
+    seen = named.withColumn("_group", F.last("_group", ignorenulls=True).over(w))
     return seen.where("_artifact is not null and _group is not null").select(*keys, order, F.concat_ws(":", "_group", "_artifact").alias("coordinate"))
 
 
 def manifest_matches(lines: DataFrame, packages: DataFrame, keys: Sequence[str], order: str, line: str, package: str) -> DataFrame:
     """(keys..., order, package, confidence): coordinates that a pom declares and that equal a package. Gradle: `gradle_matches`."""
     found = maven_coordinates(lines, keys, order, line)
-    return found.join(packages.select(F.col(package).alias("coordinate")).distinct(), "coordinate").select(*keys, order, F.col("coordinate").alias(package), F.lit(0.7).alias("confidence"))
+    return found.join(dealt(packages.select(F.col(package).alias("coordinate")).distinct()), "coordinate").select(*keys, order, F.col("coordinate").alias(package), F.lit(0.7).alias("confidence"))
 
 
 def gradle_matches(lines: DataFrame, packages: DataFrame, order: str, line: str, package: str) -> DataFrame:
