@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 _local: list[str] = []
 _named: dict[str, str] = {}  # path of a sorted run -> its table's name
 MARK = "quarrystone"
+_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -56,19 +58,33 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def sorted_run(df: DataFrame, label: str, buckets: int, *cols: str) -> DataFrame:
-    """Like `stored`, in one file for each of `buckets` buckets of the columns' hash, sorted by them, and known to Spark as such.
+def sorted_run(df: DataFrame, label: str, buckets: int, *cols: str, then: Sequence[str] = (), dealt_so: bool = False) -> DataFrame:
+    """Like `stored`, in one file for each of `buckets` buckets of the columns' hash, sorted by them and `then`, and known to Spark as such.
 
-    A merge join on `cols` with rows that a shuffle of as many partitions has dealt by them neither shuffles nor sorts a run.
+    A merge join on `cols` with rows that a shuffle of as many partitions has dealt by them neither shuffles nor sorts a run. With `dealt_so` the rows
+    have come out of such a shuffle and are not shuffled again; joins on their way, on `cols` and `then`, leave runs as they lie, too.
     """
     spark = df.sparkSession
     path, name = shared_dir(spark, label), f"run_{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # one file a bucket, so the order can be used
-    df.repartition(buckets, *cols).write.bucketBy(buckets, *cols).sortBy(*cols).option("path", path).saveAsTable(name)
+    rows = df if dealt_so else df.repartition(buckets, *cols)
+    every = spark.conf.get(_ALL_KEYS)
+    try:
+        if dealt_so:
+            spark.conf.set(_ALL_KEYS, "false")  # rows with equal keys meet where only some of the keys deal them
+        rows.write.bucketBy(buckets, *cols).sortBy(*cols, *then).option("path", path).saveAsTable(name)
+    finally:
+        spark.conf.set(_ALL_KEYS, every)
     _named[path] = name
     return spark.table(name)
 
 
+def parts_for(rows: DataFrame, each: int = 50_000) -> int:
+    """In how many buckets a loop over `rows` keeps its runs: one for `each` rows, and enough for all cores."""
+    spark = rows.sparkSession
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), rows.count() // each)
+
+
 def plain(run: DataFrame) -> DataFrame:
     """The rows of a `sorted_run` without what Spark knows of their order: a union of bucketed tables would pass for a bucketed one."""
     files = run.inputFiles()
