@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.operators.relational import first_n
-from quarrystone.storage import Gathered, forget, stored
+from quarrystone.storage import dealt, forget, parts_for, plain, sorted_run, stored
 
 #: Prefixes of tokens (fixed values): those that are roots by themselves, and those of results of calls.
 ROOTS = ("BEAN:", "INJECT:", "ALLOC:")
@@ -55,9 +55,12 @@ def field_of(base: Column, field: Column) -> Column:
     return F.when(base == "THIS", F.concat(F.lit("THIS:"), field)).when(base == "STATIC", F.concat(F.lit("STATIC:"), field)).otherwise(F.concat(F.lit("HEAP("), base, F.lit("):"), field))
 
 
-def rewritten(token: Column, receiver: Column, args: Column, result: Column) -> Column:
-    """A callee's token as its caller sees it at a call, null where it has no name there. Static fields keep theirs; at most NESTED levels."""
-    levels, base, fields = nesting(token)
+def rewritten(token: Column, receiver: Column, args: Column, result: Column, nested: tuple[Column, Column, Column] | None = None) -> Column:
+    """A callee's token as its caller sees it at a call, null where it has no name there. Static fields keep theirs; at most NESTED levels.
+
+    `nested` are columns that hold the token's `nesting`; without them it is parsed wherever it is looked at.
+    """
+    levels, base, fields = nested or nesting(token)
     own = F.startswith(base, F.lit("THIS:"))
     number = F.regexp_extract(base, r"^PARAM:(\d{1,9})$", 1)
     start = (
@@ -73,7 +76,8 @@ def is_field(token: Column) -> Column:
     """Whether a token names a field: of this object, of a class, or of what another token stands for."""
     levels, _, fields = nesting(token)
     named = F.startswith(token, F.lit("THIS:")) | F.startswith(token, F.lit("STATIC:"))
-    return F.coalesce(F.when(named, F.length(token) > F.instr(token, ":")).otherwise((levels > 0) & (F.try_element_at(fields, F.lit(-1)) != "")), F.lit(False))
+    deep = F.startswith(token, F.lit("HEAP("))  # most tokens are no fields and need no parsing
+    return F.coalesce(F.when(named, F.length(token) > F.instr(token, ":")).when(deep, (levels > 0) & (F.try_element_at(fields, F.lit(-1)) != "")), F.lit(False))
 
 
 def call_sites(calls: DataFrame, targets: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -117,7 +121,7 @@ def constraints(copies: DataFrame, loads: DataFrame, stores: DataFrame, sites: D
     ]
     seeds = [seed(results.where(made), F.col("_out"), alloc), seed(results.where("callee is null"), F.col("_out"), F.lit(UNKNOWN))]
     edges.append(field_edges(tokens_of(copies, loads, stores, sites, keys), reached, keys))
-    edge = reduce(DataFrame.unionByName, edges).where("token <> '' and to_token <> ''").distinct()
+    edge = stored(reduce(DataFrame.unionByName, edges).where("token <> '' and to_token <> ''").distinct(), "points-constraints")  # read for edges and for seeds
     root = is_root(F.col("to_token"))
     seeds.append(edge.where(root).select(*at, "token", F.when(is_unknown(F.col("to_token")), UNKNOWN).otherwise(F.col("to_token")).alias("root"), F.lit(False).alias("truncated")))
     return edge.where(~root), reduce(DataFrame.unionByName, seeds).where("token <> ''")
@@ -134,10 +138,12 @@ def tokens_of(copies: DataFrame, loads: DataFrame, stores: DataFrame, sites: Dat
 
 def field_edges(tokens: DataFrame, sites: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., method, token, to_method, to_token): field tokens of a callee with what they are called in each caller."""
-    fields = tokens.where(is_field(F.col("token"))).withColumnRenamed("method", "callee")
-    met = fields.join(sites.where("callee is not null").select(*keys, "callee", "method", "receiver", "args", "result"), [*keys, "callee"])
-    there = rewritten(F.col("token"), F.col("receiver"), F.col("args"), F.col("result"))
-    return met.select(*keys, F.col("callee").alias("method"), "token", F.col("method").alias("to_method"), there.alias("to_token")).where("to_token is not null")
+    parsed = [c.alias(n) for c, n in zip(nesting(F.col("token")), ("_levels", "_base", "_fields"))]  # once a token, not once a call
+    fields = tokens.where(is_field(F.col("token"))).select(*keys, F.col("method").alias("callee"), "token", *parsed)
+    met = fields.join(dealt(sites.where("callee is not null").select(*keys, "callee", "method", "receiver", "args", "result")), [*keys, "callee"])
+    there = rewritten(F.col("token"), F.col("receiver"), F.col("args"), F.col("result"), (F.col("_levels"), F.col("_base"), F.col("_fields")))
+    # exploded, so that what filters the outcome does not work it out again
+    return met.select(*keys, F.col("callee").alias("method"), "token", F.col("method").alias("to_method"), F.explode(F.array_compact(F.array(there))).alias("to_token"))
 
 
 def injection_seeds(tokens: DataFrame, fields: DataFrame, params: DataFrame, candidates: DataFrame, keys: Sequence[str] = (), most: int = 20) -> DataFrame:
@@ -160,45 +166,73 @@ def solve(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), most: in
 
     A set that would pass `most` roots keeps the first by name, UNKNOWN before all, and is truncated; what it flows into is
     truncated too and holds UNKNOWN. As the first of a union are among the first of its parts, the result does not depend on
-    the order of rounds. A round joins new roots with the edges and looks up only the nodes they reach.
+    the order of rounds. Edges and sets lie in runs sorted by node, so a round shuffles new roots alone, once, and looks up
+    only the nodes they reach.
     """
-    on = [*keys, "method", "token"]
-    edge = stored(edges.select(*keys, F.col("to_method").alias("method"), F.col("to_token").alias("token"), F.col("method").alias("_method"), F.col("token").alias("_token")).distinct(), "points-edges")
+    on, state = [*keys, "method", "token"], "array<string>"
+    parts = parts_for(edges, 200_000)
+    edge = edges.select(*keys, F.col("to_method").alias("method"), F.col("to_token").alias("token"), F.col("method").alias("_method"), F.col("token").alias("_token"))
+    edge = sorted_run(edge.repartition(parts, *on), "points-edges", parts, *on, dealt_so=True)
     arrive = seeds.select(*on, F.explode(F.array(F.when(F.col("root") == UNKNOWN, _NONE).otherwise(F.col("root")), F.when(F.col("truncated"), F.lit(None).cast("string")).otherwise(F.lit(_NONE)))).alias("root"), F.col("root").alias("_r"))
     arrive = arrive.where((F.col("root").isNull()) | (F.col("root") != _NONE) | (F.col("_r") == UNKNOWN)).select(*on, "root")  # a null tells that a set is truncated
-    gathered, state = None, "array<string>"
+    sets = _Sets(on, parts)
     for step in count():
-        sent = first_n(arrive.distinct(), on, [F.col("root").asc_nulls_first()], most + 2)
-        got = sent.groupBy(*on).agg(F.array_sort(F.collect_list("root")).alias("_in"), F.bool_or(F.col("root").isNull()).alias("_cut"))
-        if gathered is None:
-            both = got.withColumn("roots", F.array().cast(state)).withColumn("truncated", F.lit(False))
-        else:
-            touched = gathered.rows().join(got.select(*on), on, "left_semi")
-            old = touched.groupBy(*on).agg(F.max_by(F.struct("roots", "truncated"), "step").alias("s")).select(*on, "s.*")
-            both = got.join(old, on, "left").withColumn("roots", F.coalesce("roots", F.array().cast(state))).withColumn("truncated", F.coalesce("truncated", F.lit(False)))
-        union = F.array_sort(F.array_union("roots", "_in"))
-        over = F.size(union) > most
-        kept = F.when(over, F.slice(F.array_distinct(F.concat(F.array(F.lit(_NONE)), union)), 1, most)).otherwise(union)
-        both = both.select(*on, kept.alias("_kept"), (F.col("truncated") | F.col("_cut") | over).alias("_now"), "roots", "truncated")
-        both = both.withColumn("fresh", F.concat(F.array_except("_kept", "roots"), F.when(F.col("_now") & ~F.col("truncated"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast(state))))
-        delta = stored(both.where(F.size("fresh") > 0).select(*on, F.col("_kept").alias("roots"), F.col("_now").alias("truncated"), "fresh", F.lit(step).alias("step")), "points-delta")
-        if gathered is None:
-            gathered = Gathered(delta, *on, "roots", "truncated", "step", own=True)
-        elif delta.isEmpty():
-            forget(delta)
+        sent = first_n(arrive.repartition(parts, *on).distinct(), on, [F.col("root").asc_nulls_first()], most + 2)
+        got = sent.groupBy(*on).agg(F.collect_list("root").alias("_in"), F.bool_or(F.col("root").isNull()).alias("_cut"))
+        both = sets.had(got).withColumn("roots", F.coalesce("_had.roots", F.array().cast(state))).withColumn("truncated", F.coalesce("_had.truncated", F.lit(False)))
+        # exploded one by one, so that each array is worked out once and not wherever it is looked at
+        both = both.select(*on, "roots", "truncated", "_cut", F.explode(F.array(F.sort_array(F.array_union("roots", "_in")))).alias("_union"))
+        over = F.size("_union") > most
+        kept = F.when(over, F.slice(F.array_distinct(F.concat(F.array(F.lit(_NONE)), "_union")), 1, most)).otherwise(F.col("_union"))
+        both = both.select(*on, "roots", "truncated", (F.col("truncated") | F.col("_cut") | over).alias("_now"), F.explode(F.array(kept)).alias("_kept"))
+        new = F.concat(F.array_except("_kept", "roots"), F.when(F.col("_now") & ~F.col("truncated"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast(state)))
+        both = both.select(*on, "_kept", "_now", F.explode(F.array(new)).alias("fresh"))
+        fresh = both.where(F.size("fresh") > 0).select(*on, F.col("_kept").alias("roots"), F.col("_now").alias("truncated"), "fresh", F.lit(step).alias("step"))
+        delta = sorted_run(fresh, "points-delta", parts, *on, dealt_so=True)
+        sets.add(delta)
+        if delta.isEmpty():
             break
-        else:
-            gathered.add(delta)
-        arrive = delta.join(edge, on).select(*keys, F.col("_method").alias("method"), F.col("_token").alias("token"), F.explode("fresh").alias("root"))
-    last = gathered.rows().groupBy(*on).agg(F.max_by(F.struct("roots", "truncated"), "step").alias("s"))
-    named = F.transform("s.roots", lambda r: F.when(r == _NONE, UNKNOWN).otherwise(r))
-    out = stored(last.select(*on, named.alias("roots"), F.col("s.truncated").alias("truncated")).where(F.size("roots") > 0), "points-to")
-    gathered.forget()
+        arrive = delta.join(dealt(edge), on).select(*keys, F.col("_method").alias("method"), F.col("_token").alias("token"), F.explode("fresh").alias("root"))
+    named = F.transform("roots", lambda r: F.when(r == _NONE, UNKNOWN).otherwise(r))
+    out = stored(sets.last().select(*on, named.alias("roots"), "truncated").where(F.size("roots") > 0), "points-to")
+    sets.forget()
     forget(edge)
     return out
 
 
+class _Sets:
+    """The set of each node (roots, truncated, step): runs sorted by node, one a round; what a later round says of a node counts."""
+
+    def __init__(self, on: Sequence[str], parts: int, most: int = 6):
+        self.on, self.parts, self.most, self.runs = on, parts, most, []
+
+    def had(self, got: DataFrame) -> DataFrame:
+        """`got`, dealt by node, with the set its node had before (`_had`, null for none)."""
+        names = [f"_had{i}" for i in range(len(self.runs))]
+        for run, c in zip(self.runs, names):
+            got = got.join(dealt(run.select(*self.on, F.struct("roots", "truncated").alias(c))), self.on, "left")
+        none = F.lit(None).cast("struct<roots: array<string>, truncated: boolean>")
+        return got.withColumn("_had", F.coalesce(*reversed(names), none)).drop(*names)
+
+    def last(self, runs: Sequence[DataFrame] | None = None) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, [plain(r).select(*self.on, "roots", "truncated", "step") for r in runs or self.runs])
+        return rows.groupBy(*self.on).agg(F.max_by(F.struct("roots", "truncated", "step"), "step").alias("s")).select(*self.on, "s.*")
+
+    def add(self, run: DataFrame) -> None:
+        self.runs.append(run)
+        if len(self.runs) > self.most:
+            old, newest = self.runs[:-1], self.runs[-1]  # the newest is what the loop goes on with
+            self.runs = [sorted_run(self.last(old), "points-sets", self.parts, *self.on), newest]
+            forget(*old)
+
+    def forget(self) -> None:
+        forget(*self.runs)
+
+
 def points_to_index(copies: DataFrame, loads: DataFrame, stores: DataFrame, calls: DataFrame, targets: DataFrame | None = None, seeds: DataFrame | None = None, keys: Sequence[str] = (), most: int = 50, by_site: bool = False) -> DataFrame:
     """The index of method summaries: (keys..., method, token, roots, truncated). `seeds` are further roots, such as `injection_seeds`."""
-    edges, own = constraints(copies, loads, stores, call_sites(calls, targets, keys), keys, by_site)
-    return solve(edges, own if seeds is None else own.unionByName(seeds.select(*own.columns)), keys, most)
+    sites = stored(call_sites(calls, targets, keys), "points-sites")  # five kinds of edges come of them
+    edges, own = constraints(copies, loads, stores, sites, keys, by_site)
+    out = solve(edges, own if seeds is None else own.unionByName(seeds.select(*own.columns)), keys, most)
+    forget(edges, sites)
+    return out

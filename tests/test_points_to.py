@@ -159,3 +159,24 @@ def test_injections_and_small_cases(spark):
     out = {(r.method, r.token): (list(r.roots), r.truncated) for r in P.solve(none, seeds).collect()}
     assert out["n", "THIS:D#g"] == (["BEAN:X", "BEAN:Y", "INJECT:Many"], True) and out["m", "THIS:C#f"] == (["BEAN:A", "BEAN:B"], False)
     assert P.solve(none, seeds.where("false")).count() == 0
+
+
+def test_a_round_shuffles_new_roots_alone(spark, monkeypatch):
+    """Chains of calls: edges and sets lie in runs sorted by node, so each round has one shuffle, of what is new, and call sites are worked out once."""
+    calls = spark.createDataFrame([(0, f"C#m{i}", f"C#m{i + 1}", 1, None, ["HEAP(PARAM:0):f"], None) for i in range(9)], CALLS).drop("p")
+    rows = spark.createDataFrame([("C#m0", "HEAP(PARAM:0):f", "ALLOC:K")], "method string, a string, b string")
+    shuffles, kept, runs, tables = [], [], P.sorted_run, P.stored
+
+    def run(df, label, *args, **kwargs):
+        if label == "points-delta":
+            shuffles.append(df._jdf.queryExecution().sparkPlan().toString().count("Repartition") + df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return runs(df, label, *args, **kwargs)
+
+    monkeypatch.setattr(P, "sorted_run", run)
+    monkeypatch.setattr(P, "stored", lambda df, label, *p: kept.append(label) or tables(df, label, *p))
+    none = rows.where("false")
+    out = P.points_to_index(rows.toDF("method", "left", "right"), none.toDF("method", "target", "source_field"), none.toDF("method", "target_field", "value"), calls)
+    got = {(r.method, r.token): list(r.roots) for r in out.collect()}
+    assert got == {("C#m0", "HEAP(PARAM:0):f"): ["ALLOC:K"], ("C#m1", "PARAM:0"): ["ALLOC:K"]}
+    assert len(shuffles) > 2 and set(shuffles) == {1}
+    assert kept.count("points-sites") == 1
