@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -78,7 +78,8 @@ def task_states(events: DataFrame, late: str = "1 day", keep_ms: int = 86_400_00
     ignored; events of one batch are taken in order of time, those more than `late` behind the newest one do not count.
     A finished task's outcome is kept for `keep_ms` after its last event, so that stragglers do not start it anew, and is
     then dropped. Plan
-    positions depend on each other, so a task's few events are stepped through one by one.
+    positions depend on each other, so a task's few events that can count are stepped through one by one; what an event
+    can do is worked out before, as one number.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -86,23 +87,45 @@ def task_states(events: DataFrame, late: str = "1 day", keep_ms: int = 86_400_00
             state.remove()
             return
         at, status = state.get if state.exists else (0, "RUNNING")
-        rows = pd.concat(list(batches)).sort_values(["at", "stage_id"])
-        for r in rows.itertuples(index=False):
-            plan = SCA_PLAN if r.task_type == "SCA_CHECK" else PLAN
-            if status != "RUNNING" or r.stage_type != plan[at] or (r.event == "StageUpdated" and r.status != "SKIPPED"):
+        last, moves = None, []
+        for rows in batches:
+            times, can = rows["at"].to_numpy("datetime64[ns]").view("int64"), rows["move"].to_numpy()
+            last = int(times.max()) if last is None else max(last, int(times.max()))
+            (counts,) = (can >= 0).nonzero()
+            if status == "RUNNING" and len(counts):
+                ids = rows["stage_id"].to_numpy()
+                moves += [(times[i], ids[i] is None, ids[i] or "", can[i]) for i in counts]
+        moves.sort(key=lambda m: m[:3])
+        for *_, move in moves:
+            place, does = divmod(int(move), 4)
+            if status != "RUNNING" or place != at:
                 continue
-            if r.status == "FAILED":
+            if does == FAIL:
                 status = "FAILED"
-            elif r.status in ("SUCCEEDED", "SKIPPED"):
-                at += 1
-                status = "SUCCEEDED" if at == len(plan) else status
+            else:
+                at, status = at + 1, "SUCCEEDED" if does == END else status
         state.update((at, status))
         if status != "RUNNING":
-            last = rows["at"].max().value // 1_000_000
-            state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(last // 1_000_000 + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"task_id": [key[0]], "position": [at], "status": [status]})
 
-    return events.withWatermark("at", late).groupBy("task_id").applyInPandasWithState(step, "task_id string, position int, status string", "position int, status string", "update", GroupStateTimeout.EventTimeTimeout)
+    rows = events.withWatermark("at", late).select("task_id", "stage_id", "at", _move().alias("move"))
+    return rows.groupBy("task_id").applyInPandasWithState(step, "task_id string, position int, status string", "position int, status string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+NEXT, END, FAIL = 0, 1, 2
+
+
+def _move() -> Column:
+    """What an event does where the plan expects its stage: four times the stage's place, and NEXT, END or FAIL; -1 if it can do nothing."""
+
+    def of(plan: tuple[str, ...]) -> Column:
+        place = F.array_position(F.array(*map(F.lit, plan)), F.col("stage_type")).cast("int") - 1
+        does = F.when(F.col("status") == "FAILED", FAIL).when(F.col("status").isin("SUCCEEDED", "SKIPPED"), F.when(place == len(plan) - 1, END).otherwise(NEXT))
+        return F.when(place >= 0, place * 4 + does)
+
+    idle = F.coalesce(F.col("event") == "StageUpdated", F.lit(False)) & ~F.coalesce(F.col("status") == "SKIPPED", F.lit(False))
+    return F.coalesce(F.when(~idle, F.when(F.col("task_type") == "SCA_CHECK", of(SCA_PLAN)).otherwise(of(PLAN))), F.lit(-1))
 
 
 def liveness(beats: DataFrame, timeout_ms: int = 120_000) -> DataFrame:

@@ -80,3 +80,27 @@ def test_chunks_are_judged_by_the_assignment_of_their_time(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         jobs.run_once(job(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "cursor"), lambda b, i: said.extend(map(tuple, b.collect())), "append")
     assert sorted(said) == [("t", 0, "stdout", True), ("t", 1, "stdout", False), ("t", 2, "stdout", True), ("t", 3, "stdout", True), ("t", 4, "stdout", False), ("t", 5, "stdout", False), ("u", 0, "stdout", True), ("v", 0, "stdout", False)]
+
+
+def test_a_task_of_both_plans(spark, tmp_path):
+    """What an event can do is worked out before the step: an event of a shorter plan does nothing behind its end, and idle ones still announce a task."""
+    schema = "task_id string, task_type string, stage_id string, stage_type string, event string, status string, at timestamp"
+    ev = lambda t, n, stage, status="SUCCEEDED", kind="CODE_CHECK", event="StageCompleted": (t, kind, f"s{n}", stage, event, status, T0 + datetime.timedelta(minutes=n))
+    steps = [
+        [ev("a", n, s) for n, s in enumerate(jobs.PLAN[:4])] + [ev("b", 1, None), ev("c", 2, "RULES_PREPARE"), ev("c", 1, "SOURCE_PREPARE", kind=None)],
+        [ev("a", 5, "RESULT_REVIEW", kind="SCA_CHECK"), ev("b", 5, "SOURCE_PREPARE", None), ev("c", 6, "SCAN_EXEC", "SKIPPED", event="StageUpdated"), ev("c", 7, "RESULT_PROCESS", "FAILED", event="StageUpdated")],
+        [ev("a", 8, "RESULT_REVIEW"), ev("b", 8, "SOURCE_PREPARE", "FAILED"), ev("c", 8, "RESULT_PROCESS", event=None)],
+    ]
+    out = [sorted(x) for x in fed(spark, tmp_path, schema, steps, lambda s: jobs.task_states(s, "1 hour"))]
+    assert out[0] == [("a", 4, "RUNNING"), ("b", 0, "RUNNING"), ("c", 2, "RUNNING")]
+    assert out[1] == [("a", 4, "RUNNING"), ("b", 0, "RUNNING"), ("c", 3, "RUNNING")]
+    assert out[2] == [("a", 5, "SUCCEEDED"), ("b", 0, "FAILED"), ("c", 4, "RUNNING")]
+
+
+def test_task_events_are_numbered_once(spark, monkeypatch):
+    from quarrystone.plans import streams
+
+    plans = []
+    monkeypatch.setattr(streams, "arrived", lambda spark, steps, job, keys: plans.extend(s._jdf.queryExecution().optimizedPlan().toString() for s in steps))
+    streams.k2(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and not any("Window" in p for p in plans)
