@@ -21,6 +21,8 @@ COUNTS = np.array([c for c, _ in PACKS] + [0, 1], dtype=np.int64)
 
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs; 0 needs one."""
+    if len(values) and values.max() < 1 << 53:  # exact as doubles, whose exponents tell
+        return np.maximum(1, np.frexp(values.astype(np.float64))[1]).astype(np.uint8)
     return np.maximum(1, np.searchsorted(np.array([1 << b for b in range(64)], dtype=np.uint64), values, side="right")).astype(np.uint8)
 
 

@@ -141,11 +141,17 @@ class Encoder:
             if PLAIN.fullmatch(text):
                 text = text.lower()
             return b"".join(map(self.memo.__getitem__, text.split()))
+        if "\n" in text and text[0] not in " \n" and text[-1] != "\n" and not ("\n\n" in text or "\n " in text or " \n" in text):  # each line by itself: no two words with a line end between them become one piece
+            return self.bare.tail("\n").join(map(self.line, text.split("\n")))
         first, *parts = text.split(" ")
         lines = first.split("\n")
         head = b"" if not first else self.bare.tail("\n").join(map(self.bare.__getitem__, lines)) if all(lines) else self.whole(first)
         return head + b"".join(map(self.memo.__getitem__, parts))
 
+    def line(self, text: str) -> bytes:
+        first, *parts = text.split(" ")
+        return self.bare[first] + b"".join(map(self.memo.__getitem__, parts))
+
 
 def pack(ids: list[int]) -> bytes:
     data = array("I", ids)

@@ -138,3 +138,21 @@ def test_packing(spark):
         assert end <= 2048
     assert len(by) <= -(-sum(r.length for r in got) // 2048) + 1
     assert best_fit_packing.pack(df.limit(0), name).count() == 0
+
+
+def test_words_around_a_line_end_are_two_pieces():
+    """Pairs of words with a line end between them hardly ever come again: they are not kept; odd line ends still give the library's ids."""
+    import public_tokenizers
+
+    from quarrystone.llm.simple8b import widths
+    from quarrystone.llm.tokens import Encoder
+
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two.\nThree four\nfive's", "a\n\nb c\nd", " a b\nc", "a \nb c", "a b\n c", "\na b", "a b\n", "a b\nc ", "é b\n7 ñ.\n##x"]
+    assert [enc(t) for t in texts] == [enc.whole(t) for t in texts]
+    fresh = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    fresh(texts[0])
+    assert not [p for p in fresh.memo if "\n" in p] and "Three" in fresh.bare
+    some = [0, 1, 65535, 65536, (1 << 53) - 1, 1 << 53, (1 << 64) - 1]
+    for n in range(1, len(some) + 1):
+        assert widths(np.array(some[:n], dtype=np.uint64)).tolist() == [max(1, v.bit_length()) for v in some[:n]]
