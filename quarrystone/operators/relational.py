@@ -12,10 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
-from quarrystone.storage import dealt
+from quarrystone.storage import dealt, stored
 
 #: Characters by which packages without a colon are looked up in lines.
 GRAM = 12
+#: Rows that a task of `all_pairs` makes, about.
+PAIRS = 1 << 21
 
 
 def active(df: DataFrame, deleted: str = "deleted_at") -> DataFrame:
@@ -229,18 +231,35 @@ def typed_union(**parts: DataFrame) -> DataFrame:
     return out
 
 
-def effective_permissions(user_roles: DataFrame, role_permissions: DataFrame, parts: int = 16) -> DataFrame:
+def all_pairs(many: DataFrame, few: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+    """The inner join on `keys`, whose rows no task has many more of than `PAIRS`, however small both sides and however few the keys are.
+
+    Of each key the rows of `many` are dealt by `by` to as many parts as its pairs need, and the rows of `few` go to all of them. Tasks are as many as the
+    pairs need, not as many as the sides' bytes do. Both sides are read twice, so they should be stored.
+    """
+    on = list(keys)
+    size = many.groupBy(*on).agg(F.count("*").alias("_many")).join(few.groupBy(*on).agg(F.count("*").alias("_few")), on)
+    size = stored(size.withColumn("_parts", F.least("_many", F.ceil(F.col("_many") * F.col("_few") / PAIRS))), "pair-sizes")
+    total = size.agg(F.sum(F.col("_many") * F.col("_few"))).first()[0] or 0
+    tasks = min(total // PAIRS + 1, 1 << 15)
+    size = size.select(*on, "_parts")
+    dealt_ = many.join(size, on).withColumn("_part", F.pmod(F.xxhash64(by), "_parts")).drop("_parts").repartition(tasks, *on, "_part")
+    every = few.join(size, on).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts").repartition(tasks, *on, "_part")
+    return dealt(every).join(dealt(dealt_), [*on, "_part"]).drop("_part")  # the side that is dealt is the one a task keeps, a part at a time
+
+
+def effective_permissions(user_roles: DataFrame, role_permissions: DataFrame) -> DataFrame:
     """(tenant_id, user_id, permission) over roles of the same tenant, blanks dropped, no repeats.
 
     Repeats are dropped for each set of roles that users have, before its permissions meet the users, so pairs of users and permissions
-    are neither shuffled nor compared; a set many users have meets them in `parts` parts.
+    are neither shuffled nor compared; `all_pairs` makes them.
     """
     tenant = ["tenant_id", "_roles"]
     users = user_roles.dropna(subset=["tenant_id", "role_id"]).groupBy("tenant_id", "user_id").agg(F.array_sort(F.collect_set("role_id")).alias("_roles"))
+    users = stored(users, "permission-users")
     each = users.select(*tenant).distinct().withColumn("role_id", F.explode("_roles"))
     granted = each.join(role_permissions.where(F.trim("permission") != ""), ["tenant_id", "role_id"]).select(*tenant, "permission").distinct()
-    dealt = granted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return users.withColumn("_part", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int")).join(dealt, [*tenant, "_part"]).select("tenant_id", "user_id", "permission")
+    return all_pairs(users, stored(granted, "permissions-granted"), tenant, "user_id").select("tenant_id", "user_id", "permission")
 
 
 def log_signals(lines: DataFrame, keys: Sequence[str], pos: str, line: str, words: dict[str, str], shown: int = 3) -> DataFrame:
