@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import expr as X
 from quarrystone.operators.components import connected_components
-from quarrystone.operators.relational import consecutive, first_n
+from quarrystone.operators.relational import all_pairs, consecutive, first_n
 from quarrystone.storage import Gathered, dealt, forget, stored
 
 
@@ -357,19 +357,22 @@ def heap_matches(reads: DataFrame, writes: DataFrame, sets: DataFrame, field: st
     return first_n(both, ["read"], [F.desc("score"), F.col("write")], most)
 
 
-def dispatch_edges(calls: DataFrame, methods: DataFrame, above: DataFrame, most: int = 40) -> DataFrame:
+def dispatch_edges(calls: DataFrame, methods: DataFrame, above: DataFrame, most: int | None = None) -> DataFrame:
     """Calls with edges to the overrides they may reach: (caller, callee, kind), a kind for each edge, the first by name.
 
     calls: (caller, callee, kind); methods: (method, cls, name, arity, abstract, virtual); above: (node, ancestor) of
     classes. A virtual method of an abstract type also leads to the concrete methods of the same name and
-    number of parameters below it, at most `most`. A caller's calls and their overrides meet in one row: a method's code is
-    short (64 KB in a class file), and so an edge is not shuffled by itself.
+    number of parameters below it: all of them, or with `most` the first so many. In the latter case a caller's calls and their overrides
+    meet in one row: a method's code is short (64 KB in a class file), and so an edge is not shuffled by itself.
     """
     m = methods.select("method", "cls", "name", "arity", "abstract", "virtual")
     wide = m.where("abstract and virtual").select(F.col("method").alias("callee"), F.col("cls").alias("ancestor"), "name", "arity")
     below = wide.join(above, "ancestor").select("callee", "name", "arity", F.col("node").alias("cls"))
+    made = m.where("not abstract").select("cls", "name", "arity", "method").distinct()
+    if most is None:
+        return _with_all_overrides(calls, below, made)
     # the first of a callee are among the first of each class below it
-    made = first_n(m.where("not abstract").select("cls", "name", "arity", "method").distinct(), ["cls", "name", "arity"], [F.col("method")], most)
+    made = first_n(made, ["cls", "name", "arity"], [F.col("method")], most)
     over = below.join(made, ["cls", "name", "arity"]).select("callee", F.col("method").alias("override"))
     over = first_n(over.distinct(), ["callee"], [F.col("override")], most).groupBy("callee").agg(F.collect_list("override").alias("_over"))
     own = calls.join(over, "callee", "left").groupBy("caller").agg(F.collect_set(F.struct("callee", "kind")).alias("_own"), F.flatten(F.collect_set("_over")).alias("_over"))
@@ -379,6 +382,22 @@ def dispatch_edges(calls: DataFrame, methods: DataFrame, above: DataFrame, most:
     return own.select("caller", F.inline(F.concat(first, more)))
 
 
+def _with_all_overrides(calls: DataFrame, below: DataFrame, made: DataFrame) -> DataFrame:
+    """Methods of the same classes, name and number of parameters are one set, and a method is in one set only. A caller meets each set it may reach once, so
+    edges to overrides are not compared; those of a set that it calls itself travel with it."""
+    place = ["cls", "name", "arity"]
+    where = made.groupBy("method").agg(F.array_sort(F.collect_set(F.struct(*place))).alias("_places"))
+    sets = stored(where.select("_places").distinct().withColumn("_set", F.monotonically_increasing_id()), "dispatch-sets")
+    members = stored(where.join(sets, "_places").select("method", "_set"), "dispatch-members")
+    reach = stored(below.join(sets.select("_set", F.inline("_places")), place).select("callee", "_set").distinct(), "dispatch-reach")
+    own = stored(calls.groupBy("caller", "callee").agg(F.min(F.struct("kind")).alias("_kind")), "dispatch-calls")
+    called = own.join(members.withColumnRenamed("method", "callee"), "callee").select("caller", "_set", "callee", F.lit(False).alias("_reached"))
+    met = own.join(reach, "callee").select("caller", "_set", F.lit(None).cast(called.schema["callee"].dataType).alias("callee"), F.lit(True).alias("_reached"))
+    met = met.unionByName(called).groupBy("caller", "_set").agg(F.max("_reached").alias("_reached"), F.collect_set("callee").alias("_own")).where("_reached").drop("_reached")
+    more = all_pairs(stored(met, "dispatch-met"), members, ["_set"], "caller").where(~F.array_contains("_own", F.col("method")))
+    return own.select("caller", "callee", "_kind.kind").unionByName(more.select("caller", F.col("method").alias("callee"), F.lit("IMPL").alias("kind")))
+
+
 def entry_points(methods: DataFrame, rules: DataFrame, above: DataFrame) -> DataFrame:
     """(method, rule) for methods a framework calls. methods: (method, cls, name, annotations, cls_annotations);
     rules: (rule, cls_annotation, annotation, ancestor, name), null parts match anything; above: (node, ancestor)."""
