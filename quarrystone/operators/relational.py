@@ -18,6 +18,8 @@ from quarrystone.storage import dealt, stored
 GRAM = 12
 #: Rows that a task of `all_pairs` makes, about.
 PAIRS = 1 << 21
+#: Bits among which `gradle_matches` marks the groups there are; with more groups than bits no line is lost, but more of it shuffled.
+SPOTS = 1 << 24
 
 
 def active(df: DataFrame, deleted: str = "deleted_at") -> DataFrame:
@@ -307,19 +309,24 @@ def gradle_matches(lines: DataFrame, packages: DataFrame, order: str, line: str,
 
     packages: (package), as many as there are. A line is cut at its colons: what ends before one, in the lengths that groups have, meets
     the groups, and only where a group stands there what follows is cut to the lengths of its own artifacts and meets the packages whole.
-    Packages without a colon: `_held`. So neither lines nor packages are held against all others.
+    Packages without a colon: `_held`. So neither lines nor packages are held against all others. What ends before a colon is looked up first in
+    the bits that the groups set among `SPOTS`: of a line little more than its groups is shuffled.
     """
     token = F.lower(F.trim(F.col(package)))
     low = packages.groupBy(token.alias("_token")).agg(F.min(package).alias(package)).where("_token <> ''")
     # of the packages as they come, not of `low`: its shuffle is not needed for the few groups
     named = packages.select(token.alias("_token"), F.substring_index(token, ":", 1).alias("_group")).where(F.contains("_token", F.lit(":")))
-    groups = named.groupBy("_group").agg(F.collect_set(F.length("_token") - F.length("_group") - 1).alias("_sizes"))
-    lengths = named.agg(F.collect_set(F.length("_group")).alias("_lengths"))  # one row
+    groups = stored(named.groupBy("_group").agg(F.collect_set(F.length("_token") - F.length("_group") - 1).alias("_sizes")), "gradle-groups")
+    lengths = groups.agg(F.collect_set(F.length("_group")).alias("_lengths"))  # one row
+    spot = F.pmod(F.xxhash64("_group"), F.lit(SPOTS))
+    spotted = lambda df: df.withColumn("_word", F.shiftright(spot, 6)).withColumn("_bit", F.expr("shiftleft(1L, cast(_spot & 63 AS int))"))
+    words = spotted(groups.withColumn("_spot", spot)).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))  # at most SPOTS / 64 rows
     parts = F.split(F.lower(F.col(line)), ":")
-    before = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda k: F.array_join(F.slice("_parts", 1, k), ":"))
+    with_parts = lambda df: df.withColumn("_parts", parts).withColumn("_before", F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda k: F.array_join(F.slice("_parts", 1, k), ":")))
     ends = F.flatten(F.transform(F.col("_before"), lambda b: F.transform(F.filter("_lengths", lambda n: n <= F.length(b)), lambda n: F.right(b, n))))
-    cut = lines.withColumn("_parts", parts).where(F.size("_parts") > 1).withColumn("_before", before).join(F.broadcast(lengths), F.lit(True))
-    at = cut.withColumn("_group", F.explode(F.array_distinct(ends))).drop("_lengths").join(groups, "_group")
+    cut = with_parts(lines.where(F.contains(line, F.lit(":")))).join(F.broadcast(lengths), F.lit(True)).select(*lines.columns, F.explode(F.array_distinct(ends)).alias("_group"))
+    maybe = spotted(cut.withColumn("_spot", spot)).join(F.broadcast(words), "_word").where("(_bit & _bits) <> 0").select(*lines.columns, "_group")
+    at = with_parts(maybe.join(groups, "_group"))
     places = F.filter(F.sequence(F.lit(1), F.size("_parts") - 1), lambda k: F.endswith(F.element_at("_before", k), F.col("_group")))
     after = F.transform(places, lambda k: F.array_join(F.slice("_parts", k + 1, F.size("_parts")), ":"))
     tokens = F.flatten(F.transform(after, lambda a: F.transform(F.filter("_sizes", lambda n: n <= F.length(a)), lambda n: F.concat(F.col("_group"), F.lit(":"), F.left(a, n)))))
